@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinweave.llm.linkage import linked_groups
 from kinweave.llm.survivors import survivor_choices, survivors
+from kinweave.llm.tags import mapped_elements
 from kinweave.plans.tables import table
 
 
@@ -21,6 +23,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return linked_groups(table(spark, folder, "duplicate_pairs"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    parts = []
+    for origin, key, values in (("contact_entries", "entry_id", "tags"), ("extracted_entities", "entity_id", "suggested_industries")):
+        rows = table(spark, folder, origin).select(F.lit(origin).alias("origin"), F.col(key).alias("record_id"), F.posexplode(values).alias("value_no", "value"))
+        parts.append(rows.withColumn("value_no", F.col("value_no").cast("long")))
+    return mapped_elements(parts[0].unionByName(parts[1]), table(spark, folder, "industry_registry")).select("origin", "record_id", "value_no", "tag")
+
+
 _NOT_KNOWN = "'n/a','na','n.a.','unknown','not known','unbekannt','none','null','nil','nan','tbd','tba','to be added','to be announced','to be determined','xxx','xx','x','empty','(empty)','see card','call office','no mail','no email','no phone','missing','undefined','not available','not applicable','(none)','(null)','(unknown)'"
 
 P2_SQL = rf"""
@@ -52,5 +62,5 @@ reach AS (SELECT DISTINCT a AS contact, a AS other FROM links UNION SELECT reach
 SELECT contact, min(other) AS group_key FROM reach GROUP BY contact
 """
 
-QUERIES = {"p2_found": p2_found, "p2_survivors": p2_survivors, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found}
 ORACLES = {"p2_found": P2_SQL, "p7_found": P7_SQL}
