@@ -1,6 +1,6 @@
 """Text dates of many formats and zones to one UTC second.
 
-Two steps. `read_clock` parses a text into a civil clock reading (seconds since 1970 as if the clock were UTC), and into
+Two steps. `with_clock` parses a text into a civil clock reading (seconds since 1970 as if the clock were UTC), and into
 the offset or zone the text itself names. `to_utc` resolves readings without an offset by an as-of join to the intervals
 in which a zone keeps one offset: one matching interval gives the offset, two mean an ambiguous reading (the first
 occurrence is taken), none a skipped one (read with the offset before the change).
@@ -15,7 +15,6 @@ from zoneinfo import ZoneInfo, available_timezones
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Month names by their first three letters, and abbreviations of zones with minutes east of UTC.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -30,18 +29,16 @@ ZONE_ABBREVIATIONS = {
 FIRST_YEAR, LAST_YEAR = 1900, 2100
 
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?"
-_OFFSET = r"(?i:(Z|[A-Z]{2,5}|(?:UTC|GMT)?[+-]\d{2}:?\d{2}|(?:UTC|GMT)?[+-]\d{2}))"
-_TAIL = rf"(?:\s*{_OFFSET})?(?:\s*\[([^\]]+)\])?(?:\s*\([^)]*\))?$"
-#: Each form of a date: a cheap test, the whole pattern, and where year|month|day|hour|minute|second|half|offset|zone stand in it.
-FORMS = [
-    (r"^\d{4}[-/.]", rf"^(\d{{4}})([-/.])(\d{{1,2}})\2(\d{{1,2}})(?:(?:\s*T\s*|\s+){_TIME}{_TAIL.removesuffix('$')})?$", "$1|$3|$4|$5|$6|$7||$8|$9"),
-    (r"^\d{8}T", rf"^(\d{{4}})(\d{{2}})(\d{{2}})T(\d{{2}})(\d{{2}})(\d{{2}})?(?:[.,]\d+)?{_TAIL}", "$1|$2|$3|$4|$5|$6||$7|$8"),
-    (r"^\d{1,2}\.", rf"^(\d{{1,2}})\.\s*(\d{{1,2}})\.\s*(\d{{4}}|\d{{2}})(?:,?\s+{_TIME}{_TAIL.removesuffix('$')})?$", "$3|$2|$1|$4|$5|$6||$7|$8"),
-    (r"^(?:[A-Za-z]{3,9}\.?,?\s+)?\d{1,2}[\s-]+[A-Za-z]", rf"^(?:[A-Za-z]{{3,9}}\.?,?\s+)?(\d{{1,2}})[\s-]+([A-Za-z]{{3,9}})\.?,?[\s-]+(\d{{4}}|\d{{2}})(?:,?\s+{_TIME}{_TAIL.removesuffix('$')})?$", "$3|$2|$1|$4|$5|$6||$7|$8"),
-    (r"^[A-Za-z]{3,9}\.?\s+\d", rf"^([A-Za-z]{{3,9}})\.?\s+(\d{{1,2}}),?\s+(\d{{4}})(?:,?\s+{_TIME}\s*(?i:([ap])\.?m\.?)?{_TAIL.removesuffix('$')})?$", "$3|$1|$2|$4|$5|$6|$7|$8|$9"),
-]
+_OFFSET = r"(Z|z|[A-Za-z]{2,5}|(?:UTC|GMT)?[+-]\d{2}:?\d{2}|(?:UTC|GMT)?[+-]\d{2})"
+_TAIL = rf"(?:\s*{_OFFSET})?(?:\s*\[([^\]]+)\])?(?:\s*\([^)]*\))?"
+#: Whole patterns of the forms of a date, and where year|month|day|hour|minute|second|half|offset|zone stand in them.
+YEAR_FIRST = (rf"^(\d{{4}})([-/.])(\d{{1,2}})\2(\d{{1,2}})(?:(?:\s*T\s*|\s+){_TIME}{_TAIL})?$", "$1|$3|$4|$5|$6|$7||$8|$9")
+COMPACT = (rf"^(\d{{4}})(\d{{2}})(\d{{2}})T(\d{{2}})(\d{{2}})(\d{{2}})?(?:[.,]\d+)?{_TAIL}$", "$1|$2|$3|$4|$5|$6||$7|$8")
+DOTTED = (rf"^(\d{{1,2}})\.\s*(\d{{1,2}})\.\s*(\d{{4}}|\d{{2}})(?:,?\s+{_TIME}{_TAIL})?$", "$3|$2|$1|$4|$5|$6||$7|$8")
+DAY_MONTH = (rf"^(?:[A-Za-z]{{3,9}}\.?,?\s+)?(\d{{1,2}})[\s-]+([A-Za-z]{{3,9}})\.?,?[\s-]+(\d{{4}}|\d{{2}})(?:,?\s+{_TIME}{_TAIL})?$", "$3|$2|$1|$4|$5|$6||$7|$8")
+MONTH_DAY = (rf"^([A-Za-z]{{3,9}})\.?\s+(\d{{1,2}}),?\s+(\d{{4}})(?:,?\s+{_TIME}\s*(?:([AaPp])\.?[Mm]\.?)?{_TAIL})?$", "$3|$1|$2|$4|$5|$6|$7|$8|$9")
 #: Digits of a count since 1970 and how many of its units make a second.
-EPOCHS = [(r"^-?\d{9,10}(?:\.\d+)?$", 1), (r"^-?\d{12,13}$", 1_000), (r"^-?\d{15,16}$", 1_000_000), (r"^-?\d{18,19}$", 1_000_000_000)]
+EPOCHS = [(9, 10, 1), (12, 13, 1_000), (15, 16, 1_000_000), (18, 19, 1_000_000_000)]
 
 
 def _days(y: Column, m: Column, d: Column) -> Column:
@@ -58,47 +55,54 @@ def _civil(y: Column, m: Column, d: Column) -> Column:
     return yy * 365 + F.floor(yy / 4) - F.floor(yy / 100) + F.floor(yy / 400) + doy - 719468
 
 
-def read_clock(text: Column) -> Column:
-    """struct<epoch, clock, offset_s, zone, year> of a text date; every field null where the text names no moment.
-
-    epoch: UTC seconds where the text is a count since 1970. clock: seconds the wall clock shows. offset_s: seconds east of
-    UTC that the text names. zone: an IANA name in brackets. Null, blank, impossible (13th month, 30 February, hour 25)
-    and merely descriptive texts ("yesterday") give nulls. Fractions of a second are dropped, missing seconds are 0, a day
-    alone means its 00:00.
-    """
-    s = F.trim(F.regexp_replace(text, r"[\s ]+", " "))
-    parts = F.lit(None).cast("string")
-    for test, pattern, into in reversed(FORMS):
-        parts = F.when(s.rlike(test), F.regexp_replace(s, pattern, into)).otherwise(parts)
-    return F.struct(s.alias("s"), F.split(parts, r"\|").alias("p"))
+def with_clock(df: DataFrame, text: str) -> DataFrame:
+    """df with _epoch, _clock, _year, _offset and _zone read from the column named text.
 
+    _epoch: UTC second where the text is a count since 1970. _clock: the seconds since 1970 that the wall clock shows.
+    _offset: seconds east of UTC that the text names. _zone: an IANA name in brackets. All are null where the text is null,
+    blank, impossible (13th month, 30 February, hour 25) or merely descriptive ("yesterday"). Fractions of a second are
+    dropped, missing seconds are 0, a day alone means its 00:00.
 
-def with_clock(df: DataFrame, text: str) -> DataFrame:
-    """df with _epoch, _clock, _year, _offset and _zone read from the column named text."""
-    out = df.withColumn("_r", read_clock(F.col(text)))
-    part = lambda i: F.when(F.size("_r.p") == 9, F.get("_r.p", F.lit(i)))
-    num = lambda i: F.expr(f"CASE WHEN size(_r.p) = 9 THEN try_cast(get(_r.p, {i}) AS INT) END")
+    One character test picks the form, so that a row meets one whole pattern.
+    """
+    s, at = F.col("_s"), lambda i: F.substring("_s", i, 1)
+    digit = at(1).between("0", "9")
+    form = lambda f: F.regexp_replace(s, f[0], f[1])
+    parts = (
+        F.when(digit & ((at(2) == ".") | (at(3) == ".")), form(DOTTED))
+        .when(digit & at(5).isin("-", "/", "."), form(YEAR_FIRST))
+        .when(digit & (at(9) == "T"), form(COMPACT))
+        .when(digit & ~F.contains(s, F.lit(" ")) & ~F.contains(s, F.lit("-")), None)
+        .when(~digit & s.rlike(r"^[A-Za-z]{3,9}\.?\s+\d"), F.when(s.rlike(MONTH_DAY[0]), form(MONTH_DAY)).otherwise(form(DAY_MONTH)))
+        .otherwise(form(DAY_MONTH))
+    )
+    out = df.withColumn("_s", F.trim(F.col(text), F.lit(" \t\r\n ")))
+    out = out.withColumn("_p", F.split(parts, r"\|"))
+    out = out.withColumn("_p", F.when(F.size("_p") == 9, F.col("_p")))
+    num = lambda i: F.expr(f"try_cast(get(_p, {i}) AS INT)")
+    part = lambda i: F.get("_p", F.lit(i))
     year = F.when(F.length(part(0)) == 2, num(0) + F.when(num(0) < 70, 2000).otherwise(1900)).otherwise(num(0))
-    named = F.lower(F.substring(part(1), 1, 3))
-    month = F.coalesce(num(1), F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), named).cast("int"), F.lit(0)))
+    month = F.coalesce(num(1), F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(part(1), 1, 3))).cast("int"), F.lit(0)))
     half = F.lower(part(6))
-    blank_time = part(3) == ""
-    hour = F.when(blank_time, 0).when(half == "", num(3)).when(num(3).between(1, 12), num(3) % 12 + F.when(half == "p", 12).otherwise(0))
+    hour = F.when(part(3) == "", 0).when(half == "", num(3)).when(num(3).between(1, 12), num(3) % 12 + F.when(half == "p", 12).otherwise(0))
     minute, second = F.when(part(4) == "", 0).otherwise(num(4)), F.when(part(5) == "", 0).otherwise(num(5))
+    count, digits = F.expr("try_cast(_s AS DECIMAL(30, 9))"), F.length(F.ltrim(F.substring_index("_s", ".", 1), F.lit("-")))
     epoch = F.lit(None).cast("long")
-    for pattern, unit in EPOCHS:
-        whole = F.expr(f"try_cast(CASE WHEN _r.s RLIKE '{pattern}' THEN _r.s END AS DECIMAL(30, 9))".replace("\\", "\\\\"))
-        epoch = F.coalesce(epoch, F.floor(whole / unit).cast("long"))
-    out = out.select(*df.columns, "_r", F.when(F.col("_r.p").isNull(), epoch).alias("_epoch"), year.alias("_year"), month.alias("_month"), num(2).alias("_day"), hour.alias("_hour"), minute.alias("_minute"), second.alias("_second"), part(7).alias("_off"), F.nullif(F.trim(part(8)), F.lit("")).alias("_zone"))
+    for least, most, unit in EPOCHS:
+        epoch = F.when(digits.between(least, most), F.floor(count / unit).cast("long")).otherwise(epoch)
+    out = out.select(*df.columns, F.when(F.col("_p").isNull() & ~F.contains(s, F.lit(" ")), epoch).alias("_epoch"), year.alias("_year"), month.alias("_month"), num(2).alias("_day"), hour.alias("_hour"), minute.alias("_minute"), second.alias("_second"), F.upper(part(7)).alias("_off"), F.nullif(F.trim(part(8)), F.lit("")).alias("_zone"))
+    o = F.col("_off")
+    # "+05:30", "UTC+05:30", "-0330": sign, two digits of hours, two of minutes
+    bare = F.translate(o, "UTCGM:", "")
+    hours, minutes = F.expr("try_cast(substring(translate(_off, 'UTCGM:', ''), 2, 2) AS INT)"), F.expr("coalesce(try_cast(nullif(substring(translate(_off, 'UTCGM:', ''), 4, 2), '') AS INT), 0)")
+    signed = F.when((hours <= 15) & (minutes <= 59), F.when(bare.startswith("-"), -1).otherwise(1) * (hours * 3600 + minutes * 60))
+    letters = F.create_map(*[F.lit(x) for k, v in ZONE_ABBREVIATIONS.items() for x in (k.upper(), v * 60)])
+    offset = F.when(o == "", None).when(F.right(o, F.lit(1)).between("0", "9"), signed).otherwise(F.try_element_at(letters, o))
+    out = out.select(*df.columns, "_epoch", "_year", "_month", "_day", "_hour", "_minute", "_second", "_zone", (o == "").alias("_plain"), offset.alias("_offset"))
     y, m, d = F.col("_year"), F.col("_month"), F.col("_day")
-    good_time = F.col("_hour").between(0, 23) & F.col("_minute").between(0, 59) & F.col("_second").between(0, 59)
-    clock = F.when(good_time, _days(y, m, d).cast("long") * 86400 + F.col("_hour") * 3600 + F.col("_minute") * 60 + F.col("_second"))
-    digits = F.regexp_replace(F.col("_off"), r"[^0-9+-]", "")
-    hours, minutes = F.expr("try_cast(substring(regexp_replace(_off, '[^0-9]', ''), 1, 2) AS INT)"), F.coalesce(F.expr("try_cast(nullif(substring(regexp_replace(_off, '[^0-9]', ''), 3, 2), '') AS INT)"), F.lit(0))
-    signed = F.when((hours <= 15) & (minutes <= 59), F.when(digits.startswith("-"), -1).otherwise(1) * (hours * 3600 + minutes * 60))
-    letters = F.create_map(*[F.lit(x) for k, v in ZONE_ABBREVIATIONS.items() for x in (k, v * 60)])
-    offset = F.when(F.col("_off").rlike(r"\d"), signed).otherwise(F.try_element_at(letters, F.lower("_off")))
-    return out.select(*df.columns, "_epoch", F.when((F.col("_off") == "") | offset.isNotNull(), clock).cast("long").alias("_clock"), "_year", F.when(F.col("_off") != "", offset).alias("_offset"), "_zone")
+    good = (F.col("_plain") | F.col("_offset").isNotNull()) & F.col("_hour").between(0, 23) & F.col("_minute").between(0, 59) & F.col("_second").between(0, 59)
+    clock = F.when(good, _days(y, m, d).cast("long") * 86400 + F.col("_hour") * 3600 + F.col("_minute") * 60 + F.col("_second"))
+    return out.select(*df.columns, "_epoch", clock.cast("long").alias("_clock"), "_year", "_offset", "_zone")
 
 
 @lru_cache(maxsize=1024)

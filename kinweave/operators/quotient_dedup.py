@@ -22,18 +22,16 @@ def clean_message_id(raw: Column) -> Column:
     return F.nullif(F.when(at > 0, F.concat(F.substring(bare, F.lit(1), at), F.lower(F.substring(bare, at + 1, F.length(bare))))).otherwise(bare), F.lit(""))
 
 
-def quotient_and_remainder(identifier: Column, bits: int = QUOTIENT_BITS) -> tuple[Column, Column, Column]:
-    """Quotient (int), remaining bits of the permuted head (long) and tail (binary) of a text identifier.
+def permuted(rows: DataFrame, identifier: str, bits: int = QUOTIENT_BITS) -> DataFrame:
+    """rows with _quotient (int), _rest (the other bits of the permuted head) and _tail (binary) of a text identifier.
 
     Heads shorter than eight bytes are padded with the byte 0xFF, which UTF-8 text never holds, so that padding adds no
     false match.
     """
-    raw = F.encode(identifier, "utf-8")
-    head = F.rpad(F.substring(raw, 1, 8), 8, F.lit(b"\xff"))
-    tail = F.substring(raw, F.lit(9), F.greatest(F.length(raw) - 8, F.lit(0)))
-    number = F.conv(F.hex(F.substring(head, 1, 4)), 16, 10).cast("long") * (1 << 32) + F.conv(F.hex(F.substring(head, 5, 4)), 16, 10).cast("long") - F.lit(1 << 62) - F.lit(1 << 62)
-    permuted = number.bitwiseXOR(F.xxhash64(tail))
-    return permuted.bitwiseAND((1 << bits) - 1).cast("int"), F.shiftrightunsigned(permuted, bits), tail
+    raw = F.encode(F.col(identifier), "utf-8")
+    cut = rows.withColumn("_head", F.rpad(F.substring(raw, 1, 8), 8, F.lit(b"\xff"))).withColumn("_tail", F.substring(raw, F.lit(9), F.greatest(F.length(raw) - 8, F.lit(0))))
+    mixed = cut.withColumn("_mixed", F.conv(F.hex("_head"), 16, -10).cast("long").bitwiseXOR(F.xxhash64("_tail")))
+    return mixed.withColumn("_quotient", F.col("_mixed").bitwiseAND((1 << bits) - 1).cast("int")).withColumn("_rest", F.shiftrightunsigned("_mixed", bits)).drop("_head", "_mixed")
 
 
 def first_deliveries(rows: DataFrame, partition: str, key: str, identifier: str) -> DataFrame:
@@ -43,10 +41,8 @@ def first_deliveries(rows: DataFrame, partition: str, key: str, identifier: str)
     kept key. Copies meet in the map-side table already, so an identifier that a third of all rows carry crosses the
     shuffle once per map task.
     """
-    quotient, rest, tail = quotient_and_remainder(F.col("_mid"))
     found = rows.select(partition, key, clean_message_id(F.col(identifier)).alias("_mid")).where(F.col("_mid").isNotNull())
-    coded = found.select(partition, key, quotient.alias("_quotient"), rest.alias("_rest"), tail.alias("_tail"))
-    return coded.groupBy(partition, "_quotient", "_rest", "_tail").agg(F.min(key).alias(key)).select(partition, key)
+    return permuted(found, "_mid").groupBy(partition, "_quotient", "_rest", "_tail").agg(F.min(key).alias(key)).select(partition, key)
 
 
 def superfluous_deliveries(rows: DataFrame, partition: str, key: str, identifier: str) -> DataFrame:
@@ -57,7 +53,7 @@ def superfluous_deliveries(rows: DataFrame, partition: str, key: str, identifier
     copies. The result keeps every other column out, so clashing names do no harm; an empty input gives an empty result.
     The anti-join runs on the unique keys, never on identifiers, so no identifier can make it skewed.
     """
-    has = rows.select(partition, key, clean_message_id(F.col(identifier)).alias("_mid")).where(F.col("_mid").isNotNull()).select(partition, key)
+    has = rows.where(clean_message_id(F.col(identifier)).isNotNull()).select(partition, key)
     return has.join(first_deliveries(rows, partition, key, identifier), [partition, key], "left_anti")
 
 
