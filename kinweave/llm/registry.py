@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.llm.conversations import conversations
 from kinweave.llm.linkage import linked_groups
 from kinweave.llm.survivors import survivor_choices, survivors
 from kinweave.llm.tags import mapped_elements
+from kinweave.operators.dates import message_moments
+from kinweave.operators.quotient_dedup import superfluous_deliveries
 from kinweave.plans.tables import table
 
 
@@ -23,6 +26,13 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return linked_groups(table(spark, folder, "duplicate_pairs"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "interactions")
+    copies = superfluous_deliveries(rows.select(F.lit("interactions").alias("origin"), "id", "message_id"), "origin", "id", "message_id").select("id")
+    single = rows.select("id", "mailbox_id", "date", "direction", "snippet", "thread_id").join(copies, "id", "left_anti")
+    return conversations(message_moments(single, table(spark, folder, "mailboxes")))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = []
     for origin, key, values in (("contact_entries", "entry_id", "tags"), ("extracted_entities", "entity_id", "suggested_industries")):
@@ -62,5 +72,5 @@ reach AS (SELECT DISTINCT a AS contact, a AS other FROM links UNION SELECT reach
 SELECT contact, min(other) AS group_key FROM reach GROUP BY contact
 """
 
-QUERIES = {"p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found}
+QUERIES = {"p3_found": p3_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found}
 ORACLES = {"p2_found": P2_SQL, "p7_found": P7_SQL}
