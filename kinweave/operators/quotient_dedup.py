@@ -57,6 +57,11 @@ def superfluous_deliveries(rows: DataFrame, partition: str, key: str, identifier
     return has.join(first_deliveries(rows, partition, key, identifier), [partition, key], "left_anti")
 
 
-def distinct_messages(rows: DataFrame, partition: str, key: str, identifier: str) -> DataFrame:
-    """rows without superfluous deliveries; rows without an identifier stay."""
-    return rows.join(superfluous_deliveries(rows, partition, key, identifier), [partition, key], "left_anti")
+def distinct_messages(rows: DataFrame, key: str, identifier: str) -> DataFrame:
+    """rows of one table without superfluous deliveries, as superfluous_deliveries has them; rows without an identifier stay.
+
+    One join on the unique key; all columns of rows are kept.
+    """
+    firsts = first_deliveries(rows.select(F.lit(0).alias("_table"), key, identifier), "_table", key, identifier).select(key, F.lit(True).alias("_first"))
+    keep = F.col("_first") | clean_message_id(F.col(identifier)).isNull()
+    return rows.join(firsts, key, "left").where(keep).drop("_first")
