@@ -40,28 +40,23 @@ def clean_thread(raw: Column) -> Column:
     return F.nullif(F.regexp_replace(raw, r"^[\s <>]+|[\s <>]+$", ""), F.lit(""))
 
 
-def lean_messages(messages: DataFrame) -> DataFrame:
-    """thread, id, moment, speaker, said of the messages that belong to a conversation.
+def lean_messages(messages: DataFrame, *also: str) -> DataFrame:
+    """thread, id, moment, speaker, said (and the columns named) of the messages that belong to a conversation.
 
-    messages: id, thread_id, direction, snippet, utc_second. Other columns are ignored. A snippet of nothing but white
-    space says nothing.
+    messages: id, thread_id, direction, snippet, utc_second. A snippet of nothing but white space says nothing.
     """
     said = F.coalesce(F.length(F.trim("snippet", F.lit(" \t\r\n\u00a0\u200b\u3000"))) > 0, F.lit(False))
-    return messages.select(clean_thread(F.col("thread_id")).alias("thread"), "id", F.col("utc_second").alias("moment"), speaker_of(F.col("direction")).alias("speaker"), said.alias("said")).where("thread IS NOT NULL")
+    return messages.select(clean_thread(F.col("thread_id")).alias("thread"), "id", F.col("utc_second").alias("moment"), speaker_of(F.col("direction")).alias("speaker"), said.alias("said"), *also)
 
 
-def spread(lean: DataFrame, state_rows: int = STATE_ROWS) -> DataFrame:
-    """lean with part: 0, or one of several numbers for a conversation of over state_rows messages.
+def long_conversations(staged: DataFrame, state_rows: int = STATE_ROWS) -> list[tuple[str, int]]:
+    """(thread, number of states) of the conversations of over state_rows messages.
 
-    The long conversations come from a frequent-items sketch of bounded size; splitting one that it overrates does no harm,
-    and one that it misses has less than a four-thousandth of all rows.
+    They come from a frequent-items sketch of bounded size; spreading one that it overrates does no harm, and one that it
+    misses has less than a four-thousandth of all rows.
     """
-    top = lean.agg(F.expr("approx_top_k(thread, 1000, 20000)").alias("t")).select(F.explode("t").alias("x")).select("x.item", "x.count")
-    heavy = [(r["item"], -(-r["count"] // state_rows)) for r in top.where(F.col("count") > state_rows).collect()]
-    if not heavy:
-        return lean.withColumn("part", F.lit(0).cast("long"))
-    marks = F.broadcast(lean.sparkSession.createDataFrame(heavy, "thread string, parts bigint"))
-    return lean.join(marks, "thread", "left").withColumn("part", F.coalesce(F.pmod("id", "parts"), F.lit(0)).cast("long")).drop("parts")
+    top = staged.agg(F.expr("approx_top_k(thread, 1000, 20000)").alias("t")).select(F.explode("t").alias("x")).select("x.item", "x.count")
+    return [(r["item"], -(-r["count"] // state_rows)) for r in top.where(F.col("count") > state_rows).collect()]
 
 
 def fragments(stream: DataFrame, gap: str = GAP, delay: str = "7 days") -> DataFrame:
@@ -75,10 +70,13 @@ def fragments(stream: DataFrame, gap: str = GAP, delay: str = "7 days") -> DataF
     )
 
 
-def replay(spark: SparkSession, lean: DataFrame, gap: str = GAP, files_per_batch: int = 1_000) -> DataFrame:
+def replay(spark: SparkSession, lean: DataFrame, gap: str = GAP, files_per_batch: int = 1_000, state_rows: int = STATE_ROWS) -> DataFrame:
     """All fragments of a finite table, by way of the stream; the table is written to the shared folder for it."""
     path, out, state = (new_path(spark, x) for x in ("messages", "fragments", "stream-state"))
+    lean = lean.select("thread", "id", "moment", "speaker", "said").where("thread IS NOT NULL")
     lean.write.parquet(path)
+    parts = {t: n for t, n in long_conversations(spark.read.schema(lean.schema).parquet(path), state_rows)}
+    marks = spark.createDataFrame(list(parts.items()) or [("", 1)], "thread string, parts bigint")
     named = {"spark.sql.streaming.stateStore.providerClass": STATE_PROVIDER, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
     before = {k: spark.conf.get(k, None) for k in named}
     for k, v in named.items():
@@ -86,8 +84,12 @@ def replay(spark: SparkSession, lean: DataFrame, gap: str = GAP, files_per_batch
     try:
         for step in ("messages", "closing"):
             if step == "closing":
-                spark.createDataFrame([(None, 0, CLOSING_SECOND, None, False, 0)], lean.schema).coalesce(1).write.mode("append").parquet(path)
+                spark.createDataFrame([(None, 0, CLOSING_SECOND, None, False)], lean.schema).coalesce(1).write.mode("append").parquet(path)
             stream = spark.readStream.schema(lean.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+            if parts:
+                stream = stream.join(F.broadcast(marks), "thread", "left").withColumn("part", F.coalesce(F.pmod("id", "parts"), F.lit(0)).cast("long"))
+            else:
+                stream = stream.withColumn("part", F.lit(0).cast("long"))
             sink = fragments(stream, gap, REPLAY_DELAY).writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
             sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
@@ -116,11 +118,10 @@ def judge(frags: DataFrame) -> DataFrame:
     return single.unionByName(numbered)
 
 
-def conversations(messages: DataFrame, gap: str = GAP, files_per_batch: int = 1_000, state_rows: int = STATE_ROWS) -> DataFrame:
-    """Whole conversations of a finite table of messages (id, thread_id, direction, snippet, utc_second), as judge gives them.
+def conversations(lean: DataFrame, gap: str = GAP, files_per_batch: int = 1_000, state_rows: int = STATE_ROWS) -> DataFrame:
+    """Whole conversations of a finite table as lean_messages gives it, numbered as by judge.
 
     Messages without a thread belong to none. Repeated deliveries must be gone already. An empty table gives an empty
     result; ties of moment are ordered by id; columns with other names are ignored.
     """
-    spark = messages.sparkSession
-    return judge(replay(spark, spread(lean_messages(messages), state_rows), gap, files_per_batch))
+    return judge(replay(lean.sparkSession, lean, gap, files_per_batch, state_rows))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.conversations import conversations
+from kinweave.llm.conversations import conversations, lean_messages
 from kinweave.llm.leaks import leaked_items
 from kinweave.llm.linkage import linked_groups
 from kinweave.llm.survivors import survivor_choices, survivors
 from kinweave.llm.tags import mapped_elements
 from kinweave.operators.dates import message_moments
-from kinweave.operators.quotient_dedup import superfluous_deliveries
+from kinweave.operators.quotient_dedup import distinct_messages
 from kinweave.plans.tables import table
 
 
@@ -28,10 +28,9 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "interactions")
-    copies = superfluous_deliveries(rows.select(F.lit("interactions").alias("origin"), "id", "message_id"), "origin", "id", "message_id").select("id")
-    single = rows.select("id", "mailbox_id", "date", "direction", "snippet", "thread_id").join(copies, "id", "left_anti")
-    return conversations(message_moments(single, table(spark, folder, "mailboxes")))
+    rows = table(spark, folder, "interactions").select("id", "mailbox_id", "message_id", "date", "direction", "snippet", "thread_id")
+    lean = lean_messages(message_moments(rows, table(spark, folder, "mailboxes")), "message_id")
+    return conversations(distinct_messages(lean, "id", "message_id"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
