@@ -26,6 +26,8 @@ RANK, OVERSAMPLE = 128, 16
 COSINE, SHARE = 0.55, 0.2
 #: Items searched for at once; more are taken in blocks, each against all documents.
 BLOCK = 20_000
+#: Passages in memory at once.
+CHUNK = 2_048
 
 _TAG = re.compile(r"<[^<>]{0,500}>")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
@@ -95,9 +97,22 @@ def _coded(documents: DataFrame, vocabulary) -> DataFrame:
     return documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInPandas(code, "doc_id long, ids array<int>")
 
 
-def _batch_passages(batch: pd.DataFrame, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    cut = [_passages(np.asarray(x, dtype=np.int32), stride) for x in batch["ids"]]
-    return np.vstack(cut), np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+def _chunks(batches, stride: int):
+    """(passages, document of each) of a few thousand passages at a time, so that long and many documents fit in memory."""
+    for batch in batches:
+        docs = batch["doc_id"].to_numpy() if "doc_id" in batch else np.zeros(len(batch), dtype=np.int64)
+        held, of, n = [], [], 0
+        for doc, ids in zip(docs, batch["ids"], strict=True):
+            rows = _passages(np.asarray(ids, dtype=np.int32), stride)
+            for k in range(0, len(rows), CHUNK):
+                held.append(rows[k : k + CHUNK])
+                of.append(np.full(len(held[-1]), doc, dtype=np.int64))
+                n += len(held[-1])
+                if n >= CHUNK:
+                    yield np.vstack(held), np.concatenate(of)
+                    held, of, n = [], [], 0
+        if held:
+            yield np.vstack(held), np.concatenate(of)
 
 
 def _document_frequencies(coded: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -105,11 +120,9 @@ def _document_frequencies(coded: DataFrame, size: int) -> tuple[np.ndarray, int]
 
     def count(batches):
         total, n = np.zeros(size + 1, dtype=np.int64), 0
-        for batch in batches:
-            if len(batch):
-                rows, _ = _batch_passages(batch, WINDOW)
-                total += np.bincount(rows.ravel() + 1, minlength=size + 1)
-                n += len(rows)
+        for rows, _ in _chunks(batches, WINDOW):
+            total += np.bincount(rows.ravel() + 1, minlength=size + 1)
+            n += len(rows)
         hit = np.nonzero(total[1:])[0]
         yield pd.DataFrame({"word": np.append(hit, -1), "n": np.append(total[1:][hit], n)})
 
@@ -128,9 +141,8 @@ def _summed(coded: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
 
     def make(batches):
         total = np.zeros(shape)
-        for batch in batches:
-            if len(batch):
-                total += partial(_batch_passages(batch, WINDOW)[0])
+        for rows, _ in _chunks(batches, WINDOW):
+            total += partial(rows)
         yield pd.DataFrame({"m": [total.tobytes()]})
 
     def add(batches):
@@ -167,7 +179,7 @@ def latent_basis(coded: DataFrame, items: Items, weights: np.ndarray, rank: int
             return spread_back(rows, z) if back else z.T @ z
 
         of_documents = _summed(coded, one, (size, width) if back else (width, width))
-        of_items = one(items.passages)
+        of_items = sum(one(items.passages[k : k + CHUNK]) for k in range(0, len(items.passages), CHUNK))
         scale = np.linalg.norm(of_documents) / max(np.linalg.norm(of_items), 1e-12)
         return of_documents + of_items * (scale if scale > 0 else 1.0)
 
@@ -190,20 +202,16 @@ def _candidates(coded: DataFrame, items: Items, weights: np.ndarray, basis: np.n
 
     def search(batches):
         targets, owner, projection, squares, least = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows, of = _batch_passages(batch, STRIDE)
+        for rows, of in _chunks(batches, STRIDE):
             heavy = squares[rows].sum(axis=1) >= least
             rows, of = rows[heavy], of[heavy]
             found = set()
-            for k in range(0, len(rows), 256):
-                p = _project(rows[k : k + 256], projection)
+            for k in range(0, len(rows), 128):
+                p = _project(rows[k : k + 128], projection)
                 p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
                 a, b = np.nonzero(p @ targets >= cosine)
-                found.update(zip(of[k : k + 256][a].tolist(), owner[b].tolist(), strict=True))
-            ids = batch["doc_id"].to_numpy()
-            yield pd.DataFrame({"doc_id": [ids[d] for d, _ in found], "item": [i for _, i in found]}).astype({"doc_id": "int64", "item": "int32"})
+                found.update(zip(of[k : k + 128][a].tolist(), owner[b].tolist(), strict=True))
+            yield pd.DataFrame(sorted(found), columns=["doc_id", "item"]).astype({"doc_id": "int64", "item": "int32"})
 
     return coded.mapInPandas(search, "doc_id long, item int")
 
