@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.conversations import conversations, lean_messages
 from kinweave.llm.leaks import leaked_items
 from kinweave.llm.linkage import linked_groups
+from kinweave.llm.sentences import document_sentences
 from kinweave.llm.survivors import survivor_choices, survivors
 from kinweave.llm.tags import mapped_elements
 from kinweave.operators.dates import message_moments
@@ -45,6 +46,10 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return document_sentences(table(spark, folder, "documents"))
+
+
 _NOT_KNOWN = "'n/a','na','n.a.','unknown','not known','unbekannt','none','null','nil','nan','tbd','tba','to be added','to be announced','to be determined','xxx','xx','x','empty','(empty)','see card','call office','no mail','no email','no phone','missing','undefined','not available','not applicable','(none)','(null)','(unknown)'"
 
 P2_SQL = rf"""
@@ -76,5 +81,5 @@ reach AS (SELECT DISTINCT a AS contact, a AS other FROM links UNION SELECT reach
 SELECT contact, min(other) AS group_key FROM reach GROUP BY contact
 """
 
-QUERIES = {"p3_found": p3_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
 ORACLES = {"p2_found": P2_SQL, "p7_found": P7_SQL}
