@@ -57,11 +57,13 @@ def superfluous_deliveries(rows: DataFrame, partition: str, key: str, identifier
     return has.join(first_deliveries(rows, partition, key, identifier), [partition, key], "left_anti")
 
 
-def distinct_messages(rows: DataFrame, key: str, identifier: str) -> DataFrame:
+def distinct_messages(rows: DataFrame, key: str, identifier: str, source: DataFrame | None = None) -> DataFrame:
     """rows of one table without superfluous deliveries, as superfluous_deliveries has them; rows without an identifier stay.
 
-    One join on the unique key; all columns of rows are kept.
+    One join on the unique key; all columns of rows are kept. source: the table that rows was derived from, with all its
+    rows, so that reading the identifiers does not repeat the derivation.
     """
-    firsts = first_deliveries(rows.select(F.lit(0).alias("_table"), key, identifier), "_table", key, identifier).select(key, F.lit(True).alias("_first"))
+    ids = (rows if source is None else source).select(F.lit(0).alias("_table"), key, identifier)
+    firsts = first_deliveries(ids, "_table", key, identifier).select(key, F.lit(True).alias("_first"))
     keep = F.col("_first") | clean_message_id(F.col(identifier)).isNull()
     return rows.join(firsts, key, "left").where(keep).drop("_first")
