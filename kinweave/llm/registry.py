@@ -31,7 +31,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "interactions").select("id", "mailbox_id", "message_id", "date", "direction", "snippet", "thread_id")
     lean = lean_messages(message_moments(rows, table(spark, folder, "mailboxes")), "message_id")
-    return conversations(distinct_messages(lean, "id", "message_id"))
+    return conversations(distinct_messages(lean, "id", "message_id", rows))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
