@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.conversations import conversations, lean_messages
 from kinweave.llm.leaks import leaked_items
 from kinweave.llm.linkage import linked_groups
+from kinweave.llm.matching import same_people
 from kinweave.llm.sentences import document_sentences
 from kinweave.llm.survivors import survivor_choices, survivors
 from kinweave.llm.tags import mapped_elements
@@ -16,6 +17,14 @@ from kinweave.operators.quotient_dedup import distinct_messages
 from kinweave.plans.tables import table
 
 
+def p1_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return same_people(table(spark, folder, "contacts"), table(spark, folder, "google_contacts"), table(spark, folder, "vcards"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_matches(spark, folder).select("source1", "key1", "source2", "key2")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivor_choices(table(spark, folder, "merge_previews"), table(spark, folder, "contact_entries"))
 
@@ -81,5 +90,5 @@ reach AS (SELECT DISTINCT a AS contact, a AS other FROM links UNION SELECT reach
 SELECT contact, min(other) AS group_key FROM reach GROUP BY contact
 """
 
-QUERIES = {"p3_found": p3_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
 ORACLES = {"p2_found": P2_SQL, "p7_found": P7_SQL}
