@@ -9,6 +9,7 @@ from kinweave.llm.conversations import conversations, lean_messages
 from kinweave.llm.leaks import leaked_items
 from kinweave.llm.linkage import linked_groups
 from kinweave.llm.matching import same_people
+from kinweave.llm.packing import packed_documents
 from kinweave.llm.sentences import document_sentences
 from kinweave.llm.survivors import survivor_choices, survivors
 from kinweave.llm.tags import mapped_elements
@@ -51,6 +52,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return mapped_elements(parts[0].unionByName(parts[1]), table(spark, folder, "industry_registry")).select("origin", "record_id", "value_no", "tag")
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packed_documents(table(spark, folder, "documents"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -90,5 +95,5 @@ reach AS (SELECT DISTINCT a AS contact, a AS other FROM links UNION SELECT reach
 SELECT contact, min(other) AS group_key FROM reach GROUP BY contact
 """
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
 ORACLES = {"p2_found": P2_SQL, "p7_found": P7_SQL}
