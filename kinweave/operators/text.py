@@ -25,7 +25,7 @@ INTERACTION_WORDS = [
     ("meeting", ["met", "meeting", "met with", "call with", "spoke"]),
     ("email", ["email", "sent", "received", "replied"]),
     ("message", ["message", "dm", "chat"]),
-    ("call", ["call", "called", "phone", "rang"]),
+    ("call", ["called", "phone", "rang"]),
 ]
 
 # Words that tell an industry.
