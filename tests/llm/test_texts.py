@@ -113,7 +113,7 @@ def test_sentences_without_spaces(parts):
 def test_blocks_lists_and_odd_texts(spark):
     assert cut("# Notes Oct. 21\n\nHi Ann,\n\n1. ask Bo\n2. Send Nr. 9\nand more\n- last\n\nBest,\nIda") == ["# Notes Oct. 21", "Hi Ann,", "1. ask Bo", "2. Send Nr. 9\nand more", "- last", "Best,\nIda"]
     assert cut("Das gilt wohl nur bis zum\n4. Mai oder so", "de") == ["Das gilt wohl nur bis zum\n4. Mai oder so"]
-    assert cut("One ends here.Two starts there. v1.2 stays") == ["One ends here.", "Two starts there.", "v1.2 stays"]
+    assert cut("One ends here.Two starts there. See v1.2 or a.B@x.org now.") == ["One ends here.", "Two starts there.", "See v1.2 or a.B@x.org now."]
     assert cut("An “open quote. Next one.") == ["An “open quote.", "Next one."]
     assert cut("") == cut(" \n\n ") == []
     long = "A word. " * 20_000
