@@ -91,7 +91,7 @@ class Index:
         return [(float(cosine[k]), int(k)) for k in np.nonzero(cosine >= threshold)[0]]
 
 
-def _edits(a: str, b: str, most: int) -> int:
+def edits(a: str, b: str, most: int) -> int:
     """Optimal string alignment distance (insert, delete, replace, swap of neighbours), or most + 1 beyond most."""
     if abs(len(a) - len(b)) > most:
         return most + 1
@@ -119,12 +119,12 @@ def _slips(value: str, name: str) -> int:
     most = _allowed(target)
     if joined == target + "s" or joined + "s" == target and len(target) > 4:
         return 0 if joined == target else 1
-    found = _edits(joined, target, most)
+    found = edits(joined, target, most)
     words, own = value.split(), name.split()
     if found and len(own) > 1:
         for k in range(1, len(words)):
-            found = min(found, _edits("".join(words[k:] + words[:k]), target, most))
-        found = min(found, _edits("".join(sorted(words)), "".join(sorted(own)), most), _edits("".join(reversed(words)), target, most))
+            found = min(found, edits("".join(words[k:] + words[:k]), target, most))
+        found = min(found, edits("".join(sorted(words)), "".join(sorted(own)), most), edits("".join(reversed(words)), target, most))
     return found if found <= most else -1
 
 
