@@ -146,15 +146,15 @@ def known_zones(named: list[str]) -> dict[str, str]:
     return {x: own[x.strip().lower()] for x in named if x and x.strip().lower() in own}
 
 
-def to_utc(df: DataFrame, text: str, default_zone: str, out: str = "utc_second") -> DataFrame:
+def to_utc(df: DataFrame, text: str, default_zone: str, out: str = "utc_second", defaults: DataFrame | None = None) -> DataFrame:
     """df with the column out: UTC second of the text date, null where it names no moment.
 
     default_zone names the column with the IANA zone that holds where the text has neither offset nor zone. Columns of df
-    keep their names and order; names starting with an underscore followed by a letter are reserved. An unknown zone in
+    keep their names and order; defaults may give all values of default_zone as a table of that one column; names starting with an underscore followed by a letter are reserved. An unknown zone in
     the text or in default_zone makes such rows null. Duplicated rows stay; an empty df gives an empty result.
     """
     clocked = with_clock(df, text)
-    zones = known_zones(_zones_in(df, text, default_zone))
+    zones = known_zones(_zones_in(df, text, df.select(default_zone) if defaults is None else defaults))
     spark = df.sparkSession
     table = interval_table(spark, sorted(set(zones.values())))
     alias = spark.createDataFrame([(k, v) for k, v in zones.items()], "_named string, _zone_key string")
@@ -167,9 +167,9 @@ def to_utc(df: DataFrame, text: str, default_zone: str, out: str = "utc_second")
     return joined.select(*df.columns, F.coalesce("_epoch", F.col("_clock") - offset).alias(out))
 
 
-def _zones_in(df: DataFrame, text: str, default_zone: str) -> list[str]:
+def _zones_in(df: DataFrame, text: str, defaults: DataFrame) -> list[str]:
     """The distinct names of known zones in the data: no more than there are spellings of the IANA's 599 names."""
     own = sorted(z.lower() for z in available_timezones())
-    bracket = df.where(F.contains(F.col(text), F.lit("["))).select(F.regexp_extract(text, r"\[([^\]]+)\]", 1).alias("z"))
-    found = df.select(F.col(default_zone).alias("z")).distinct().union(bracket.distinct()).distinct()
+    bracket = df.select(text).where(F.contains(F.col(text), F.lit("["))).select(F.regexp_extract(text, r"\[([^\]]+)\]", 1).alias("z"))
+    found = defaults.toDF("z").distinct().unionByName(bracket.distinct()).distinct()
     return [r.z for r in found.where(F.lower(F.trim("z")).isin(own)).collect()]

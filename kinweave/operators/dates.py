@@ -17,7 +17,8 @@ def message_moments(rows: DataFrame, mailboxes: DataFrame, text: str = "date") -
     from kinweave.plans.lineage import broadcast_if_small
 
     zones = mailboxes.groupBy("mailbox_id").agg(F.min("tz_name").alias("_mailbox_zone"))
-    return to_utc(rows.join(broadcast_if_small(zones, 100_000), "mailbox_id", "left"), text, "_mailbox_zone")
+    joined = rows.join(broadcast_if_small(zones, 100_000), "mailbox_id", "left")
+    return to_utc(joined, text, "_mailbox_zone", defaults=zones.select("_mailbox_zone"))
 
 
 def unified_moments(tables: dict[str, tuple[DataFrame, str]], mailboxes: DataFrame) -> DataFrame:

@@ -15,11 +15,22 @@ from pyspark.sql import functions as F
 QUOTIENT_BITS = 16
 
 
-def clean_message_id(raw: Column) -> Column:
-    """The identifier without blanks and angle brackets around it and with lower case after its @; null where none is left."""
-    bare = F.regexp_replace(raw, r"^[\s <>]+|[\s <>]+$", "")
-    at = F.instr(bare, "@")
-    return F.nullif(F.when(at > 0, F.concat(F.substring(bare, F.lit(1), at), F.lower(F.substring(bare, at + 1, F.length(bare))))).otherwise(bare), F.lit(""))
+BLANKS = " \t\r\n\u00a0<>"
+
+
+def has_message_id(raw: Column) -> Column:
+    """Whether anything but blanks and angle brackets stands there."""
+    return F.coalesce(F.trim(raw, F.lit(BLANKS)) != "", F.lit(False))
+
+
+def with_message_id(rows: DataFrame, identifier: str) -> DataFrame:
+    """The rows that have an identifier, with _mid: without blanks and angle brackets around it, in lower case after its @.
+
+    Each step is a projection of its own, so that none is computed twice.
+    """
+    bare = rows.withColumn("_bare", F.trim(identifier, F.lit(BLANKS))).where("_bare <> ''").withColumn("_at", F.instr("_bare", "@"))
+    lowered = F.concat(F.expr("substring(_bare, 1, _at)"), F.lower(F.expr("substring(_bare, _at + 1)")))
+    return bare.withColumn("_mid", F.when(F.col("_at") > 0, lowered).otherwise(F.col("_bare"))).drop("_bare", "_at")
 
 
 def permuted(rows: DataFrame, identifier: str, bits: int = QUOTIENT_BITS) -> DataFrame:
@@ -41,7 +52,7 @@ def first_deliveries(rows: DataFrame, partition: str, key: str, identifier: str)
     kept key. Copies meet in the map-side table already, so an identifier that a third of all rows carry crosses the
     shuffle once per map task.
     """
-    found = rows.select(partition, key, clean_message_id(F.col(identifier)).alias("_mid")).where(F.col("_mid").isNotNull())
+    found = with_message_id(rows.select(partition, key, identifier), identifier).select(partition, key, "_mid")
     return permuted(found, "_mid").groupBy(partition, "_quotient", "_rest", "_tail").agg(F.min(key).alias(key)).select(partition, key)
 
 
@@ -53,7 +64,7 @@ def superfluous_deliveries(rows: DataFrame, partition: str, key: str, identifier
     copies. The result keeps every other column out, so clashing names do no harm; an empty input gives an empty result.
     The anti-join runs on the unique keys, never on identifiers, so no identifier can make it skewed.
     """
-    has = rows.where(clean_message_id(F.col(identifier)).isNotNull()).select(partition, key)
+    has = rows.where(has_message_id(F.col(identifier))).select(partition, key)
     return has.join(first_deliveries(rows, partition, key, identifier), [partition, key], "left_anti")
 
 
@@ -65,5 +76,5 @@ def distinct_messages(rows: DataFrame, key: str, identifier: str, source: DataFr
     """
     ids = (rows if source is None else source).select(F.lit(0).alias("_table"), key, identifier)
     firsts = first_deliveries(ids, "_table", key, identifier).select(key, F.lit(True).alias("_first"))
-    keep = F.col("_first") | clean_message_id(F.col(identifier)).isNull()
+    keep = F.col("_first") | ~has_message_id(F.col(identifier))
     return rows.join(firsts, key, "left").where(keep).drop("_first")

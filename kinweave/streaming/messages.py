@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kinweave.operators.quotient_dedup import clean_message_id, permuted
+from kinweave.operators.quotient_dedup import has_message_id, permuted, with_message_id
 from kinweave.sources.sinks import merge_snapshot
 
 
@@ -18,10 +18,9 @@ def single_messages(stream: DataFrame, identifier: str, at: str, delay: str = "6
     The state is keyed by quotient and complete remainder of the identifier, as in the batch operator, and forgets what
     is older than the watermark.
     """
-    mid = clean_message_id(F.col(identifier))
-    known = permuted(stream.withColumn("_mid", mid).where("_mid IS NOT NULL"), "_mid").withWatermark(at, delay)
+    known = permuted(with_message_id(stream, identifier), "_mid").withWatermark(at, delay)
     single = known.dropDuplicatesWithinWatermark(["_quotient", "_rest", "_tail"]).select(*stream.columns)
-    return single.unionByName(stream.where(mid.isNull()))
+    return single.unionByName(stream.where(~has_message_id(F.col(identifier))))
 
 
 def contact_counters(stream: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], key: str, checkpoint: str) -> StreamingQuery:
