@@ -31,13 +31,13 @@ STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateSto
 
 def speaker_of(direction: Column) -> Column:
     """`me` for what the mailbox owner sent, `contact` for what was received, null for anything else."""
-    d = F.lower(F.regexp_replace(direction, r"^[\s ]+|[\s ]+$", ""))
+    d = F.lower(F.trim(direction, F.lit(" \t\r\n\u00a0")))
     return F.when(d.isin(SENT), "me").when(d.isin(RECEIVED), "contact")
 
 
 def clean_thread(raw: Column) -> Column:
-    """The thread id without blanks and angle brackets around it; null where nothing is left."""
-    return F.nullif(F.regexp_replace(raw, r"^[\s <>]+|[\s <>]+$", ""), F.lit(""))
+    """The thread id without blanks and angle brackets around it; a blank where nothing is left."""
+    return F.trim(raw, F.lit(" \t\r\n\u00a0<>"))
 
 
 def lean_messages(messages: DataFrame, *also: str) -> DataFrame:
@@ -73,7 +73,7 @@ def fragments(stream: DataFrame, gap: str = GAP, delay: str = "7 days") -> DataF
 def replay(spark: SparkSession, lean: DataFrame, gap: str = GAP, files_per_batch: int = 1_000, state_rows: int = STATE_ROWS) -> DataFrame:
     """All fragments of a finite table, by way of the stream; the table is written to the shared folder for it."""
     path, out, state = (new_path(spark, x) for x in ("messages", "fragments", "stream-state"))
-    lean = lean.select("thread", "id", "moment", "speaker", "said").where("thread IS NOT NULL")
+    lean = lean.select("thread", "id", "moment", "speaker", "said").where("thread <> ''")
     lean.write.parquet(path)
     parts = {t: n for t, n in long_conversations(spark.read.schema(lean.schema).parquet(path), state_rows)}
     marks = spark.createDataFrame(list(parts.items()) or [("", 1)], "thread string, parts bigint")
