@@ -26,6 +26,8 @@ STATE_ROWS = 5_000
 GAP, REPLAY_DELAY = "30 days", "36500 days"
 #: 2800-01-01, past any real message by more than REPLAY_DELAY.
 CLOSING_SECOND = 26_192_246_400
+#: What all states on an executor hold in memory together; the rest is on its disk.
+STATE_MEMORY_MB = 256
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -77,7 +79,8 @@ def replay(spark: SparkSession, lean: DataFrame, gap: str = GAP, files_per_batch
     lean.write.parquet(path)
     parts = {t: n for t, n in long_conversations(spark.read.schema(lean.schema).parquet(path), state_rows)}
     marks = spark.createDataFrame(list(parts.items()) or [("", 1)], "thread string, parts bigint")
-    named = {"spark.sql.streaming.stateStore.providerClass": STATE_PROVIDER, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    rocks = "spark.sql.streaming.stateStore.rocksdb"
+    named = {"spark.sql.streaming.stateStore.providerClass": STATE_PROVIDER, f"{rocks}.changelogCheckpointing.enabled": "true", f"{rocks}.boundedMemoryUsage": "true", f"{rocks}.maxMemoryUsageMB": str(STATE_MEMORY_MB)}
     before = {k: spark.conf.get(k, None) for k in named}
     for k, v in named.items():
         spark.conf.set(k, v)
