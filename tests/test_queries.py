@@ -1,12 +1,12 @@
 import pytest
 from conftest import run_oracles
 
-from kinweave.queries import messages, relations
+from kinweave.queries import messages, relations, reports
 
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("module", [messages, relations])
+@pytest.mark.parametrize("module", [messages, relations, reports])
 def test_queries_equal_their_sql(spark, module):
     assert run_oracles(spark, SMALL, module.QUERIES, module.ORACLES) == []
 
