@@ -110,7 +110,7 @@ def edits(a: str, b: str, most: int) -> int:
 
 def _allowed(name: str) -> int:
     """Slips of the pen that a name of this length may carry and still be meant."""
-    return 0 if len(name) < 4 else 1 if len(name) < 9 else 2 if len(name) < 24 else 3
+    return 0 if len(name) < 4 else 1 if len(name) < 9 else 2 if len(name) < 11 else 3 if len(name) < 24 else 4
 
 
 def _slips(value: str, name: str) -> int:
