@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.plans.lineage import new_path
+from kinweave.plans.lineage import new_path, remove
 
 # How directions are written, in lower case without blanks around.
 SENT = ["sent", "outgoing", "outbound", "out", "s", "o", "->"]
@@ -76,7 +76,7 @@ def replay(spark: SparkSession, lean: DataFrame, gap: str = GAP, files_per_batch
     """All fragments of a finite table, by way of the stream; the table is written to the shared folder for it."""
     path, out, state = (new_path(spark, x) for x in ("messages", "fragments", "stream-state"))
     lean = lean.select("thread", "id", "moment", "speaker", "said").where("thread <> ''")
-    lean.write.parquet(path)
+    lean.write.option("compression", "zstd").parquet(path)
     parts = {t: n for t, n in long_conversations(spark.read.schema(lean.schema).parquet(path), state_rows)}
     marks = spark.createDataFrame(list(parts.items()) or [("", 1)], "thread string, parts bigint")
     rocks = "spark.sql.streaming.stateStore.rocksdb"
@@ -98,6 +98,8 @@ def replay(spark: SparkSession, lean: DataFrame, gap: str = GAP, files_per_batch
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        for used in (path, state):
+            remove(spark, used)
     shape = "thread string, part bigint, turns array<struct<moment:bigint,id:bigint,speaker:string>>, broken bigint, mine bigint, said bigint"
     return spark.read.schema(shape).parquet(out).where("thread IS NOT NULL")
 
