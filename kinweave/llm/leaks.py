@@ -24,8 +24,10 @@ from kinweave.plans.lineage import materialise
 WINDOW, STRIDE = 12, 4
 RANK, OVERSAMPLE = 128, 16
 COSINE, SHARE = 0.55, 0.2
-#: Items searched for at once; more are taken in blocks, each against all documents.
-BLOCK = 20_000
+#: Items searched for at once, which bounds vocabulary and matrices; more are taken in blocks, each against all documents.
+BLOCK = 2_000
+#: Matrices that one task of the tree adds up.
+FAN_IN = 16
 #: Passages in memory at once.
 CHUNK = 2_048
 
@@ -137,7 +139,7 @@ def _document_frequencies(coded: DataFrame, size: int) -> tuple[np.ndarray, int]
 
 
 def _summed(coded: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
-    """Sum over all partitions of the matrix that partial makes of a partition, added up in two levels on the executors."""
+    """Sum over all partitions of the matrix that partial makes of a partition, added up as a tree on the executors."""
 
     def make(batches):
         total = np.zeros(shape)
@@ -153,8 +155,11 @@ def _summed(coded: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
         yield pd.DataFrame({"m": [total.tobytes()]})
 
     parts = coded.select("ids").mapInPandas(make, "m binary")
-    rows = parts.repartition(16).mapInPandas(add, "m binary").collect()
-    return sum((np.frombuffer(r.m).reshape(shape) for r in rows), np.zeros(shape))
+    left = parts.rdd.getNumPartitions()
+    while left > FAN_IN:
+        left = -(-left // FAN_IN)
+        parts = parts.repartition(left).mapInPandas(add, "m binary")
+    return sum((np.frombuffer(r.m).reshape(shape) for r in parts.coalesce(1).mapInPandas(add, "m binary").collect()), np.zeros(shape))
 
 
 def latent_basis(coded: DataFrame, items: Items, weights: np.ndarray, rank: int = RANK) -> np.ndarray:
