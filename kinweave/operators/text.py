@@ -122,6 +122,30 @@ def projects(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b([A-Z][A-Za-z]+ (?i:{'|'.join(PROJECT_WORDS)}))\b"), F.lit(1)))
 
 
+# What separates the parties in a group's name, in order of precedence.
+GROUP_SEPARATORS = [" <> ", " x ", " X ", " & ", " <-> ", " | ", " / "]
+
+
+def parties(group: Column) -> Column:
+    """The parties that a group's name joins: split at the first separator of the list that occurs, notes in brackets and
+    signs in front taken off; parts of one letter are dropped, and a name without separator stands for itself."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(group, r"\([^)]*\)", ""), r"^[^\p{L}\p{N}]+", ""))
+    out = F.when(F.length(bare) > 2, F.array(bare)).otherwise(F.array().cast("array<string>"))
+    for sep in reversed(GROUP_SEPARATORS):
+        parts = F.transform(F.split(bare, "\\Q" + sep + "\\E"), lambda x: F.trim(x))
+        out = F.when(F.contains(bare, F.lit(sep)), F.filter(parts, lambda x: F.length(x) > 1)).otherwise(out)
+    return F.when(group.isNotNull(), out)
+
+
+def snippet_around(text: Column, start: Column, length: Column, margin: int = 50) -> Column:
+    """The text from margin signs before start (from 1) to margin after its end, without words cut at either side."""
+    lo = F.greatest(start - margin, F.lit(1))
+    cut = F.substring(text, lo, length + (start - lo) + margin)
+    inside = (lo > 1) & ~F.substring(text, lo - 1, F.lit(1)).rlike(r"\s")
+    cut = F.when(inside, F.regexp_replace(cut, r"^\S*\s", "")).otherwise(cut)
+    return F.trim(F.when(lo + F.length(cut) - 1 < F.length(text), F.regexp_replace(cut, r"\s\S*$", "")).otherwise(cut))
+
+
 def glob_regex(glob: str) -> str:
     """A shell pattern as an anchored regular expression."""
     special = {"*": ".*", "?": "."}

@@ -454,6 +454,12 @@ def graph_betweenness(spark, folder):
     return graph.betweenness(e)
 
 
+@query()
+def graph_eccentricities(spark, folder):
+    e = table(spark, folder, "duplicate_pairs").where("contact1 <> contact2").select(F.least("contact1", "contact2").alias("src"), F.greatest("contact1", "contact2").alias("dst")).distinct()
+    return graph.eccentricities(e)
+
+
 # --- text -------------------------------------------------------------------------------------------------------------
 
 _STOP = ",".join(f"'{w}'" for w in text.STOP_WORDS)

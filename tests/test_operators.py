@@ -54,6 +54,7 @@ def test_graph_of_the_examples(spark):
     path = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "d", 1)], "src string, dst string, weight long")
     b = {r.node: r.betweenness for r in graph.betweenness(path).collect()}
     assert abs(b["b"] - 2 / 3) < 1e-6 and abs(b["c"] - 2 / 3) < 1e-6 and b["a"] == b["d"] == 0
+    assert {r.node: r.eccentricity for r in graph.eccentricities(path).collect()} == {"a": 3, "b": 2, "c": 2, "d": 3}
     assert graph.graph_stats(path).first().density == 0.5
     assert {r.component for r in graph.components(path).collect()} == {"a"}
     assert graph.components(path.where("false")).count() == 0
@@ -108,6 +109,15 @@ def test_text_functions(spark):
     assert get(text.sender_type(F.lit(None).cast("string"))) == "personal"
 
 
+def test_parties_and_snippets(spark):
+    cases = {"Acme <> Beta x Gamma": ["Acme", "Beta x Gamma"], "🚀 Acme (old) | B": ["Acme"], "Acme": ["Acme"], "ab": [], "": []}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "g string")
+    assert {r.g: r.p for r in df.select("g", text.parties(F.col("g")).alias("p")).collect()} == {**cases, None: None}
+    line = "one two three four five six seven eight"
+    got = spark.range(1).select(text.snippet_around(F.lit(line), F.lit(15), F.lit(4), 6)).first()[0]
+    assert got == "three four five"
+
+
 def test_tags(spark):
     cases = {"fred@usv.com": ["investor", "vc"], "nejc.novak@novak-law.eu": ["legal"], "researcher@stanford.edu": ["academic"], "noreply@github.com": ["automated"], "someone@random.com": []}
     df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "e string")
