@@ -170,7 +170,7 @@ def sentence_spans(text: str, named: str = "") -> list[tuple[int, int]]:
             if blank and lang != "th":
                 continue
             pos = m.start() if blank else m.end()
-            while k < len(spans) and spans[k][1] <= pos - (1 if blank else 0) and spans[k][1] < pos:
+            while k < len(spans) and spans[k][1] < pos:
                 k += 1
             if k < len(spans) and spans[k][0] < pos < spans[k][1]:
                 continue
