@@ -159,9 +159,11 @@ def map_values(values: DataFrame, registry: DataFrame, threshold: float = THRESH
                 counts[g] = counts.get(g, 0) + 1
     weights = {g: math.log(n / c) + 1 for g, c in counts.items()}
     spark, found = values.sparkSession, None
+    # little data, much work per row: an own number of tasks, which adaptive execution leaves alone
+    spread = values.select("form").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     for part in parts:
         index = spark.sparkContext.broadcast((part, weights, math.log(n) + 1))
-        hits = values.select("form").mapInPandas(_searcher(index, threshold), "form string, tag string, near int, cosine double")
+        hits = spread.mapInPandas(_searcher(index, threshold), "form string, tag string, near int, cosine double")
         found = hits if found is None else found.unionByName(hits)
     by_tag = found.groupBy("form", "tag").agg(F.max(F.struct("near", "cosine")).alias("s"))
     order = F.struct("s.near", "s.cosine", "tag")
