@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kinweave.plans.lineage import discard, materialise
 from kinweave.plans.skew import heavy_or_none, lookup_join
 
-RATE = 0.3
+RATE = 0.2
 ROUNDS = 4
 
 
@@ -60,15 +60,21 @@ def linked_groups(pairs: DataFrame, left: str = "contact1", right: str = "contac
 
 
 def _level(edges: DataFrame, count: int, level: int, rate: float, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """The (v, c) assignment of one decomposition and the edges between its clusters."""
+    """The (v, c) assignment of one decomposition and the edges between its clusters.
+
+    Every vertex also has an edge to itself that costs nothing, so that a round is one join and one aggregation and the
+    rounds make one plan. Only where heavy vertices split the join, which reads the state twice, is it written between.
+    """
     both = edges.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e")).select(F.col("e.x").alias("v"), F.col("e.y").alias("to"))
     heavy = heavy_or_none(both, "v", 2 * count)
+    vertices = both.select("v").distinct()
     uniform = (F.shiftrightunsigned(F.xxhash64("v", F.lit(level)), 11).cast("double") + 1) / F.lit(float(1 << 53))
-    state = both.select("v").distinct().select("v", F.struct((F.log(uniform) / rate).alias("at"), F.col("v").alias("c")).alias("s"))
+    state = vertices.select("v", F.struct((F.log(uniform) / rate).alias("at"), F.col("v").alias("c")).alias("s"))
+    steps = both.select("v", "to", F.lit(1.0).alias("cost")).unionByName(vertices.select("v", F.col("v").alias("to"), F.lit(0.0).alias("cost")))
     for _ in range(rounds):
-        state = materialise(state, "state")
-        sent = lookup_join(both, "v", state, heavy).select(F.col("to").alias("v"), F.struct((F.col("s.at") + 1).alias("at"), F.col("s.c").alias("c")).alias("s"))
-        state = sent.unionByName(state).groupBy("v").agg(F.min("s").alias("s"))
+        state = state if heavy is None else materialise(state, "state")
+        sent = lookup_join(steps, "v", state, heavy).select(F.col("to").alias("v"), F.struct((F.col("s.at") + F.col("cost")).alias("at"), F.col("s.c").alias("c")).alias("s"))
+        state = sent.groupBy("v").agg(F.min("s").alias("s"))
     labels = materialise(state.select("v", F.col("s.c").alias("c")), "labels")
     step = lookup_join(edges.withColumnRenamed("x", "v"), "v", labels, heavy).select(F.col("c").alias("x"), F.col("y").alias("v"))
     step = lookup_join(step, "v", labels, heavy).select(F.least("x", "c").alias("x"), F.greatest("x", "c").alias("y"))
