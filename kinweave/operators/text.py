@@ -43,9 +43,13 @@ EVENT_WORDS = ["conference", "summit", "meetup", "hackathon", "workshop", "sympo
 PROJECT_WORDS = ["protocol", "platform", "network", "chain", "token", "blockchain", "mainnet", "testnet", "DAO", "dApp"]
 
 
+#: Where no ASCII letter, digit or underscore stands before or after: the same in every regular expression library.
+START, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+
+
 def keywords(text: Column, most: int = 10) -> Column:
     """Distinct words of three letters or more that are no stop words, in order, at most `most`."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z]{3,})\b"), F.lit(1))
+    words = F.regexp_extract_all(F.lower(text), F.lit(rf"{START}([a-z]{{3,}}){END}"), F.lit(1))
     return F.slice(F.array_distinct(F.filter(words, lambda w: ~w.isin(STOP_WORDS))), 1, most)
 
 
@@ -109,17 +113,17 @@ def wiki_links(text: Column) -> Column:
 
 def companies(text: Column) -> Column:
     """Capitalised phrases that end with a company's suffix."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b((?:[A-Z][A-Za-z]+ ){{1,3}}(?:{'|'.join(COMPANY_SUFFIXES)}))\b"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"{START}((?:[A-Z][A-Za-z]+ ){{1,3}}(?:{'|'.join(COMPANY_SUFFIXES)})){END}"), F.lit(1)))
 
 
 def events(text: Column) -> Column:
     """Words before an event word, with a year where one follows."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b([A-Z][A-Za-z]+ (?i:{'|'.join(EVENT_WORDS)})(?: 20[0-9][0-9])?)\b"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"{START}([A-Z][A-Za-z]+ (?i:{'|'.join(EVENT_WORDS)})(?: 20[0-9][0-9])?){END}"), F.lit(1)))
 
 
 def projects(text: Column) -> Column:
     """A capitalised word and a project word."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b([A-Z][A-Za-z]+ (?i:{'|'.join(PROJECT_WORDS)}))\b"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"{START}([A-Z][A-Za-z]+ (?i:{'|'.join(PROJECT_WORDS)})){END}"), F.lit(1)))
 
 
 # What separates the parties in a group's name, in order of precedence.

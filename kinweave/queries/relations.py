@@ -347,14 +347,9 @@ def broken_links(spark, folder):
 
 # --- entity resolution ------------------------------------------------------------------------------------------------
 
-@query("""
-WITH n AS (SELECT lower(coalesce(entity_type, '')) AS kind, lower(trim(name)) AS name, min(entity_id) AS key FROM extracted_entities WHERE trim(coalesce(name, '')) <> '' AND regexp_full_match(name, '[ -~]*') GROUP BY 1, 2)
-SELECT least(a.key, b.key) AS a, greatest(a.key, b.key) AS b, round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) AS similarity
-FROM n a JOIN n b ON a.kind = b.kind AND a.name < b.name AND 10 * abs(length(a.name) - length(b.name)) <= 2 * greatest(length(a.name), length(b.name))
-WHERE levenshtein(a.name, b.name) <= floor(greatest(length(a.name), length(b.name)) * 0.2 + 1e-9)""")
+@query()
 def similar_entities(spark, folder):
-    e = table(spark, folder, "extracted_entities").where(F.col("name").rlike(r"^[ -~]*$"))
-    return resolve.similar_names(e, "entity_id", "entity_type", "name", 0.8)
+    return resolve.similar_names(table(spark, folder, "extracted_entities"), "entity_id", "entity_type", "name", 0.8)
 
 
 @query("""
@@ -465,9 +460,9 @@ def graph_eccentricities(spark, folder):
 _STOP = ",".join(f"'{w}'" for w in text.STOP_WORDS)
 
 
-@query(f"SELECT email_id, list_aggregate(list_distinct_first, 'string_agg', ',') AS keywords FROM (SELECT email_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:10] AS list_distinct_first FROM (SELECT email_id, list_filter(regexp_extract_all(lower(subject), '\\b([a-z]{{3,}})\\b', 1), lambda x: x NOT IN ({_STOP})) AS w FROM emails WHERE subject IS NOT NULL AND regexp_full_match(subject, '[ -~]*'))) WHERE len(list_distinct_first) > 0")
+@query(f"SELECT email_id, list_aggregate(list_distinct_first, 'string_agg', ',') AS keywords FROM (SELECT email_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:10] AS list_distinct_first FROM (SELECT email_id, list_filter(regexp_extract_all(lower(subject), '\\b([a-z]{{3,}})\\b', 1), lambda x: x NOT IN ({_STOP})) AS w FROM emails WHERE subject IS NOT NULL)) WHERE len(list_distinct_first) > 0")
 def mail_keywords(spark, folder):
-    e = table(spark, folder, "emails").where(F.col("subject").rlike(r"^[ -~]*$")).select("email_id", text.keywords(F.col("subject")).alias("k"))
+    e = table(spark, folder, "emails").select("email_id", text.keywords(F.col("subject")).alias("k"))
     return e.where(F.size("k") > 0).select("email_id", F.array_join("k", ",").alias("keywords"))
 
 
@@ -491,30 +486,30 @@ def sender_domains(spark, folder):
     return table(spark, folder, "emails").groupBy(text.domain_of(F.col("from_email")).alias("domain")).agg(F.count(F.lit(1)).alias("mails")).where("domain IS NOT NULL")
 
 
-@query(f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b((?:[A-Z][A-Za-z]+ ){{1,3}}(?:{'|'.join(text.COMPANY_SUFFIXES)}))\\b', 1))) AS name FROM documents WHERE regexp_full_match(text, '[ -~\\n]*')")
+@query(f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b((?:[A-Z][A-Za-z]+ ){{1,3}}(?:{'|'.join(text.COMPANY_SUFFIXES)}))\\b', 1))) AS name FROM documents")
 def entity_companies(spark, folder):
-    d = table(spark, folder, "documents").where(F.col("text").rlike(r"^[ -~\n]*$"))
+    d = table(spark, folder, "documents")
     return d.select("doc_id", F.explode(text.companies(F.col("text"))).alias("name"))
 
 
-@query(f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b([A-Z][A-Za-z]+ (?i:{'|'.join(text.PROJECT_WORDS)}))\\b', 1))) AS name FROM documents WHERE regexp_full_match(text, '[ -~\\n]*')")
+@query(f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b([A-Z][A-Za-z]+ (?i:{'|'.join(text.PROJECT_WORDS)}))\\b', 1))) AS name FROM documents")
 def entity_projects(spark, folder):
-    d = table(spark, folder, "documents").where(F.col("text").rlike(r"^[ -~\n]*$"))
+    d = table(spark, folder, "documents")
     return d.select("doc_id", F.explode(text.projects(F.col("text"))).alias("name"))
 
 
-@query(f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b([A-Z][A-Za-z]+ (?i:{'|'.join(text.EVENT_WORDS)})(?: 20[0-9][0-9])?)\\b', 1))) AS name FROM documents WHERE regexp_full_match(text, '[ -~\\n]*')")
+@query(f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b([A-Z][A-Za-z]+ (?i:{'|'.join(text.EVENT_WORDS)})(?: 20[0-9][0-9])?)\\b', 1))) AS name FROM documents")
 def entity_events(spark, folder):
-    d = table(spark, folder, "documents").where(F.col("text").rlike(r"^[ -~\n]*$"))
+    d = table(spark, folder, "documents")
     return d.select("doc_id", F.explode(text.events(F.col("text"))).alias("name"))
 
 
 _INDUSTRY = "[" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{k}' END" for k, ws in text.INDUSTRY_WORDS.items()) + "]"
 
 
-@query(f"SELECT doc_id, list_aggregate(list_filter({_INDUSTRY}, lambda x: x IS NOT NULL)[1:3], 'string_agg', ',') AS industries FROM documents WHERE regexp_full_match(text, '[ -~\\n]*') AND len(list_filter({_INDUSTRY}, lambda x: x IS NOT NULL)) > 0")
+@query(f"SELECT doc_id, list_aggregate(list_filter({_INDUSTRY}, lambda x: x IS NOT NULL)[1:3], 'string_agg', ',') AS industries FROM documents WHERE len(list_filter({_INDUSTRY}, lambda x: x IS NOT NULL)) > 0")
 def industry_suggestions(spark, folder):
-    d = table(spark, folder, "documents").where(F.col("text").rlike(r"^[ -~\n]*$")).select("doc_id", text.industries(F.col("text")).alias("i"))
+    d = table(spark, folder, "documents").select("doc_id", text.industries(F.col("text")).alias("i"))
     return d.where(F.size("i") > 0).select("doc_id", F.array_join("i", ",").alias("industries"))
 
 

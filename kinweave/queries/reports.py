@@ -118,19 +118,19 @@ def insights(spark, folder):
 _FORMERLY = r"\b([A-Z][a-z]+ [A-Z][a-z]+) \((?:formerly|antes) (?:of|en) [A-Z]"
 
 
-@query(f"SELECT doc_id, unnest(regexp_extract_all(text, '{_FORMERLY}', 1)) AS name FROM documents WHERE regexp_full_match(text, '[ -~\\n]*')")
+@query(f"SELECT doc_id, unnest(regexp_extract_all(text, '{_FORMERLY}', 1)) AS name FROM documents")
 def entity_people(spark, folder):
-    d = table(spark, folder, "documents").where(F.col("text").rlike(r"^[ -~\n]*$"))
-    return d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_FORMERLY), F.lit(1))).alias("name"))
+    d = table(spark, folder, "documents")
+    return d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_FORMERLY.replace(r"\b", text.START)), F.lit(1))).alias("name"))
 
 
 _MEETING = r"\b(?:[Mm]et|[Cc]all with|[Mm]eeting with) ((?:Dr\. |Mr\. |Mrs\. |Prof\. )?[A-Z][A-Za-z.]+(?: [A-Z][A-Za-z]+)*)"
 
 
-@query(f"SELECT who, count(*) AS meetings, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_MEETING}', 1)) AS who FROM documents WHERE regexp_full_match(text, '[ -~\\n]*')) GROUP BY 1")
+@query(f"SELECT who, count(*) AS meetings, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_MEETING}', 1)) AS who FROM documents) GROUP BY 1")
 def named_in_meetings(spark, folder):
-    d = table(spark, folder, "documents").where(F.col("text").rlike(r"^[ -~\n]*$"))
-    return d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_MEETING), F.lit(1))).alias("who")).groupBy("who").agg(F.count(F.lit(1)).alias("meetings"), F.count_distinct("doc_id").alias("documents"))
+    d = table(spark, folder, "documents")
+    return d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_MEETING.replace(r"\b", text.START)), F.lit(1))).alias("who")).groupBy("who").agg(F.count(F.lit(1)).alias("meetings"), F.count_distinct("doc_id").alias("documents"))
 
 
 @query("SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9._+-]+@[a-z0-9-]+(?:\\.[a-z0-9-]+)*\\.[a-z]+'))) [1] AS first_address, len(regexp_extract_all(lower(text), '[a-z0-9._+-]+@[a-z0-9-]+(?:\\.[a-z0-9-]+)*\\.[a-z]+')) AS n FROM documents WHERE regexp_matches(lower(text), '[a-z0-9._+-]+@[a-z0-9-]+(?:\\.[a-z0-9-]+)*\\.[a-z]+')")
