@@ -23,7 +23,7 @@ from kinweave.plans.lineage import materialise
 
 WINDOW, STRIDE = 12, 4
 RANK, OVERSAMPLE = 128, 16
-COSINE, SHARE = 0.55, 0.2
+COSINE, SHARE = 0.55, 0.12
 #: Items searched for at once, which bounds vocabulary and matrices; more are taken in blocks, each against all documents.
 BLOCK = 2_000
 #: Matrices that one task of the tree adds up.
@@ -194,19 +194,20 @@ def latent_basis(coded: DataFrame, items: Items, weights: np.ndarray, rank: int
 
 
 def _candidates(coded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarray, cosine: float, share: float) -> DataFrame:
-    """(doc_id, item): documents with a passage near one of the item's in the latent space.
+    """(doc_id, item): documents with a passage near one of the item's in the latent space that also shares the part
+    `share` of its squared weight, word by word.
 
-    A passage can only share the part `share` of an item passage's squared weight if it has that much itself, so lighter
-    passages are left out before the search.
+    A passage can only share as much as it has itself, so lighter passages are left out before the search.
     """
     latent = _project(items.passages, _weighted(basis, weights))
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     square = np.append(weights**2, 0.0)
     light = share * float(square[items.passages].sum(axis=1).min())
-    shared = coded.sparkSession.sparkContext.broadcast((latent.T.copy(), items.owner, _weighted(basis, weights), square, light))
+    shared = coded.sparkSession.sparkContext.broadcast((latent.T.copy(), items.owner, items.passages, _weighted(basis, weights), square, light))
 
     def search(batches):
-        targets, owner, projection, squares, least = shared.value
+        targets, owner, passages, projection, squares, least = shared.value
+        whole = squares[passages].sum(axis=1)
         for rows, of in _chunks(batches, STRIDE):
             heavy = squares[rows].sum(axis=1) >= least
             rows, of = rows[heavy], of[heavy]
@@ -215,6 +216,12 @@ def _candidates(coded: DataFrame, items: Items, weights: np.ndarray, basis: np.n
                 p = _project(rows[k : k + 128], projection)
                 p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
                 a, b = np.nonzero(p @ targets >= cosine)
+                good = np.zeros(len(a), dtype=bool)
+                for j in range(0, len(a), 20_000):
+                    mine, theirs = rows[k + a[j : j + 20_000]], passages[b[j : j + 20_000]]
+                    common = (mine[:, :, None] == theirs[:, None, :]).any(axis=2)
+                    good[j : j + 20_000] = (squares[mine] * common).sum(axis=1) >= share * whole[b[j : j + 20_000]]
+                a, b = a[good], b[good]
                 found.update(zip(of[k : k + 128][a].tolist(), owner[b].tolist(), strict=True))
             yield pd.DataFrame(sorted(found), columns=["doc_id", "item"]).astype({"doc_id": "int64", "item": "int32"})
 
