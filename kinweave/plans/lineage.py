@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
+_PATHS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/kinweave/{name}-{uuid.uuid4().hex[:12]}"
+    _PATHS.append(f"{shared_dir(spark)}/kinweave/{name}-{uuid.uuid4().hex[:12]}")
+    return _PATHS[-1]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process, once the results built on them are stored elsewhere."""
+    while _PATHS:
+        remove(spark, _PATHS.pop())
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -123,3 +123,16 @@ def test_tags(spark):
     df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "e string")
     got = {r.e: r.t for r in df.select("e", tagging.tags_of(F.col("e")).alias("t")).collect()}
     assert got == {**cases, None: None}
+
+
+def test_written_tables_and_sweep(spark):
+    import os
+
+    from kinweave.plans import lineage
+
+    df = lineage.materialise(spark.range(5).withColumn("x", F.lit(None).cast("string")), "t")
+    path = df._kinweave_path.removeprefix("file://")
+    assert df.count() == 5 and os.path.isdir(path)
+    lineage.sweep(spark)
+    assert not os.path.exists(path)
+    assert lineage.broadcast_if_small(spark.range(3), 2).count() == 3
