@@ -159,7 +159,7 @@ def _summed(coded: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
     while left > FAN_IN:
         left = -(-left // FAN_IN)
         parts = parts.repartition(left).mapInPandas(add, "m binary")
-    return sum((np.frombuffer(r.m).reshape(shape) for r in parts.coalesce(1).mapInPandas(add, "m binary").collect()), np.zeros(shape))
+    return sum((np.frombuffer(r.m).reshape(shape) for r in parts.repartition(1).mapInPandas(add, "m binary").collect()), np.zeros(shape))
 
 
 def latent_basis(coded: DataFrame, items: Items, weights: np.ndarray, rank: int = RANK) -> np.ndarray:
@@ -238,13 +238,28 @@ class Confirm:
         self.runs = {joined[i : i + 20] for i in range(len(joined) - 19)} if self.han else {tuple(self.words[i : i + 12]) for i in range(len(self.words) - 11)}
         self.sentences = [s for s in (tokens(x) for x in _SENTENCE.split(text)) if s]
 
-    def holds(self, words: list[str], joined: str, codes: dict[str, int], coded: np.ndarray) -> bool:
-        if self.han:
-            if any(joined[i : i + 20] in self.runs for i in range(len(joined) - 19)):
-                return True
-        elif any(tuple(words[i : i + 12]) in self.runs for i in range(len(words) - 11)):
+    def holds(self, text: "Text") -> bool:
+        if not self.runs.isdisjoint(text.signs if self.han else text.runs):
             return True
-        return any(_altered(s, codes, coded) <= len(s) // 8 for s in self.sentences)
+        for s in self.sentences:
+            most = len(s) // 8
+            # a word that the text lacks is altered wherever the sentence stands
+            if sum(w not in text.codes for w in s) <= most and _altered(s, text.codes, text.coded) <= most:
+                return True
+        return False
+
+
+class Text:
+    """What the tests of all items need of one text."""
+
+    def __init__(self, text: str):
+        words = tokens(text)
+        joined = "".join(words)
+        codes = defaultdict(lambda: len(codes))
+        self.coded = np.array([codes[w] for w in words], dtype=np.int32)
+        self.codes = dict(codes)
+        self.runs = {tuple(words[i : i + 12]) for i in range(len(words) - 11)}
+        self.signs = {joined[i : i + 20] for i in range(len(joined) - 19)}
 
 
 def _altered(sentence: list[str], codes: dict[str, int], text: np.ndarray) -> int:
@@ -267,13 +282,10 @@ def _confirmed(candidates: DataFrame, documents: DataFrame, items: Items) -> Dat
         for batch in batches:
             rows = []
             for doc, text, wanted in zip(batch["doc_id"], batch["text"], batch["items"], strict=True):
-                words = tokens(text)
-                codes = defaultdict(lambda: len(codes))
-                coded = np.array([codes[w] for w in words], dtype=np.int32)
-                plain, joined = dict(codes), "".join(words)
+                own = Text(text)
                 for k in wanted:
                     item = known.get(k) or known.setdefault(k, Confirm(texts[k]))
-                    if item.holds(words, joined, plain, coded):
+                    if item.holds(own):
                         rows.append((doc, ids[k]))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id"]).astype("int64")
 
