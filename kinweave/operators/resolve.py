@@ -36,6 +36,25 @@ def exact_groups(df: DataFrame, key: str, kind: str, name: str) -> DataFrame:
     return n.join(n.groupBy(*group).agg(F.min("key").alias("class_key")), group).select("key", "class_key")
 
 
+def duplicate_pairs(df: DataFrame, key: str, kind: str, name: str, organization: str, channels: list[str], least: float = 0.7) -> DataFrame:
+    """(a, b, similarity, same_org, shared, class): all pairs of records of one kind whose names are similar, a < b.
+
+    Records of equal names are pairs of similarity 1. likely: over 0.95, or one of the channels (columns) is filled and equal;
+    possible: over 0.85, or the organization is equal; else review. Nameless records match nothing.
+    """
+    groups = exact_groups(df, key, kind, name)
+    near = similar_names(df, key, kind, name, least).select(F.col("a").alias("ca"), F.col("b").alias("cb"), "similarity")
+    near = near.unionByName(groups.select(F.col("class_key").alias("ca"), F.col("class_key").alias("cb"), F.lit(1.0).alias("similarity")).distinct())
+    facts = groups.join(df.select(F.col(key).alias("key"), F.col(organization).alias("org"), F.array(*channels).alias("ch")), "key")
+    side = lambda s: facts.select(F.col("class_key").alias(f"c{s}"), F.col("key").alias(f"k{s}"), F.col("org").alias(f"o{s}"), F.col("ch").alias(f"h{s}"))
+    j = near.join(side("a"), "ca").join(side("b"), "cb").where("ca <> cb OR ka < kb")
+    same = F.coalesce(F.col("oa") == F.col("ob"), F.lit(False))
+    shared = F.concat_ws(",", *[F.when((F.col("ha")[i] == F.col("hb")[i]) & (F.col("ha")[i] != ""), c.split(".")[-1]) for i, c in enumerate(channels)])
+    out = j.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity", same.alias("same_org"), shared.alias("shared"))
+    sure = (F.col("similarity") > 0.95) | (F.col("shared") != "")
+    return out.withColumn("class", F.when(sure, "likely").when((F.col("similarity") > 0.85) | F.col("same_org"), "possible").otherwise("review"))
+
+
 def staged_match(left: DataFrame, right: DataFrame, key: str, other: str, stages: list[tuple[str, float]]) -> DataFrame:
     """(key, other, stage, confidence): of each left record the match of its first stage that has one, smallest other key.
 

@@ -349,7 +349,12 @@ def broken_links(spark, folder):
 
 @query()
 def similar_entities(spark, folder):
-    return resolve.similar_names(table(spark, folder, "extracted_entities"), "entity_id", "entity_type", "name", 0.8)
+    return resolve.similar_names(table(spark, folder, "extracted_entities"), "entity_id", "entity_type", "name", 0.7)
+
+
+@query()
+def entry_duplicates(spark, folder):
+    return resolve.duplicate_pairs(table(spark, folder, "contact_entries"), "entry_id", "contact_type", "name", "organization", ["channels.email", "channels.linkedin", "channels.telegram"])
 
 
 @query("""
