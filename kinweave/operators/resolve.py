@@ -70,6 +70,33 @@ def staged_match(left: DataFrame, right: DataFrame, key: str, other: str, stages
     return best.select(key, f"m.{other}", "m.stage", "m.confidence")
 
 
+def duplicate_check(left: DataFrame, right: DataFrame, key: str, other: str, stages: list[tuple[str, str, float]], name: str, least: float = 0.85, trust: float = 0.7) -> DataFrame:
+    """(key, other, stage, confidence): of each left record the match of its first stage that has one.
+
+    stages: (array column of both sides, label, confidence) in order of trust; every value of the left is tried in its
+    order against every value of the right, whose owner is the smallest other key. Records without such a match take the
+    smallest owner of a name that is equal or of similarity over least, with trust times the similarity. Null and empty
+    values match nothing.
+    """
+    found = None
+    for rank, (column, label, sure) in enumerate(stages):
+        own = left.select(key, F.posexplode(column).alias("place", "value")).where("value <> ''")
+        owners = right.select(other, F.explode(column).alias("value")).where("value <> ''").groupBy("value").agg(F.min(other).alias(other))
+        part = own.join(owners, "value").select(key, F.lit(rank).alias("rank"), "place", other, F.lit(label).alias("stage"), F.lit(sure).alias("confidence"))
+        found = part if found is None else found.unionByName(part)
+    low = F.lower(F.trim(F.col(name)))
+    own = left.select(key, low.alias("value")).where("value <> ''")
+    owners = right.select(other, low.alias("value")).where("value <> ''").groupBy("value").agg(F.min(other).alias(other))
+    names = own.select("value").unionByName(owners.select("value")).distinct()
+    near = similar_names(names.select(F.col("value").alias("key"), F.lit("").alias("kind"), F.col("value").alias("name")), "key", "kind", "name", least).where(F.col("similarity") > least)
+    both = near.select(F.col("a").alias("value"), F.col("b").alias("near"), "similarity").unionByName(near.select(F.col("b").alias("value"), F.col("a").alias("near"), "similarity"))
+    both = both.unionByName(owners.select("value", F.col("value").alias("near"), F.lit(1.0).alias("similarity")))
+    fuzzy = own.join(both, "value").join(owners.withColumnRenamed("value", "near"), "near")
+    found = found.unionByName(fuzzy.select(key, F.lit(len(stages)).alias("rank"), F.lit(0).alias("place"), other, F.lit("similar").alias("stage"), F.round(trust * F.col("similarity"), 6).alias("confidence")))
+    best = found.groupBy(key).agg(F.min_by(F.struct(other, "stage", "confidence"), F.struct("rank", "place", other)).alias("m"))
+    return best.select(key, f"m.{other}", "m.stage", "m.confidence")
+
+
 def merge_pairs(pairs: DataFrame, records: DataFrame, key: str, fields: list[str], newer: str) -> DataFrame:
     """(a, b, keep, filled, conflicts): which record of each pair stays, the fields it takes from the other, those that differ.
 

@@ -381,6 +381,17 @@ def staged_match(spark, folder):
     return resolve.staged_match(left, right, "card_id", "resource_name", [("email", 1.0), ("phone", 0.95), ("name", 0.85)])
 
 
+@query()
+def card_duplicates(spark, folder):
+    # the rule of staged_match over all addresses and numbers; its last stage has no SQL, as DuckDB's distance counts bytes
+    phone = lambda x: F.regexp_replace(x, r"(?U)[\s\-.()+]", "")
+    email = lambda x: F.lower(F.trim(x))
+    firm = F.when(F.trim("organization") != "", F.array(F.concat_ws("|", F.lower(F.trim("name")), F.lower(F.trim("organization"))))).alias("firms")
+    left = table(spark, folder, "vcards").select("card_id", "name", F.transform("emails.value", email).alias("emails"), F.transform("phones.value", phone).alias("phones"), firm)
+    right = table(spark, folder, "google_contacts").select("resource_name", "name", F.transform("emails", email).alias("emails"), F.transform("phones", phone).alias("phones"), firm)
+    return resolve.duplicate_check(left, right, "card_id", "resource_name", [("emails", "email", 1.0), ("phones", "phone", 0.95), ("firms", "name_organization", 0.85)], "name")
+
+
 @query("""
 WITH p AS (SELECT DISTINCT keep AS a, merge_from AS b FROM merge_previews),
 j AS (SELECT p.*, coalesce(y.updated > coalesce(x.updated, ''), false) AS t, x.name n1, y.name n2, x.role r1, y.role r2, x.location l1, y.location l2 FROM p JOIN contact_entries x ON x.source_file = a JOIN contact_entries y ON y.source_file = b),

@@ -41,3 +41,19 @@ def test_duplicate_classes_equal_a_pair_loop(spark):
     df = spark.createDataFrame(rows, "id long, kind string, name string, org string, email string, telegram string")
     got = resolve.duplicate_pairs(df, "id", "kind", "name", "org", ["email", "telegram"])
     assert sorted(tuple(r) for r in got.collect()) == want and {r[5] for r in want} == {"likely", "possible", "review"}
+
+
+def test_all_addresses_and_stages_of_cards(spark, tmp_path):
+    from kinweave.queries.relations import QUERIES
+
+    pair = "array<struct<type string, value string>>"
+    cards = [
+        (1, "A", [("", "no@x"), ("", " Second@X ")], [], None), (2, "B", [], [("", "1"), ("", "+9 (77) 5-4")], None),
+        (3, "Ann Lee", [], [], "Acme"), (4, "Ann Lee", [], [], "Other"), (5, "Abcdefghijabcdefghik", [], [], None),
+        (6, "Abcdefghijabcdefxyzw", [], [], None), (7, None, None, None, None), (8, "C", [("", "second@x"), ("", "own@y")], [("", "97754")], None),
+    ]
+    spark.createDataFrame(cards, f"card_id long, name string, emails {pair}, phones {pair}, organization string").write.parquet(f"{tmp_path}/vcards.parquet")
+    google = [("p1", "Q", ["own@y", "second@x"], ["5", "97754"], None), ("p2", "ann lee", None, [], "ACME"), ("p3", "Ann Lee", [], [], None), ("p0", "Abcdefghijabcdefghij", ["own@y"], [], None)]
+    spark.createDataFrame(google, "resource_name string, name string, emails array<string>, phones array<string>, organization string").write.parquet(f"{tmp_path}/google_contacts.parquet")
+    got = sorted(tuple(r) for r in QUERIES["card_duplicates"](spark, str(tmp_path)).collect())
+    assert got == [(1, "p1", "email", 1.0), (2, "p1", "phone", 0.95), (3, "p2", "name_organization", 0.85), (4, "p2", "similar", 0.7), (5, "p0", "similar", 0.665), (8, "p1", "email", 1.0)]
