@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.operators import graph, ranking, resolve, scoring, text
+from kinweave.operators import entities, graph, ranking, resolve, scoring, text
 from kinweave.plans.tables import table
 
 AS_OF = "2025-12-31"
@@ -520,6 +520,11 @@ def entity_events(spark, folder):
     return d.select("doc_id", F.explode(text.events(F.col("text"))).alias("name"))
 
 
+@query()
+def document_entities(spark, folder):
+    return entities.document_entities(table(spark, folder, "documents"), "doc_id", "text")
+
+
 _INDUSTRY = "[" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{k}' END" for k, ws in text.INDUSTRY_WORDS.items()) + "]"
 
 

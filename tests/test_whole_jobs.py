@@ -57,3 +57,12 @@ def test_all_addresses_and_stages_of_cards(spark, tmp_path):
     spark.createDataFrame(google, "resource_name string, name string, emails array<string>, phones array<string>, organization string").write.parquet(f"{tmp_path}/google_contacts.parquet")
     got = sorted(tuple(r) for r in QUERIES["card_duplicates"](spark, str(tmp_path)).collect())
     assert got == [(1, "p1", "email", 1.0), (2, "p1", "phone", 0.95), (3, "p2", "name_organization", 0.85), (4, "p2", "similar", 0.7), (5, "p0", "similar", 0.665), (8, "p1", "email", 1.0)]
+
+
+def test_events_and_projects_of_any_case(spark):
+    from kinweave.operators import entities
+
+    note = "---\nx: big week\n---\n# Some summit\nWe join the Token Summit 2024, then the storage network.\r\nAcme platform\nacme Platform"
+    df = spark.createDataFrame([(1, note), (2, None), (3, "")], "doc_id long, text string")
+    got = {(r.entity_type, r.name, r.line_no) for r in entities.document_entities(df, "doc_id", "text").collect() if r.entity_type in ("project", "event")}
+    assert got == {("event", "We join the Token Summit 2024", 3), ("project", "storage", 3), ("project", "the", 3), ("project", "Acme", 4)}
