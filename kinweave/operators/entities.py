@@ -13,10 +13,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.operators.text import EVENT_WORDS, INDUSTRY_WORDS, PROJECT_WORDS
+from kinweave.operators.text import COMPANY_SUFFIXES, EVENT_WORDS, INDUSTRY_WORDS, PROJECT_WORDS
+
+# What stands before a person's name.
+ROLE_WORDS = ["CEO", "CTO", "CFO", "COO", "CMO", "CPO", "Founder", "Co-founder", "Co-Founder", "President", "Director", "VP", "Vice President", "Head of", "Lead", "Manager", "Partner"]
+
+# What no company is called.
+NO_COMPANIES = {"the", "this", "that", "their", "there"}
 
 # Single letters run on in possessive form: what follows them is never a letter, so giving letters back can't help.
 _WORDS = r"[A-Z][a-zA-Z]*+(?:\s++[A-Z][a-zA-Z]*+)*"
+_SUFFIX = re.compile(rf"\b([A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*)\s+({'|'.join(COMPANY_SUFFIXES)})\b")
+_PLACED = re.compile(r"\b(?:at|from|with|by)\s+([A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*){0,3})\b")
+_ROLES = [(w, re.compile(rf"\b{w}\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)")) for w in ROLE_WORDS]
+_EMPLOYER = re.compile(r"(?:at|of|from)\s+([A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*)")
+_NAME_ROLE = re.compile(r"\b([A-Z][a-z]+\s+[A-Z][a-z]+),\s+(\w+(?:\s+\w+)*)\s+(?:at|of)\s+([A-Z][a-zA-Z]*)")
 _PROJECTS = [(w, re.compile(rf"\b([A-Z][a-zA-Z]*+)\s+{w}\b", re.IGNORECASE)) for w in PROJECT_WORDS]
 _EVENTS = [(w, re.compile(rf"\b({_WORDS})\s+{w}(?:\s+(\d{{4}}))?\b", re.IGNORECASE)) for w in EVENT_WORDS]
 
@@ -36,6 +47,24 @@ def _industries(context: str) -> list[str]:
     return [k for k, words in INDUSTRY_WORDS.items() if any(w in low for w in words)][:3]
 
 
+def _companies(line: str, low: str) -> Iterator[tuple]:
+    for m in _SUFFIX.finditer(line):
+        yield f"{m.group(1)} {m.group(2)}", "company", 0.9, m.start(), None, None
+    for m in _PLACED.finditer(line):
+        if m.group(1).lower() not in NO_COMPANIES:
+            yield m.group(1), "company", 0.6, m.start(), None, None
+
+
+def _people(line: str, low: str) -> Iterator[tuple]:
+    for role, pattern in _ROLES:
+        if role in line:
+            for m in pattern.finditer(line):
+                employer = _EMPLOYER.search(_context(line, m.start()))
+                yield m.group(1), "person", 0.85, m.start(), role, employer and f"[[{employer.group(1)}]]"
+    for m in _NAME_ROLE.finditer(line):
+        yield m.group(1), "person", 0.9, m.start(), m.group(2), f"[[{m.group(3)}]]"
+
+
 def _projects(line: str, low: str) -> Iterator[tuple]:
     for word, pattern in _PROJECTS:
         if word.lower() in low:
@@ -51,7 +80,7 @@ def _events(line: str, low: str) -> Iterator[tuple]:
 
 
 #: In the order in which equal confidences keep the first.
-RULES = [_projects, _events]
+RULES = [_companies, _people, _projects, _events]
 
 
 def entities_of(text: str) -> list[tuple]:

@@ -66,3 +66,19 @@ def test_events_and_projects_of_any_case(spark):
     df = spark.createDataFrame([(1, note), (2, None), (3, "")], "doc_id long, text string")
     got = {(r.entity_type, r.name, r.line_no) for r in entities.document_entities(df, "doc_id", "text").collect() if r.entity_type in ("project", "event")}
     assert got == {("event", "We join the Token Summit 2024", 3), ("project", "storage", 3), ("project", "the", 3), ("project", "Acme", 4)}
+
+
+def test_companies_by_preposition_and_people_by_role(spark):
+    from kinweave.operators import entities
+
+    lines = [
+        "Lunch with Acme Beta Gamma Delta Epsilon by The river", "from Zed Labs and at This", "Zed Labs wrote", "Met CEO Ann Lee from Acme Beta today", "Vice President Bo Ray",
+        "Cy Dun, Lead engineer at Orb2", "CTO Cy Dun", "Co-founder Di Fox", "with \u00c9cole", "ceo Eve Low",
+    ]
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    got = {(r.entity_type, r.name, r.confidence, r.line_no, r.role, r.organization) for r in entities.document_entities(df, "doc_id", "text").collect()}
+    assert got == {
+        ("company", "Acme Beta Gamma Delta", 0.6, 1, None, None), ("company", "Zed Labs", 0.9, 2, None, None), ("company", "Acme Beta", 0.6, 4, None, None),
+        ("person", "Ann Lee", 0.85, 4, "CEO", "[[Acme Beta]]"), ("person", "Bo Ray", 0.85, 5, "President", None),
+        ("person", "Cy Dun", 0.9, 6, "Lead engineer", "[[Orb]]"), ("person", "Di Fox", 0.85, 8, "Co-founder", None),
+    }
