@@ -20,6 +20,9 @@ SENDER_PATTERNS = [
     ("social", ["linkedin.com", "twitter.com", "facebook.com", "github.com", "slack.com", "discord.com", "telegram.org", "zoom.us"]),
 ]
 
+# Texts that ask for an answer.
+QUESTION_MARKERS = ["?", "let me know", "thoughts", "what do you think", "when", "how about"]
+
 # Words that tell the kind of an interaction, in order of precedence.
 INTERACTION_WORDS = [
     ("meeting", ["met", "meeting", "met with", "call with", "spoke"]),
@@ -95,6 +98,11 @@ def sender_type(address: Column) -> Column:
     return first_class(address, SENDER_PATTERNS, "personal")
 
 
+def asks(text: Column) -> Column:
+    """Whether the text asks for an answer."""
+    return _contains_any(F.lower(F.coalesce(text, F.lit(""))), QUESTION_MARKERS)
+
+
 def interaction_kind(text: Column) -> Column:
     return first_class(text, INTERACTION_WORDS, "mention")
 

@@ -298,6 +298,21 @@ def conversation_ending(spark, folder):
     return x.where("n >= 2 AND last_side IS NOT NULL").where(old).select("thread_id", "n", F.when(F.col("last_side") == "received", "unanswered_by_me").otherwise("no_response").alias("gap"))
 
 
+_ASKS = " OR ".join(f"contains(lower(snippet), '{w}')" for w in text.QUESTION_MARKERS)
+
+
+@query(f"WITH x AS (SELECT *, {_DIRECTION} AS side, count(*) OVER (PARTITION BY thread_id) AS n FROM interactions WHERE thread_id IS NOT NULL), y AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY id DESC) AS k FROM x WHERE side IS NOT NULL) SELECT thread_id, n, CASE WHEN side = 'received' THEN 'unanswered_by_me' ELSE 'no_response' END AS gap, floor((epoch(TIMESTAMPTZ '2025-12-31 00:00:00+00') - epoch(loaded_at)) / 86400)::BIGINT AS days FROM y WHERE k = 1 AND n >= 2 AND loaded_at IS NOT NULL AND (side = 'received' OR (({_ASKS}) AND floor((epoch(TIMESTAMPTZ '2025-12-31 00:00:00+00') - epoch(loaded_at)) / 86400) > 14))")
+def conversation_gaps(spark, folder):
+    # C1: what the other side wrote last is open at any age, what I wrote only if it asks for an answer and is over 14 days old
+    side = _direction()
+    last = F.max_by(F.struct(side.alias("side"), "snippet", "loaded_at"), F.when(side.isNotNull(), F.col("id")))
+    x = table(spark, folder, "interactions").where("thread_id IS NOT NULL").groupBy("thread_id").agg(last.alias("m"), F.count(F.lit(1)).alias("n")).where("n >= 2").select("thread_id", "n", "m.*")
+    days = F.floor((F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros("loaded_at")) / 86_400_000_000)
+    x = x.withColumn("days", days).where("loaded_at IS NOT NULL")
+    x = x.where((F.col("side") == "received") | (text.asks(F.col("snippet")) & (F.col("days") > 14)))
+    return x.select("thread_id", "n", F.when(F.col("side") == "received", "unanswered_by_me").otherwise("no_response").alias("gap"), "days")
+
+
 _MEETINGS = [("spring", "2023-04-10"), ("summer", "2023-07-03"), ("autumn", "2023-10-16"), ("winter", "2024-01-15")]
 
 

@@ -82,3 +82,17 @@ def test_companies_by_preposition_and_people_by_role(spark):
         ("person", "Ann Lee", 0.85, 4, "CEO", "[[Acme Beta]]"), ("person", "Bo Ray", 0.85, 5, "President", None),
         ("person", "Cy Dun", 0.9, 6, "Lead engineer", "[[Orb]]"), ("person", "Di Fox", 0.85, 8, "Co-founder", None),
     }
+
+
+def test_gaps_by_marker_and_age(spark, tmp_path):
+    from kinweave.queries.relations import QUERIES
+
+    rows = []
+    cases = {"asked": ("sent", "Thoughts", "2025-12-01"), "fresh": ("sent", "why?", "2025-12-16 00:00:01"), "told": ("sent", "Done.", "2025-01-01"), "theirs": ("received", "Done.", "2025-12-30"), "empty": ("sent", None, "2025-01-01")}
+    for k, (t, (side, snippet, at)) in enumerate(cases.items()):
+        rows += [(10 * k, t, "sent", "when?", "2024-01-01"), (10 * k + 1, t, side, snippet, at)]
+    rows += [(99, "alone", "received", "?", "2025-01-01"), (12, "fresh", None, "?", "2025-01-01")]
+    df = spark.createDataFrame(rows, "id long, thread_id string, direction string, snippet string, at string").withColumn("loaded_at", F.to_timestamp("at"))
+    df.write.parquet(f"{tmp_path}/interactions.parquet")
+    got = {(r.thread_id, r.gap, r.days) for r in QUERIES["conversation_gaps"](spark, str(tmp_path)).collect()}
+    assert got == {("asked", "no_response", 30), ("theirs", "unanswered_by_me", 1)}
