@@ -512,6 +512,12 @@ def phone_normalise(spark, folder):
     return table(spark, folder, "vcards").where(F.size("phones") > 0).select("card_id", text.digits_of(F.get("phones", F.lit(0)).value).alias("digits"))
 
 
+@query("SELECT card_id, k AS place, nullif(regexp_replace(phones[k].value, '[^0-9]', '', 'g'), '') AS digits FROM (SELECT card_id, phones, unnest(range(1, len(phones) + 1)) AS k FROM vcards)")
+def phones_normalised(spark, folder):
+    p = table(spark, folder, "vcards").select("card_id", F.posexplode("phones").alias("k", "p"))
+    return p.select("card_id", (F.col("k") + 1).cast("long").alias("place"), text.digits_of(F.col("p.value")).alias("digits"))
+
+
 @query("SELECT lower(split_part(from_email, '@', -1)) AS domain, count(*) AS mails FROM emails WHERE contains(from_email, '@') GROUP BY 1")
 def sender_domains(spark, folder):
     return table(spark, folder, "emails").groupBy(text.domain_of(F.col("from_email")).alias("domain")).agg(F.count(F.lit(1)).alias("mails")).where("domain IS NOT NULL")

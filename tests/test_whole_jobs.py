@@ -96,3 +96,11 @@ def test_gaps_by_marker_and_age(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/interactions.parquet")
     got = {(r.thread_id, r.gap, r.days) for r in QUERIES["conversation_gaps"](spark, str(tmp_path)).collect()}
     assert got == {("asked", "no_response", 30), ("theirs", "unanswered_by_me", 1)}
+
+
+def test_all_numbers_of_a_card(spark, tmp_path):
+    from kinweave.queries.relations import QUERIES
+
+    rows = [(1, [("", "+1 2"), ("", "(3) 4")]), (2, []), (3, None), (4, [("", "none")])]
+    spark.createDataFrame(rows, "card_id long, phones array<struct<type string, value string>>").write.parquet(f"{tmp_path}/vcards.parquet")
+    assert sorted(tuple(r) for r in QUERIES["phones_normalised"](spark, str(tmp_path)).collect()) == [(1, 1, "12"), (1, 2, "34"), (4, 1, None)]
