@@ -4,11 +4,14 @@ On each level every vertex draws an exponentially distributed head start; a few
 from the vertices whose start time is earliest, the cluster of a vertex being the centre that reaches it first. Clusters
 are contracted to super-vertices, edges between clusters make the next level's graph, and the levels' assignments are
 composed. A centre reaches a vertex only along links, so a contraction never joins what is not linked, whatever the number
-of rounds; and the recursion ends only when no edge between clusters is left.
+of rounds; and the recursion ends only when no edge between clusters is left. Once a level has left at most LOCAL_EDGES
+edges, one task goes on with the same decomposition in memory: what it holds is bounded, and every edge is still used.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from kinweave.plans.skew import heavy_or_none, lookup_join
 
 RATE = 0.2
 ROUNDS = 4
+#: At most so many edges (16 bytes each) of a contracted graph are gathered in one task, on an executor.
+LOCAL_EDGES = 1_000_000
 
 
 def clean_key(raw):
@@ -24,7 +29,7 @@ def clean_key(raw):
     return F.regexp_replace(F.regexp_replace(raw, r"^[\s ]+|[\s ]+$", ""), r"^(\./)+", "")
 
 
-def linked_groups(pairs: DataFrame, left: str = "contact1", right: str = "contact2", similarity: str = "similarity", threshold: float = 0.7, rate: float = RATE, rounds: int = ROUNDS) -> DataFrame:
+def linked_groups(pairs: DataFrame, left: str = "contact1", right: str = "contact2", similarity: str = "similarity", threshold: float = 0.7, rate: float = RATE, rounds: int = ROUNDS, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(contact, group_key): every record that a pair of at least threshold links to another one, with the smallest key of its group.
 
     Pairs with a null key, a null or NaN similarity, or the same record twice are no links. Repeated, turned-round and
@@ -43,9 +48,13 @@ def linked_groups(pairs: DataFrame, left: str = "contact1", right: str = "contac
     edges = materialise(coded.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), "edges")
     levels: list[DataFrame] = []
     while (count := edges.count()) > 0:
-        labels, following = _level(edges, count, len(levels), rate, rounds)
+        # the first level is always taken by all tasks
+        local = bool(levels) and count <= local_edges
+        labels, following = (_in_memory(edges, len(levels), rate), None) if local else _level(edges, count, len(levels), rate, rounds)
         discard(edges)
         levels.append(labels)
+        if local:
+            break
         edges = following
     if not levels:
         return names.select("contact", F.col("contact").alias("group_key")).limit(0)
@@ -79,3 +88,38 @@ def _level(edges: DataFrame, count: int, level: int, rate: float, rounds: int) -
     step = lookup_join(edges.withColumnRenamed("x", "v"), "v", labels, heavy).select(F.col("c").alias("x"), F.col("y").alias("v"))
     step = lookup_join(step, "v", labels, heavy).select(F.least("x", "c").alias("x"), F.greatest("x", "c").alias("y"))
     return labels, materialise(step.where("x <> y").distinct(), "edges")
+
+
+def decomposed(x: np.ndarray, y: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vertices, centre of each) after all levels of the decomposition of the edges x-y."""
+    names, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+    u, v = ends[: len(x)], ends[len(x) :]
+    whole = np.arange(len(names))
+    rng = np.random.default_rng(seed)
+    while len(u):
+        centre, at = np.arange(len(names)), -rng.exponential(1 / rate, len(names))
+        while True:
+            # who is reached earlier than by its own centre takes over the centre of the neighbour that reaches it first
+            to, source = np.concatenate([u, v]), np.concatenate([v, u])
+            arrival = at[source] + 1.0
+            order = np.lexsort((centre[source], arrival, to))
+            first = order[np.r_[True, to[order][1:] != to[order][:-1]]]
+            better = first[arrival[first] < at[to[first]]]
+            if not len(better):
+                break
+            at[to[better]], centre[to[better]] = arrival[better], centre[source[better]]
+        whole = centre[whole]
+        u, v = centre[u], centre[v]
+        links = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)])[:, u != v], axis=1)
+        u, v = links[0], links[1]
+    return names, names[whole]
+
+
+def _in_memory(edges: DataFrame, level: int, rate: float) -> DataFrame:
+    """The (v, c) assignment of all further levels, by one task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        v, c = decomposed(rows["x"].to_numpy(), rows["y"].to_numpy(), rate, level)
+        return pd.DataFrame({"v": v, "c": c})
+
+    return materialise(edges.groupBy(F.lit(0).alias("all")).applyInPandas(run, "v long, c long"), "labels")
