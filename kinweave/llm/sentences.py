@@ -8,6 +8,7 @@ after) decides. Places inside quotations and brackets are no candidates.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,8 +41,15 @@ _CJK = r"぀-ヿ㐀-鿿豈-﫿"
 _BLANK_LINE = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+|\r[^\S\r\n]*\r(?!\n)[^\S\n]*")
 _LIST_MARK = re.compile(r"(?:[-*•‣·▪–—+]|\(?\d{1,3}[.)]|[a-zA-Z]\))(?=[^\S\n]+\S)")
 # an end to which the next sentence was joined without a blank: "the pilot.Their office", but neither "v1.2" nor "a.Name@x.org"
-_JOINED = rf"(?:(?<=[^\W\d_A-ZÀ-Þ]|[\d)%”»])\.|[!?]+|[।؟]){_CLOSERS}*(?=[\"“„«(¿¡]*[A-ZÀ-ÞĀ-Ž\u0900-\u097f\u0600-\u06ff][^\W_]*(?:[\s,’'-]|$))"
-_CANDIDATE = re.compile(rf"{_END}+(?:[^\S\n]?(?=[»]))?{_CLOSERS}*(?=\s|$)|[。！？｡]+{_CLOSERS}*|[!?…]+{_CLOSERS}*(?=[{_CJK}])|{_JOINED}|\s+(?=\S)")
+_JOINED = rf"(?:(?<=[^\W\d_A-ZÀ-Þ]|[\d)%”»])\.|(?<![!?])[!?]++|[।؟]){_CLOSERS}*+(?=[\"“„«(¿¡]*[A-ZÀ-ÞĀ-Ž\u0900-\u097f\u0600-\u06ff][^\W_]*(?:[\s,’'-]|$))"
+# runs are taken whole and only from their start, so that a text of nothing but stops or blanks is read once
+_CANDIDATE = rf"(?<!{_END}){_END}++(?:[^\S\n]?(?=[»]))?{_CLOSERS}*+(?=\s|$)|[。！？｡]++{_CLOSERS}*+|(?<![!?…])[!?…]++{_CLOSERS}*+(?=[{_CJK}])|{_JOINED}"
+_ENDS, _PLACES = re.compile(_END), re.compile(_CANDIDATE)
+#: Where sentences are divided by blanks alone, these are places too.
+_PLACES_AND_BLANKS = re.compile(rf"{_CANDIDATE}|\s++(?=\S)")
+_RUN = frozenset(".!?…。！？।॥؟۔｡\"”“»’)]）］」』】》›-*•‣·▪–—+# \t\r\u00a0\u3000")
+#: The longest abbreviation or number that a rule asks for before a place, with the sign in front of it.
+_REACH = 24
 
 
 def _words(text: str) -> str:
@@ -49,7 +57,7 @@ def _words(text: str) -> str:
 
 
 def _rule(breaks: bool, before: str, after: str) -> tuple[bool, re.Pattern, re.Pattern]:
-    return breaks, re.compile(f"(?:{before})$"), re.compile(after)
+    return breaks, re.compile(rf"(?:{before})\Z"), re.compile(after)
 
 
 def _abbreviated(lang: str) -> tuple[bool, re.Pattern, re.Pattern]:
@@ -66,63 +74,79 @@ RULES = {
     "hi": [_abbreviated("hi")],
     "ar": [_abbreviated("ar")],
     # a closing quote or bracket goes on with what follows; a double ellipsis is a pause
-    "zh": [_rule(False, rf"{_END}+{_CLOSERS}+", r"\s*\S"), _rule(False, "…+", r"\S"), _rule(True, "[。！？｡!?]+", "")],
-    "ja": [_rule(False, rf"{_END}+{_CLOSERS}+", r"\s*\S"), _rule(False, "…+", r"\S"), _rule(True, "[。！？｡!?]+", "")],
+    "zh": [_rule(False, rf"{_END}{_CLOSERS}++", r"\s*\S"), _rule(False, "…", r"\S"), _rule(True, "[。！？｡!?]", "")],
+    "ja": [_rule(False, rf"{_END}{_CLOSERS}++", r"\s*\S"), _rule(False, "…", r"\S"), _rule(True, "[。！？｡!?]", "")],
     # only blanks divide, and not beside a digit, a Latin letter, a sign of repetition or a mark at the start of a line
     "th": [
         _rule(False, r"[0-9๐-๙A-Za-zÀ-ɏๆ]", r"\s"),
         _rule(False, r"", r"\s+[0-9๐-๙A-Za-zÀ-ɏๆ]"),
-        _rule(False, r"(?:^|\n)[^\S\n]*(?:[-*•‣·▪–—+#]+|\(?\d{1,3}[.)])", r"\s"),
+        _rule(False, r"(?:^|\n)[^\S\n]*(?:[-*•‣·▪–—+#]++|\(?\d{1,3}[.)])", r"\s"),
         _rule(True, r"\S", r"\s"),
     ],
 }
 COMMON = [
     _rule(False, r"[^.!?…。！？।॥؟۔｡\"”“»’)\]）］」』】》›]", r"\s"),
     _rule(False, r"(?:\.|…)[\"”“»’)\]]*", r"\s+[\"“«„(]?\s?[a-zß-öø-ÿāăąćčďđēėęěğģīįıķĺļľńņňōőœŕřśşšťūůűųźżž]"),
-    _rule(False, rf"{_END}[^\S\n]?{_CLOSERS}+", r"\s+[a-zß-öø-ÿāăąćčďđēėęěğģīįıķĺļľńņňōőœŕřśşšťūůűųźżž]"),
+    _rule(False, rf"{_END}[^\S\n]?{_CLOSERS}++", r"\s+[a-zß-öø-ÿāăąćčďđēėęěğģīįıķĺļľńņňōőœŕřśşšťūůűųźżž]"),
     _rule(False, r"(?<![^\W_])[^\W\d_a-zа-я]\.", r"\s+[^\W\d_]"),
     _abbreviated(""),
     _MONTH_DAY,
-    _rule(True, rf"{_END}[^\S\n]?{_CLOSERS}*", r"\s|$|[\"“„«(¿¡]*[^\W\d_]"),
+    _rule(True, rf"{_END}[^\S\n]?{_CLOSERS}*+", r"\s|$|[\"“„«(¿¡]*[^\W\d_]"),
 ]
 
 _SCRIPTS = [("th", re.compile("[฀-๿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ar", re.compile("[؀-ۿ]")), ("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[㐀-鿿]"))]
-_FREQUENT = {lang: frozenset(words.split()) for lang, words in FREQUENT.items()}
-_LETTER = re.compile(r"[^\W\d_]")
+_ANY_SCRIPT = re.compile("[฀-๿ऀ-ॿ؀-ۿ぀-ヿ㐀-鿿]")
+_LANGUAGES_OF = {w: [lang for lang, words in FREQUENT.items() if w in words.split()] for words in FREQUENT.values() for w in words.split()}
+_LETTER, _WORD = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]+")
 
 
 def language_of(block: str, named: str) -> str:
     """The language of a block: by script, else by its frequent words, else what the document is named."""
-    counts = [(len(p.findall(block)), lang) for lang, p in _SCRIPTS]
-    best, lang = max(counts)
-    kana = counts[3][0]
-    if best and best * 5 >= len(_LETTER.findall(block)) - best or best >= 12:
-        return "ja" if lang in ("zh", "ja") and (kana * 8 >= best or (kana == 0 and named == "ja")) else lang
-    words = re.findall(r"[^\W\d_]+", block.lower())
-    score, lang = max((sum(w in known for w in words), lang == named, lang) for lang, known in _FREQUENT.items())[::2]
-    return lang if score else named
+    if not block.isascii() and _ANY_SCRIPT.search(block):
+        counts = [(len(p.findall(block)), lang) for lang, p in _SCRIPTS]
+        best, lang = max(counts)
+        kana = counts[3][0]
+        if best and best * 5 >= len(_LETTER.findall(block)) - best or best >= 12:
+            return "ja" if lang in ("zh", "ja") and (kana * 8 >= best or (kana == 0 and named == "ja")) else lang
+    score = dict.fromkeys(FREQUENT, 0)
+    for w in _WORD.findall(block.lower()):
+        for lang in _LANGUAGES_OF.get(w, ()):
+            score[lang] += 1
+    best, _, lang = max((n, lang == named, lang) for lang, n in score.items())
+    return lang if best else named
+
+
+_MARKS = re.compile("[" + re.escape("".join(OPENING) + "".join(OPENING.values())) + "]")
 
 
 def _protected(block: str) -> list[tuple[int, int]]:
-    """Spans of quotations and brackets, outermost ones, in order; an opening mark that is never closed opens nothing."""
-    spans, at = [], 0
-    marks = re.compile("[" + re.escape("".join(OPENING)) + "]")
-    while m := marks.search(block, at):
-        mark, at = m.group(), m.end()
-        end = -1
-        if mark in "([（［":
-            depth = 1
-            for x in re.finditer("[" + re.escape(mark + OPENING[mark]) + "]", block[at:]):
-                depth += 1 if x.group() == mark else -1
-                if not depth:
-                    end = at + x.end()
-                    break
+    """Spans of quotations and brackets, outermost ones, in order; an opening mark that is never closed opens nothing.
+
+    Brackets close by depth of their own kind, quotations at the next closing mark. One pass finds where each closes.
+    """
+    places: dict[str, list[int]] = {}
+    marks = [(m.start(), m.group()) for m in _MARKS.finditer(block)]
+    open_at: dict[str, list[int]] = {mark: [] for mark in "([（［"}
+    closed_at: dict[int, int] = {}
+    closing = {OPENING[mark]: mark for mark in open_at}
+    for at, mark in marks:
+        places.setdefault(mark, []).append(at)
+        if mark in open_at:
+            open_at[mark].append(at)
+        elif mark in closing and open_at[closing[mark]]:
+            closed_at[open_at[closing[mark]].pop()] = at
+    spans, past = [], 0
+    for at, mark in marks:
+        if at < past or mark not in OPENING:
+            continue
+        if mark in open_at:
+            end = closed_at.get(at, -1)
         else:
-            found = [p for p in (block.find(c, at) for c in OPENING[mark]) if p >= 0]
-            end = min(found) + 1 if found else -1
-        if end > 0:
-            spans.append((m.start(), end))
-            at = end
+            found = [p[k] for c in OPENING[mark] if (p := places.get(c)) and (k := bisect_left(p, at + 1)) < len(p)]
+            end = min(found, default=-1)
+        if end >= 0:
+            spans.append((at, end + 1))
+            past = end + 1
     return spans
 
 
@@ -141,7 +165,10 @@ def _blocks(text: str) -> list[tuple[int, int]]:
             if m := _LIST_MARK.match(text, line + lead, end):
                 number = re.search(r"\d+", m.group())
                 number = int(number.group()) if number else None
-                ended = line == a or text[a:line].rstrip()[-1:] in ".:!?…;。：！？।"
+                back = line - 1
+                while back >= a and text[back].isspace():
+                    back -= 1
+                ended = back < a or text[back] in ".:!?…;。：！？।"
                 # a number at the start of a wrapped line goes on with the sentence
                 if line == a or number is None or item == number - 1 or (number == 1 and ended):
                     if line > start:
@@ -152,6 +179,14 @@ def _blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _places(block: str, first: int, last: int):
+    """Matches of _PLACES: each begins with a sign that can end a sentence, which is looked for first."""
+    while m := _ENDS.search(block, first, last):
+        if found := _PLACES.match(block, m.start(), last):
+            yield found
+        first = found.end() if found else m.end()
+
+
 def sentence_spans(text: str, named: str = "") -> list[tuple[int, int]]:
     """(start, end) of each sentence in code points, end exclusive, without outer white space."""
     out = []
@@ -165,18 +200,19 @@ def sentence_spans(text: str, named: str = "") -> list[tuple[int, int]]:
         begin = len(block) - len(block.lstrip())
         mark = _LIST_MARK.match(block, begin)
         start, k, first = 0, 0, mark.end() if mark else begin
-        for m in _CANDIDATE.finditer(block, first):
-            blank = m.group().isspace()
-            if blank and lang != "th":
-                continue
-            pos = m.start() if blank else m.end()
+        last = max(first, len(block.rstrip()))
+        for m in _PLACES_AND_BLANKS.finditer(block, first, last) if lang == "th" else _places(block, first, last):
+            pos = m.start() if m.group().isspace() else m.end()
             while k < len(spans) and spans[k][1] < pos:
                 k += 1
             if k < len(spans) and spans[k][0] < pos < spans[k][1]:
                 continue
-            before, after = block[max(0, pos - 24) : pos], block[pos : pos + 8]
+            run = pos
+            while run > 0 and block[run - 1] in _RUN:
+                run -= 1
+            before = block[max(0, run - _REACH) : pos]
             for breaks, left, right in rules:
-                if right.match(after) and left.search(before):
+                if right.match(block, pos) and left.search(before):
                     if breaks:
                         out.append((a + start, a + pos))
                         start = pos
