@@ -1,6 +1,7 @@
 """Documents packed whole into containers of a fixed number of tokens by Karmarkar-Karp multiway differencing.
 
-Documents are dealt into groups of a bounded number of tokens. In a group, the least number of containers that could hold
+Documents are dealt into groups of a bounded number of tokens, in an order that only their ids decide, so that the same
+documents always come out in the same containers. In a group, the least number of containers that could hold
 it is tried first: every document starts as a partial partition of one filled and else empty containers, and the two
 partitions with the largest imbalance are merged again and again, the fullest container of one with the emptiest of the
 other, until one partition with nearly equal containers is left. While a container exceeds the capacity, the number of
@@ -9,35 +10,47 @@ containers rises by one.
 
 from __future__ import annotations
 
+import base64
 import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.plans.lineage import materialise
 
 CAPACITY = 2_048
-#: Containers of a full group.
-GROUP = 160
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: Containers of a full group, and of a bucket of groups, which one task deals out.
+GROUP, BUCKET = 160, 640
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how that tokenizer cuts a text into words before it merges bytes.
+WORD_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+
+
+def counter(tokenizer: str):
+    """A function from texts to numbers of tokens; a file of ranks (.tiktoken) or of the tokenizers library (.json)."""
+    if tokenizer.endswith(".tiktoken"):
+        import tiktoken
+
+        with open(tokenizer, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        own = tiktoken.Encoding("own", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [len(own.encode_ordinary(t)) for t in texts]
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer)
+    t.encode_special_tokens = True
+    return lambda texts: [len(e.ids) for k in range(0, len(texts), 64) for e in t.encode_batch_fast(texts[k : k + 64], add_special_tokens=False)]
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens) of every document with a text; tokenizer is the path of a public tokenizer file."""
 
     def count(batches):
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(tokenizer)
-        t.encode_special_tokens = True
+        of = counter(tokenizer)
         for batch in batches:
-            n = []
-            for k in range(0, len(batch), 64):
-                n += [len(e.ids) for e in t.encode_batch_fast(batch["text"].iloc[k : k + 64].tolist(), add_special_tokens=False)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": np.array(n, dtype=np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": np.array(of(batch["text"].tolist()), dtype=np.int64)})
 
     return documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInPandas(count, "doc_id long, n_tokens long")
 
@@ -86,7 +99,7 @@ def packed_documents(documents: DataFrame, capacity: int = CAPACITY, group: int
 
     A document over capacity is cut into pieces of exactly capacity, and a rest that is packed like a document; piece
     counts from 0. Documents without tokens take no room and are in no container; null texts are left out. container is a
-    text unique per container. Groups are filled up to their last few tokens, so that the number of containers stays near
+    text unique per container; it depends on the documents only, not on how they are partitioned. Groups are filled up to their last few tokens, so that the number of containers stays near
     the total by capacity.
     """
     sized = materialise(token_counts(documents, tokenizer).where("n_tokens > 0"), "sizes")
@@ -96,19 +109,27 @@ def packed_documents(documents: DataFrame, capacity: int = CAPACITY, group: int
     full = full.select(F.concat_ws("-", F.lit("f"), "doc_id", "piece").alias("container"), "doc_id", F.col("piece").cast("long").alias("piece"), F.lit(capacity).cast("long").alias("n_tokens"))
     items = sized.select("doc_id", whole.cast("long").alias("piece"), rest.cast("long").alias("n_tokens")).where("n_tokens > 0")
 
+    tokens = items.agg(F.sum("n_tokens")).first()[0] or 0
+    buckets = -(-tokens // (capacity * max(group, BUCKET // group * group))) or 1
+
     def deal(batches):
         """Containers of groups of documents, each group about as full as `group` containers."""
-        part, number, held, total = TaskContext.get().partitionId(), 0, [], 0
+        bucket, number, held, total = None, 0, [], 0
+        aside: list[tuple[int, int, int]] = []
         room = group * capacity - capacity // 2
 
         def emit():
             found = pack([x[2] for x in held], capacity)
-            rows = [(f"g-{part}-{number}-{c}", *held[k]) for c, ks in enumerate(found) for k in ks]
+            rows = [(f"g-{bucket}-{number}-{c}", *held[k]) for c, ks in enumerate(found) for k in ks]
             return pd.DataFrame(rows, columns=["container", "doc_id", "piece", "n_tokens"])
 
-        aside: list[tuple[int, int, int]] = []
         for batch in batches:
-            for item in zip(batch["doc_id"].tolist(), batch["piece"].tolist(), batch["n_tokens"].tolist(), strict=True):
+            for own, *item in zip(*(batch[c].tolist() for c in ("bucket", "doc_id", "piece", "n_tokens")), strict=True):
+                if own != bucket:
+                    held += aside
+                    if held:
+                        yield emit()
+                    bucket, number, held, aside, total = own, 0, [], [], 0
                 if total + item[2] <= room:
                     held.append(item)
                     total += item[2]
@@ -123,6 +144,8 @@ def packed_documents(documents: DataFrame, capacity: int = CAPACITY, group: int
         if held:
             yield emit()
 
+    mixed = F.xxhash64("doc_id", "piece")
+    keyed = items.withColumn("bucket", F.pmod(mixed, F.lit(buckets))).withColumn("mixed", mixed)
     n = max(1, int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = items.repartition(n, F.xxhash64("doc_id")).mapInPandas(deal, "container string, doc_id long, piece long, n_tokens long")
-    return full.unionByName(dealt)
+    ordered = keyed.repartition(n, "bucket").sortWithinPartitions("bucket", "mixed", "doc_id", "piece").drop("mixed")
+    return full.unionByName(ordered.mapInPandas(deal, "container string, doc_id long, piece long, n_tokens long"))
