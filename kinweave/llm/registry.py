@@ -66,19 +66,22 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 _NOT_KNOWN = "'n/a','na','n.a.','unknown','not known','unbekannt','none','null','nil','nan','tbd','tba','to be added','to be announced','to be determined','xxx','xx','x','empty','(empty)','see card','call office','no mail','no email','no phone','missing','undefined','not available','not applicable','(none)','(null)','(unknown)'"
 
-P2_SQL = rf"""
+_P2_CELLS = rf"""
 WITH named AS (SELECT DISTINCT group_id, source_file FROM (SELECT group_id, unnest([keep, merge_from]) AS source_file FROM merge_previews) WHERE source_file IS NOT NULL AND group_id IS NOT NULL),
-people AS (SELECT group_id, e.* FROM named JOIN contact_entries e USING (source_file)),
+people AS (SELECT group_id, e.* REPLACE (TRY_CAST(e.updated AS DATE) AS updated) FROM named JOIN contact_entries e USING (source_file)),
 cells AS (
-  SELECT group_id, entry_id, updated, u.field, u.value FROM (
-    SELECT group_id, entry_id, updated, unnest([
+  SELECT group_id, entry_id, updated, space, u.field, u.value FROM (
+    SELECT group_id, entry_id, updated, space, unnest([
       {{'field': 'name', 'value': name}}, {{'field': 'organization', 'value': organization}}, {{'field': 'role', 'value': role}},
       {{'field': 'location', 'value': location}}, {{'field': 'email', 'value': channels.email}}, {{'field': 'phone', 'value': channels.phone}}]) AS u FROM people)),
 good AS (
   SELECT * FROM cells
   WHERE regexp_matches(value, '[\p{{L}}\p{{N}}]') AND lower(trim(value)) NOT IN ({_NOT_KNOWN})
     AND (field <> 'email' OR regexp_matches(trim(value), '^[^@\s<>,;]+@[^@\s<>,;.]+(\.[^@\s<>,;.]+)+$'))
-    AND (field <> 'phone' OR length(regexp_replace(value, '[^0-9]', '', 'g')) >= 5)),
+    AND (field <> 'phone' OR length(regexp_replace(value, '[^0-9]', '', 'g')) >= 5))
+"""
+
+P2_SQL = rf"""{_P2_CELLS},
 picked AS (SELECT group_id, field, entry_id, row_number() OVER (PARTITION BY group_id, field ORDER BY updated DESC NULLS LAST, entry_id) AS k FROM good),
 sizes AS (SELECT p.group_id, p.entry_id, p.updated, count(g.field) AS n FROM people p LEFT JOIN good g ON g.group_id = p.group_id AND g.entry_id = p.entry_id GROUP BY ALL),
 kept AS (SELECT group_id, entry_id, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, updated DESC NULLS LAST, entry_id) AS k FROM sizes)
@@ -86,6 +89,22 @@ SELECT group_id, field, entry_id FROM picked WHERE k = 1
 UNION ALL SELECT group_id, 'keep', entry_id FROM kept WHERE k = 1
 """
 
+P2_SURVIVORS_SQL = rf"""{_P2_CELLS},
+dated AS (
+  SELECT *, CASE WHEN field = 'phone' THEN regexp_replace(value, '[^0-9]', '', 'g') ELSE lower(trim(regexp_replace(value, '\s+', ' ', 'g'))) END AS form,
+    CASE space WHEN '1-personal' THEN 0.8 WHEN '2-work' THEN 1.0 WHEN '3-fund' THEN 1.0 WHEN '4-research' THEN 0.9 WHEN '5-community' THEN 0.7 ELSE 0.5 END::DOUBLE AS trust,
+    row_number() OVER (PARTITION BY group_id, field ORDER BY updated DESC NULLS LAST, entry_id) AS place, max(updated) OVER (PARTITION BY group_id, field) AS newest FROM good),
+votes AS (
+  SELECT group_id, field, form, min(place) AS place, arg_min(value, place) AS value,
+    sum(trust * pow(2.0, -(CASE WHEN place = 1 THEN 0 WHEN newest IS NULL THEN 1 WHEN updated IS NULL THEN 1000001 ELSE datediff('day', updated, newest) + 1 END) / 365.0)) AS votes
+  FROM dated GROUP BY 1, 2, 3),
+won AS (SELECT *, row_number() OVER (PARTITION BY group_id, field ORDER BY round(votes, 9) DESC, place) AS k, count(*) OVER (PARTITION BY group_id, field) AS forms FROM votes)
+SELECT group_id, max(value) FILTER (WHERE field = 'name') AS name, max(value) FILTER (WHERE field = 'organization') AS organization, max(value) FILTER (WHERE field = 'role') AS role,
+  max(value) FILTER (WHERE field = 'location') AS location, max(value) FILTER (WHERE field = 'email') AS email, max(value) FILTER (WHERE field = 'phone') AS phone,
+  count(*) AS n_fields, count(*) FILTER (WHERE forms > 1) AS n_conflicts
+FROM won WHERE k = 1 GROUP BY group_id
+"""
+
 P7_SQL = r"""
 WITH RECURSIVE clean AS (
   SELECT regexp_replace(trim(contact1), '^(\./)+', '') AS a, regexp_replace(trim(contact2), '^(\./)+', '') AS b
@@ -96,4 +115,4 @@ SELECT contact, min(other) AS group_key FROM reach GROUP BY contact
 """
 
 QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
-ORACLES = {"p2_found": P2_SQL, "p7_found": P7_SQL}
+ORACLES = {"p2_found": P2_SQL, "p2_survivors": P2_SURVIVORS_SQL, "p7_found": P7_SQL}

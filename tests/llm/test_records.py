@@ -38,7 +38,7 @@ def test_linkage_of_a_star_a_chain_and_noise(spark):
     links = [("hub", f"s{i:03}") for i in range(300)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(120)] + [(f"r{rng.randrange(60):02}", f"r{rng.randrange(60):02}") for _ in range(50)]
     rows = [(a, b, 0.7 + rng.random() * 0.3, 1, "x") if rng.random() < 0.5 else (f" ./{b} ", a, 0.9, 1, None) for a, b in links]
     rows += [("hub", "c000", 0.69, 1, ""), ("hub", "c001", None, 1, ""), ("hub", "c002", float("nan"), 1, ""), (None, "c003", 1.0, 1, ""), ("self", "self", 1.0, 1, ""), ("", "hub", 1.0, 1, "")]
-    assert groups(spark, rows) == union_find([x for x in links if x[0] != x[1]])
+    assert groups(spark, rows) == groups(spark, rows, local_edges=0) == union_find([x for x in links if x[0] != x[1]])
 
 
 def test_linkage_with_heavy_keys_split(spark, monkeypatch):
@@ -68,9 +68,25 @@ def test_survivors(spark):
     built = {r.group_id: r for r in survivors.survivors(previews, entries, half_life_days=10_000.0).collect()}
     assert built[7].organization == "Acme" and built[7].n_conflicts == 3 and 8 not in built
     assert survivors.survivor_choices(previews.where("false"), entries).count() == 0
+    # an undated or foreign date never wins over a day, and extra columns do no harm
+    assert got[7, "keep"] == 2
     assert survivors.survivors(previews, entries.where("false")).count() == 0
 
 
+def test_votes_reach_newest_in_the_limit(spark):
+    """300 older records of one value against one newer of another: votes decide by half-life and trust."""
+    long = "group_id long, entry_id long, updated date, space string, field string, value string"
+    from datetime import date
+
+    rows = [(1, k, date(2025, 1, 1), "a", "role", "CTO") for k in range(300)] + [(1, 900, date(2025, 1, 2), "b", "role", "CEO")]
+    rows += [(2, k, date(2025, 1, 1), "a", "role", "x" if k > 5 else "y") for k in range(5, 300)] + [(3, 1, None, "a", "role", "only")]
+    df = spark.createDataFrame(rows, long)
+    best = lambda **how: {r.group_id: (r.value, r.entry_id) for r in survivors.winners(df, **how).collect()}
+    assert best(half_life_days=survivors.NEWEST_WINS) == {1: ("CEO", 900), 2: ("y", 5), 3: ("only", 1)}
+    assert best(half_life_days=30.0) == {1: ("CTO", 0), 2: ("x", 6), 3: ("only", 1)}
+    assert best(half_life_days=30.0, trust={"a": 0.001, "b": 1.0})[1] == ("CEO", 900)
+
+
 def test_tags(spark):
     registry_rows = spark.createDataFrame([("real-estate", "Real Estate", ["immobilier"]), ("ai-ml", "Artificial Intelligence", None), ("media", "Media and Publishing", ["journalism"]), ("privacy", "Privacy Technology", []), (None, "x", [])], "tag string, label string, aliases array<string>")
     cases = {

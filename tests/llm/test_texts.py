@@ -149,6 +149,8 @@ def test_packing(spark):
     assert {k: sum(v) for k, v in whole.items()} == {k: v for k, v in sizes.items() if v}
     assert all(len(v) == 1 for k, v in whole.items() if sizes[k] <= 512) and all(len(v) == -(-sizes[k] // 512) for k, v in whole.items())
     assert len(room) <= -(-sum(sizes.values()) // 512) * 1.05 + 8
+    again = packing.packed_documents(df.repartition(7, "text"), capacity=512, group=16)
+    assert {(r.container, r.doc_id, r.piece) for r in again.collect()} == {(r.container, r.doc_id, r.piece) for r in out.collect()}
     assert packing.packed_documents(df.where("false")).count() == 0
 
 
@@ -159,3 +161,15 @@ def test_differencing_uses_every_item_once():
         found = packing.pack(sizes, 300)
         assert sorted(k for c in found for k in c) == list(range(len(sizes))) and all(sum(sizes[k] for k in c) <= 300 for c in found)
     assert packing.multiway([8, 7, 6, 5, 4], 2) and max(sum([8, 7, 6, 5, 4][k] for k in c) for c in packing.multiway([8, 7, 6, 5, 4], 2)) == 16
+
+
+def test_long_texts_are_read_once():
+    """A megabyte of unclosed marks, of stops or of blanks takes no longer than other text; context is never cut."""
+    import time
+
+    for text in ("(" * 1_000_000, "[a " * 300_000, "." * 1_000_000, "a" + " " * 1_000_000 + "b", '."' + '"' * 1_000_000, ".!" * 500_000):
+        began = time.time()
+        assert len(sentence_spans(text)) == 1
+        assert time.time() - began < 5
+    assert len(sentence_spans("It cost etc." + " " * 40 + "and more.")) == 1
+    assert sentence_spans("He said (a (b) c. D) so. Then (open. End.") == [(0, 24), (25, 36), (37, 41)]
