@@ -1,21 +1,24 @@
 """Conversations rebuilt from message rows by a keyed streaming state with event-time watermarks.
 
-The stream keeps, per conversation and session window of event time, the messages seen so far; late ones join the session
-they belong to. When the watermark passes the end of a session, the state emits it as a fragment: its messages in order
-and what is wrong with them. Fragments of one conversation (it fell silent for longer than the gap, or is so long that its
-messages are spread over several states) are then judged together, so the verdict covers all rows of the conversation
-whatever the gap.
-
-A replay of a finite table runs the same stream to its end: nothing may be dropped as late, so the watermark trails by
-REPLAY_DELAY, and a closing row far in the future, streamed after all others, moves it past every session.
+Event time is when a message arrived, never what its sender wrote: no date in a message can move the watermark. The state
+keeps the messages of each open conversation, late ones by the sender's clock among them, and when the watermark passes a
+conversation's closing time it emits the messages in order, if they make a valid conversation.
+
+Live, a conversation closes when nothing has arrived for it for a timeout. In a replay of a finite table the last arrival
+of each conversation is known from one aggregation, so the timeout runs from there and a silence in the middle does not
+cut a conversation in two. The replay streams the table step by step in the order of arrival, so that what is closed
+leaves the state; a tick after the last row moves the clock on by the timeout. Should the state ever drop a row as late,
+the replay fails.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kinweave.plans.lineage import new_path, remove
+from kinweave.plans.lineage import discard, materialise, new_path, remove
+from kinweave.plans.skew import lookup_join
 
 # How directions are written, in lower case without blanks around.
 SENT = ["sent", "outgoing", "outbound", "out", "s", "o", "->"]
@@ -23,12 +26,15 @@ RECEIVED = ["received", "incoming", "inbound", "in", "recv", "r", "i", "<-"]
 
 #: More messages than this of one conversation are spread over several states.
 STATE_ROWS = 5_000
-GAP, REPLAY_DELAY = "30 days", "36500 days"
-#: 2800-01-01, past any real message by more than REPLAY_DELAY.
-CLOSING_SECOND = 26_192_246_400
+#: Silence after which a conversation is closed, and how long the watermark waits for rows out of order.
+TIMEOUT_SECONDS, DELAY_SECONDS = 30 * 86_400, 86_400
+#: A replay takes one step per so many rows, MAX_STEPS at most.
+STEP_ROWS, MAX_STEPS = 500_000, 48
 #: What all states on an executor hold in memory together; the rest is on its disk.
 STATE_MEMORY_MB = 256
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: No more conversations than this are joined by broadcast for being long.
+MAX_HEAVY = 20_000
 
 
 def speaker_of(direction: Column) -> Column:
@@ -42,91 +48,150 @@ def clean_thread(raw: Column) -> Column:
     return F.trim(raw, F.lit(" \t\r\n\u00a0<>"))
 
 
+def arrival(loaded_at: Column) -> Column:
+    """Seconds since 1970 at which a message arrived, as the column arrived."""
+    return F.coalesce(F.unix_timestamp(loaded_at), F.lit(0)).alias("arrived")
+
+
 def lean_messages(messages: DataFrame, *also: str) -> DataFrame:
-    """thread, id, moment, speaker, said (and the columns named) of the messages that belong to a conversation.
+    """thread, id, moment, arrived, speaker, said (and the columns named) of the messages that belong to a conversation.
 
-    messages: id, thread_id, direction, snippet, utc_second. A snippet of nothing but white space says nothing.
+    messages: id, thread_id, direction, snippet, utc_second, loaded_at. A snippet of nothing but white space says nothing.
+    A message without a time of arrival counts as the earliest.
     """
     said = F.coalesce(F.length(F.trim("snippet", F.lit(" \t\r\n\u00a0\u200b\u3000"))) > 0, F.lit(False))
-    return messages.select(clean_thread(F.col("thread_id")).alias("thread"), "id", F.col("utc_second").alias("moment"), speaker_of(F.col("direction")).alias("speaker"), said.alias("said"), *also)
+    return messages.select(clean_thread(F.col("thread_id")).alias("thread"), "id", F.col("utc_second").alias("moment"), arrival(F.col("loaded_at")), speaker_of(F.col("direction")).alias("speaker"), said.alias("said"), *also)
 
 
-def long_conversations(staged: DataFrame, state_rows: int = STATE_ROWS) -> list[tuple[str, int]]:
-    """(thread, number of states) of the conversations of over state_rows messages.
+def closing_times(arrivals: DataFrame, timeout: int, state_rows: int) -> DataFrame:
+    """(thread, n, closes, parts): when each conversation closes, and over how many states its messages are spread."""
+    last = arrivals.where("thread <> ''").groupBy("thread").agg(F.count(F.lit(1)).alias("n"), F.max("arrived").alias("last"))
+    return last.select("thread", "n", (F.col("last") + timeout).alias("closes"), F.ceil(F.col("n") / state_rows).cast("int").alias("parts"))
 
-    They come from a frequent-items sketch of bounded size; spreading one that it overrates does no harm, and one that it
-    misses has less than a four-thousandth of all rows.
-    """
-    top = staged.agg(F.expr("approx_top_k(thread, 1000, 20000)").alias("t")).select(F.explode("t").alias("x")).select("x.item", "x.count")
-    return [(r["item"], -(-r["count"] // state_rows)) for r in top.where(F.col("count") > state_rows).collect()]
 
+def fragments(stream: DataFrame, delay: int = DELAY_SECONDS) -> DataFrame:
+    """Streaming: one row per closed (thread, part): its messages in order and the counts the verdict needs.
 
-def fragments(stream: DataFrame, gap: str = GAP, delay: str = "7 days") -> DataFrame:
-    """Streaming: one row per closed session of a (thread, part): messages in order and the counts the verdict needs."""
-    timed = stream.withColumn("at", F.timestamp_seconds(F.coalesce("moment", F.lit(0)))).withWatermark("at", delay)
+    stream: thread, part, parts, id, moment, speaker, said, arrived, closes. A message keeps its conversation open until
+    closes; as that is never before the next arrival of a replay, each (thread, part) is one session.
+    """
+    timed = stream.withColumn("at", F.timestamp_seconds("arrived")).withWatermark("at", f"{delay} seconds")
+    gap = F.concat((F.col("closes") - F.col("arrived")).cast("string"), F.lit(" seconds"))
     turn = F.struct("moment", "id", "speaker")
     return (
-        timed.groupBy(F.session_window("at", gap), "thread", "part")
+        timed.groupBy(F.session_window("at", gap), "thread", "part", "parts")
         .agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.sum((F.col("moment").isNull() | F.col("speaker").isNull()).cast("long")).alias("broken"), F.sum((F.col("speaker") == "me").cast("long")).alias("mine"), F.sum(F.col("said").cast("long")).alias("said"))
         .drop("session_window")
     )
 
 
-def replay(spark: SparkSession, lean: DataFrame, gap: str = GAP, files_per_batch: int = 1_000, state_rows: int = STATE_ROWS) -> DataFrame:
-    """All fragments of a finite table, by way of the stream; the table is written to the shared folder for it."""
-    path, out, state = (new_path(spark, x) for x in ("messages", "fragments", "stream-state"))
-    lean = lean.select("thread", "id", "moment", "speaker", "said").where("thread <> ''")
-    lean.write.option("compression", "zstd").parquet(path)
-    parts = {t: n for t, n in long_conversations(spark.read.schema(lean.schema).parquet(path), state_rows)}
-    marks = spark.createDataFrame(list(parts.items()) or [("", 1)], "thread string, parts bigint")
+def whole(broken: Column, mine: Column, n: Column, said: Column) -> Column:
+    """Every message has a moment and a speaker, both speakers occur, something is said."""
+    return (broken == 0) & (mine > 0) & (mine < n) & (said > 0)
+
+
+def validated(frags: DataFrame) -> DataFrame:
+    """Without the conversations in one fragment that are not whole; those of several are judged when all are there."""
+    return frags.where((F.col("parts") > 1) | whole(F.col("broken"), F.col("mine"), F.size("turns"), F.col("said")))
+
+
+def numbered(closed: DataFrame) -> DataFrame:
+    """(conv_id, turn_no, id, speaker) of conversations in one fragment: turn_no from 1 by moment, then id; conv_id is turn 1's id."""
+    first = closed.select(F.get("turns", F.lit(0)).id.alias("conv_id"), F.posexplode("turns").alias("k", "t"))
+    return first.select("conv_id", (F.col("k") + 1).cast("long").alias("turn_no"), "t.id", "t.speaker")
+
+
+def live_conversations(stream: DataFrame, timeout: int = TIMEOUT_SECONDS, delay: int = DELAY_SECONDS) -> DataFrame:
+    """Streaming: the turns of each valid conversation once nothing has arrived for it for timeout seconds.
+
+    stream: as lean_messages gives it. What arrives for a conversation after it was closed opens a new one.
+    """
+    open_ = stream.where("thread <> ''").withColumns({"closes": F.col("arrived") + timeout, "part": F.lit(0), "parts": F.lit(1)})
+    return numbered(validated(fragments(open_, delay)))
+
+
+def _steps(arrivals: DataFrame, total: int, step_rows: int) -> list[int]:
+    """Seconds of arrival at which the steps of a replay end, but for the last; the steps have about as many rows each."""
+    n = min(MAX_STEPS, -(-total // step_rows))
+    if n < 2:
+        return []
+    cuts = arrivals.agg(F.percentile_approx("arrived", [k / n for k in range(1, n)], 10_000)).first()[0]
+    return sorted(set(cuts))
+
+
+def replay(lean: DataFrame, arrivals: DataFrame, timeout: int = TIMEOUT_SECONDS, delay: int = DELAY_SECONDS, step_rows: int = STEP_ROWS, state_rows: int = STATE_ROWS) -> tuple[DataFrame, bool]:
+    """All valid conversations and all fragments of long ones, by way of the stream; and whether there are long ones."""
+    spark = lean.sparkSession
+    source, staged, out, state = (new_path(spark, x) for x in ("arrivals", "messages", "fragments", "stream-state"))
+    times = materialise(closing_times(arrivals, timeout, state_rows), "closing")
+    known = times.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("closes").alias("closes"), F.coalesce(F.max("parts"), F.lit(1)).alias("parts")).first()
+    columns = "thread string, id bigint, moment bigint, arrived bigint, speaker string, said boolean, closes bigint, parts int, part int"
+    if not known.n:
+        return spark.createDataFrame([], "thread string, parts int, turns array<struct<moment:bigint,id:bigint,speaker:string>>, broken bigint, mine bigint, said bigint"), False
+    least = max(20_000, known.n // MAX_HEAVY)
+    many = times.where(F.col("n") > least).select("thread").collect()
+    heavy = spark.createDataFrame(many, "thread string") if many else None
+    cuts = _steps(arrivals, known.n, step_rows)
+    step = sum(((F.col("arrived") > c).cast("int") for c in cuts), F.lit(0))
+    rows = lookup_join(lean.select("thread", "id", "moment", "arrived", "speaker", "said").where("thread <> ''"), "thread", times.drop("n"), heavy)
+    rows = rows.withColumns({"part": F.when(F.col("parts") > 1, F.pmod("id", "parts")).otherwise(0).cast("int"), "step": step})
+    rows.write.option("compression", "zstd").partitionBy("step").parquet(staged)
+    tick = (None, 0, None, known.closes + delay + 1, None, False, known.closes + delay + timeout, 1, 0)
+    spark.createDataFrame([tick], columns).coalesce(1).write.mode("append").parquet(f"{staged}/step={len(cuts)}")
     rocks = "spark.sql.streaming.stateStore.rocksdb"
     named = {"spark.sql.streaming.stateStore.providerClass": STATE_PROVIDER, f"{rocks}.changelogCheckpointing.enabled": "true", f"{rocks}.boundedMemoryUsage": "true", f"{rocks}.maxMemoryUsageMB": str(STATE_MEMORY_MB)}
     before = {k: spark.conf.get(k, None) for k in named}
     for k, v in named.items():
         spark.conf.set(k, v)
     try:
-        for step in ("messages", "closing"):
-            if step == "closing":
-                spark.createDataFrame([(None, 0, CLOSING_SECOND, None, False)], lean.schema).coalesce(1).write.mode("append").parquet(path)
-            stream = spark.readStream.schema(lean.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-            if parts:
-                stream = stream.join(F.broadcast(marks), "thread", "left").withColumn("part", F.coalesce(F.pmod("id", "parts"), F.lit(0)).cast("long"))
-            else:
-                stream = stream.withColumn("part", F.lit(0).cast("long"))
-            sink = fragments(stream, gap, REPLAY_DELAY).writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
-            sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        files = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path(source))
+        for k in range(len(cuts) + 1):
+            # a step is one micro-batch: its rows arrived no earlier than all that the watermark has seen
+            if not files.rename(path(f"{staged}/step={k}"), path(f"{source}/at{k}")) and files.exists(path(f"{staged}/step={k}")):
+                raise OSError(f"step {k} of the replay could not be moved to its source")
+            if not files.exists(path(f"{source}/at{k}")):
+                continue
+            stream = spark.readStream.schema(columns).parquet(f"{source}/*")
+            sink = validated(fragments(stream, delay)).writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+            done = sink.outputMode("append").trigger(availableNow=True).start()
+            done.awaitTermination()
+            late = sum(op["numRowsDroppedByWatermark"] for p in done.recentProgress for op in p["stateOperators"])
+            if late:
+                raise RuntimeError(f"{late} rows of the replay came too late for its watermark")
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-        for used in (path, state):
+        for used in (source, staged, state):
             remove(spark, used)
-    shape = "thread string, part bigint, turns array<struct<moment:bigint,id:bigint,speaker:string>>, broken bigint, mine bigint, said bigint"
-    return spark.read.schema(shape).parquet(out).where("thread IS NOT NULL")
+        discard(times)
+    shape = T._parse_datatype_string("thread string, part int, parts int, turns array<struct<moment:bigint,id:bigint,speaker:string>>, broken bigint, mine bigint, said bigint")
+    return spark.read.schema(shape).parquet(out).where("thread IS NOT NULL"), known.parts > 1
 
 
 def judge(frags: DataFrame) -> DataFrame:
-    """(conv_id, turn_no, id, speaker) of the conversations whose fragments together are whole.
+    """(conv_id, turn_no, id, speaker) of the long conversations whose fragments together are whole.
 
-    Kept: every message has a moment and a speaker, both speakers occur, something is said. turn_no counts from 1 by
-    moment, then id; conv_id is the id of turn 1. A conversation in one fragment is numbered within it; one of several
-    is numbered by hour, plus the number of its messages in earlier hours.
+    They are numbered by hour, plus the number of the conversation's messages in earlier hours.
     """
-    whole = frags.groupBy("thread").agg(F.sum("broken").alias("broken"), F.sum("mine").alias("mine"), F.sum("said").alias("said"), F.sum(F.size("turns")).alias("n"), F.count(F.lit(1)).alias("pieces"), F.min(F.get("turns", F.lit(0))).alias("first"))
-    kept = whole.where("broken = 0 AND mine > 0 AND mine < n AND said > 0").select("thread", F.col("first.id").alias("conv_id"), "pieces")
-    good = frags.select("thread", "turns").join(kept, "thread")
-    single = good.where("pieces = 1").select("conv_id", F.posexplode("turns").alias("k", "t")).select("conv_id", (F.col("k") + 1).cast("long").alias("turn_no"), "t.id", "t.speaker")
-    many = good.where("pieces > 1").select("conv_id", F.explode("turns").alias("t")).select("conv_id", "t.*", F.floor(F.col("t.moment") / 3600).alias("hour"))
-    hours = many.groupBy("conv_id", "hour").agg(F.count(F.lit(1)).alias("n"))
+    sums = frags.groupBy("thread").agg(*[F.sum(c).alias(c) for c in ("broken", "mine", "said")], F.sum(F.size("turns")).alias("n"), F.min(F.get("turns", F.lit(0))).alias("first"))
+    kept = sums.where(whole(F.col("broken"), F.col("mine"), F.col("n"), F.col("said"))).select("thread", F.col("first.id").alias("conv_id"))
+    turns = frags.select("thread", "turns").join(kept, "thread").select("conv_id", F.explode("turns").alias("t")).select("conv_id", "t.*", F.floor(F.col("t.moment") / 3600).alias("hour"))
+    hours = turns.groupBy("conv_id", "hour").agg(F.count(F.lit(1)).alias("n"))
     earlier = hours.select("conv_id", "hour", (F.sum("n").over(Window.partitionBy("conv_id").orderBy("hour")) - F.col("n")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("conv_id", "hour").orderBy("moment", "id"))
-    numbered = many.withColumn("k", inside).join(earlier, ["conv_id", "hour"]).select("conv_id", (F.col("k") + F.col("before")).cast("long").alias("turn_no"), "id", "speaker")
-    return single.unionByName(numbered)
+    return turns.withColumn("k", inside).join(earlier, ["conv_id", "hour"]).select("conv_id", (F.col("k") + F.col("before")).cast("long").alias("turn_no"), "id", "speaker")
 
 
-def conversations(lean: DataFrame, gap: str = GAP, files_per_batch: int = 1_000, state_rows: int = STATE_ROWS) -> DataFrame:
-    """Whole conversations of a finite table as lean_messages gives it, numbered as by judge.
+def conversations(lean: DataFrame, arrivals: DataFrame | None = None, **how) -> DataFrame:
+    """(conv_id, turn_no, id, speaker) of the whole conversations of a finite table as lean_messages gives it.
 
-    Messages without a thread belong to none. Repeated deliveries must be gone already. An empty table gives an empty
-    result; ties of moment are ordered by id; columns with other names are ignored.
+    turn_no counts from 1 by moment, then id; conv_id is the id of turn 1. arrivals: thread and arrived of the table that
+    lean was derived from, rows since removed included, so that reading them does not repeat the derivation; how: as
+    replay has it. Messages without a thread belong to none. Repeated deliveries must be gone already. An empty table
+    gives an empty result; ties of moment are ordered by id; columns with other names are ignored.
     """
-    return judge(replay(lean.sparkSession, lean, gap, files_per_batch, state_rows))
+    frags, long = replay(lean, lean.select("thread", "arrived") if arrivals is None else arrivals, **how)
+    single = numbered(frags.where("parts = 1"))
+    return single.unionByName(judge(frags.where("parts > 1"))) if long else single

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.conversations import conversations, lean_messages
+from kinweave.llm.conversations import arrival, clean_thread, conversations, lean_messages
 from kinweave.llm.leaks import leaked_items
 from kinweave.llm.linkage import linked_groups
 from kinweave.llm.matching import same_people
@@ -39,9 +39,10 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "interactions").select("id", "mailbox_id", "message_id", "date", "direction", "snippet", "thread_id")
+    rows = table(spark, folder, "interactions").select("id", "mailbox_id", "message_id", "date", "direction", "snippet", "thread_id", "loaded_at")
     lean = lean_messages(message_moments(rows, table(spark, folder, "mailboxes")), "message_id")
-    return conversations(distinct_messages(lean, "id", "message_id", rows))
+    arrivals = rows.select(clean_thread(F.col("thread_id")).alias("thread"), arrival(F.col("loaded_at")))
+    return conversations(distinct_messages(lean, "id", "message_id", rows), arrivals)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

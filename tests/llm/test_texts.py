@@ -1,5 +1,6 @@
 import random
 import re
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from kinweave.llm import conversations as conv
 from kinweave.llm import leaks, packing
 from kinweave.llm.sentences import document_sentences, sentence_spans
 
-MESSAGE = "id long, thread_id string, direction string, snippet string, utc_second long, thread string, part long"
+MESSAGE = "id long, thread_id string, direction string, snippet string, utc_second long, thread string, part long, loaded_at timestamp"
 
 
 def test_conversations_against_brute_force(spark):
@@ -17,11 +18,17 @@ def test_conversations_against_brute_force(spark):
     for n in range(900):
         t = rng.choice(["hot"] * 4 + [f"t{rng.randrange(60)}"])
         bad = rng.random() < 0.004 and t != "hot"
-        rows.append((n, rng.choice(["<{}>", "{}", " {} "]).format(t), "??" if bad and rng.random() < 0.5 else rng.choice(["sent", " IN", "Outbound", "received"]), rng.choice(["", None, " \n", "ok"]), None if bad else 1_700_000_000 + rng.randrange(0, 400 * 86_400, 3600), "x", 3))
-    rows += [(2000, None, "sent", "x", 5, "x", 0), (2001, "<>", "sent", "x", 5, "x", 0), (2002, "one", "sent", "x", 5, "x", 0)]
+        moment = None if bad else 1_700_000_000 + rng.randrange(0, 400 * 86_400, 3600)
+        if rng.random() < 0.02:
+            moment = 7_270_000_000  # a sender's clock in the year 2200
+        # most rows arrive soon after, some years late or years early, some at an unknown time
+        arrived = datetime(2023, 11, 14, tzinfo=timezone.utc) + timedelta(days=n // 3 if rng.random() < 0.9 else rng.randrange(-900, 900))
+        rows.append((n, rng.choice(["<{}>", "{}", " {} "]).format(t), "??" if bad and rng.random() < 0.5 else rng.choice(["sent", " IN", "Outbound", "received"]), rng.choice(["", None, " \n", "ok"]), moment, "x", 3, arrived if rng.random() < 0.99 else None))
+    far = datetime(2290, 1, 1, tzinfo=timezone.utc)
+    rows += [(2000, None, "sent", "x", 5, "x", 0, far), (2001, "<>", "sent", "x", 5, "x", 0, far), (2002, "one", "sent", "x", 5, "x", 0, far)]
     df = spark.createDataFrame(rows, MESSAGE)
     by = {}
-    for i, t, d, s, u, _, _ in rows:
+    for i, t, d, s, u, *_ in rows:
         t = (t or "").strip(" <>")
         who = {"sent": "me", "outbound": "me", "in": "contact", "received": "contact"}.get(d.strip().lower())
         if t:
@@ -31,22 +38,30 @@ def test_conversations_against_brute_force(spark):
         if all(m[0] is not None and m[2] for m in ms) and len({m[2] for m in ms}) == 2 and any(m[3] for m in ms):
             ms.sort()
             want |= {(ms[0][1], k, m[1], m[2]) for k, m in enumerate(ms, 1)}
-    # short gaps, many batches and small states cut conversations into fragments; the result must not depend on it
-    for how in ({}, {"gap": "2 days", "files_per_batch": 1, "state_rows": 40}):
+    # short timeouts, many steps and small states; the result must not depend on them, and no row may be late
+    for how in ({}, {"timeout": 3_600, "delay": 0, "step_rows": 60, "state_rows": 40}):
         out = conv.conversations(conv.lean_messages(df.repartition(6)), **how)
         assert {(r.conv_id, r.turn_no, r.id, r.speaker) for r in out.collect()} == want
     assert conv.conversations(conv.lean_messages(df.where("false"))).count() == 0
 
 
 def test_live_stream_closes_silent_conversations(spark, tmp_path):
+    """Valid conversations leave the stream when the timeout runs out; broken and open ones do not; senders' dates move no clock."""
     d = str(tmp_path)
-    shape = "thread string, id long, moment long, speaker string, said boolean, part long"
+    shape = "thread string, id long, moment long, arrived long, speaker string, said boolean"
     day = 86_400
-    for k, rows in enumerate([[("a", 1, 0, "me", True, 0)], [("a", 2, day, "contact", True, 0)], [("b", 3, 90 * day, "me", True, 0)], [("c", 4, 95 * day, "me", True, 0)]]):
-        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(f"{d}/in")
-    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(f"{d}/in")
-    conv.fragments(stream, "10 days", "60 days").writeStream.format("parquet").option("path", f"{d}/out").option("checkpointLocation", f"{d}/cp").trigger(availableNow=True).start().awaitTermination()
-    assert [[t.id for t in r.turns] for r in spark.read.parquet(f"{d}/out").collect()] == [[1, 2]]
+    batches = [
+        [("a", 1, 0, 0, "me", True), ("late", 7, 9_000_000_000, day, "me", True), ("mute", 9, 5, day, "me", True)],
+        [("a", 2, -day, day, "contact", True), ("late", 8, 5, 2 * day, "contact", False)],
+        [("b", 3, 90 * day, 90 * day, "me", True), ("b", 5, 90 * day, 90 * day, "contact", True), ("", 6, 0, 90 * day, "me", True)],
+        [("c", 4, 95 * day, 95 * day, "me", True)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, shape).coalesce(1).write.parquet(f"{d}/in/{k}")
+    for k in range(len(batches)):
+        stream = spark.readStream.schema(shape).parquet(f"{d}/in/[0-{k}]")
+        conv.live_conversations(stream, 10 * day, 60 * day).writeStream.format("parquet").option("path", f"{d}/out").option("checkpointLocation", f"{d}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.conv_id, r.turn_no, r.id, r.speaker) for r in spark.read.parquet(f"{d}/out").collect()) == [(2, 1, 2, "contact"), (2, 2, 1, "me"), (8, 1, 8, "contact"), (8, 2, 7, "me")]
 
 
 DOCS = "doc_id long, text string, lang string, item_id long, items string"
