@@ -25,8 +25,10 @@ ZONE_ABBREVIATIONS = {
     "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420, "akst": -540, "akdt": -480, "hst": -600,
 }
 
-#: Years whose clock readings are resolved by a zone; readings outside must carry an offset.
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: Years for which the offsets of a zone are listed. No zone's clock changed before 1800, so the first offset holds for all
+#: earlier years; after LAST_YEAR every zone follows a yearly rule, so a year takes the offsets of the one among the last
+#: 28 listed that begins on the same weekday and is as long.
+FIRST_YEAR, LAST_YEAR = 1800, 2128
 
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?"
 _OFFSET = r"(Z|z|[A-Za-z]{2,5}|(?:UTC|GMT)?[+-]\d{2}:?\d{2}|(?:UTC|GMT)?[+-]\d{2})"
@@ -105,6 +107,21 @@ def with_clock(df: DataFrame, text: str) -> DataFrame:
     return out.select(*df.columns, "_epoch", clock.cast("long").alias("_clock"), "_year", "_offset", "_zone")
 
 
+#: A second before any date.
+BEGINNING = -(10**15)
+
+
+def listed_year(year: Column) -> Column:
+    """The listed year that has the same offsets at the same times of the year."""
+    leap = lambda y: y % 4 == 0 and (y % 100 != 0 or y % 400 == 0)
+    alike = {2 * datetime(y, 1, 1).weekday() + leap(y): y for y in range(LAST_YEAR - 27, LAST_YEAR + 1)}
+    long = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    # 1970 began on a Thursday
+    weekday = F.pmod(_civil(year, F.lit(1), F.lit(1)) + 3, F.lit(7))
+    later = F.get(F.array(*[F.lit(alike[k]) for k in range(14)]), (2 * weekday + long.cast("int")).cast("int"))
+    return F.when(year > LAST_YEAR, later).otherwise(F.greatest(year, F.lit(FIRST_YEAR)))
+
+
 @lru_cache(maxsize=1024)
 def zone_intervals(zone: str) -> tuple[tuple[int, int, int], ...]:
     """(first UTC second, end, offset) of each interval in which the zone keeps one offset, over FIRST_YEAR..LAST_YEAR."""
@@ -112,7 +129,7 @@ def zone_intervals(zone: str) -> tuple[tuple[int, int, int], ...]:
     at = lambda t: int((datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=t)).astimezone(z).utcoffset().total_seconds())
     first = int(datetime(FIRST_YEAR - 1, 12, 30, tzinfo=timezone.utc).timestamp())
     last = int(datetime(LAST_YEAR + 1, 1, 3, tzinfo=timezone.utc).timestamp())
-    out, since, t, off, step = [], first, first, at(first), 6 * 86400
+    out, since, t, off, step = [], BEGINNING, first, at(first), 6 * 86400
     while t < last:
         if (new := at(t + step)) != off:
             k = t + bisect.bisect_left(range(1, step + 1), True, key=lambda x: at(t + x) != off) + 1
@@ -126,7 +143,7 @@ def zone_intervals(zone: str) -> tuple[tuple[int, int, int], ...]:
 def interval_table(spark, zones: list[str]) -> DataFrame:
     """One row per zone and local year: the intervals that a clock reading of that year can fall in, in order of time.
 
-    At most 599 zones times 201 years, each with a few intervals: the size bound of the broadcast.
+    At most 599 zones times 329 years, each with a few intervals: the size bound of the broadcast.
     """
     rows = []
     for zone in zones:
@@ -146,12 +163,16 @@ def known_zones(named: list[str]) -> dict[str, str]:
     return {x: own[x.strip().lower()] for x in named if x and x.strip().lower() in own}
 
 
-def to_utc(df: DataFrame, text: str, default_zone: str, out: str = "utc_second", defaults: DataFrame | None = None) -> DataFrame:
+def to_utc(df: DataFrame, text: str, default_zone: str, out: str = "utc_second", defaults: DataFrame | None = None, status: str | None = None) -> DataFrame:
     """df with the column out: UTC second of the text date, null where it names no moment.
 
     default_zone names the column with the IANA zone that holds where the text has neither offset nor zone. Columns of df
-    keep their names and order; defaults may give all values of default_zone as a table of that one column; names starting with an underscore followed by a letter are reserved. An unknown zone in
-    the text or in default_zone makes such rows null. Duplicated rows stay; an empty df gives an empty result.
+    keep their names and order; defaults may give all values of default_zone as a table of that one column; names starting
+    with an underscore followed by a letter are reserved. An unknown zone in the text or in default_zone makes such rows
+    null. Duplicated rows stay; an empty df gives an empty result; any year from 1 to 9999 is read.
+
+    status names a further column: how the moment was found (`count` since 1970, `offset` in the text, `once`, `twice` or
+    `skipped` by the clock of the zone) or why there is none (`blank`, `no date`, `impossible`).
     """
     clocked = with_clock(df, text)
     zones = known_zones(_zones_in(df, text, df.select(default_zone) if defaults is None else defaults))
@@ -160,11 +181,22 @@ def to_utc(df: DataFrame, text: str, default_zone: str, out: str = "utc_second",
     alias = spark.createDataFrame([(k, v) for k, v in zones.items()], "_named string, _zone_key string")
     spans = F.broadcast(alias.join(F.broadcast(table), "_zone_key").drop("_zone_key"))
     wanted = F.when(F.col("_clock").isNotNull() & F.col("_offset").isNull(), F.coalesce("_zone", F.col(default_zone)))
-    joined = clocked.withColumn("_named", wanted).join(spans.withColumnRenamed("_zone_year", "_year"), ["_named", "_year"], "left")
-    hits = F.filter("_spans", lambda x: (x.ls <= F.col("_clock")) & (F.col("_clock") < x.le))
-    before = F.filter("_spans", lambda x: x.le <= F.col("_clock"))
+    keyed = clocked.withColumns({"_named": wanted, "_zone_year": listed_year(F.col("_year"))})
+    joined = keyed.join(spans, ["_named", "_zone_year"], "left")
+    shift = (_civil(F.col("_year"), F.lit(1), F.lit(1)) - _civil(F.col("_zone_year"), F.lit(1), F.lit(1))).cast("long") * 86400
+    clock = F.col("_clock") - F.when(F.col("_year") > LAST_YEAR, shift).otherwise(0)
+    joined = joined.withColumn("_like", clock)
+    hits = F.filter("_spans", lambda x: (x.ls <= F.col("_like")) & (F.col("_like") < x.le))
+    before = F.filter("_spans", lambda x: x.le <= F.col("_like"))
     offset = F.coalesce(F.col("_offset"), F.get(hits, F.lit(0)).off, F.when(F.size(before) > 0, F.try_element_at(before, F.lit(-1)).off))
-    return joined.select(*df.columns, F.coalesce("_epoch", F.col("_clock") - offset).alias(out))
+    found = F.coalesce("_epoch", F.col("_clock") - offset)
+    columns = [*df.columns, found.alias(out)]
+    if status:
+        by_clock = F.when(F.size(hits) == 1, "once").when(F.size(hits) > 1, "twice").otherwise("skipped")
+        known = F.when(F.col("_epoch").isNotNull(), "count").when(F.col("_offset").isNotNull(), "offset").otherwise(by_clock)
+        lacking = F.when(F.coalesce(F.trim(F.col(text), F.lit(" \t\r\n\u00a0")), F.lit("")) == "", "blank").when(F.col("_year").isNull(), "no date").otherwise("impossible")
+        columns.append(F.when(found.isNotNull(), known).otherwise(lacking).alias(status))
+    return joined.select(*columns)
 
 
 def _zones_in(df: DataFrame, text: str, defaults: DataFrame) -> list[str]:

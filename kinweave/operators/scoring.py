@@ -43,18 +43,22 @@ def reciprocity_minmax(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.least(a, b), F.greatest(a, b)), F.lit(0.0))
 
 
-def relationship_scores(rows: DataFrame, contact: str, moment: str, kind: str, as_of: str, window_days: int = 30) -> DataFrame:
+def relationship_scores(rows: DataFrame, contact: str, moment: str, kind: str, as_of: str, window_days: int = 30, contacts: DataFrame | None = None) -> DataFrame:
     """One row per contact: recency, frequency, depth, score (unrounded parts to 9 digits) and status.
 
     recency exp(-days/30) since the last interaction, frequency the interactions of the last window_days by 4 (1 at most),
     depth the mean weight of the kinds, reciprocity taken as 0.5. Rows without contact are left out, rows without moment
-    count for depth only. One aggregation with map-side partials: a contact with a third of all rows is no burden.
+    count for depth only. contacts: a table of the one column contact, all of whose (distinct) rows come out, those without
+    interactions too; interactions of others are then left out. One aggregation with map-side partials: a contact with a
+    third of all rows is no burden.
     """
     now = F.lit(as_of).cast("timestamp")
     weights = F.create_map(*[F.lit(x) for kv in DEPTH_WEIGHTS.items() for x in kv])
     depth = F.coalesce(F.try_element_at(weights, F.lower(F.col(kind))), F.lit(OTHER_DEPTH))
     recent = F.col(moment) >= now - F.expr(f"INTERVAL {int(window_days)} DAYS")
     g = rows.where(F.col(contact).isNotNull()).groupBy(F.col(contact).alias("contact")).agg(F.count(F.lit(1)).alias("n"), F.count_if(recent).alias("n_recent"), F.max(moment).alias("last_at"), F.avg(depth).alias("depth"))
+    if contacts is not None:
+        g = contacts.where("contact IS NOT NULL").distinct().join(g, "contact", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "n_recent", "depth")})
     g = g.withColumn("days_since", elapsed_days(now, F.col("last_at")))
     g = g.withColumn("recency", F.coalesce(F.exp(-F.col("days_since") / 30), F.lit(0.0))).withColumn("frequency", F.least(F.col("n_recent") / 4, F.lit(1.0)))
     w = SCORE_WEIGHTS
@@ -69,3 +73,9 @@ def correspondence_metrics(contacts: DataFrame, as_of: str) -> DataFrame:
     months = F.greatest(F.datediff(day, F.col("first_seen")), F.lit(1)) / 30
     recency = F.pow(F.lit(2.718), -F.datediff(day, F.col("last_seen")) / 90)
     return contacts.select("email", F.round(F.try_divide(total, months), 6).alias("frequency"), F.round(reciprocity_even(F.col("sent_count"), F.col("received_count")), 6).alias("reciprocity"), F.round(recency, 6).alias("recency"))
+
+
+def span_frequency(total: Column, first_at: Column, last_at: Column) -> Column:
+    """Messages a month (of 30 days) between the first and the last second of contact, one month at least."""
+    days = F.greatest(F.floor((last_at - first_at) / 86_400), F.lit(1))
+    return total / F.greatest(days / 30, F.lit(1.0))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that are no keywords.
 STOP_WORDS = (
     "re fwd fw the a an and or but in on at to for of with by from is are was were be been being have has had do does did will would "
     "could should may might must this that these those i you he she it we they my your his her its our their what which who whom whose "
-    "when where why how all each every both few more most other some such no nor not only own same so than too very just can"
+    "when where why how all each every both few more most other some such no nor not only own same so than too very just "
+    "about up down out off over under"
 ).split()
 
 # Texts by which a sender is told to be a machine, a newsletter, a service or a platform, in order of precedence.
@@ -35,9 +36,9 @@ INTERACTION_WORDS = [
 INDUSTRY_WORDS = {
     "storage": ["storage", "ipfs", "filecoin", "arweave", "backup"], "defi": ["defi", "swap", "liquidity", "lending", "yield", "amm"],
     "nft": ["nft", "marketplace", "collectible", "art"], "web3": ["web3", "decentralized", "blockchain", "crypto"],
-    "ai-ml": ["ai", "ml", "machine learning", "artificial intelligence", "llm"], "identity": ["identity", "did", "credential", "verification", "ssi"],
+    "ai_ml": ["ai", "ml", "machine learning", "artificial intelligence", "llm"], "identity": ["identity", "did", "credential", "verification", "ssi"],
     "privacy": ["privacy", "zero knowledge", "zk", "encryption"], "rwa": ["rwa", "real world asset", "tokenization", "real estate"],
-    "data-infrastructure": ["data", "infrastructure", "api", "indexing"],
+    "data_infrastructure": ["data", "infrastructure", "api", "indexing"],
 }
 
 # What makes a capitalised phrase a company, a role, a project or an event.
@@ -79,7 +80,7 @@ def strip_html(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), r"\s+", " "))
 
 
-def _contains_any(text: Column, words: list[str]) -> Column:
+def contains_any(text: Column, words: list[str]) -> Column:
     hit = F.lit(False)
     for w in words:
         hit = hit | F.contains(text, F.lit(w))
@@ -90,17 +91,26 @@ def first_class(text: Column, classes: list[tuple[str, list[str]]], other: str)
     """The first class one of whose words the text contains, in lower case."""
     low, out = F.lower(F.coalesce(text, F.lit(""))), F.lit(other)
     for name, words in reversed(classes):
-        out = F.when(_contains_any(low, words), name).otherwise(out)
+        out = F.when(contains_any(low, words), name).otherwise(out)
     return out
 
 
-def sender_type(address: Column) -> Column:
-    return first_class(address, SENDER_PATTERNS, "personal")
+def sender_type(address: Column, name: Column | None = None, own_domain: str = "") -> Column:
+    """The class of a sender by address, then `forwarded` by a display name that says so, else `personal`.
+
+    A name with "via zapier" is forwarded, and one with "via" at own_domain.
+    """
+    by_address = first_class(address, SENDER_PATTERNS, "")
+    if name is None:
+        return F.when(by_address == "", "personal").otherwise(by_address)
+    low = F.lower(F.coalesce(name, F.lit("")))
+    relayed = low.contains("via zapier") | (low.contains("via") & F.coalesce(F.lower(address).contains("@" + own_domain), F.lit(False)) if own_domain else F.lit(False))
+    return F.when(by_address != "", by_address).when(relayed, "forwarded").otherwise("personal")
 
 
 def asks(text: Column) -> Column:
     """Whether the text asks for an answer."""
-    return _contains_any(F.lower(F.coalesce(text, F.lit(""))), QUESTION_MARKERS)
+    return contains_any(F.lower(F.coalesce(text, F.lit(""))), QUESTION_MARKERS)
 
 
 def interaction_kind(text: Column) -> Column:
@@ -110,7 +120,7 @@ def interaction_kind(text: Column) -> Column:
 def industries(text: Column, most: int = 3) -> Column:
     """The first industries whose words the text contains, in the fixed order."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    marks = F.array(*[F.when(_contains_any(low, words), name) for name, words in INDUSTRY_WORDS.items()])
+    marks = F.array(*[F.when(contains_any(low, words), name) for name, words in INDUSTRY_WORDS.items()])
     return F.slice(F.array_compact(marks), 1, most)
 
 
@@ -169,14 +179,98 @@ def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.regexp_replace(text, "\r", ""), "\n")).alias("k", "line")).select(key, (F.col("k") + 1).cast("long").alias("line_no"), "line")
 
 
-def with_heading(lines: DataFrame, key: str, pattern: str = r"^#+\s+(.+)$") -> DataFrame:
-    """Lines with the last heading at or above them."""
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    own = F.nullif(F.regexp_extract("line", pattern, 1), F.lit(""))
-    return lines.withColumn("heading", F.last(own, ignorenulls=True).over(w))
+def _split(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.where(F.col(text).isNotNull()).select(key, F.split(F.regexp_replace(text, "\r", ""), "\n").alias("_lines"))
+
+
+def with_heading(df: DataFrame, key: str, text: str, pattern: str = r"^#+\s+(.+)$") -> DataFrame:
+    """(key, line_no from 1, line, heading): each line of the text with the last heading at or above it, null above the first.
+
+    A text is cut into sections where it stands, so no line is shuffled or sorted. Null texts have no lines.
+    """
+    own = _split(df, key, text).withColumn("_own", F.transform("_lines", lambda x: F.nullif(F.regexp_extract(x, pattern, 1), F.lit(""))))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_own") - 1), lambda i: (i == 0) | F.get("_own", i).isNotNull())
+    cut = own.select(key, "_lines", "_own", starts.alias("_starts"), F.size("_own").alias("_n"))
+    section = lambda s, k: F.struct(F.get("_own", s).alias("heading"), s.alias("start"), F.slice("_lines", s + 1, F.coalesce(F.get("_starts", k + 1), F.col("_n")) - s).alias("body"))
+    sections = cut.select(key, F.explode(F.transform("_starts", section)).alias("_s"))
+    return sections.select(key, "_s.start", "_s.heading", F.posexplode("_s.body").alias("k", "line")).select(key, (F.col("start") + F.col("k") + 1).cast("long").alias("line_no"), "line", "heading")
+
+
+def with_context(df: DataFrame, key: str, text: str, most: int = 500) -> DataFrame:
+    """(key, line_no from 1, line, context): each line with its neighbours, joined by blanks and cut to most characters."""
+    cut = _split(df, key, text).withColumn("_n", F.size("_lines"))
+    beside = lambda x, i: F.struct(x.alias("line"), F.substring(F.concat_ws(" ", F.get("_lines", i - 1), x, F.get("_lines", i + 1)), 1, most).alias("context"))
+    found = cut.select(key, F.posexplode(F.transform("_lines", beside)).alias("k", "c"))
+    return found.select(key, (F.col("k") + 1).cast("long").alias("line_no"), "c.line", "c.context")
+
+
+def body_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line_no, line) of a note's body: without the settings at its head, blank lines and headings.
+
+    Lines count from the end of the settings.
+    """
+    bare = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?s)\A---.*?---", "")
+    lines = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(bare, "\n")).alias("k", "line"))
+    return lines.where((F.trim("line") != "") & ~F.col("line").startswith("#")).select(key, (F.col("k") + 1).cast("long").alias("line_no"), "line")
+
+
+# Parts of a name by which a party is a company or else a project, in order of precedence.
+COMPANY_INDICATORS = ["labs", "capital", "ventures", "fund", "group", "inc", "ltd", "exchange", ".com", ".io", "network", "finance", "global", "solutions", "tech", "dao", "protocol", "foundation"]
+PROJECT_INDICATORS = ["chain", "network", "protocol"]
+# Parts of group names by which industries are told.
+GROUP_INDUSTRIES = [
+    (["web3", "blockchain"], ["eth", "bzz", "defi", "web3", "crypto", "chain", "dao"]),
+    (["infrastructure"], ["network", "infrastructure", "protocol", "storage"]),
+    (["finance"], ["capital", "ventures", "fund", "trading", "exchange"]),
+    (["ai"], ["ai", "gordon"]),
+    (["market_making"], ["market", "liquidity", "maker"]),
+]
+# Parts of group names by which a relationship is told, in order of precedence within a name.
+GROUP_RELATIONS = [("investor", ["labs", "capital", "ventures"]), ("partner", ["exchange", ".com", ".io", "listing", "ama"])]
+# Parts of domains by which a circle of contacts is named, in order of precedence.
+THEMES = [
+    ("Legal Contacts", ["law", "legal"]), ("Investors & VCs", [".vc", "capital", "ventures", "usv"]), ("Academic Network", [".edu", "university", "research"]),
+    ("Personal Contacts", ["gmail", "yahoo", "outlook"]),
+]
+
+
+def party_class(name: Column, own: list[str] = ()) -> Column:
+    """`company` or `project` by parts of the name, `company` where none tells; null for one's own names."""
+    low = F.lower(name)
+    kind = F.when(contains_any(low, COMPANY_INDICATORS), "company").when(contains_any(low, PROJECT_INDICATORS), "project").otherwise("company")
+    return F.when(name.isNotNull() & ~contains_any(low, list(own)), kind)
+
+
+def group_industries(groups: Column, most: int = 5) -> Column:
+    """Sorted industries that the names of groups (an array) tell, at most `most`."""
+    none = F.array().cast("array<string>")
+    found = [F.when(F.exists(groups, lambda g, ws=ws: contains_any(F.lower(F.coalesce(g, F.lit(""))), ws)), F.array(*map(F.lit, tags))).otherwise(none) for tags, ws in GROUP_INDUSTRIES]
+    return F.slice(F.array_sort(F.flatten(F.array(*found))), 1, most)
+
 
+def group_relation(groups: Column) -> Column:
+    """The relationship that the first telling group name tells; `partner` where none does."""
+    told = F.transform(groups, lambda g: F.nullif(first_class(g, GROUP_RELATIONS, ""), F.lit("")))
+    return F.coalesce(F.get(F.array_compact(told), F.lit(0)), F.lit("partner"))
 
-def with_context(lines: DataFrame, key: str, most: int = 500) -> DataFrame:
-    """Lines with their neighbours, joined by blanks and cut to most characters."""
-    w = Window.partitionBy(key).orderBy("line_no")
-    return lines.withColumn("context", F.substring(F.concat_ws(" ", F.lag("line").over(w), "line", F.lead("line").over(w)), 1, most))
+
+def relevance_tier(messages: Column) -> Column:
+    """4 for over 1,000 messages, 3 for over 300, 2 for over 100, else 1."""
+    return F.when(messages > 1000, 4).when(messages > 300, 3).when(messages > 100, 2).otherwise(1)
+
+
+def theme_of(domains: Column) -> Column:
+    """The theme of a circle by its domains (an array): a named one, else the first domain's first label as a network."""
+    joined = F.array_join(domains, " ")
+    out = F.concat(F.initcap(F.get(F.split(F.get(domains, F.lit(0)), r"\."), F.lit(0))), F.lit(" Network"))
+    for name, words in reversed(THEMES):
+        out = F.when(contains_any(joined, words), name).otherwise(out)
+    return F.when(F.size(domains) > 0, out)
+
+
+def instruction_for(name: Column, instructions: list[tuple[str, str]]) -> Column:
+    """The instruction of the last group whose name contains the contact's; null for none. Names compare in lower case."""
+    out = F.lit(None).cast("string")
+    for group, text in instructions:
+        out = F.when(F.lit(group.lower()).contains(F.lower(name)), text).otherwise(out)
+    return out

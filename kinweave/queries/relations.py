@@ -2,64 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.operators import entities, graph, ranking, resolve, scoring, text
+from kinweave.operators import entities, ranking, resolve, scoring, text
+from kinweave.operators.dates import message_moments
+from kinweave.plans.skew import heavy_or_none, lookup_join
 from kinweave.plans.tables import table
+from kinweave.queries.messages import MOMENTS_SQL
+from kinweave.queries.views import EM_SQL, IM_SQL, emails, interactions, registry
 
 AS_OF = "2025-12-31"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+SCORED_AT, SCORED_BEFORE = "2025-06-30", "2025-06-23"
+QUERIES, ORACLES, query = registry()
 
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _direction(c="direction"):
-    d = F.lower(F.trim(F.col(c)))
-    return F.when(d.isin("sent", "outgoing", "outbound", "out"), "sent").when(d.isin("received", "incoming", "inbound", "in"), "received")
-
-
-_DIRECTION = "CASE WHEN lower(trim(direction)) IN ('sent','outgoing','outbound','out') THEN 'sent' WHEN lower(trim(direction)) IN ('received','incoming','inbound','in') THEN 'received' END"
-_COUNTS = f"WITH c AS (SELECT contact_id, count(*) FILTER (WHERE {_DIRECTION} = 'sent') AS sent, count(*) FILTER (WHERE {_DIRECTION} = 'received') AS received FROM interactions WHERE contact_id IS NOT NULL GROUP BY 1)"
+_COUNTS = f"WITH {IM_SQL}, c AS (SELECT contact_id, count(*) FILTER (WHERE side = 'sent') AS sent, count(*) FILTER (WHERE side = 'received') AS received FROM im WHERE contact_id IS NOT NULL GROUP BY 1)"
 
 
 def _counts(spark: SparkSession, folder: str) -> DataFrame:
-    d = _direction()
-    return table(spark, folder, "interactions").where("contact_id IS NOT NULL").groupBy("contact_id").agg(F.count_if(d == "sent").alias("sent"), F.count_if(d == "received").alias("received"))
+    return interactions(spark, folder).where("contact_id IS NOT NULL").groupBy("contact_id").agg(F.count_if(F.col("side") == "sent").alias("sent"), F.count_if(F.col("side") == "received").alias("received"))
 
 
 # --- scores and classes ---------------------------------------------------------------------------------------------
 
-_SCORE = """
-WITH g AS (
-  SELECT contact_id AS contact, count(*) AS n, count(*) FILTER (WHERE loaded_at >= TIMESTAMPTZ '2025-10-31 00:00:00+00' - INTERVAL 30 DAY) AS n_recent, max(loaded_at) AS last_at, 0.5::DOUBLE AS depth
-  FROM interactions WHERE contact_id IS NOT NULL GROUP BY 1),
-s AS (SELECT *, floor((epoch(TIMESTAMPTZ '2025-10-31 00:00:00+00') - epoch(last_at)) / 86400)::BIGINT AS days_since FROM g),
-r AS (SELECT *, exp(-days_since / 30.0) AS recency, least(n_recent / 4.0, 1.0) AS frequency FROM s),
-f AS (SELECT *, 0.4 * recency + 0.3 * frequency + 0.2 * depth + 0.05 AS score FROM r)
-"""
-
-
-def _scores(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "interactions").withColumn("kind", F.lit("email"))
-    return scoring.relationship_scores(rows, "contact_id", "loaded_at", "kind", "2025-10-31")
-
-
-@query(_SCORE + "SELECT contact, n, days_since, round(recency, 6) AS recency, round(frequency, 6) AS frequency, round(depth, 6) AS depth, round(score, 6) AS score, CASE WHEN score > 0.7 THEN 'active' WHEN score > 0.5 THEN 'warming' WHEN score > 0.4 THEN 'cooling' ELSE 'dormant' END AS status FROM f")
+def _score_sql(name: str, as_of: str) -> str:
+    """Scores of all contacts by name at a moment, as the table `name`, from the table x(contact, kind, at)."""
+    return f"""
+{name}_g AS (
+  SELECT p.contact, count(x.kind) AS n, count(*) FILTER (WHERE x.at_s >= epoch(TIMESTAMP '{as_of}') - 30 * 86400) AS n_recent, max(x.at_s) AS last_at,
+    coalesce(avg(CASE WHEN x.kind IS NULL THEN NULL WHEN x.kind = 'meeting' THEN 1.0 WHEN x.kind = 'call' THEN 0.8 WHEN x.kind = 'email' THEN 0.5 WHEN x.kind = 'message' THEN 0.4 ELSE 0.2 END), 0) AS depth
+  FROM people p LEFT JOIN (SELECT * FROM x WHERE at_s IS NULL OR at_s <= epoch(TIMESTAMP '{as_of}')) x USING (contact) GROUP BY 1),
+{name}_s AS (SELECT *, floor((epoch(TIMESTAMP '{as_of}') - last_at) / 86400)::BIGINT AS days_since FROM {name}_g),
+{name}_r AS (SELECT *, coalesce(exp(-days_since / 30.0), 0) AS recency, least(n_recent / 4.0, 1.0) AS frequency FROM {name}_s),
+{name}_f AS (SELECT *, 0.4 * recency + 0.3 * frequency + 0.2 * depth + 0.05 AS score FROM {name}_r),
+{name} AS (SELECT *, CASE WHEN score > 0.7 THEN 'active' WHEN score > 0.5 THEN 'warming' WHEN score > 0.4 THEN 'cooling' ELSE 'dormant' END AS status FROM {name}_f)"""
+
+
+_PEOPLE = f"""WITH {MOMENTS_SQL},
+people AS (SELECT DISTINCT lower(trim(name)) AS contact FROM contacts WHERE trim(name) <> ''),
+named AS (SELECT lower(trim(email)) AS email, min(lower(trim(name))) AS contact FROM contacts WHERE trim(name) <> '' AND trim(email) <> '' GROUP BY 1),
+x AS (
+  SELECT coalesce(n.contact, lower(trim(c.contact))) AS contact, coalesce(lower(trim(c.interaction_type)), '') AS kind, m.utc_second AS at_s
+  FROM channel_interactions c JOIN m ON m.origin = 'channel_interactions' AND m.record_id = c.row_id LEFT JOIN named n ON n.email = lower(trim(c.contact)))"""
+_SCORE = _PEOPLE + "," + _score_sql("f", SCORED_AT)
+
+
+def _scores(spark: SparkSession, folder: str, as_of: str = SCORED_AT) -> DataFrame:
+    # an interaction names its contact by name or by address; a contact is a name, with or without interactions up to as_of
+    people = table(spark, folder, "contacts").select(F.lower(F.trim("name")).alias("contact"), F.lower(F.trim("email")).alias("who")).where("contact <> ''")
+    named = people.where("who <> ''").groupBy("who").agg(F.min("contact").alias("named"))
+    rows = message_moments(table(spark, folder, "channel_interactions").select("mailbox_id", "date", F.lower(F.trim("contact")).alias("who"), F.lower(F.trim("interaction_type")).alias("kind")), table(spark, folder, "mailboxes"))
+    rows = rows.where(F.col("utc_second").isNull() | (F.col("utc_second") <= F.unix_timestamp(F.lit(as_of).cast("timestamp"))))
+    rows = lookup_join(rows.withColumn("moment", F.timestamp_seconds("utc_second")), "who", named, heavy_or_none(rows, "who", rows.count()))
+    return scoring.relationship_scores(rows.withColumn("contact", F.coalesce("named", "who")), "contact", "moment", "kind", as_of, contacts=people.select("contact"))
+
+
+@query(_SCORE + "SELECT contact, n, days_since, round(recency, 6) AS recency, round(frequency, 6) AS frequency, round(depth, 6) AS depth, round(score, 6) AS score, status FROM f")
 def relationship_score(spark, folder):
     return _scores(spark, folder)
 
 
-@query(_SCORE + "SELECT CASE WHEN score > 0.7 THEN 'active' WHEN score > 0.5 THEN 'warming' WHEN score > 0.4 THEN 'cooling' ELSE 'dormant' END AS status, count(*) AS contacts, round(avg(score), 6) AS mean_score FROM f GROUP BY 1")
+@query(_SCORE + "SELECT status, count(*) AS contacts, round(avg(round(score, 6)), 6) AS mean_score FROM f GROUP BY 1")
 def score_status_summary(spark, folder):
     return _scores(spark, folder).groupBy("status").agg(F.count(F.lit(1)).alias("contacts"), F.round(F.avg("score"), 6).alias("mean_score"))
 
@@ -72,14 +75,12 @@ def interaction_depth(spark, folder):
     return scoring.relationship_scores(rows, "contact", "moment", "interaction_type", AS_OF).select("contact", "n", "depth")
 
 
-@query(f"""
-WITH s AS (SELECT contact_id, date_trunc('week', loaded_at)::DATE::VARCHAR AS week, count(*) AS n FROM interactions WHERE contact_id IS NOT NULL GROUP BY 1, 2),
-l AS (SELECT *, lag(n) OVER (PARTITION BY contact_id ORDER BY week) AS before FROM s)
-SELECT contact_id, week, n, before, CASE WHEN before IS NULL THEN 'new' WHEN n > before THEN 'up' WHEN n < before THEN 'down' ELSE 'stable' END AS trend FROM l""")
+@query(_PEOPLE + "," + _score_sql("f", SCORED_AT) + "," + _score_sql("g", SCORED_BEFORE) + " SELECT f.contact, round(f.score, 6) AS score, round(g.score, 6) AS before, CASE WHEN round(f.score, 6) > round(g.score, 6) THEN 'up' WHEN round(f.score, 6) < round(g.score, 6) THEN 'down' ELSE 'stable' END AS trend FROM f JOIN g USING (contact)")
 def score_trend(spark, folder):
-    weeks = table(spark, folder, "interactions").where("contact_id IS NOT NULL").groupBy("contact_id", F.to_date(F.date_trunc("week", "loaded_at")).cast("string").alias("week")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.lag("n").over(Window.partitionBy("contact_id").orderBy("week"))
-    return weeks.withColumn("before", before).withColumn("trend", F.when(F.col("before").isNull(), "new").when(F.col("n") > F.col("before"), "up").when(F.col("n") < F.col("before"), "down").otherwise("stable"))
+    # scores of this week beside those of the week before
+    now, before = _scores(spark, folder), _scores(spark, folder, SCORED_BEFORE).select("contact", F.col("score").alias("before"))
+    trend = F.when(F.col("score") > F.col("before"), "up").when(F.col("score") < F.col("before"), "down").otherwise("stable")
+    return now.join(before, "contact").select("contact", "score", "before", trend.alias("trend"))
 
 
 @query("""
@@ -135,13 +136,20 @@ def reconnection_candidates(spark, folder):
     return ranking.top_k(c.select("id", "email", "frequency_score", "reciprocity_score"), [F.desc("frequency_score"), F.col("id")], 20)
 
 
-@query("SELECT id, email, 'sent' AS side, sent_count, received_count FROM contacts WHERE sent_count > 3 * received_count AND sent_count >= 5 UNION ALL SELECT id, email, 'received', sent_count, received_count FROM contacts WHERE received_count > 3 * sent_count AND received_count >= 5")
+@query("(SELECT id, email, 'sent' AS side, sent_count, received_count FROM contacts WHERE sent_count > 3 * received_count AND sent_count >= 5 ORDER BY sent_count DESC, id LIMIT 50) UNION ALL (SELECT id, email, 'received', sent_count, received_count FROM contacts WHERE received_count > 3 * sent_count AND received_count >= 5 ORDER BY received_count DESC, id LIMIT 50)")
 def one_way_contacts(spark, folder):
     c = table(spark, folder, "contacts")
-    side = lambda a, b, name: c.where((F.col(a) > 3 * F.col(b)) & (F.col(a) >= 5)).select("id", "email", F.lit(name).alias("side"), "sent_count", "received_count")
+    side = lambda a, b, name: ranking.top_k(c.where((F.col(a) > 3 * F.col(b)) & (F.col(a) >= 5)).select("id", "email", F.lit(name).alias("side"), "sent_count", "received_count"), [F.desc(a), F.col("id")], 50)
     return side("sent_count", "received_count", "sent").unionByName(side("received_count", "sent_count", "received"))
 
 
+@query("SELECT id, email, sent_count + received_count AS total FROM contacts WHERE sent_count + received_count >= 5 AND community_id = 1 AND lower(domain) <> 'gmail.com' ORDER BY total DESC, id LIMIT 50")
+def contact_filter(spark, folder):
+    # all conditions are optional; here: a least total, a community and an excluded domain
+    c = table(spark, folder, "contacts").withColumn("total", F.col("sent_count") + F.col("received_count"))
+    return ranking.top_k(c.where((F.col("total") >= 5) & (F.col("community_id") == 1) & (F.lower("domain") != "gmail.com")).select("id", "email", "total"), [F.desc("total"), F.col("id")], 50)
+
+
 @query("SELECT id, email, name FROM contacts WHERE email ILIKE '%vel%' OR name ILIKE '%vel%' OR domain ILIKE '%vel%' OR len(list_filter(topics, lambda t: t ILIKE '%vel%')) > 0")
 def contact_search(spark, folder):
     hit = F.col("email").ilike("%vel%") | F.col("name").ilike("%vel%") | F.col("domain").ilike("%vel%") | F.exists("topics", lambda t: t.ilike("%vel%"))
@@ -158,7 +166,29 @@ def contact_lookup_fallback(spark, folder):
 @query("SELECT entry_id, coalesce(datediff('day', last_interaction, DATE '2025-12-31'), 999) AS days_since FROM contact_entries WHERE status = 'dormant'")
 def attention_needed(spark, folder):
     days = F.coalesce(F.datediff(F.lit(AS_OF).cast("date"), F.col("last_interaction")), F.lit(999)).cast("long")
-    return table(spark, folder, "contact_entries").where("status = 'dormant'").select("entry_id", days.alias("days_since"))
+    return table(spark, folder, "contact_entries").where("status = 'dormant'").select("entry_id", days.alias("days_since")).orderBy(F.desc("days_since"), "entry_id")
+
+
+@query("SELECT entry_id, name FROM contact_entries WHERE name IS NOT NULL ORDER BY name, entry_id")
+def index_by_name(spark, folder):
+    return table(spark, folder, "contact_entries").where("name IS NOT NULL").select("entry_id", "name").orderBy("name", "entry_id")
+
+
+@query("SELECT entry_id, name, space FROM contact_entries WHERE lower(trim(status)) = 'draft'")
+def draft_entries(spark, folder):
+    return table(spark, folder, "contact_entries").where(F.lower(F.trim("status")) == "draft").select("entry_id", "name", "space")
+
+
+@query("SELECT entry_id, name, interaction_count FROM contact_entries WHERE lower(trim(status)) = 'dormant' AND interaction_count >= 5 ORDER BY interaction_count DESC, entry_id LIMIT 30")
+def dormant_high_value(spark, folder):
+    e = table(spark, folder, "contact_entries").where((F.lower(F.trim("status")) == "dormant") & (F.col("interaction_count") >= 5))
+    return ranking.top_k(e.select("entry_id", "name", "interaction_count"), [F.desc("interaction_count"), F.col("entry_id")], 30)
+
+
+@query("SELECT entry_id, name, last_interaction::VARCHAR AS last_interaction FROM contact_entries WHERE last_interaction BETWEEN DATE '2025-06-23' AND DATE '2025-06-30'")
+def recent_entries(spark, folder):
+    # the seven days up to the date of the report
+    return table(spark, folder, "contact_entries").where("last_interaction BETWEEN DATE'2025-06-23' AND DATE'2025-06-30'").select("entry_id", "name", F.col("last_interaction").cast("string").alias("last_interaction"))
 
 
 @query("SELECT domain, id, email, total, rank FROM (SELECT domain, id, email, sent_count + received_count AS total, row_number() OVER (PARTITION BY domain ORDER BY sent_count + received_count DESC NULLS LAST, id) AS rank FROM contacts) WHERE rank <= 3")
@@ -180,9 +210,9 @@ def index_summary(spark, folder):
     return table(spark, folder, "contact_entries").groupBy("status", "space", "contact_type").agg(F.count(F.lit(1)).alias("entries"))
 
 
-@query("SELECT contact_id, strftime(loaded_at, '%Y-%m') AS month, count(*) AS n FROM interactions WHERE contact_id IS NOT NULL GROUP BY 1, 2")
+@query(f"WITH {IM_SQL} SELECT contact_id, strftime(day, '%Y-%m') AS month, count(*) AS n FROM im WHERE contact_id IS NOT NULL AND at_s IS NOT NULL GROUP BY 1, 2")
 def monthly_counts(spark, folder):
-    return table(spark, folder, "interactions").where("contact_id IS NOT NULL").groupBy("contact_id", F.date_format("loaded_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    return interactions(spark, folder).where("contact_id IS NOT NULL AND at_s IS NOT NULL").groupBy("contact_id", F.date_format("moment", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT domain, count(*) AS contacts, sum(sent_count + received_count)::BIGINT AS total FROM contacts GROUP BY 1 ORDER BY total DESC NULLS LAST, domain LIMIT 30")
@@ -196,9 +226,9 @@ def _case(column: str, classes, other: str) -> str:
     return f"CASE {whens} ELSE '{other}' END"
 
 
-@query(f"WITH t AS (SELECT {_case('from_email', text.SENDER_PATTERNS, 'personal')} AS kind FROM emails) SELECT kind, count(*) AS mails, round(count(*) / (SELECT count(*) FROM t), 6) AS share FROM t GROUP BY 1")
+@query(f"WITH {EM_SQL}, t AS (SELECT CASE WHEN k <> 'personal' THEN k WHEN contains(lower(coalesce(from_name, '')), 'via zapier') OR (contains(from_email, '@home.') AND contains(lower(from_name), 'via')) THEN 'forwarded' ELSE 'personal' END AS kind FROM (SELECT *, {_case('from_email', text.SENDER_PATTERNS, 'personal')} AS k FROM em)) SELECT kind, count(*) AS mails, round(count(*) / (SELECT count(*) FROM t), 6) AS share FROM t GROUP BY 1")
 def sender_type_share(spark, folder):
-    g = table(spark, folder, "emails").groupBy(text.sender_type(F.col("from_email")).alias("kind")).agg(F.count(F.lit(1)).alias("mails"))
+    g = emails(spark, folder).groupBy(text.sender_type(F.col("from_email"), F.col("from_name"), "home.").alias("kind")).agg(F.count(F.lit(1)).alias("mails"))
     return ranking.with_share(g, "mails")
 
 
@@ -207,25 +237,40 @@ def interaction_kinds(spark, folder):
     return table(spark, folder, "channel_interactions").groupBy(text.interaction_kind(F.col("summary")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT thread_id, count(*) AS messages, count(DISTINCT contact_id) AS contacts, floor(epoch(min(loaded_at)))::BIGINT AS first_at, floor(epoch(max(loaded_at)))::BIGINT AS last_at, arg_min(subject, id) AS subject FROM interactions WHERE thread_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 2")
+@query(f"""
+WITH {EM_SQL},
+t AS (SELECT thread, count(*) AS messages, min(at_s) AS first_at, max(at_s) AS last_at, arg_min(subject, (at_s, email_id)) FILTER (WHERE subject IS NOT NULL AND at_s IS NOT NULL) AS subject FROM em WHERE thread IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
+p AS (SELECT DISTINCT thread, unnest(list_concat([from_email], to_emails, cc_emails)) AS who FROM em WHERE thread IS NOT NULL),
+n AS (SELECT thread, count(*) AS participants, array_to_string(list_sort(list(who))[1:5], ',') AS who FROM p WHERE who <> '' GROUP BY 1)
+SELECT t.*, coalesce(n.participants, 0) AS participants, n.who FROM t LEFT JOIN n USING (thread)""")
 def thread_rollup(spark, folder):
-    g = table(spark, folder, "interactions").where("thread_id IS NOT NULL").groupBy("thread_id").agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("contact_id").alias("contacts"), F.unix_timestamp(F.min("loaded_at")).alias("first_at"), F.unix_timestamp(F.max("loaded_at")).alias("last_at"), F.min_by("subject", F.when(F.col("subject").isNotNull(), F.col("id"))).alias("subject"))
-    return g.where("messages >= 2")
+    mails = emails(spark, folder).where("thread IS NOT NULL")
+    threads = mails.groupBy("thread").agg(F.count(F.lit(1)).alias("messages"), F.min("at_s").alias("first_at"), F.max("at_s").alias("last_at"), F.min_by("subject", F.when(F.col("subject").isNotNull() & F.col("at_s").isNotNull(), F.struct("at_s", "email_id"))).alias("subject")).where("messages >= 2")
+    people = mails.select("thread", F.explode(F.concat(F.array("from_email"), "to_emails", "cc_emails")).alias("who")).where("who <> ''").distinct()
+    # five names stand for a thread, so a mailing list's participants are counted but never gathered
+    sizes = people.groupBy("thread").agg(F.count(F.lit(1)).alias("participants"))
+    named = ranking.top_k_per_group(people, ["thread"], [F.col("who")], 5).groupBy("thread").agg(F.array_join(F.sort_array(F.collect_list("who")), ",").alias("who"))
+    return threads.join(sizes, "thread", "left").join(named, "thread", "left").withColumn("participants", F.coalesce("participants", F.lit(0)))
 
 
-@query("WITH t AS (SELECT contact_id, thread_id, count(*) AS n, max(loaded_at) AS last_at FROM interactions WHERE contact_id IS NOT NULL AND thread_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2) SELECT contact_id, thread_id, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY n DESC, last_at DESC, thread_id) AS rank FROM t) WHERE rank <= 5")
+@query(f"WITH {IM_SQL}, t AS (SELECT contact_id, thread, count(*) AS n, max(at_s) AS last_at, arg_min(subject, (at_s, id)) FILTER (WHERE subject IS NOT NULL AND at_s IS NOT NULL) AS subject FROM im WHERE contact_id IS NOT NULL AND thread IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2) SELECT contact_id, thread, n, rank, left(trim(regexp_replace(subject, '^(?i)(re:|fwd?:|fw:)\\s*', '')), 60) AS subject FROM (SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY n DESC, last_at DESC NULLS LAST, thread) AS rank FROM t) WHERE rank <= 5")
 def key_threads_topk(spark, folder):
-    t = table(spark, folder, "interactions").where("contact_id IS NOT NULL AND thread_id IS NOT NULL").groupBy("contact_id", "thread_id").agg(F.count(F.lit(1)).alias("n"), F.max("loaded_at").alias("last_at")).where("n >= 2")
-    return ranking.top_k_per_group(t, ["contact_id"], [F.desc("n"), F.desc("last_at"), F.col("thread_id")], 5).select("contact_id", "thread_id", "n", "rank")
+    rows = interactions(spark, folder).where("contact_id IS NOT NULL AND thread IS NOT NULL")
+    t = rows.groupBy("contact_id", "thread").agg(F.count(F.lit(1)).alias("n"), F.max("at_s").alias("last_at"), F.min_by("subject", F.when(F.col("subject").isNotNull() & F.col("at_s").isNotNull(), F.struct("at_s", "id"))).alias("subject")).where("n >= 2")
+    top = ranking.top_k_per_group(t, ["contact_id"], [F.desc("n"), F.col("last_at").desc_nulls_last(), F.col("thread")], 5)
+    return top.select("contact_id", "thread", "n", "rank", F.substring(F.trim(F.regexp_replace("subject", r"^(?i)(re:|fwd?:|fw:)\s*", "")), 1, 60).alias("subject"))
 
 
-@query("WITH a AS (SELECT e.from_email AS email, count(*) AS received, 0 AS sent FROM emails e GROUP BY 1 UNION ALL SELECT t, 0, count(*) FROM (SELECT unnest(list_distinct(list_concat(coalesce(to_emails, []), coalesce(cc_emails, [])))) AS t FROM emails) GROUP BY 1) SELECT lower(email) AS email, sum(received)::BIGINT AS from_count, sum(sent)::BIGINT AS to_count FROM a WHERE email IS NOT NULL GROUP BY 1")
+@query(f"""
+WITH {EM_SQL},
+a AS (SELECT from_email AS email, from_name AS name, at_s, email_id, 1 AS f, 0 AS t FROM em UNION ALL SELECT unnest(list_distinct(list_concat(to_emails, cc_emails))), NULL, at_s, email_id, 0, 1 FROM em)
+SELECT email, sum(f)::BIGINT AS from_count, sum(t)::BIGINT AS to_count, min(at_s) AS first_at, max(at_s) AS last_at, arg_max(trim(name), (at_s, email_id)) FILTER (WHERE trim(name) <> '' AND at_s IS NOT NULL) AS name FROM a WHERE email <> '' GROUP BY 1""")
 def contact_counters(spark, folder):
-    e = table(spark, folder, "emails")
-    none = F.array().cast("array<string>")
-    people = F.explode(F.array_distinct(F.concat(F.coalesce("to_emails", none), F.coalesce("cc_emails", none))))
-    a = e.select(F.lower("from_email").alias("email"), F.lit(1).alias("f"), F.lit(0).alias("t")).unionByName(e.select(people.alias("x")).select(F.lower("x").alias("email"), F.lit(0).alias("f"), F.lit(1).alias("t")))
-    return a.where("email IS NOT NULL").groupBy("email").agg(F.sum("f").alias("from_count"), F.sum("t").alias("to_count"))
+    e = emails(spark, folder)
+    sent = e.select(F.col("from_email").alias("email"), F.col("from_name").alias("name"), "at_s", "email_id", F.lit(1).alias("f"), F.lit(0).alias("t"))
+    got = e.select(F.explode(F.array_distinct(F.concat("to_emails", "cc_emails"))).alias("email"), F.lit(None).cast("string").alias("name"), "at_s", "email_id", F.lit(0).alias("f"), F.lit(1).alias("t"))
+    named = F.when((F.trim("name") != "") & F.col("at_s").isNotNull(), F.struct("at_s", "email_id"))
+    return sent.unionByName(got).where("email <> ''").groupBy("email").agg(F.sum("f").alias("from_count"), F.sum("t").alias("to_count"), F.min("at_s").alias("first_at"), F.max("at_s").alias("last_at"), F.max_by(F.trim("name"), named).alias("name"))
 
 
 @query("SELECT channel, coalesce(interaction_type, '(none)') AS interaction_type, count(*) AS n, count(DISTINCT contact) AS contacts FROM channel_interactions GROUP BY 1, 2")
@@ -239,9 +284,27 @@ def union_channels(spark, folder):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT community_id, count(*) AS members, list_aggregate(list_sort(list(DISTINCT domain)), 'string_agg', ',') AS domains FROM contacts WHERE community_id IS NOT NULL GROUP BY 1")
+@query("""
+WITH c AS (SELECT *, coalesce(sent_count, 0) + coalesce(received_count, 0) AS total FROM contacts WHERE community_id IS NOT NULL),
+d AS (SELECT community_id, domain, count(*) AS n FROM c WHERE domain <> '' GROUP BY 1, 2),
+dr AS (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY n DESC, domain) AS k FROM d),
+tops AS (SELECT community_id, list(domain ORDER BY k) AS domains FROM dr WHERE k <= 5 GROUP BY 1),
+sr AS (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY total DESC, id) AS k FROM c),
+samples AS (SELECT community_id, string_agg(email, ',' ORDER BY k) AS samples FROM sr WHERE k <= 10 GROUP BY 1),
+sizes AS (SELECT community_id, count(*) AS members FROM c GROUP BY 1)
+SELECT community_id, members, array_to_string(domains, ',') AS domains, samples,
+  CASE WHEN s.j LIKE '%law%' OR s.j LIKE '%legal%' THEN 'Legal Contacts' WHEN s.j LIKE '%.vc%' OR s.j LIKE '%capital%' OR s.j LIKE '%ventures%' OR s.j LIKE '%usv%' THEN 'Investors & VCs'
+    WHEN s.j LIKE '%.edu%' OR s.j LIKE '%university%' OR s.j LIKE '%research%' THEN 'Academic Network' WHEN s.j LIKE '%gmail%' OR s.j LIKE '%yahoo%' OR s.j LIKE '%outlook%' THEN 'Personal Contacts'
+    ELSE upper(left(split_part(domains[1], '.', 1), 1)) || lower(substr(split_part(domains[1], '.', 1), 2)) || ' Network' END AS theme
+FROM sizes LEFT JOIN tops USING (community_id) LEFT JOIN samples USING (community_id) LEFT JOIN (SELECT community_id, array_to_string(domains, ' ') AS j FROM tops) s USING (community_id)""")
 def community_rollup(spark, folder):
-    return table(spark, folder, "contacts").where("community_id IS NOT NULL").groupBy("community_id").agg(F.count(F.lit(1)).alias("members"), F.array_join(F.sort_array(F.collect_set("domain")), ",").alias("domains"))
+    c = table(spark, folder, "contacts").where("community_id IS NOT NULL").withColumn("total", F.coalesce("sent_count", F.lit(0)) + F.coalesce("received_count", F.lit(0)))
+    domains = c.where("domain <> ''").groupBy("community_id", "domain").agg(F.count(F.lit(1)).alias("n"))
+    # only five domains and ten samples of a community are ever put together
+    tops = ranking.top_k_per_group(domains, ["community_id"], [F.desc("n"), F.col("domain")], 5).groupBy("community_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "domain"))), lambda x: x.domain).alias("d"))
+    samples = ranking.top_k_per_group(c.select("community_id", "id", "email", "total"), ["community_id"], [F.desc("total"), F.col("id")], 10).groupBy("community_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "email"))), lambda x: x.email), ",").alias("samples"))
+    sizes = c.groupBy("community_id").agg(F.count(F.lit(1)).alias("members"))
+    return sizes.join(tops, "community_id", "left").join(samples, "community_id", "left").select("community_id", "members", F.array_join("d", ",").alias("domains"), "samples", text.theme_of(F.col("d")).alias("theme"))
 
 
 @query("SELECT regexp_replace(regexp_replace(regexp_replace(trim(lower(t)), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS tag, count(*) AS n FROM (SELECT unnest(tags) AS t FROM contact_entries) WHERE t IS NOT NULL GROUP BY 1")
@@ -249,12 +312,6 @@ def industry_tag_counts(spark, folder):
     return table(spark, folder, "contact_entries").select(F.explode("tags").alias("t")).where("t IS NOT NULL").groupBy(text.kebab(F.col("t")).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH x AS (SELECT unnest(suggested_industries) AS industry, entity_type, confidence FROM extracted_entities) SELECT industry, count(*) AS total, count(*) FILTER (WHERE entity_type = 'person') AS people, count(*) FILTER (WHERE entity_type = 'company') AS companies, count(*) FILTER (WHERE confidence > 0.8) AS sure FROM x WHERE industry IS NOT NULL GROUP BY 1")
-def industry_rollup(spark, folder):
-    x = table(spark, folder, "extracted_entities").select(F.explode("suggested_industries").alias("industry"), "entity_type", "confidence").where("industry IS NOT NULL")
-    return x.groupBy("industry").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("entity_type") == "person").alias("people"), F.count_if(F.col("entity_type") == "company").alias("companies"), F.count_if(F.col("confidence") > 0.8).alias("sure"))
-
-
 @query("SELECT coalesce(entity_type, 'unknown') AS entity_type, count(*) AS n, count(*) FILTER (WHERE confidence > 0.8) AS high, count(*) FILTER (WHERE confidence BETWEEN 0.5 AND 0.8) AS medium, count(*) FILTER (WHERE confidence < 0.5) AS low FROM extracted_entities GROUP BY 1")
 def extraction_summary(spark, folder):
     c = F.col("confidence")
@@ -267,12 +324,6 @@ def registry_counts(spark, folder):
     return table(spark, folder, "industry_registry").select("tag").join(uses, "tag", "left").select("tag", F.coalesce("n", F.lit(0)).alias("uses"))
 
 
-@query("SELECT tag FROM industry_registry WHERE tag NOT IN (SELECT t FROM (SELECT unnest(tags) AS t FROM contact_entries WHERE status = 'active') WHERE t IS NOT NULL)")
-def coverage_gaps(spark, folder):
-    used = table(spark, folder, "contact_entries").where("status = 'active'").select(F.explode("tags").alias("tag")).distinct()
-    return table(spark, folder, "industry_registry").select("tag").join(used, "tag", "left_anti")
-
-
 @query("SELECT organization, count(*) AS people, max(last_interaction)::VARCHAR AS last_interaction, sum(interaction_count)::BIGINT AS interactions FROM contact_entries WHERE organization IS NOT NULL GROUP BY 1 HAVING count(*) >= 2")
 def company_rollup(spark, folder):
     return table(spark, folder, "contact_entries").where("organization IS NOT NULL").groupBy("organization").agg(F.count(F.lit(1)).alias("people"), F.max("last_interaction").cast("string").alias("last_interaction"), F.sum("interaction_count").alias("interactions")).where("people >= 2")
@@ -283,59 +334,6 @@ def multi_channel_contacts(spark, folder):
     return table(spark, folder, "channel_interactions").where("contact IS NOT NULL").groupBy("contact").agg(F.count_distinct("channel").alias("channels"), F.count(F.lit(1)).alias("n")).where("channels >= 2")
 
 
-@query("SELECT contact, channel, count(*) AS n, min(row_id) AS first_row, max(row_id) AS last_row FROM channel_interactions GROUP BY 1, 2")
-def group_membership(spark, folder):
-    return table(spark, folder, "channel_interactions").groupBy("contact", "channel").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
-
-
-# --- order and gaps ---------------------------------------------------------------------------------------------------
-
-@query(f"WITH x AS (SELECT thread_id, arg_max({_DIRECTION}, id) FILTER (WHERE {_DIRECTION} IS NOT NULL) AS last_side, count(*) AS n, max(loaded_at) AS last_at FROM interactions WHERE thread_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 2) SELECT thread_id, n, CASE WHEN last_side = 'received' THEN 'unanswered_by_me' ELSE 'no_response' END AS gap FROM x WHERE last_side IS NOT NULL AND epoch(TIMESTAMPTZ '2025-12-31 00:00:00+00') - epoch(last_at) > 7 * 86400")
-def conversation_ending(spark, folder):
-    side = _direction()
-    x = table(spark, folder, "interactions").where("thread_id IS NOT NULL").groupBy("thread_id").agg(F.max_by(side, F.when(side.isNotNull(), F.col("id"))).alias("last_side"), F.count(F.lit(1)).alias("n"), F.max("loaded_at").alias("last_at"))
-    old = F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) - F.unix_timestamp("last_at") > 7 * 86400
-    return x.where("n >= 2 AND last_side IS NOT NULL").where(old).select("thread_id", "n", F.when(F.col("last_side") == "received", "unanswered_by_me").otherwise("no_response").alias("gap"))
-
-
-_ASKS = " OR ".join(f"contains(lower(snippet), '{w}')" for w in text.QUESTION_MARKERS)
-
-
-@query(f"WITH x AS (SELECT *, {_DIRECTION} AS side, count(*) OVER (PARTITION BY thread_id) AS n FROM interactions WHERE thread_id IS NOT NULL), y AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY id DESC) AS k FROM x WHERE side IS NOT NULL) SELECT thread_id, n, CASE WHEN side = 'received' THEN 'unanswered_by_me' ELSE 'no_response' END AS gap, floor((epoch(TIMESTAMPTZ '2025-12-31 00:00:00+00') - epoch(loaded_at)) / 86400)::BIGINT AS days FROM y WHERE k = 1 AND n >= 2 AND loaded_at IS NOT NULL AND (side = 'received' OR (({_ASKS}) AND floor((epoch(TIMESTAMPTZ '2025-12-31 00:00:00+00') - epoch(loaded_at)) / 86400) > 14))")
-def conversation_gaps(spark, folder):
-    # C1: what the other side wrote last is open at any age, what I wrote only if it asks for an answer and is over 14 days old
-    side = _direction()
-    last = F.max_by(F.struct(side.alias("side"), "snippet", "loaded_at"), F.when(side.isNotNull(), F.col("id")))
-    x = table(spark, folder, "interactions").where("thread_id IS NOT NULL").groupBy("thread_id").agg(last.alias("m"), F.count(F.lit(1)).alias("n")).where("n >= 2").select("thread_id", "n", "m.*")
-    days = F.floor((F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros("loaded_at")) / 86_400_000_000)
-    x = x.withColumn("days", days).where("loaded_at IS NOT NULL")
-    x = x.where((F.col("side") == "received") | (text.asks(F.col("snippet")) & (F.col("days") > 14)))
-    return x.select("thread_id", "n", F.when(F.col("side") == "received", "unanswered_by_me").otherwise("no_response").alias("gap"), "days")
-
-
-_MEETINGS = [("spring", "2023-04-10"), ("summer", "2023-07-03"), ("autumn", "2023-10-16"), ("winter", "2024-01-15")]
-
-
-@query("""
-WITH m(name, day) AS (VALUES ('spring', DATE '2023-04-10'), ('summer', DATE '2023-07-03'), ('autumn', DATE '2023-10-16'), ('winter', DATE '2024-01-15')),
-x AS (SELECT contact_id, name, count(*) FILTER (WHERE loaded_at::DATE BETWEEN day - 3 AND day + 5) AS during, count(*) FILTER (WHERE loaded_at::DATE > day + 5) AS after FROM interactions CROSS JOIN m WHERE contact_id IS NOT NULL AND loaded_at::DATE >= day - 3 GROUP BY 1, 2)
-SELECT contact_id, name, during, after, after = 0 AS gap FROM x WHERE during > 0 AND after <= 2""")
-def post_event_gaps(spark, folder):
-    # four fixed windows: an interval join to a constant table, summed up before anything is shuffled
-    windows = F.broadcast(spark.createDataFrame(_MEETINGS, "name string, day string").withColumn("day", F.to_date("day")))
-    day = F.to_date("loaded_at")
-    x = table(spark, folder, "interactions").where("contact_id IS NOT NULL").select("contact_id", day.alias("d")).join(windows, F.col("d") >= F.date_sub("day", 3))
-    inside = F.col("d") <= F.date_add("day", 5)
-    return x.groupBy("contact_id", "name").agg(F.count_if(inside).alias("during"), F.count_if(~inside).alias("after")).where("during > 0 AND after <= 2").withColumn("gap", F.col("after") == 0)
-
-
-@query("SELECT id, contact_id, gap_s FROM (SELECT id, contact_id, (epoch(loaded_at) - epoch(lag(loaded_at) OVER (PARTITION BY contact_id ORDER BY loaded_at, id)))::BIGINT AS gap_s FROM interactions WHERE contact_id IS NOT NULL) WHERE gap_s > 90 * 86400")
-def silence_gaps(spark, folder):
-    w = Window.partitionBy("contact_id").orderBy("loaded_at", "id")
-    x = table(spark, folder, "interactions").where("contact_id IS NOT NULL").select("id", "contact_id", (F.unix_timestamp("loaded_at") - F.unix_timestamp(F.lag("loaded_at").over(w))).alias("gap_s"))
-    return x.where("gap_s > 90 * 86400")
-
-
 @query("SELECT e.entity_id, e.doc_id, e.name FROM (SELECT *, row_number() OVER (PARTITION BY lower(name), entity_type ORDER BY confidence DESC NULLS LAST, entity_id) AS k FROM extracted_entities WHERE name IS NOT NULL) e WHERE k = 1")
 def entity_keep_best(spark, folder):
     e = table(spark, folder, "extracted_entities").where("name IS NOT NULL").withColumn("low", F.lower("name"))
@@ -345,13 +343,9 @@ def entity_keep_best(spark, folder):
 @query("SELECT name, count(*) AS mentions FROM extracted_entities WHERE name IS NOT NULL AND lower(name) NOT IN (SELECT lower(name) FROM contact_entries WHERE name IS NOT NULL) GROUP BY 1")
 def new_name_detection(spark, folder):
     known = table(spark, folder, "contact_entries").where("name IS NOT NULL").select(F.lower("name").alias("low")).distinct()
-    return table(spark, folder, "extracted_entities").where("name IS NOT NULL").withColumn("low", F.lower("name")).join(known, "low", "left_anti").groupBy("name").agg(F.count(F.lit(1)).alias("mentions"))
-
-
-@query("SELECT e.entity_id, min(c.entry_id) AS entry_id, count(*) AS people FROM extracted_entities e JOIN contact_entries c ON lower(c.organization) = lower(e.name) GROUP BY 1")
-def entity_contact_match(spark, folder):
-    known = table(spark, folder, "contact_entries").where("organization IS NOT NULL").groupBy(F.lower("organization").alias("low")).agg(F.min("entry_id").alias("entry_id"), F.count(F.lit(1)).alias("people"))
-    return table(spark, folder, "extracted_entities").select("entity_id", F.lower("name").alias("low")).join(known, "low").select("entity_id", "entry_id", "people")
+    # counted before the join, so that a name in very many documents is one row of it
+    counted = table(spark, folder, "extracted_entities").where("name IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("mentions"))
+    return counted.withColumn("low", F.lower("name")).join(known, "low", "left_anti").select("name", "mentions")
 
 
 @query("SELECT DISTINCT p AS source_file FROM (SELECT unnest([keep, merge_from]) AS p FROM merge_previews) WHERE p NOT IN (SELECT source_file FROM contact_entries) UNION SELECT DISTINCT p FROM (SELECT unnest([contact1, contact2]) AS p FROM duplicate_pairs) WHERE p IS NOT NULL AND p NOT IN (SELECT source_file FROM contact_entries)")
@@ -436,59 +430,10 @@ def registry_potential_merges(spark, folder):
     return tags.select(F.col("tag").alias("a")).join(F.broadcast(tags.select(F.col("tag").alias("b"))), F.col("a") < F.col("b")).where(d < 4).select("a", "b", d.alias("d"))
 
 
-# --- graph ------------------------------------------------------------------------------------------------------------
-
-_EDGES = "p AS (SELECT DISTINCT thread_id AS t, contact_id AS n FROM interactions WHERE thread_id IS NOT NULL AND contact_id IS NOT NULL), e AS (SELECT a.n AS src, b.n AS dst, count(*) AS weight FROM p a JOIN p b ON a.t = b.t AND a.n < b.n GROUP BY 1, 2)"
-
-
-def _edges(spark, folder):
-    return graph.coparticipation_edges(table(spark, folder, "interactions"), "thread_id", "contact_id")
-
-
-@query(f"WITH {_EDGES} SELECT * FROM e")
-def coparticipation_edges(spark, folder):
-    return _edges(spark, folder)
-
-
-@query(f"WITH {_EDGES}, d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1) SELECT node, degree, round(coalesce(degree / nullif((SELECT count(*) FROM d) - 1, 0), 0.0), 9) AS centrality FROM d")
-def degree_centrality(spark, folder):
-    return graph.degree_centrality(_edges(spark, folder))
-
-
-@query(f"WITH {_EDGES}, n AS (SELECT count(DISTINCT node) AS nodes FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e)) SELECT nodes, (SELECT count(*) FROM e) AS edges, round(coalesce(2 * (SELECT count(*) FROM e) / nullif(nodes * (nodes - 1), 0), 0.0), 9) AS density, (SELECT coalesce(sum(weight), 0) FROM e)::BIGINT AS weight FROM n")
-def graph_stats(spark, folder):
-    return graph.graph_stats(_edges(spark, folder))
-
-
-_MAIL_EDGES = "s AS (SELECT contact1 AS src, contact2 AS dst FROM duplicate_pairs WHERE contact1 <> contact2), b AS (SELECT src, dst FROM s UNION SELECT dst, src FROM s)"
-
-
-@query(f"WITH RECURSIVE {_MAIL_EDGES}, r AS (SELECT DISTINCT src AS node, src AS other FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON b.src = r.other) SELECT node, min(other) AS component FROM r GROUP BY 1")
-def graph_components(spark, folder):
-    e = table(spark, folder, "duplicate_pairs").where("contact1 <> contact2").select(F.col("contact1").alias("src"), F.col("contact2").alias("dst"))
-    return graph.components(e)
-
-
-@query()
-def graph_communities(spark, folder):
-    return graph.communities(_edges(spark, folder))
-
-
-@query()
-def graph_betweenness(spark, folder):
-    e = table(spark, folder, "duplicate_pairs").where("contact1 <> contact2").select(F.least("contact1", "contact2").alias("src"), F.greatest("contact1", "contact2").alias("dst")).distinct()
-    return graph.betweenness(e)
-
-
-@query()
-def graph_eccentricities(spark, folder):
-    e = table(spark, folder, "duplicate_pairs").where("contact1 <> contact2").select(F.least("contact1", "contact2").alias("src"), F.greatest("contact1", "contact2").alias("dst")).distinct()
-    return graph.eccentricities(e)
-
-
 # --- text -------------------------------------------------------------------------------------------------------------
 
-_STOP = ",".join(f"'{w}'" for w in text.STOP_WORDS)
+# written out apart from the operator's list
+_STOP = ", ".join(f"'{w}'" for w in "re fwd fw the a an and or but in on at to for of with by from is are was were be been being have has had do does did will would could should may might must this that these those i you he she it we they my your his her its our their what which who whom whose when where why how all each every both few more most other some such no nor not only own same so than too very just about up down out off over under".split())
 
 
 @query(f"SELECT email_id, list_aggregate(list_distinct_first, 'string_agg', ',') AS keywords FROM (SELECT email_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:10] AS list_distinct_first FROM (SELECT email_id, list_filter(regexp_extract_all(lower(subject), '\\b([a-z]{{3,}})\\b', 1), lambda x: x NOT IN ({_STOP})) AS w FROM emails WHERE subject IS NOT NULL)) WHERE len(list_distinct_first) > 0")
@@ -560,12 +505,12 @@ _LINES = "l AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS line_no, unnest(s
 
 @query(f"WITH {_LINES} SELECT doc_id, line_no, last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS heading FROM (SELECT *, nullif(regexp_extract(line, '^#+\\s+(.+)$', 1), '') AS h FROM l)")
 def heading_carry(spark, folder):
-    return text.with_heading(text.lines_of(table(spark, folder, "documents"), "doc_id", "text"), "doc_id").select("doc_id", "line_no", "heading")
+    return text.with_heading(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "line_no", "heading")
 
 
 @query(f"WITH {_LINES} SELECT doc_id, line_no, left(concat_ws(' ', lag(line) OVER w, line, lead(line) OVER w), 500) AS context FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)")
 def context_window(spark, folder):
-    return text.with_context(text.lines_of(table(spark, folder, "documents"), "doc_id", "text"), "doc_id").select("doc_id", "line_no", "context")
+    return text.with_context(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "line_no", "context")
 
 
 # --- orders and events ------------------------------------------------------------------------------------------------
