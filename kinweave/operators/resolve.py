@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.plans.skew import heavy_or_none, lookup_join
+
 
 def similar_names(df: DataFrame, key: str, kind: str, name: str, least: float = 0.7) -> DataFrame:
     """(a, b, similarity): keys of records of one kind whose names are similar, one row per pair of different names' keys.
@@ -30,10 +32,62 @@ def similar_names(df: DataFrame, key: str, kind: str, name: str, least: float =
 
 
 def exact_groups(df: DataFrame, key: str, kind: str, name: str) -> DataFrame:
-    """(key, class_key): of each record, the smallest key with the same kind and name in lower case."""
-    group = ["_kind", "_name"]
-    n = df.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(kind), F.lit(""))).alias("_kind"), F.lower(F.trim(F.coalesce(F.col(name), F.lit("")))).alias("_name")).where("_name <> ''")
-    return n.join(n.groupBy(*group).agg(F.min("key").alias("class_key")), group).select("key", "class_key")
+    """(key, class_key): of each record, the smallest key with the same kind and name in lower case.
+
+    A name that very many records share goes to them by broadcast.
+    """
+    low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    n = df.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(kind), F.lit(""))).alias("_kind"), low(name).alias("_name")).where("_name <> ''").select("key", F.concat_ws("\n", "_kind", "_name").alias("_group"))
+    classes = n.groupBy("_group").agg(F.min("key").alias("class_key"), F.count(F.lit(1)).alias("_n"))
+    return lookup_join(n, "_group", classes.drop("_n"), heavy_or_none(n, "_group", n.count())).select("key", "class_key")
+
+
+def primary(values: Column, kinds: list[str]) -> Column:
+    """The value of the first entry of one of the kinds, else of the first entry: values is an array of (type, value)."""
+    fit = F.filter(values, lambda e: F.upper(e.type).isin(kinds))
+    return F.coalesce(F.get(fit, F.lit(0)).value, F.get(values, F.lit(0)).value)
+
+
+def merge_candidates(df: DataFrame, key: str, keys: dict[str, Column]) -> DataFrame:
+    """(key, merge_with, reason): records that share a value with an earlier one, which is the smallest key that has it.
+
+    keys: for each reason an array of values; null and empty ones are shared by nobody. Each record is linked to the
+    first of its value's group, never to all others of it.
+    """
+    parts = [df.select(F.lit(reason).alias("reason"), F.col(key).alias("_key"), F.explode(F.array_distinct(values)).alias("_v")).where("_v <> ''") for reason, values in keys.items()]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    rows = rows.withColumn("_value", F.concat_ws("\n", "reason", "_v"))
+    firsts = rows.groupBy("_value").agg(F.min("_key").alias("merge_with"))
+    found = lookup_join(rows, "_value", firsts, heavy_or_none(rows, "_value", rows.count())).where("_key <> merge_with")
+    return found.select(F.col("_key").alias(key), "merge_with", "reason").distinct()
+
+
+def named_or_contained(left: DataFrame, key: str, name: str, right: DataFrame, other: str, other_name: str) -> DataFrame:
+    """(key, other, how): of each left record the right one of the same name (`exact`), else one whose name contains it or is
+    contained in it (`contained`); the smallest other key of several. Names compare trimmed and in lower case; empty ones match nothing.
+
+    Distinct names only are compared: the longer one's pieces of every length that occurs among the other side's names are
+    joined to those names by equality, so no pair of names is tried that shares nothing.
+    """
+    low = lambda c: F.lower(F.trim(F.col(c)))
+    own = left.select(key, low(name).alias("name")).where("name <> ''")
+    names = own.select("name").distinct()
+    facts = right.select(low(other_name).alias("fact"), F.col(other).alias("_other")).where("fact <> ''").groupBy("fact").agg(F.min("_other").alias(other))
+
+    def pieces(rows: DataFrame, column: str, widths: DataFrame) -> DataFrame:
+        sized = rows.join(F.broadcast(widths), F.length(column) >= F.col("w"))
+        cut = F.transform(F.sequence(F.lit(1), F.length(column) - F.col("w") + 1), lambda i: F.substring(F.col(column), i, F.col("w")))
+        return sized.select("*", F.explode(F.array_distinct(cut)).alias("piece")).drop("w")
+
+    lengths = lambda rows, c: rows.select(F.length(c).alias("w")).distinct()
+    inside = pieces(names, "name", lengths(facts, "fact")).join(facts.withColumnRenamed("fact", "piece"), "piece").select("name", F.col("piece").alias("fact"), other)
+    around = pieces(facts, "fact", lengths(names, "name")).join(names.withColumnRenamed("name", "piece"), "piece").select(F.col("piece").alias("name"), "fact", other)
+    rank = F.struct(F.when(F.col("name") == F.col("fact"), 0).otherwise(1).alias("k"), F.col(other))
+    best = inside.unionByName(around).groupBy("name").agg(F.min(rank).alias("m"))
+    facts = best.select("name", F.col(f"m.{other}").alias(other), F.when(F.col("m.k") == 0, "exact").otherwise("contained").alias("how"))
+    return lookup_join(own, "name", facts, heavy_or_none(own, "name", own.count())).where(F.col("how").isNotNull()).select(key, other, "how")
 
 
 def duplicate_pairs(df: DataFrame, key: str, kind: str, name: str, organization: str, channels: list[str], least: float = 0.7) -> DataFrame:
@@ -55,35 +109,40 @@ def duplicate_pairs(df: DataFrame, key: str, kind: str, name: str, organization:
     return out.withColumn("class", F.when(sure, "likely").when((F.col("similarity") > 0.85) | F.col("same_org"), "possible").otherwise("review"))
 
 
-def staged_match(left: DataFrame, right: DataFrame, key: str, other: str, stages: list[tuple[str, float]]) -> DataFrame:
-    """(key, other, stage, confidence): of each left record the match of its first stage that has one, smallest other key.
+def _stages(left: DataFrame, right: DataFrame, key: str, other: str, stages: list[tuple[str, str, float]]) -> DataFrame:
+    """(key, rank, place, other, stage, confidence): every left value that some right record holds, whose owner is the smallest other key.
 
-    stages: columns that both sides hold, in order of trust, with their confidence. Null and empty values match nothing.
+    A value that very many left records hold (a switchboard) goes to them by broadcast.
     """
     found = None
-    for rank, (column, trust) in enumerate(stages):
-        own = left.where(F.col(column).isNotNull() & (F.col(column) != "")).select(key, column)
-        facts = right.where(F.col(column).isNotNull() & (F.col(column) != "")).groupBy(column).agg(F.min(other).alias(other))
-        part = own.join(facts, column).groupBy(key).agg(F.min(other).alias(other)).select(key, other, F.lit(rank).alias("rank"), F.lit(column).alias("stage"), F.lit(trust).alias("confidence"))
+    for rank, (column, label, sure) in enumerate(stages):
+        own = left.select(key, F.posexplode(column).alias("place", "value")).where("value <> ''")
+        owners = right.select(other, F.explode(column).alias("value")).where("value <> ''").groupBy("value").agg(F.min(other).alias(other))
+        hit = lookup_join(own, "value", owners, heavy_or_none(own, "value", own.count())).where(F.col(other).isNotNull())
+        part = hit.select(key, F.lit(rank).alias("rank"), "place", other, F.lit(label).alias("stage"), F.lit(sure).alias("confidence"))
         found = part if found is None else found.unionByName(part)
-    best = found.groupBy(key).agg(F.min_by(F.struct(other, "stage", "confidence"), "rank").alias("m"))
+    return found
+
+
+def _first_stage(found: DataFrame, key: str, other: str) -> DataFrame:
+    best = found.groupBy(key).agg(F.min_by(F.struct(other, "stage", "confidence"), F.struct("rank", "place", other)).alias("m"))
     return best.select(key, f"m.{other}", "m.stage", "m.confidence")
 
 
-def duplicate_check(left: DataFrame, right: DataFrame, key: str, other: str, stages: list[tuple[str, str, float]], name: str, least: float = 0.85, trust: float = 0.7) -> DataFrame:
+def staged_match(left: DataFrame, right: DataFrame, key: str, other: str, stages: list[tuple[str, str, float]]) -> DataFrame:
     """(key, other, stage, confidence): of each left record the match of its first stage that has one.
 
     stages: (array column of both sides, label, confidence) in order of trust; every value of the left is tried in its
-    order against every value of the right, whose owner is the smallest other key. Records without such a match take the
-    smallest owner of a name that is equal or of similarity over least, with trust times the similarity. Null and empty
-    values match nothing.
+    order against every value of the right. Null and empty values match nothing.
     """
-    found = None
-    for rank, (column, label, sure) in enumerate(stages):
-        own = left.select(key, F.posexplode(column).alias("place", "value")).where("value <> ''")
-        owners = right.select(other, F.explode(column).alias("value")).where("value <> ''").groupBy("value").agg(F.min(other).alias(other))
-        part = own.join(owners, "value").select(key, F.lit(rank).alias("rank"), "place", other, F.lit(label).alias("stage"), F.lit(sure).alias("confidence"))
-        found = part if found is None else found.unionByName(part)
+    return _first_stage(_stages(left, right, key, other, stages), key, other)
+
+
+def duplicate_check(left: DataFrame, right: DataFrame, key: str, other: str, stages: list[tuple[str, str, float]], name: str, least: float = 0.85, trust: float = 0.7) -> DataFrame:
+    """As staged_match, with a last stage `similar`: records without another match take the smallest owner of a name that is
+    equal or of similarity over least, with trust times the similarity.
+    """
+    found = _stages(left, right, key, other, stages)
     low = F.lower(F.trim(F.col(name)))
     own = left.select(key, low.alias("value")).where("value <> ''")
     owners = right.select(other, low.alias("value")).where("value <> ''").groupBy("value").agg(F.min(other).alias(other))
@@ -91,27 +150,34 @@ def duplicate_check(left: DataFrame, right: DataFrame, key: str, other: str, sta
     near = similar_names(names.select(F.col("value").alias("key"), F.lit("").alias("kind"), F.col("value").alias("name")), "key", "kind", "name", least).where(F.col("similarity") > least)
     both = near.select(F.col("a").alias("value"), F.col("b").alias("near"), "similarity").unionByName(near.select(F.col("b").alias("value"), F.col("a").alias("near"), "similarity"))
     both = both.unionByName(owners.select("value", F.col("value").alias("near"), F.lit(1.0).alias("similarity")))
-    fuzzy = own.join(both, "value").join(owners.withColumnRenamed("value", "near"), "near")
-    found = found.unionByName(fuzzy.select(key, F.lit(len(stages)).alias("rank"), F.lit(0).alias("place"), other, F.lit("similar").alias("stage"), F.round(trust * F.col("similarity"), 6).alias("confidence")))
-    best = found.groupBy(key).agg(F.min_by(F.struct(other, "stage", "confidence"), F.struct("rank", "place", other)).alias("m"))
-    return best.select(key, f"m.{other}", "m.stage", "m.confidence")
+    # the best owner of each distinct name first, then the names' records: a name of very many records is one row of the first join
+    best = both.join(owners.withColumnRenamed("value", "near"), "near").groupBy("value").agg(F.min_by(F.struct(other, "similarity"), other).alias("b"))
+    hit = lookup_join(own, "value", best, heavy_or_none(own, "value", own.count())).where(F.col("b").isNotNull())
+    last = hit.select(key, F.lit(len(stages)).alias("rank"), F.lit(0).alias("place"), f"b.{other}", F.lit("similar").alias("stage"), F.round(trust * F.col("b.similarity"), 6).alias("confidence"))
+    return _first_stage(found.unionByName(last), key, other)
 
 
-def merge_pairs(pairs: DataFrame, records: DataFrame, key: str, fields: list[str], newer: str) -> DataFrame:
-    """(a, b, keep, filled, conflicts): which record of each pair stays, the fields it takes from the other, those that differ.
+def merge_pairs(pairs: DataFrame, records: DataFrame, key: str, fields: list[str], newer: str, lists: list[str] = ()) -> DataFrame:
+    """(a, b, keep, filled, conflicts, united, action_required): which record of each pair stays, the fields it takes from
+    the other, those that differ, the lists that grow by the other's members, and whether someone must decide.
 
-    The one with the later `newer` stays, ties and nulls keep a.
+    The one with the later `newer` stays, ties and nulls keep a. lists: array columns, of which both records' members stay.
     """
-    side = lambda s: records.select(F.col(key).alias(s), F.struct(*fields, newer).alias(f"r{s}"))
+    side = lambda s: records.select(F.col(key).alias(s), F.struct(*fields, *lists, newer).alias(f"r{s}"))
     j = pairs.join(side("a"), "a").join(side("b"), "b")
     take_b = F.coalesce(F.col(f"rb.{newer}") > F.coalesce(F.col(f"ra.{newer}"), F.lit("")), F.lit(False))
     empty = lambda c: c.isNull() | (c == "")
-    filled, clash = [], []
+    none = F.array().cast("array<string>")
+    filled, clash, grown = [], [], []
     for f in fields:
         keep, other = F.when(take_b, F.col(f"rb.{f}")).otherwise(F.col(f"ra.{f}")), F.when(take_b, F.col(f"ra.{f}")).otherwise(F.col(f"rb.{f}"))
         filled.append(F.when(empty(keep) & ~empty(other), f))
         clash.append(F.when(~empty(keep) & ~empty(other) & (keep != other), f))
-    return j.select("a", "b", F.when(take_b, F.col("b")).otherwise(F.col("a")).alias("keep"), F.concat_ws(",", *filled).alias("filled"), F.concat_ws(",", *clash).alias("conflicts"))
+    for f in lists:
+        keep, other = F.when(take_b, F.col(f"rb.{f}")).otherwise(F.col(f"ra.{f}")), F.when(take_b, F.col(f"ra.{f}")).otherwise(F.col(f"rb.{f}"))
+        grown.append(F.when(F.size(F.array_except(F.coalesce(other, none), F.coalesce(keep, none))) > 0, f))
+    conflicts = F.concat_ws(",", *clash)
+    return j.select("a", "b", F.when(take_b, F.col("b")).otherwise(F.col("a")).alias("keep"), F.concat_ws(",", *filled).alias("filled"), conflicts.alias("conflicts"), F.concat_ws(",", *grown).alias("united"), (conflicts != "").alias("action_required"))
 
 
 def validation_issues(df: DataFrame, key: str, required: list[str], allowed: dict[str, list[str]], dated: str, as_of: str, stale_days: int = 180) -> DataFrame:

@@ -129,21 +129,6 @@ def wiki_links(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), lambda x: F.trim(x))
 
 
-def companies(text: Column) -> Column:
-    """Capitalised phrases that end with a company's suffix."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"{START}((?:[A-Z][A-Za-z]+ ){{1,3}}(?:{'|'.join(COMPANY_SUFFIXES)})){END}"), F.lit(1)))
-
-
-def events(text: Column) -> Column:
-    """Words before an event word, with a year where one follows."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"{START}([A-Z][A-Za-z]+ (?i:{'|'.join(EVENT_WORDS)})(?: 20[0-9][0-9])?){END}"), F.lit(1)))
-
-
-def projects(text: Column) -> Column:
-    """A capitalised word and a project word."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"{START}([A-Z][A-Za-z]+ (?i:{'|'.join(PROJECT_WORDS)})){END}"), F.lit(1)))
-
-
 # What separates the parties in a group's name, in order of precedence.
 GROUP_SEPARATORS = [" <> ", " x ", " X ", " & ", " <-> ", " | ", " / "]
 
@@ -244,7 +229,8 @@ def party_class(name: Column, own: list[str] = ()) -> Column:
 def group_industries(groups: Column, most: int = 5) -> Column:
     """Sorted industries that the names of groups (an array) tell, at most `most`."""
     none = F.array().cast("array<string>")
-    found = [F.when(F.exists(groups, lambda g, ws=ws: contains_any(F.lower(F.coalesce(g, F.lit(""))), ws)), F.array(*map(F.lit, tags))).otherwise(none) for tags, ws in GROUP_INDUSTRIES]
+    tells = lambda words: F.exists(groups, lambda g: contains_any(F.lower(F.coalesce(g, F.lit(""))), words))
+    found = [F.when(tells(words), F.array(*map(F.lit, tags))).otherwise(none) for tags, words in GROUP_INDUSTRIES]
     return F.slice(F.array_sort(F.flatten(F.array(*found))), 1, most)
 
 

@@ -373,44 +373,56 @@ def exact_name_classes(spark, folder):
     return resolve.exact_groups(table(spark, folder, "contact_entries"), "entry_id", "contact_type", "name")
 
 
-_SIDES = "l AS (SELECT card_id, lower(emails[1].value) AS email, regexp_replace(phones[1].value, '[^0-9]', '', 'g') AS phone, lower(name) AS name FROM vcards), r AS (SELECT resource_name, lower(emails[1]) AS email, regexp_replace(phones[1], '[^0-9]', '', 'g') AS phone, lower(name) AS name FROM google_contacts)"
+_STAGES = """
+le AS (SELECT card_id, unnest(range(len(emails))) AS place, lower(trim(unnest(emails).value)) AS v FROM vcards), re AS (SELECT min(resource_name) AS resource_name, v FROM (SELECT resource_name, lower(trim(unnest(emails))) AS v FROM google_contacts) WHERE v <> '' GROUP BY v),
+lp AS (SELECT card_id, unnest(range(len(phones))) AS place, regexp_replace(unnest(phones).value, '[\\s().+-]', '', 'g') AS v FROM vcards), rp AS (SELECT min(resource_name) AS resource_name, v FROM (SELECT resource_name, regexp_replace(unnest(phones), '[\\s().+-]', '', 'g') AS v FROM google_contacts) WHERE v <> '' GROUP BY v),
+ln AS (SELECT card_id, lower(trim(name)) || '|' || lower(trim(organization)) AS v FROM vcards WHERE trim(name) <> '' AND trim(organization) <> ''), rn AS (SELECT min(resource_name) AS resource_name, lower(trim(name)) || '|' || lower(trim(organization)) AS v FROM google_contacts WHERE trim(name) <> '' AND trim(organization) <> '' GROUP BY 2)"""
 
 
 @query(f"""
-WITH {_SIDES},
+WITH {_STAGES},
 m AS (
-  SELECT card_id, min(resource_name) AS resource_name, 0 AS k, 'email' AS stage, 1.0 AS confidence FROM l JOIN r USING (email) WHERE email <> '' GROUP BY 1
-  UNION ALL SELECT card_id, min(resource_name), 1, 'phone', 0.95 FROM l JOIN r USING (phone) WHERE phone <> '' GROUP BY 1
-  UNION ALL SELECT card_id, min(resource_name), 2, 'name', 0.85 FROM l JOIN r USING (name) WHERE name <> '' GROUP BY 1)
-SELECT card_id, resource_name, stage, confidence::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY k) AS n FROM m) WHERE n = 1""")
+  SELECT card_id, resource_name, 0 AS k, place, 'email' AS stage, 1.0 AS confidence FROM le JOIN re USING (v)
+  UNION ALL SELECT card_id, resource_name, 1, place, 'phone', 0.95 FROM lp JOIN rp USING (v)
+  UNION ALL SELECT card_id, resource_name, 2, 0, 'name_organization', 0.85 FROM ln JOIN rn USING (v))
+SELECT card_id, resource_name, stage, confidence::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY k, place, resource_name) AS n FROM m) WHERE n = 1""")
 def staged_match(spark, folder):
-    digits = lambda c: F.regexp_replace(c, r"[^0-9]", "")
-    left = table(spark, folder, "vcards").select("card_id", F.lower(F.get("emails", F.lit(0)).value).alias("email"), digits(F.get("phones", F.lit(0)).value).alias("phone"), F.lower("name").alias("name"))
-    right = table(spark, folder, "google_contacts").select("resource_name", F.lower(F.get("emails", F.lit(0))).alias("email"), digits(F.get("phones", F.lit(0))).alias("phone"), F.lower("name").alias("name"))
-    return resolve.staged_match(left, right, "card_id", "resource_name", [("email", 1.0), ("phone", 0.95), ("name", 0.85)])
+    return resolve.staged_match(*_sides(spark, folder), "card_id", "resource_name", _STAGE_COLUMNS)
 
 
-@query()
-def card_duplicates(spark, folder):
-    # the rule of staged_match over all addresses and numbers; its last stage has no SQL, as DuckDB's distance counts bytes
+_STAGE_COLUMNS = [("emails", "email", 1.0), ("phones", "phone", 0.95), ("firms", "name_organization", 0.85)]
+
+
+def _sides(spark, folder):
+    """Cards and address-book contacts with all their addresses, numbers and the name with its organization."""
     phone = lambda x: F.regexp_replace(x, r"(?U)[\s\-.()+]", "")
     email = lambda x: F.lower(F.trim(x))
-    firm = F.when(F.trim("organization") != "", F.array(F.concat_ws("|", F.lower(F.trim("name")), F.lower(F.trim("organization"))))).alias("firms")
+    firm = F.when((F.trim("organization") != "") & (F.trim("name") != ""), F.array(F.concat_ws("|", F.lower(F.trim("name")), F.lower(F.trim("organization"))))).alias("firms")
     left = table(spark, folder, "vcards").select("card_id", "name", F.transform("emails.value", email).alias("emails"), F.transform("phones.value", phone).alias("phones"), firm)
     right = table(spark, folder, "google_contacts").select("resource_name", "name", F.transform("emails", email).alias("emails"), F.transform("phones", phone).alias("phones"), firm)
-    return resolve.duplicate_check(left, right, "card_id", "resource_name", [("emails", "email", 1.0), ("phones", "phone", 0.95), ("firms", "name_organization", 0.85)], "name")
+    return left, right
+
+
+@query()
+def card_duplicates(spark, folder):
+    # staged_match and a last stage of similar names, which has no SQL, as DuckDB's distance counts bytes
+    return resolve.duplicate_check(*_sides(spark, folder), "card_id", "resource_name", _STAGE_COLUMNS, "name")
 
 
 @query("""
 WITH p AS (SELECT DISTINCT keep AS a, merge_from AS b FROM merge_previews),
-j AS (SELECT p.*, coalesce(y.updated > coalesce(x.updated, ''), false) AS t, x.name n1, y.name n2, x.role r1, y.role r2, x.location l1, y.location l2 FROM p JOIN contact_entries x ON x.source_file = a JOIN contact_entries y ON y.source_file = b),
-k AS (SELECT *, CASE WHEN t THEN n2 ELSE n1 END AS kn, CASE WHEN t THEN n1 ELSE n2 END AS o_n, CASE WHEN t THEN r2 ELSE r1 END AS kr, CASE WHEN t THEN r1 ELSE r2 END AS o_r, CASE WHEN t THEN l2 ELSE l1 END AS kl, CASE WHEN t THEN l1 ELSE l2 END AS o_l FROM j)
-SELECT a, b, CASE WHEN t THEN b ELSE a END AS keep,
-  concat_ws(',', CASE WHEN coalesce(kn, '') = '' AND coalesce(o_n, '') <> '' THEN 'name' END, CASE WHEN coalesce(kr, '') = '' AND coalesce(o_r, '') <> '' THEN 'role' END, CASE WHEN coalesce(kl, '') = '' AND coalesce(o_l, '') <> '' THEN 'location' END) AS filled,
-  concat_ws(',', CASE WHEN kn <> '' AND o_n <> '' AND kn <> o_n THEN 'name' END, CASE WHEN kr <> '' AND o_r <> '' AND kr <> o_r THEN 'role' END, CASE WHEN kl <> '' AND o_l <> '' AND kl <> o_l THEN 'location' END) AS conflicts FROM k""")
+f AS (SELECT source_file, updated, tags, {'name': name, 'organization': organization, 'role': role, 'location': location} AS v FROM contact_entries),
+j AS (SELECT a, b, coalesce(y.updated > coalesce(x.updated, ''), false) AS t, x.v AS vx, y.v AS vy, coalesce(x.tags, []) AS tx, coalesce(y.tags, []) AS ty FROM p JOIN f x ON x.source_file = a JOIN f y ON y.source_file = b),
+k AS (SELECT a, b, t, CASE WHEN t THEN vy ELSE vx END AS m, CASE WHEN t THEN vx ELSE vy END AS o, CASE WHEN t THEN ty ELSE tx END AS tm, CASE WHEN t THEN tx ELSE ty END AS other FROM j),
+r AS (
+  SELECT a, b, CASE WHEN t THEN b ELSE a END AS keep,
+    concat_ws(',', CASE WHEN coalesce(m.name, '') = '' AND coalesce(o.name, '') <> '' THEN 'name' END, CASE WHEN coalesce(m.organization, '') = '' AND coalesce(o.organization, '') <> '' THEN 'organization' END, CASE WHEN coalesce(m.role, '') = '' AND coalesce(o.role, '') <> '' THEN 'role' END, CASE WHEN coalesce(m.location, '') = '' AND coalesce(o.location, '') <> '' THEN 'location' END) AS filled,
+    concat_ws(',', CASE WHEN m.name <> '' AND o.name <> '' AND m.name <> o.name THEN 'name' END, CASE WHEN m.organization <> '' AND o.organization <> '' AND m.organization <> o.organization THEN 'organization' END, CASE WHEN m.role <> '' AND o.role <> '' AND m.role <> o.role THEN 'role' END, CASE WHEN m.location <> '' AND o.location <> '' AND m.location <> o.location THEN 'location' END) AS conflicts,
+    CASE WHEN len(list_filter(other, lambda x: NOT list_contains(tm, x))) > 0 THEN 'tags' ELSE '' END AS united FROM k)
+SELECT *, conflicts <> '' AS action_required FROM r""")
 def merge_preview(spark, folder):
     pairs = table(spark, folder, "merge_previews").select(F.col("keep").alias("a"), F.col("merge_from").alias("b")).distinct()
-    return resolve.merge_pairs(pairs, table(spark, folder, "contact_entries"), "source_file", ["name", "role", "location"], "updated")
+    return resolve.merge_pairs(pairs, table(spark, folder, "contact_entries"), "source_file", ["name", "organization", "role", "location"], "updated", ["tags"])
 
 
 @query("""
@@ -452,13 +464,8 @@ def subject_dedup(spark, folder):
     return table(spark, folder, "emails").where("subject IS NOT NULL").groupBy(text.bare_subject(F.col("subject")).alias("subject")).agg(F.count(F.lit(1)).alias("n"), F.min("email_id").alias("first_id"))
 
 
-@query("SELECT card_id, nullif(regexp_replace(phones[1].value, '[^0-9]', '', 'g'), '') AS digits FROM vcards WHERE len(phones) > 0")
-def phone_normalise(spark, folder):
-    return table(spark, folder, "vcards").where(F.size("phones") > 0).select("card_id", text.digits_of(F.get("phones", F.lit(0)).value).alias("digits"))
-
-
 @query("SELECT card_id, k AS place, nullif(regexp_replace(phones[k].value, '[^0-9]', '', 'g'), '') AS digits FROM (SELECT card_id, phones, unnest(range(1, len(phones) + 1)) AS k FROM vcards)")
-def phones_normalised(spark, folder):
+def phone_normalise(spark, folder):
     p = table(spark, folder, "vcards").select("card_id", F.posexplode("phones").alias("k", "p"))
     return p.select("card_id", (F.col("k") + 1).cast("long").alias("place"), text.digits_of(F.col("p.value")).alias("digits"))
 
@@ -468,22 +475,43 @@ def sender_domains(spark, folder):
     return table(spark, folder, "emails").groupBy(text.domain_of(F.col("from_email")).alias("domain")).agg(F.count(F.lit(1)).alias("mails")).where("domain IS NOT NULL")
 
 
-@query(f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b((?:[A-Z][A-Za-z]+ ){{1,3}}(?:{'|'.join(text.COMPANY_SUFFIXES)}))\\b', 1))) AS name FROM documents")
+#: Lines of notes' bodies for the patterns: signs between words doubled, so that a match may end and the next begin with one.
+_BODIES = r"b AS (SELECT doc_id, regexp_replace(unnest(string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '^---(?s:.*?)---', ''), chr(10))), '([^\p{L}\p{N}_])', '\1\1', 'g') AS line FROM documents WHERE text IS NOT NULL), l AS (SELECT * FROM b WHERE trim(line) <> '' AND NOT starts_with(line, '#'))"
+_GAP, _NAME = r"[\s\p{Z}]+", "[A-Z][a-zA-Z]*"
+_OPEN, _CLOSE = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+
+
+def _found(pattern: str, group: str = "1") -> str:
+    return f"SELECT doc_id, unnest(regexp_extract_all(line, '{pattern}', {group})) AS name FROM l"
+
+
+_SUFFIXES = "Inc|Corp|Corporation|Ltd|Limited|GmbH|Labs|Protocol|Foundation|Network|DAO|Technologies|Ventures|Capital"
+
+
+@query(f"WITH {_BODIES}, f AS ({_found(f'{_OPEN}({_NAME}(?:{_GAP}{_NAME})*{_GAP}(?:{_SUFFIXES})){_CLOSE}')} UNION ALL SELECT * FROM ({_found(f'{_OPEN}(?:at|from|with|by){_GAP}({_NAME}(?:{_GAP}{_NAME}){{0,3}}){_CLOSE}')}) WHERE lower(name) NOT IN ('the', 'this', 'that', 'their', 'there')) SELECT DISTINCT doc_id, lower(regexp_replace(name, '{_GAP}', ' ', 'g')) AS name FROM f")
 def entity_companies(spark, folder):
-    d = table(spark, folder, "documents")
-    return d.select("doc_id", F.explode(text.companies(F.col("text"))).alias("name"))
+    return _entities(spark, folder, "company")
 
 
-@query(f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b([A-Z][A-Za-z]+ (?i:{'|'.join(text.PROJECT_WORDS)}))\\b', 1))) AS name FROM documents")
+def _entities(spark, folder, kind):
+    found = entities.document_entities(table(spark, folder, "documents"), "doc_id", "text").where(F.col("entity_type") == kind)
+    return found.select("doc_id", F.lower(F.regexp_replace("name", r"[\s\p{Z}]+", " ")).alias("name")).distinct()
+
+
+_PROJECTS = " UNION ALL ".join(_found(f"(?i){_OPEN}({_NAME}){_GAP}{w}{_CLOSE}") for w in "protocol platform network chain token blockchain mainnet testnet DAO dApp".split())
+
+
+@query(f"WITH {_BODIES}, f AS ({_PROJECTS}) SELECT DISTINCT doc_id, lower(name) AS name FROM f")
 def entity_projects(spark, folder):
-    d = table(spark, folder, "documents")
-    return d.select("doc_id", F.explode(text.projects(F.col("text"))).alias("name"))
+    return _entities(spark, folder, "project")
+
+
+_EVENTS = " UNION ALL ".join(_found(f"(?i){_OPEN}({_NAME}(?:{_GAP}{_NAME})*{_GAP}{w}(?:{_GAP}\\d{{4}})?){_CLOSE}") for w in "conference summit meetup hackathon workshop symposium expo week".split())
 
 
-@query(f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b([A-Z][A-Za-z]+ (?i:{'|'.join(text.EVENT_WORDS)})(?: 20[0-9][0-9])?)\\b', 1))) AS name FROM documents")
+@query(f"WITH {_BODIES}, f AS ({_EVENTS}) SELECT DISTINCT doc_id, lower(regexp_replace(name, '{_GAP}', ' ', 'g')) AS name FROM f")
 def entity_events(spark, folder):
-    d = table(spark, folder, "documents")
-    return d.select("doc_id", F.explode(text.events(F.col("text"))).alias("name"))
+    return _entities(spark, folder, "event")
 
 
 @query()

@@ -2,56 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinweave.operators import ranking, tagging, text
 from kinweave.plans.tables import table
+from kinweave.queries.views import registry
 
 AS_OF = "2025-12-31"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _rule_sql(kind: str, pattern: str) -> str:
-    subject = "lower(trim(from_email))" if kind == "address_glob" else "CASE WHEN contains(from_email, '@') THEN lower(split_part(trim(from_email), '@', -1)) END"
-    return f"{subject} = '{pattern}'" if kind == "domain" else f"regexp_matches({subject}, '{text.glob_regex(pattern)}')"
-
-
-_TAGS = "list_sort(list_distinct(flatten([" + ", ".join(f"CASE WHEN {_rule_sql(k, p)} THEN [{', '.join(repr(t) for t in tags.split())}] ELSE [] END" for k, p, tags in tagging.RULES) + "])))"
-
-
-@query(f"SELECT from_email, array_to_string({_TAGS}, ',') AS tags FROM (SELECT DISTINCT from_email FROM emails WHERE from_email IS NOT NULL)")
+QUERIES, ORACLES, query = registry()
+
+# written out apart from the operator's rules: exact domains, patterns of domains, of what stands before the @, custom texts, top-level domains
+_TAG_SQL = {
+    "regexp_matches(d, '^(usv\\.com|a16z\\.com|pantera\\.capital|sequoiacap\\.com|paradigm\\.xyz|polychain\\.capital|dragonfly\\.xyz)$')": "investor vc",
+    "regexp_matches(d, '^(google|microsoft|apple|amazon|meta)\\.com$')": "tech bigtech", "d IN ('ethereum.org', 'consensys.net')": "crypto ethereum", "d = 'protocol.ai'": "crypto filecoin",
+    "regexp_matches(d, '^(paradigm\\.xyz|polychain\\.capital|dragonfly\\.xyz)$')": "crypto",
+    "d IN ('edu', 'ac.uk') OR regexp_matches(d, '\\.edu$') OR regexp_matches(d, '\\.ac\\.')": "academic", "d IN ('gov', 'europa.eu') OR regexp_matches(d, '\\.gov(\\.|$)')": "government", "d = 'europa.eu'": "eu",
+    "regexp_matches(d, '-law\\.') OR regexp_matches(d, '\\.legal\\.')": "legal", "regexp_matches(d, '\\.health$|^clinic|^doctor')": "medical", "regexp_matches(d, '\\.vc$|ventures\\.')": "investor vc", "regexp_matches(d, 'capital\\.')": "investor",
+    "l IN ('newsletter', 'news', 'digest', 'weekly', 'daily', 'updates')": "newsletter", "l IN ('noreply', 'no-reply', 'notifications')": "automated", "l IN ('support', 'help')": "support", "l = 'sales'": "sales",
+    "l IN ('info', 'hello', 'team')": "generic", "l IN ('marketing', 'pr')": "marketing", "l = 'pr'": "pr",
+    "contains(a, 'ledger')": "ledger", "contains(a, 'robotics')": "hardware", "regexp_matches(a, 'owner\\d')": "owner",
+    "regexp_matches(d, '(^|\\.)(io|xyz|eth)$')": "tech", "regexp_matches(d, '(^|\\.)edu$')": "academic", "regexp_matches(d, '(^|\\.)gov$')": "government",
+}
+_TAGS = "list_sort(list_distinct(flatten([" + ", ".join(f"CASE WHEN d IS NOT NULL AND ({test}) THEN [{', '.join(repr(t) for t in tags.split())}] ELSE [] END" for test, tags in _TAG_SQL.items()) + "])))"
+_TAGGED = "(SELECT *, lower(trim(from_email)) AS a, split_part(lower(trim(from_email)), '@', 1) AS l, CASE WHEN contains(from_email, '@') THEN substr(lower(trim(from_email)), instr(lower(trim(from_email)), '@') + 1) END AS d FROM emails WHERE from_email IS NOT NULL)"
+#: The built-in rules and three of one's own, by texts in the address.
+_RULES = [*tagging.RULES, ("custom", "ledger", "ledger"), ("custom", "robotics", "hardware"), *[("custom", f"owner{k}", "owner") for k in range(10)]]
+
+
+@query(f"SELECT DISTINCT from_email, array_to_string({_TAGS}, ',') AS tags FROM {_TAGGED}")
 def sender_tags(spark, folder):
     senders = table(spark, folder, "emails").where("from_email IS NOT NULL").select("from_email").distinct()
-    return senders.select("from_email", F.array_join(tagging.tags_of(F.col("from_email")), ",").alias("tags"))
+    return senders.select("from_email", F.array_join(tagging.tags_of(F.col("from_email"), _RULES), ",").alias("tags"))
 
 
-@query(f"SELECT t AS tag, count(*) AS mails FROM (SELECT unnest({_TAGS}) AS t FROM emails WHERE from_email IS NOT NULL) GROUP BY 1")
+@query(f"SELECT t AS tag, count(*) AS mails FROM (SELECT unnest({_TAGS}) AS t FROM {_TAGGED}) GROUP BY 1")
 def tag_counts(spark, folder):
     mails = table(spark, folder, "emails").where("from_email IS NOT NULL")
-    return mails.select(F.explode(tagging.tags_of(F.col("from_email"))).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("mails"))
-
-
-@query("SELECT date_trunc('week', loaded_at)::DATE::VARCHAR AS week, count(*) AS messages, count(DISTINCT contact_id) AS contacts FROM interactions GROUP BY 1")
-def weekly_activity(spark, folder):
-    return table(spark, folder, "interactions").groupBy(F.to_date(F.date_trunc("week", "loaded_at")).cast("string").alias("week")).agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("contact_id").alias("contacts"))
-
-
-@query("WITH f AS (SELECT contact_id, date_trunc('week', min(loaded_at))::DATE::VARCHAR AS week FROM interactions WHERE contact_id IS NOT NULL GROUP BY 1) SELECT week, count(*) AS new_contacts FROM f GROUP BY 1")
-def new_contacts_by_week(spark, folder):
-    first = table(spark, folder, "interactions").where("contact_id IS NOT NULL").groupBy("contact_id").agg(F.min("loaded_at").alias("at"))
-    return first.groupBy(F.to_date(F.date_trunc("week", "at")).cast("string").alias("week")).agg(F.count(F.lit(1)).alias("new_contacts"))
+    return mails.select(F.explode(tagging.tags_of(F.col("from_email"), _RULES)).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("mails"))
 
 
 @query("SELECT entry_id, CASE WHEN d > 90 THEN 'overdue' WHEN d > 83 THEN 'this_week' ELSE 'next_week' END AS queue FROM (SELECT entry_id, datediff('day', last_interaction, DATE '2025-10-31') AS d FROM contact_entries WHERE status = 'active') WHERE d > 76")
@@ -95,15 +82,10 @@ def discovered_addresses(spark, folder):
     return best.select("who", "email", "votes", F.round(F.least(F.lit(1.0), F.col("votes") / 5), 6).alias("confidence"))
 
 
-@query("SELECT contact_id, month, n, sum(n) OVER (PARTITION BY contact_id ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)::BIGINT AS last_three FROM (SELECT contact_id, strftime(loaded_at, '%Y-%m') AS month, count(*) AS n FROM interactions WHERE contact_id IS NOT NULL GROUP BY 1, 2)")
-def rolling_months(spark, folder):
-    m = table(spark, folder, "interactions").where("contact_id IS NOT NULL").groupBy("contact_id", F.date_format("loaded_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
-    return m.withColumn("last_three", F.sum("n").over(Window.partitionBy("contact_id").orderBy("month").rowsBetween(-2, 0)))
-
-
 @query("""
 SELECT 'community' AS kind, 'community ' || community_id AS title, count(*)::DOUBLE AS weight FROM contacts WHERE community_id IS NOT NULL GROUP BY community_id HAVING count(*) >= 3
 UNION ALL SELECT * FROM (SELECT 'bridge', email, round(betweenness_centrality, 6) FROM (SELECT * FROM contacts ORDER BY degree_centrality DESC NULLS LAST, id LIMIT 10) WHERE betweenness_centrality > 0.01 AND NOT isnan(betweenness_centrality))
+UNION ALL SELECT * FROM (SELECT 'reconnect', email, round(frequency_score, 6) FROM contacts WHERE last_seen < DATE '2025-06-30' AND frequency_score >= 0.5 AND reciprocity_score > 0.3 ORDER BY frequency_score DESC, id LIMIT 15)
 UNION ALL SELECT 'pattern', CASE WHEN r > 0.6 THEN 'mostly sending' WHEN r < 0.4 THEN 'mostly receiving' ELSE 'balanced' END, round(r, 6) FROM (SELECT sum(sent_count) / sum(sent_count + received_count) AS r FROM contacts)""")
 def insights(spark, folder):
     c = table(spark, folder, "contacts")
@@ -112,16 +94,9 @@ def insights(spark, folder):
     bridges = top.where("betweenness_centrality > 0.01 AND NOT isnan(betweenness_centrality)").select(F.lit("bridge").alias("kind"), F.col("email").alias("title"), F.round("betweenness_centrality", 6).alias("weight"))
     ratio = c.agg((F.sum("sent_count") / F.sum(F.col("sent_count") + F.col("received_count"))).alias("r"))
     pattern = ratio.select(F.lit("pattern").alias("kind"), F.when(F.col("r") > 0.6, "mostly sending").when(F.col("r") < 0.4, "mostly receiving").otherwise("balanced").alias("title"), F.round("r", 6).alias("weight"))
-    return groups.unionByName(bridges).unionByName(pattern)
-
-
-_FORMERLY = r"\b([A-Z][a-z]+ [A-Z][a-z]+) \((?:formerly|antes) (?:of|en) [A-Z]"
-
-
-@query(f"SELECT doc_id, unnest(regexp_extract_all(text, '{_FORMERLY}', 1)) AS name FROM documents")
-def entity_people(spark, folder):
-    d = table(spark, folder, "documents")
-    return d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_FORMERLY.replace(r"\b", text.START)), F.lit(1))).alias("name"))
+    away = ranking.top_k(c.where("last_seen < DATE'2025-06-30' AND frequency_score >= 0.5 AND reciprocity_score > 0.3"), [F.desc("frequency_score"), F.col("id")], 15)
+    away = away.select(F.lit("reconnect").alias("kind"), F.col("email").alias("title"), F.round("frequency_score", 6).alias("weight"))
+    return groups.unionByName(bridges).unionByName(away).unionByName(pattern)
 
 
 _MEETING = r"\b(?:[Mm]et|[Cc]all with|[Mm]eeting with) ((?:Dr\. |Mr\. |Mrs\. |Prof\. )?[A-Z][A-Za-z.]+(?: [A-Z][A-Za-z]+)*)"
@@ -150,9 +125,3 @@ def document_profile(spark, folder):
 def industries_by_type(spark, folder):
     g = table(spark, folder, "extracted_entities").select("entity_type", F.explode("suggested_industries").alias("industry")).where("industry IS NOT NULL").groupBy("entity_type", "industry").agg(F.count(F.lit(1)).alias("n"))
     return ranking.top_k_per_group(g, ["entity_type"], [F.desc("n"), F.col("industry")], 5).select("entity_type", "industry", "n")
-
-
-@query("SELECT c.id, c.email, s.threads, s.messages FROM contacts c LEFT JOIN (SELECT contact_id, count(DISTINCT thread_id) AS threads, count(*) AS messages FROM interactions GROUP BY 1) s ON s.contact_id = c.id")
-def contact_threads(spark, folder):
-    s = table(spark, folder, "interactions").where("contact_id IS NOT NULL").groupBy(F.col("contact_id").alias("id")).agg(F.count_distinct("thread_id").alias("threads"), F.count(F.lit(1)).alias("messages"))
-    return table(spark, folder, "contacts").select("id", "email").join(s, "id", "left")

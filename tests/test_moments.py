@@ -48,6 +48,23 @@ def test_moments(spark):
     assert [(c[0], got[i]) for i, c in enumerate(CASES)] == [(c[0], c[2]) for c in CASES]
 
 
+def test_any_year_is_read_by_the_clock_of_its_zone(spark):
+    """Years without bound: before the first change of a clock, and after the years that are listed."""
+    years = [(f"{y:04}-{m:02}-15 10:00:00", z) for y in (1, 1599, 1799, 1850, 1899, 2101, 2128, 2129, 2150, 2200, 2400, 2999, 9998) for m in (1, 3, 7, 11) for z in ("Europe/Berlin", "America/New_York", "Asia/Kolkata", "Africa/Casablanca", "Australia/Sydney")]
+    df = spark.createDataFrame([(i, t, z) for i, (t, z) in enumerate(years)], "i int, date string, tz string")
+    got = {r.i: r.utc_second for r in to_utc(df, "date", "tz").collect()}
+    for i, (t, z) in enumerate(years):
+        local = datetime.fromisoformat(t).replace(tzinfo=ZoneInfo(z))
+        want = (local.replace(tzinfo=None) - datetime(1970, 1, 1)).total_seconds() - local.utcoffset().total_seconds()
+        assert got[i] == int(want), (t, z)
+
+
+def test_status(spark):
+    rows = [("2021-10-31 02:30", "twice"), ("2021-03-28 02:30", "skipped"), ("2021-06-01 02:30", "once"), ("2021-06-01T02:30Z", "offset"), ("1609613789", "count"), (" ", "blank"), (None, "blank"), ("2021-13-01", "impossible"), ("soon", "no date"), ("2021-06-01T02:30[No/Where]", "impossible")]
+    df = spark.createDataFrame([(t, "Europe/Berlin", want) for t, want in rows], "date string, tz string, want string")
+    assert to_utc(df, "date", "tz", status="how").where("NOT how <=> want").count() == 0
+
+
 def test_empty_repeated_and_extra_columns(spark):
     shape = "id long, date string, tz string, utc string, year int"
     assert to_utc(spark.createDataFrame([], shape), "date", "tz").count() == 0
@@ -60,7 +77,7 @@ def test_empty_repeated_and_extra_columns(spark):
 def test_intervals_hold_the_zone_rules(zone):
     z = ZoneInfo(zone)
     for a, b, off in zone_intervals(zone):
-        for t in (a, b - 1):
+        for t in (max(a, utc(1000, 1, 1)), b - 1):
             assert datetime.fromtimestamp(t, timezone.utc).astimezone(z).utcoffset().total_seconds() == off
 
 

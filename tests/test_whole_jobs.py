@@ -85,18 +85,20 @@ def test_companies_by_preposition_and_people_by_role(spark):
 
 
 def test_gaps_by_marker_and_age(spark, tmp_path):
-    from kinweave.queries.relations import QUERIES
+    """The last word by the sender's clock counts, repeated deliveries do not; mine needs a question and 15 days."""
+    from kinweave.queries.timeline import QUERIES
 
     rows = []
-    cases = {"asked": ("sent", "Thoughts", "2025-12-01"), "fresh": ("sent", "why?", "2025-12-16 00:00:01"), "told": ("sent", "Done.", "2025-01-01"), "theirs": ("received", "Done.", "2025-12-30"), "empty": ("sent", None, "2025-01-01")}
+    cases = {"asked": ("sent", "Thoughts", "2025-10-01"), "fresh": ("sent", "why?", "2025-10-16 00:00:01"), "told": ("sent", "Done.", "2025-01-01"), "theirs": ("received", "Done.", "2025-10-30"), "empty": ("sent", None, "2025-01-01")}
     for k, (t, (side, snippet, at)) in enumerate(cases.items()):
-        rows += [(10 * k, t, "sent", "when?", "2024-01-01"), (10 * k + 1, t, side, snippet, at)]
-    rows += [(99, "alone", "received", "?", "2025-01-01"), (12, "fresh", None, "?", "2025-01-01")]
-    df = spark.createDataFrame(rows, "id long, thread_id string, direction string, snippet string, at string").withColumn("loaded_at", F.to_timestamp("at"))
+        # the older message was loaded last
+        rows += [(10 * k + 1, t, "sent", "when?", "2024-01-01"), (10 * k, f" <{t}> ", side, snippet, at)]
+    rows += [(99, "alone", "received", "?", "2025-01-01"), (12, "fresh", None, "?", "2025-01-01"), (13, "fresh", "received", "?", "soon"), (14, "twice", "received", "?", "2025-01-01"), (15, "twice", "received", "?", "2025-01-01")]
+    df = spark.createDataFrame([(*r, 1, "same" if r[0] in (14, 15) else None, 5, "s") for r in rows], "id long, thread_id string, direction string, snippet string, date string, mailbox_id long, message_id string, contact_id long, subject string")
     df.write.parquet(f"{tmp_path}/interactions.parquet")
-    got = {(r.thread_id, r.gap, r.days) for r in QUERIES["conversation_gaps"](spark, str(tmp_path)).collect()}
-    assert got == {("asked", "no_response", 30), ("theirs", "unanswered_by_me", 1)}
-
+    spark.createDataFrame([(1, "UTC")], "mailbox_id long, tz_name string").write.parquet(f"{tmp_path}/mailboxes.parquet")
+    got = {(r.thread, r.gap, r.days) for r in QUERIES["conversation_ending"](spark, str(tmp_path)).collect()}
+    assert got == {("asked", "no_response_to_my_message", 30), ("theirs", "unanswered_by_me", 1)}
 
 def test_all_numbers_of_a_card(spark, tmp_path):
     from kinweave.queries.relations import QUERIES
