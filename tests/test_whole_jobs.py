@@ -105,4 +105,4 @@ def test_all_numbers_of_a_card(spark, tmp_path):
 
     rows = [(1, [("", "+1 2"), ("", "(3) 4")]), (2, []), (3, None), (4, [("", "none")])]
     spark.createDataFrame(rows, "card_id long, phones array<struct<type string, value string>>").write.parquet(f"{tmp_path}/vcards.parquet")
-    assert sorted(tuple(r) for r in QUERIES["phones_normalised"](spark, str(tmp_path)).collect()) == [(1, 1, "12"), (1, 2, "34"), (4, 1, None)]
+    assert sorted(tuple(r) for r in QUERIES["phone_normalise"](spark, str(tmp_path)).collect()) == [(1, 1, "12"), (1, 2, "34"), (4, 1, None)]
