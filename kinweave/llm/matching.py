@@ -2,20 +2,24 @@
 
 Every record is entered under several composite sort keys (address, number, both orders of its name, firm), the entries are
 sorted, and a window slides over them; pairs inside a window that a cheap test lets through are scored by weighted field
-similarities. Confident pairs make people by connection, since one person may have several records in a source. What is
-left, weaker pairs between people, is settled by one-to-one assignment: best mutual confidence first.
+similarities. One person may have several records in a source: confident pairs make clusters by connection, so that each
+source has at most one cluster of a person. Then the clusters of each two sources are assigned one to one with the greatest
+total confidence; clusters that both have records in a source are two people and are never assigned to each other.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinweave.llm.linkage import linked_groups
 from kinweave.llm.tags import edits
@@ -132,32 +136,37 @@ def compare_names(a: list[str], b: list[str]) -> str:
     return "other" if slips > 2 or initials > 1 else "initial" if initials else "full"
 
 
-def _same_firm(a: list[str], b: list[str]) -> str:
-    if not a or not b:
-        return "none"
-    return "firm" if any(x == y or (min(len(x), len(y)) >= 5 and (x.startswith(y) or y.startswith(x))) for x in a for y in b) else "other_firm"
+@lru_cache(maxsize=200_000)
+def _names(a: str, b: str) -> float:
+    kind = compare_names(a.split(), b.split())
+    return {"full": WEIGHTS["full"], "initial": WEIGHTS["initial"], "other": WEIGHTS["other_name"]}.get(kind, 0.0)
+
 
+@F.pandas_udf(T.DoubleType())
+def name_weight(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The part of two names, each a text of its words, in a pair's confidence."""
+    return pd.Series([_names(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-def confidence(a: dict, b: dict) -> float:
-    """Weighted sum of the fields' similarities, within 0 and 1."""
-    common = set(a["emails"]) & set(b["emails"])
-    own = {e for e in common if e.split("@")[0] not in ROLES}
-    names = compare_names(a["words"], b["words"])
-    place = _same_firm(a["firms"], b["firms"])
-    score = WEIGHTS["email"] if own else 0.0
-    score += WEIGHTS["phone"] if set(a["phones"]) & set(b["phones"]) else 0.0
-    score += {"full": WEIGHTS["full"], "initial": WEIGHTS["initial"], "other": WEIGHTS["other_name"]}.get(names, 0.0)
-    score += WEIGHTS.get(place, 0.0)
-    if not own:
-        domains = lambda r: {e.split("@")[1] for e in r["emails"] if e.split("@")[0] not in ROLES and e.split("@")[1] in r["work"]}
-        score += WEIGHTS["same_domain"] if domains(a) & domains(b) else 0.0
-    return float(min(1.0, max(0.0, round(score, 4))))
+
+def with_confidence(both: DataFrame) -> DataFrame:
+    """(a, b, confidence) of pairs whose records' columns are the structs x and y, as _side gives them.
+
+    A weighted sum of the fields' similarities, within 0 and 1. Only names are compared in Python, and each two of them once.
+    """
+    own, phone = F.arrays_overlap("x.own", "y.own"), F.arrays_overlap("x.phones", "y.phones")
+    alike = F.exists("x.firms", lambda f: F.exists("y.firms", lambda g: (f == g) | ((F.length(f) >= 5) & (F.length(g) >= 5) & (f.startswith(g) | g.startswith(f)))))
+    firm = F.when((F.size("x.firms") == 0) | (F.size("y.firms") == 0), 0.0).when(alike, WEIGHTS["firm"]).otherwise(WEIGHTS["other_firm"])
+    domain = F.when(~own & F.arrays_overlap("x.domains", "y.domains"), WEIGHTS["same_domain"]).otherwise(0.0)
+    rest = F.when(own, WEIGHTS["email"]).otherwise(0.0) + F.when(phone, WEIGHTS["phone"]).otherwise(0.0) + firm + domain
+    rows = both.select("a", "b", rest.alias("rest"), F.col("x.name").alias("n"), F.col("y.name").alias("m"))
+    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("rest") + name_weight("n", "m"))), 4)
+    return rows.select("a", "b", score.alias("confidence"))
 
 
 def records(contacts: DataFrame, google: DataFrame, vcards: DataFrame) -> DataFrame:
-    """rec, emails, phones, words, firms, work of every record of the three sources; rec is `source|key`.
+    """rec, emails, own, phones, words, name, firms, domains of every record of the three sources; rec is `source|key`.
 
-    work: the domains that belong to a firm which some record names.
+    own: addresses that are no role's; domains: those of own addresses that belong to a firm which some record names.
     """
     none = F.array().cast("array<string>")
     parts = [
@@ -184,9 +193,11 @@ def records(contacts: DataFrame, google: DataFrame, vcards: DataFrame) -> DataFr
     places = cleaned.select("rec", F.explode(F.arrays_zip("emails", "labels")).alias("z")).select("rec", F.col("z.labels").alias("label"), F.substring_index("z.emails", "@", -1).alias("domain"))
     # a mail provider or a large firm may have a third of all addresses
     known = lookup_join(places, "label", firms, heavy_or_none(places, "label", places.count())).where("is_firm").groupBy("rec").agg(F.collect_set("label").alias("own"), F.collect_set("domain").alias("work"))
-    joined = cleaned.join(known, "rec", "left")
-    all_firms = F.array_compact(F.array_distinct(F.concat(F.array("firm"), F.coalesce("own", none))))
-    return materialise(joined.select("rec", "emails", "phones", "words", all_firms.alias("firms"), F.coalesce("work", none).alias("work")), "records")
+    joined = cleaned.join(known.withColumnRenamed("own", "labelled"), "rec", "left")
+    all_firms = F.array_compact(F.array_distinct(F.concat(F.array("firm"), F.coalesce("labelled", none))))
+    own = F.filter("emails", lambda e: ~F.substring_index(e, "@", 1).isin(sorted(ROLES)))
+    domains = F.array_intersect(F.transform(own, lambda e: F.substring_index(e, "@", -1)), F.coalesce("work", none))
+    return materialise(joined.select("rec", "emails", own.alias("own"), "phones", "words", F.array_join("words", " ").alias("name"), all_firms.alias("firms"), domains.alias("domains")), "records")
 
 
 def sort_entries(people: DataFrame) -> DataFrame:
@@ -232,73 +243,133 @@ def window_pairs(entries: DataFrame, window: int = WINDOW, block: int = BLOCK) -
 
     def slide(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("pos", ignore_index=True)
-        start = int(g["block"].iloc[0]) * block
-        first = np.array([w[0] if len(w) else "" for w in g["words"]], dtype=object)
-        second = np.array([w[1] if len(w) > 1 else "" for w in g["words"]], dtype=object)
-        mark, rec, pos = g["mark"].to_numpy(), g["rec"].to_numpy(), g["pos"].to_numpy()
-        exact = np.array([m[0] in "ep" for m in mark])
-        initials = np.array([min(x[:1], y[:1]) + max(x[:1], y[:1]) for x, y in zip(first, second, strict=True)], dtype=object)
+        start, n = int(g["block"].iloc[0]) * block, len(g)
+        first = [w[0] if len(w) else "" for w in g["words"]]
+        second = [w[1] if len(w) > 1 else "" for w in g["words"]]
+        # words, beginnings, marks and records as numbers; an empty word is alike to none
+        coded = pd.factorize(np.array(first + second, dtype=object))[0]
+        f, s = coded[:n].copy(), coded[n:].copy()
+        f[np.array([not x for x in first], dtype=bool)] = -1
+        s[np.array([not x for x in second], dtype=bool)] = -2
+        heads = pd.factorize(np.array([f"{x[:4]} {y[:4]}" for x, y in zip(first, second, strict=True)], dtype=object))[0]
+        initials = pd.factorize(np.array([min(x[:1], y[:1]) + max(x[:1], y[:1]) for x, y in zip(first, second, strict=True)], dtype=object))[0]
+        mark, rec = (pd.factorize(g[c])[0] for c in ("mark", "rec"))
+        names, pos = g["rec"].to_numpy(), g["pos"].to_numpy()
+        exact = g["mark"].str[0].isin(["e", "p"]).to_numpy()
         out = []
-        for k in range(1, window):
-            if len(g) <= k:
-                break
-            same = mark[k:] == mark[:-k]
-            alike = initials[k:] == initials[:-k]
-            shared = np.array([bool(set((a, b)) & set((c, d)) - {""}) or (a[:4] == c[:4] and b[:4] == d[:4]) for a, b, c, d in zip(first[k:], second[k:], first[:-k], second[:-k], strict=True)])
-            take = (same & exact[k:]) | (shared & (alike | same))
-            take &= (rec[k:] != rec[:-k]) & (pos[k:] >= start)
+        for k in range(1, min(window, n)):
+            x, y = slice(k, None), slice(None, -k)
+            same = mark[x] == mark[y]
+            shared = ((f[x] == f[y]) & (f[x] >= 0)) | ((s[x] == s[y]) & (s[x] >= 0)) | ((f[x] == s[y]) & (f[x] >= 0)) | ((s[x] == f[y]) & (s[x] >= 0)) | (heads[x] == heads[y])
+            take = ((same & exact[x]) | (shared & ((initials[x] == initials[y]) | same))) & (rec[x] != rec[y]) & (pos[x] >= start)
             i = np.nonzero(take)[0]
-            out += [(min(x, y), max(x, y)) for x, y in zip(rec[i + k], rec[i], strict=True)]
-        return pd.DataFrame(out, columns=["a", "b"])
+            out.append(pd.DataFrame({"a": names[i + k], "b": names[i]}))
+        found = pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype=object)
+        turned = found["a"] > found["b"]
+        return pd.DataFrame({"a": found["b"].where(turned, found["a"]), "b": found["a"].where(turned, found["b"])}).drop_duplicates()
 
     return placed.groupBy("block").applyInPandas(slide, "a string, b string").distinct()
 
 
-def scored_pairs(pairs: DataFrame, people: DataFrame, least: float) -> DataFrame:
-    """(a, b, confidence) of the pairs that reach least."""
-    side = lambda s: people.select(F.col("rec").alias(s), F.struct("emails", "phones", "words", "firms", "work").alias(f"of_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+def _side(people: DataFrame, end: str, as_: str) -> DataFrame:
+    return people.select(F.col("rec").alias(end), F.struct("own", "phones", "name", "firms", "domains").alias(as_))
 
-    def score(batches):
-        for batch in batches:
-            c = [confidence(x, y) for x, y in zip(batch["of_a"].apply(_row), batch["of_b"].apply(_row), strict=True)]
-            out = pd.DataFrame({"a": batch["a"], "b": batch["b"], "confidence": c})
-            yield out[out["confidence"] >= least]
 
-    return both.mapInPandas(score, "a string, b string, confidence double")
+def scored_pairs(pairs: DataFrame, people: DataFrame, least: float = 0.0) -> DataFrame:
+    """(a, b, confidence) of the pairs that reach least."""
+    both = pairs.join(_side(people, "a", "x"), "a").join(_side(people, "b", "y"), "b")
+    return with_confidence(both).where(F.col("confidence") >= least)
+
 
+def best_assignment(edges: list[tuple[str, str, float]]) -> list[tuple[str, str]]:
+    """The one-to-one pairs (p, q) of a bipartite graph with the greatest total weight; all weights are positive.
 
-def _row(x) -> dict:
-    d = x if isinstance(x, dict) else x.asDict()
-    return {k: list(v) for k, v in d.items()}
+    From the free left ends the way that gains most, over edges in and out of the assignment, is taken as long as one gains.
+    """
+    out: dict[str, list[tuple[str, int]]] = defaultdict(list)
+    for p, q, w in sorted(edges):
+        out[p].append((q, round(w * 10_000)))
+    mine: dict[str, str] = {}
+    held: dict[str, tuple[str, int]] = {}
+    while True:
+        gain = {p: 0 for p in out if p not in mine}
+        came: dict[str, str] = {}
+        best: dict[str, int] = {}
+        todo = list(gain)
+        while todo:
+            following = {}
+            for p in todo:
+                for q, w in out[p]:
+                    if mine.get(p) != q and gain[p] + w > best.get(q, -1):
+                        best[q], came[q] = gain[p] + w, p
+                        if q in held and gain.get(held[q][0], -(10**9)) < best[q] - held[q][1]:
+                            gain[held[q][0]] = best[q] - held[q][1]
+                            following[held[q][0]] = None
+            todo = list(following)
+        free = [(-g, q) for q, g in best.items() if q not in held and g > 0]
+        if not free:
+            return sorted(mine.items())
+        q = min(free)[1]
+        while q is not None:
+            p = came[q]
+            before = mine.get(p)
+            mine[p], held[q] = q, (p, dict(out[p])[q])
+            if before is not None and held.get(before, ("",))[0] == p:
+                del held[before]
+            q = before
+
+
+def assigned(edges: DataFrame) -> DataFrame:
+    """(p, q): the one-to-one assignment of greatest total confidence over edges(p, q, confidence), distinct, p and q of two sides.
+
+    Parts of the graph that are not connected are assigned apart: pairs whose ends have no other edge at once, the
+    others by part, whose size is that of one contested name.
+    """
+    edges = materialise(edges, "sides")
+    degree = lambda end: edges.groupBy(end).agg(F.count(F.lit(1)).alias(f"n_{end}"))
+    counted = materialise(edges.join(degree("p"), "p").join(degree("q"), "q"), "sides")
+    alone = counted.where("n_p = 1 AND n_q = 1").select("p", "q")
+    contested = counted.where("n_p > 1 OR n_q > 1").select("p", "q", "confidence")
+    if not contested.take(1):
+        return alone
+    part = linked_groups(contested.select(F.concat(F.lit("p "), "p").alias("u"), F.concat(F.lit("q "), "q").alias("v"), F.lit(1.0).alias("s")), "u", "v", "s", 0.0)
+    named = contested.join(part.select(F.expr("substring(contact, 3)").alias("p"), "group_key").where("contact LIKE 'p %'"), "p")
 
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(best_assignment(list(zip(rows["p"], rows["q"], rows["confidence"], strict=True))), columns=["p", "q"])
 
-def assigned(weak: DataFrame) -> DataFrame:
-    """(p, q) of weak(p, q, confidence) between people: best mutual confidence, without a rival as good on either side."""
-    ends = weak.select("p", "q", "confidence").unionByName(weak.select(F.col("q").alias("p"), F.col("p").alias("q"), "confidence"))
-    best = ends.groupBy("p").agg(F.max("confidence").alias("top"))
-    tops = ends.join(best, "p").where("confidence = top").groupBy("p").agg(F.min("q").alias("q"), F.count(F.lit(1)).alias("n")).where("n = 1").select("p", "q")
-    return tops.join(tops.select(F.col("p").alias("q"), F.col("q").alias("p")), ["p", "q"]).where("p < q")
+    return alone.unionByName(named.groupBy("group_key").applyInPandas(solve, "p string, q string"))
 
 
 def same_people(contacts: DataFrame, google: DataFrame, vcards: DataFrame, confident: float = CONFIDENT, weak: float = WEAK) -> DataFrame:
     """(source1, key1, source2, key2, confidence): every pair of records of one person from two sources, source1 < source2.
 
-    confidence is that of the pair where it was compared, else the least that ties the person together (`confident`).
-    Records whose fields are all null, blank or useless match nothing; repeated rows of one key count once; an empty
-    source takes part in no pair; other columns are ignored.
+    confidence is that of the pair's own fields; a pair that is one person's through other records may have little. Records
+    whose fields are all null, blank or useless match nothing; repeated rows of one key count once; an empty source takes
+    part in no pair; other columns are ignored.
     """
     people = records(contacts, google, vcards)
     pairs = materialise(scored_pairs(window_pairs(sort_entries(people)), people, weak), "pairs")
-    groups = materialise(linked_groups(pairs, "a", "b", "confidence", confident), "groups")
-    own = people.select("rec").distinct().join(groups.select(F.col("contact").alias("rec"), "group_key"), "rec", "left").select("rec", F.coalesce("group_key", "rec").alias("person"))
+    groups = linked_groups(pairs, "a", "b", "confidence", confident)
+    source = F.substring_index("rec", "|", 1)
+    own = people.select("rec").distinct().join(groups.select(F.col("contact").alias("rec"), "group_key"), "rec", "left").select("rec", source.alias("source"), F.coalesce("group_key", "rec").alias("person"))
     own = materialise(own, "persons")
-    loose = pairs.where(F.col("confidence") < confident).join(own.select(F.col("rec").alias("a"), F.col("person").alias("p")), "a").join(own.select(F.col("rec").alias("b"), F.col("person").alias("q")), "b").where("p <> q")
-    loose = loose.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "confidence").groupBy("p", "q").agg(F.max("confidence").alias("confidence"))
-    joined = assigned(materialise(loose, "loose")).select(F.col("q").alias("person"), F.col("p").alias("into"))
-    final = materialise(own.join(joined, "person", "left").select("rec", F.coalesce("into", "person").alias("person")), "people")
-    cut = final.select("person", "rec", F.substring_index("rec", "|", 1).alias("source"), F.expr("substring(rec, instr(rec, '|') + 1)").alias("key"))
-    left, right = (cut.select("person", F.col("rec").alias(f"rec{i}"), F.col("source").alias(f"source{i}"), F.col("key").alias(f"key{i}")) for i in (1, 2))
-    found = left.join(right, "person").where("source1 < source2")
-    known = pairs.select(F.col("a").alias("rec1"), F.col("b").alias("rec2"), "confidence")
-    return found.join(known, ["rec1", "rec2"], "left").select("source1", "key1", "source2", "key2", F.coalesce("confidence", F.lit(confident)).alias("confidence"))
+    loose = pairs.where(F.col("confidence") < confident)
+    for left, right in (("google_contacts", "vcards"), ("contacts", "google_contacts"), ("contacts", "vcards")):
+        has = own.groupBy("person").agg(F.collect_set("source").alias("sources"))
+        end = lambda rec, name: own.join(has, "person").select(F.col("rec").alias(rec), F.col("person").alias(name), F.col("sources").alias(f"s_{name}"))
+        links = loose.join(end("a", "p"), "a").join(end("b", "q"), "b").where(~F.arrays_overlap("s_p", "s_q"))
+        turned = links.select(F.col("q").alias("p"), F.col("p").alias("q"), F.col("s_q").alias("s_p"), F.col("s_p").alias("s_q"), "confidence")
+        sides = links.select("p", "q", "s_p", "s_q", "confidence").unionByName(turned).where(F.array_contains("s_p", left) & F.array_contains("s_q", right))
+        # a cluster of all three sources has no side here; one of two sources stands on one side only, as its other end lacks both
+        won = assigned(sides.groupBy("p", "q").agg(F.max("confidence").alias("confidence")))
+        own = materialise(own.join(won.select(F.col("q").alias("person"), F.col("p").alias("into")), "person", "left").select("rec", "source", F.coalesce("into", "person").alias("person")), "persons")
+    key = F.expr("substring(rec, instr(rec, '|') + 1)")
+    one, two = (own.select("person", F.col("rec").alias(end), F.col("source").alias(f"source{i}"), key.alias(f"key{i}")) for i, end in ((1, "a"), (2, "b")))
+    found = one.join(two, "person").where("source1 < source2").select("a", "b", "source1", "key1", "source2", "key2")
+    return found.join(_side(people, "a", "x"), "a").join(_side(people, "b", "y"), "b").transform(_scored_columns)
+
+
+def _scored_columns(both: DataFrame) -> DataFrame:
+    kept = both.select("source1", "key1", "source2", "key2", F.struct("source1", "key1", "source2", "key2").alias("a"), F.lit(0).alias("b"), "x", "y")
+    return with_confidence(kept).select("a.*", "confidence")

@@ -138,3 +138,31 @@ def test_names_and_numbers():
     assert matching.name_words("Dr. Lee, Ann B.") == ["ann", "lee"] and matching.name_words("Liz Stone") == ["elizabeth", "stone"]
     assert matching.clean_phone("+999-28-2692722 ext. 48") == matching.clean_phone("028 269-2722") == "282692722"
     assert matching.clean_phone("000000000") is None and matching.clean_email("none@") is None and matching.clean_email(" <A.B+x@Y.org> ") == "a.b@y.org"
+
+
+def test_assignment_has_the_greatest_total():
+    """Against every possible assignment of small graphs."""
+    from itertools import product
+
+    rng = random.Random(8)
+    for _ in range(300):
+        n, m = rng.randrange(1, 5), rng.randrange(1, 5)
+        edges = [(f"p{i}", f"q{j}", rng.choice([0.35, 0.4, 0.45, 0.55, 0.5999])) for i in range(n) for j in range(m) if rng.random() < 0.6]
+        weight = {(p, q): w for p, q, w in edges}
+        best = 0.0
+        for choice in product([None, *range(m)], repeat=n):
+            used = [j for j in choice if j is not None]
+            if len(used) == len(set(used)) and all((f"p{i}", f"q{j}") in weight for i, j in enumerate(choice) if j is not None):
+                best = max(best, sum(weight[f"p{i}", f"q{j}"] for i, j in enumerate(choice) if j is not None))
+        got = matching.best_assignment(edges)
+        assert len({p for p, _ in got}) == len({q for _, q in got}) == len(got)
+        assert abs(sum(weight[x] for x in got) - best) < 1e-9
+
+
+def test_namesakes_of_two_firms_stay_two(spark):
+    """A name alone joins a lone record to the better of two people, and never two people that both have a card."""
+    c = [(1, "ann.lee@acme-1.test", "Ann Lee", "acme-1.test", "x"), (2, "ann.lee@beta-2.test", "Ann Lee", "beta-2.test", "x"), (3, "zed@free.example", "Zed Moor", "free.example", "x")]
+    g = [("g1", "Ann Lee", None, None, ["ann.lee@acme-1.test"], None, "Acme", "p"), ("g2", "Zed Moor", None, None, [], ["043 762-1999"], None, "p")]
+    v = [(10, "Ann Lee", None, None, [("WORK", "ann.lee@acme-1.test")], [], "Acme", "p"), (11, "Ann Lee", None, None, [("WORK", "ann.lee@beta-2.test")], [], "Beta", "p")]
+    got = {(r.source1, r.key1, r.source2, r.key2) for r in matching.same_people(*people_tables(spark, c, g, v)).collect()}
+    assert got == {("contacts", "1", "google_contacts", "g1"), ("contacts", "1", "vcards", "10"), ("google_contacts", "g1", "vcards", "10"), ("contacts", "2", "vcards", "11"), ("contacts", "3", "google_contacts", "g2")}
