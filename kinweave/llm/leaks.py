@@ -5,6 +5,10 @@ contribute to a dot product with an item). Passages are weighted by tf-idf with
 particular to an item outweighs its phrasing. A randomised SVD, computed by two passes over the passages of all documents
 and of the items, gives the latent space; passages of the corpus whose cosine with a passage of an item is high are
 candidates. A candidate document is confirmed by a long common run or by aligning the item's sentences.
+
+The corpus is read a constant number of times whatever the number of items: its words are coded once, counted once,
+multiplied twice and searched once; the texts of candidates are read again. Items are held in shards of a bounded number
+of passages, so a book-length item is spread over several.
 """
 
 from __future__ import annotations
@@ -22,14 +26,18 @@ from pyspark.sql import functions as F
 from kinweave.plans.lineage import materialise
 
 WINDOW, STRIDE = 12, 4
+#: Distance of an item's passages. The nearest of them is out of line with a passage of a document by one word at most.
+ITEM_STRIDE = 2
 RANK, OVERSAMPLE = 128, 16
-COSINE, SHARE = 0.55, 0.12
-#: Items searched for at once, which bounds vocabulary and matrices; more are taken in blocks, each against all documents.
-BLOCK = 2_000
+COSINE = 0.55
+#: A passage is searched for if so many of its words are known to some item: seven of eight hold in any leaked sentence.
+LEAST_KNOWN = 3
+#: Passages, or characters, of items in one shard, which is what an executor holds of them at once.
+SHARD_PASSAGES, SHARD_CHARS = 100_000, 20_000_000
 #: Matrices that one task of the tree adds up.
 FAN_IN = 16
-#: Passages in memory at once.
-CHUNK = 2_048
+#: Passages of documents in memory at once, and those that meet a shard while it is loaded.
+CHUNK, SLAB = 2_048, 65_536
 
 _TAG = re.compile(r"<[^<>]{0,500}>")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
@@ -73,21 +81,19 @@ def _weighted(basis: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.vstack([basis * weights[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
 
 
-class Items:
-    """Vocabulary and passages of a block of items."""
+def _vocabulary(items: DataFrame) -> dict[str, int]:
+    """The words of all items with numbers. Only item words are kept, so its size is bounded by the items' language, not by the corpus."""
+
+    def words(batches):
+        for batch in batches:
+            yield pd.DataFrame({"word": sorted({w for t in batch["text"] for w in tokens(t)})}, dtype=object)
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.ids = np.array([i for i, _ in rows], dtype=np.int64)
-        self.texts = [t for _, t in rows]
-        words = [tokens(t) for t in self.texts]
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in words for w in ws}))}
-        cut = [_passages(np.array([self.vocabulary[w] for w in ws], dtype=np.int32), 1) for ws in words if ws]
-        self.passages = np.vstack(cut)
-        self.owner = np.repeat(np.array([k for k, ws in enumerate(words) if ws]), [len(c) for c in cut])
+    found = items.select("text").mapInPandas(words, "word string").distinct().collect()
+    return {w: k for k, w in enumerate(sorted(r.word for r in found))}
 
 
 def _coded(documents: DataFrame, vocabulary) -> DataFrame:
-    """(doc_id, ids): the words of each document as numbers of the vocabulary, -1 outside it; documents without any stay out."""
+    """(doc_id, ids): the words of each document (or item) as numbers of the vocabulary, -1 outside it; documents without any stay out."""
 
     def code(batches):
         number = vocabulary.value
@@ -99,8 +105,8 @@ def _coded(documents: DataFrame, vocabulary) -> DataFrame:
     return documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInPandas(code, "doc_id long, ids array<int>")
 
 
-def _chunks(batches, stride: int):
-    """(passages, document of each) of a few thousand passages at a time, so that long and many documents fit in memory."""
+def _chunks(batches, stride: int, size: int = CHUNK):
+    """(passages, document of each) of about size passages at a time, so that long and many documents fit in memory."""
     for batch in batches:
         docs = batch["doc_id"].to_numpy() if "doc_id" in batch else np.zeros(len(batch), dtype=np.int64)
         held, of, n = [], [], 0
@@ -110,7 +116,7 @@ def _chunks(batches, stride: int):
                 held.append(rows[k : k + CHUNK])
                 of.append(np.full(len(held[-1]), doc, dtype=np.int64))
                 n += len(held[-1])
-                if n >= CHUNK:
+                if n >= size:
                     yield np.vstack(held), np.concatenate(of)
                     held, of, n = [], [], 0
         if held:
@@ -138,12 +144,12 @@ def _document_frequencies(coded: DataFrame, size: int) -> tuple[np.ndarray, int]
     return out, n
 
 
-def _summed(coded: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
+def _summed(coded: DataFrame, partial, shape: tuple[int, int], stride: int = WINDOW) -> np.ndarray:
     """Sum over all partitions of the matrix that partial makes of a partition, added up as a tree on the executors."""
 
     def make(batches):
         total = np.zeros(shape)
-        for rows, _ in _chunks(batches, WINDOW):
+        for rows, _ in _chunks(batches, stride):
             total += partial(rows)
         yield pd.DataFrame({"m": [total.tobytes()]})
 
@@ -162,7 +168,7 @@ def _summed(coded: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
     return sum((np.frombuffer(r.m).reshape(shape) for r in parts.repartition(1).mapInPandas(add, "m binary").collect()), np.zeros(shape))
 
 
-def latent_basis(coded: DataFrame, items: Items, weights: np.ndarray, rank: int = RANK) -> np.ndarray:
+def latent_basis(coded: DataFrame, items: DataFrame, weights: np.ndarray, rank: int = RANK) -> np.ndarray:
     """Words x rank: right singular vectors of the weighted passages of all documents and, as much again, of the items."""
     size, width = len(weights), min(len(weights), rank + OVERSAMPLE)
     spark = coded.sparkSession
@@ -184,7 +190,7 @@ def latent_basis(coded: DataFrame, items: Items, weights: np.ndarray, rank: int
             return spread_back(rows, z) if back else z.T @ z
 
         of_documents = _summed(coded, one, (size, width) if back else (width, width))
-        of_items = sum(one(items.passages[k : k + CHUNK]) for k in range(0, len(items.passages), CHUNK))
+        of_items = _summed(items, one, (size, width) if back else (width, width), 1)
         scale = np.linalg.norm(of_documents) / max(np.linalg.norm(of_items), 1e-12)
         return of_documents + of_items * (scale if scale > 0 else 1.0)
 
@@ -193,39 +199,53 @@ def latent_basis(coded: DataFrame, items: Items, weights: np.ndarray, rank: int
     return q @ u[:, ::-1][:, :rank]
 
 
-def _candidates(coded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarray, cosine: float, share: float) -> DataFrame:
-    """(doc_id, item): documents with a passage near one of the item's in the latent space that also shares the part
-    `share` of its squared weight, word by word.
+def _shards(items: DataFrame, basis: np.ndarray, weights: np.ndarray, most: int):
+    """Broadcasts of (latent passages, item of each), of at most `most` passages; only one is on the driver at a time."""
+    projection = _weighted(basis, weights)
 
-    A passage can only share as much as it has itself, so lighter passages are left out before the search.
-    """
-    latent = _project(items.passages, _weighted(basis, weights))
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    square = np.append(weights**2, 0.0)
-    light = share * float(square[items.passages].sum(axis=1).min())
-    shared = coded.sparkSession.sparkContext.broadcast((latent.T.copy(), items.owner, items.passages, _weighted(basis, weights), square, light))
+    def shard(rows, of):
+        latent = _project(np.vstack(rows), projection)
+        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        return items.sparkSession.sparkContext.broadcast((latent.T.copy(), np.concatenate(of)))
+
+    held, of, n = [], [], 0
+    for r in items.orderBy("doc_id").toLocalIterator():
+        rows = _passages(np.asarray(r.ids, dtype=np.int32), ITEM_STRIDE)
+        for k in range(0, len(rows), most):
+            held.append(rows[k : k + most])
+            of.append(np.full(len(held[-1]), r.doc_id, dtype=np.int64))
+            n += len(held[-1])
+            if n >= most:
+                yield shard(held, of)
+                held, of, n = [], [], 0
+    if held:
+        yield shard(held, of)
+
+
+def _candidates(coded: DataFrame, shards: list, weights: np.ndarray, basis: np.ndarray, cosine: float) -> DataFrame:
+    """(doc_id, item_id): documents with a passage near one of the item's in the latent space. One sweep for all shards."""
+    shared = coded.sparkSession.sparkContext.broadcast(_weighted(basis, weights))
 
     def search(batches):
-        targets, owner, passages, projection, squares, least = shared.value
-        whole = squares[passages].sum(axis=1)
-        for rows, of in _chunks(batches, STRIDE):
-            heavy = squares[rows].sum(axis=1) >= least
-            rows, of = rows[heavy], of[heavy]
-            found = set()
-            for k in range(0, len(rows), 128):
-                p = _project(rows[k : k + 128], projection)
-                p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
-                a, b = np.nonzero(p @ targets >= cosine)
-                good = np.zeros(len(a), dtype=bool)
-                for j in range(0, len(a), 20_000):
-                    mine, theirs = rows[k + a[j : j + 20_000]], passages[b[j : j + 20_000]]
-                    common = (mine[:, :, None] == theirs[:, None, :]).any(axis=2)
-                    good[j : j + 20_000] = (squares[mine] * common).sum(axis=1) >= share * whole[b[j : j + 20_000]]
-                a, b = a[good], b[good]
-                found.update(zip(of[k : k + 128][a].tolist(), owner[b].tolist(), strict=True))
-            yield pd.DataFrame(sorted(found), columns=["doc_id", "item"]).astype({"doc_id": "int64", "item": "int32"})
-
-    return coded.mapInPandas(search, "doc_id long, item int")
+        projection = shared.value
+        for rows, of in _chunks(batches, STRIDE, SLAB):
+            known = (rows >= 0).sum(axis=1) >= LEAST_KNOWN
+            rows, of = rows[known], of[known]
+            found: set[tuple[int, int]] = set()
+            latent = _project(rows, projection)
+            latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+            for shard in shards:
+                targets, owner = shard.value
+                for k in range(0, len(rows), 256):
+                    a, b = np.divmod(np.flatnonzero(latent[k : k + 256] @ targets >= cosine), targets.shape[1])
+                    if len(a):
+                        found.update(zip(of[k + a].tolist(), owner[b].tolist(), strict=True))
+                if len(shards) > 1:
+                    # the next shard takes this one's place in memory
+                    shard.__dict__.pop("_value", None)
+            yield pd.DataFrame(sorted(found), columns=["doc_id", "item_id"]).astype("int64")
+
+    return coded.mapInPandas(search, "doc_id long, item_id long")
 
 
 class Confirm:
@@ -273,48 +293,67 @@ def _altered(sentence: list[str], codes: dict[str, int], text: np.ndarray) -> in
     return int(row.min())
 
 
-def _confirmed(candidates: DataFrame, documents: DataFrame, items: Items) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast((items.ids, items.texts))
+def _text_shards(items: DataFrame, most: int):
+    """Lists of (item_id, text) of about `most` characters, of which the driver holds one at a time."""
+    held, n = [], 0
+    for r in items.orderBy("item_id").toLocalIterator():
+        held.append((r.item_id, r.text))
+        n += len(r.text)
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _confirmed(candidates: DataFrame, documents: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
+    """The candidates whose document holds the item, of the items given."""
+    spark = documents.sparkSession
+    shared = spark.sparkContext.broadcast(dict(rows))
+    least, most = rows[0][0], rows[-1][0]
 
     def test(batches):
-        ids, texts = shared.value
+        texts = shared.value
         known: dict[int, Confirm] = {}
         for batch in batches:
-            rows = []
+            found = []
             for doc, text, wanted in zip(batch["doc_id"], batch["text"], batch["items"], strict=True):
                 own = Text(text)
                 for k in wanted:
                     item = known.get(k) or known.setdefault(k, Confirm(texts[k]))
                     if item.holds(own):
-                        rows.append((doc, ids[k]))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id"]).astype("int64")
+                        found.append((doc, k))
+            yield pd.DataFrame(found, columns=["doc_id", "item_id"]).astype("int64")
 
-    wanted = candidates.distinct().groupBy("doc_id").agg(F.collect_set("item").alias("items"))
-    return wanted.join(documents.select("doc_id", "text"), "doc_id").mapInPandas(test, "doc_id long, item_id long")
+    # a document meets each item of the shard once, so its list is no longer than the shard
+    wanted = candidates.where(F.col("item_id").between(least, most)).distinct().groupBy("doc_id").agg(F.collect_list("item_id").alias("items"))
+    return wanted.join(documents, "doc_id").mapInPandas(test, "doc_id long, item_id long")
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, block: int = BLOCK, cosine: float = COSINE, share: float = SHARE) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, cosine: float = COSINE, shard_passages: int = SHARD_PASSAGES, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """(doc_id, item_id): the documents that contain an item in part (12 words in a row, or 20 signs of Chinese) or a
     whole sentence of it with at most one word in eight altered.
 
     Null and blank texts contain nothing and are contained in nothing; repeated documents are each reported; other columns
-    are ignored; without items or documents the result is empty. A sentence shorter than eight words must be whole.
+    are ignored; without items or documents the result is empty; of several items with one id the smallest text counts. A
+    sentence shorter than eight words must be whole. The result does not depend on the sizes of shards.
     """
     spark: SparkSession = documents.sparkSession
-    listed = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    blocks = max(1, -(-listed.count() // block))
+    listed = items.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
+    number = _vocabulary(listed)
+    if not number:
+        return spark.createDataFrame([], "doc_id long, item_id long")
+    vocabulary = spark.sparkContext.broadcast(number)
+    targets = materialise(_coded(listed.select(F.col("item_id").alias("doc_id"), "text"), vocabulary), "items")
+    coded = materialise(_coded(documents, vocabulary), "coded")
+    counts, n = _document_frequencies(coded, len(number))
+    weights = np.log((n + 1.0) / (counts + 1.0)) ** 2 + 1e-3
+    basis = latent_basis(coded, targets, weights)
+    shards = list(_shards(targets, basis, weights, shard_passages))
+    near = materialise(_candidates(coded, shards, weights, basis, cosine).distinct(), "candidates")
+    suspects = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").join(near.select("doc_id").distinct(), "doc_id", "left_semi")
     out = None
-    for b in range(blocks):
-        rows = [(r.item_id, r.text) for r in listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
-        rows = [(i, t) for i, t in rows if tokens(t)]
-        if not rows:
-            continue
-        own = Items(rows)
-        coded = materialise(_coded(documents, spark.sparkContext.broadcast(own.vocabulary)), "coded")
-        counts, n = _document_frequencies(coded, len(own.vocabulary))
-        weights = np.log((n + 1.0) / (counts + 1.0)) ** 2 + 1e-3
-        basis = latent_basis(coded, own, weights)
-        near = materialise(_candidates(coded, own, weights, basis, cosine, share), "candidates")
-        found = _confirmed(near, documents, own)
+    for rows in _text_shards(listed, shard_chars):
+        found = _confirmed(near, suspects, rows)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long")
+    return out

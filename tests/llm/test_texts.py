@@ -96,7 +96,7 @@ def test_leaks(spark):
     assert got == {(k, 100) for k, (_, yes) in cases.items() if yes} | {(20, 101)}
     assert leaks.leaked_items(docs, items.where("false")).count() == 0
     assert leaks.leaked_items(docs.where("false"), items).count() == 0
-    assert {(r.doc_id, r.item_id) for r in leaks.leaked_items(docs, items, block=1).collect()} == got
+    assert {(r.doc_id, r.item_id) for r in leaks.leaked_items(docs, items, shard_passages=7, shard_chars=1).collect()} == got
 
 
 def cut(text, lang=""):
