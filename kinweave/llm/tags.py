@@ -1,7 +1,8 @@
 """Free-entered values mapped to the entries of a reference list.
 
-Distinct values are normalised and looked up through an inverted index of weighted character n-grams; a value means the
-entry with the highest weighted cosine if that reaches a threshold and leads the best other tag by a margin.
+Distinct values are normalised and looked up through an inverted index of weighted character n-grams; the names that reach
+a threshold of weighted cosine are candidates. A candidate is confirmed by its edit distance, since short decoys are as near
+by cosine as real slips; of several, the one with fewest edits and then the highest cosine is meant, if it leads by a margin.
 """
 
 from __future__ import annotations
@@ -63,8 +64,16 @@ def _variants(form: str) -> list[str]:
     return [" ".join(w) for w in out]
 
 
+#: Letters are counted in so many classes, by code point.
+CLASSES = 64
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.bincount([ord(c) % CLASSES for c in text if c != " "], minlength=CLASSES)
+
+
 class Index:
-    """Inverted index of idf-weighted n-grams over names."""
+    """Inverted index of idf-weighted n-grams over a block of names, with each name's letters counted."""
 
     def __init__(self, names: list[tuple[str, str]], weights: dict[str, float], unseen: float):
         self.names, self.weights, self.unseen = names, weights, unseen
@@ -77,18 +86,26 @@ class Index:
                 lists.setdefault(g, []).append(k)
         self.norms = np.array(norms)
         self.lists = {g: np.array(v, dtype=np.int32) for g, v in lists.items()}
+        self.letters = np.array([_letters(name) for name, _ in names])
+        self.slips = np.array([max(1, _allowed(name.replace(" ", ""))) for name, _ in names])
 
-    def search(self, text: str, threshold: float) -> list[tuple[float, int]]:
-        """(cosine, number) of the names whose weighted cosine with text reaches the threshold."""
-        grams = _grams(text)
-        norm = math.sqrt(sum(self.weights.get(g, self.unseen) ** 2 for g in grams)) or 1.0
-        hit = [g for g in grams if g in self.lists]
+    def norm(self, text: str) -> float:
+        return math.sqrt(sum(self.weights.get(g, self.unseen) ** 2 for g in _grams(text))) or 1.0
+
+    def search(self, text: str, threshold: float, norm: float | None = None) -> list[tuple[float, int]]:
+        """(cosine, number) of the names whose weighted cosine with text reaches the threshold and whose letters allow the slips
+        that they may carry: each slip adds and takes away one letter at most, in whatever order the words stand."""
+        hit = [g for g in _grams(text) if g in self.lists]
         if not hit:
             return []
-        at = np.concatenate([self.lists[g] for g in hit])
-        w = np.concatenate([np.full(len(self.lists[g]), self.weights[g] ** 2) for g in hit])
-        cosine = np.bincount(at, w, minlength=len(self.names)) / self.norms / norm
-        return [(float(cosine[k]), int(k)) for k in np.nonzero(cosine >= threshold)[0]]
+        dot = np.zeros(len(self.names))
+        for g in hit:
+            dot[self.lists[g]] += self.weights[g] ** 2
+        cosine = dot / self.norms / (norm or self.norm(text))
+        near = np.nonzero(cosine >= threshold)[0]
+        apart = self.letters[near] - _letters(text)
+        near = near[np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1)) <= self.slips[near]]
+        return [(float(cosine[k]), int(k)) for k in near]
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -144,24 +161,25 @@ def map_values(values: DataFrame, registry: DataFrame, threshold: float = THRESH
 
     Candidates come from the inverted index by weighted cosine and are confirmed by their edit distance. The tag with
     fewest edits, then highest cosine, is taken; if another tag has as few edits (some) and comes within the margin, none
-    is. The index goes to the executors in blocks of a bounded number of names, and every form meets every block.
+    is. The index goes to the executors in blocks of a bounded number of names, with the weights of their n-grams only; every
+    form meets every block, and its length is that under the weights of all names.
     """
     names = materialise(registry_names(registry), "names")
     n = max(1, names.count())
     blocks = -(-n // block)
     numbered = names.withColumn("b", F.pmod(F.xxhash64("name"), F.lit(blocks)))
-    counts: dict[str, int] = {}
-    parts = []
-    for b in range(blocks):
-        parts.append([(r.name, r.tag) for r in numbered.where(F.col("b") == b).select("name", "tag").orderBy("name").collect()])
-        for name, _ in parts[-1]:
-            for g in _grams(name):
-                counts[g] = counts.get(g, 0) + 1
-    weights = {g: math.log(n / c) + 1 for g, c in counts.items()}
+    counts = materialise(_with_grams(numbered, "name").select("b", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.collect_set("b").alias("blocks")), "grams")
     spark, found = values.sparkSession, None
+    variants = _with_variants(values)
+    if blocks > 1:
+        variants = variants.join(_lengths(variants, counts, n), "variant")
+    else:
+        variants = variants.withColumn("length", F.lit(None).cast("double"))
     # little data, much work per row: an own number of tasks, which adaptive execution leaves alone
-    spread = values.select("form").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    for part in parts:
+    spread = variants.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for b in range(blocks):
+        part = [(r.name, r.tag) for r in numbered.where(F.col("b") == b).select("name", "tag").orderBy("name").collect()]
+        weights = {r.gram: math.log(n / r.n) + 1 for r in counts.where(F.array_contains("blocks", F.lit(b).cast("long"))).select("gram", "n").collect()}
         index = spark.sparkContext.broadcast((part, weights, math.log(n) + 1))
         hits = spread.mapInPandas(_searcher(index, threshold), "form string, tag string, near int, cosine double")
         found = hits if found is None else found.unionByName(hits)
@@ -173,18 +191,40 @@ def map_values(values: DataFrame, registry: DataFrame, threshold: float = THRESH
     return best.where(~tied).select("form", F.col("b.tag").alias("tag"))
 
 
+def _with_grams(rows: DataFrame, text: str) -> DataFrame:
+    @F.pandas_udf("array<string>")
+    def grams(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: sorted(_grams(v)))
+
+    return rows.withColumn("grams", grams(text))
+
+
+def _with_variants(values: DataFrame) -> DataFrame:
+    @F.pandas_udf("array<string>")
+    def variants(forms: pd.Series) -> pd.Series:
+        return forms.map(_variants)
+
+    return values.select("form", F.explode(variants("form")).alias("variant"))
+
+
+def _lengths(variants: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """(variant, length): the length of each variant's vector under the weights of all names."""
+    grams = _with_grams(variants.select("variant").distinct(), "variant").select("variant", F.explode("grams").alias("gram"))
+    weight = F.log(F.lit(float(n)) / F.coalesce("n", F.lit(1))) + 1
+    return grams.join(counts.select("gram", "n"), "gram", "left").groupBy("variant").agg(F.sqrt(F.sum(weight * weight)).alias("length"))
+
+
 def _searcher(index, threshold: float):
     def search(batches):
         own = Index(*index.value)
         for batch in batches:
             rows = []
-            for form in batch["form"]:
-                for variant in _variants(form):
-                    for cosine, k in own.search(variant, threshold):
-                        name, tag = own.names[k]
-                        slips = _slips(variant, name)
-                        if slips >= 0:
-                            rows.append((form, tag, -slips, cosine))
+            for form, variant, length in zip(batch["form"], batch["variant"], batch["length"], strict=True):
+                for cosine, k in own.search(variant, threshold, None if pd.isna(length) else length):
+                    name, tag = own.names[k]
+                    slips = _slips(variant, name)
+                    if slips >= 0:
+                        rows.append((form, tag, -slips, cosine))
             yield pd.DataFrame(rows, columns=["form", "tag", "near", "cosine"]).astype({"form": "object", "tag": "object", "near": "int32", "cosine": "float64"})
 
     return search
