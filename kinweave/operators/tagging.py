@@ -77,7 +77,16 @@ def tagged(df: DataFrame, address: str, tags: str, overwrite: bool = False) -> D
 
 
 def rule_table(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
-    """Rules kind|pattern|tags from a delimited text; a table of rules is small by nature (refused over 10,000)."""
+    """Rules kind|pattern|tags from a delimited text, or contact_tags of a YAML file (a list of texts per tag, as custom rules).
+
+    A table of rules is small by nature (refused over 10,000).
+    """
+    if path.endswith((".yml", ".yaml")):
+        import yaml
+
+        text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).limit(1).collect())
+        found = (yaml.safe_load(text) or {}).get("contact_tags") or {}
+        return [("custom", str(p).lower(), tag) for tag, patterns in found.items() for p in patterns]
     rows = spark.read.option("sep", "|").schema("kind string, pattern string, tags string").csv(path).limit(10_001).collect()
     if len(rows) > 10_000:
         raise ValueError("more than 10,000 tag rules")

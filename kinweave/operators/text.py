@@ -124,9 +124,23 @@ def industries(text: Column, most: int = 3) -> Column:
     return F.slice(F.array_compact(marks), 1, most)
 
 
+#: [[Name]] and [[Name|alias]].
+LINK = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
+
+
 def wiki_links(text: Column) -> Column:
     """Names in [[Name]] and [[Name|alias]]."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), lambda x: F.trim(x))
+    return F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(1)), lambda x: F.trim(x))
+
+
+def without_links(text: Column) -> Column:
+    """The text with the name in place of each link."""
+    return F.regexp_replace(text, LINK, "$1")
+
+
+def shortened(text: Column, most: int = 100) -> Column:
+    """At most `most` signs, the last three of them dots where something was cut off."""
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 3)), F.lit("..."))).otherwise(text)
 
 
 # What separates the parties in a group's name, in order of precedence.

@@ -49,8 +49,62 @@ def write_index(df: DataFrame, path: str, partition: str | None = None) -> None:
     (w.partitionBy(partition) if partition else w).parquet(path)
 
 
-def merge_snapshot(old: DataFrame, new: DataFrame, key: str, added: list[str], first: list[str], last: list[str], sticky: list[str]) -> DataFrame:
-    """An upsert of counters as one aggregation: added sums, first minima, last maxima, sticky or-ed booleans by key."""
-    both = old.select(key, *added, *first, *last, *sticky).unionByName(new.select(key, *added, *first, *last, *sticky))
-    aggs = [F.sum(c).alias(c) for c in added] + [F.min(c).alias(c) for c in first] + [F.max(c).alias(c) for c in last] + [F.bool_or(c).alias(c) for c in sticky]
+def with_section(text: Column, title: str, body: Column) -> Column:
+    """The note with its section `## title` replaced by body, or with such a section at its end."""
+    section = F.concat(F.lit(f"## {title}\n\n"), body, F.lit("\n"))
+    at = F.instr(F.concat(F.lit("\n"), text), f"\n## {title}\n")
+    before = F.when(at > 1, F.left(text, at - 1)).otherwise(F.lit(""))
+    after = F.substring(text, at + len(title) + 4, F.length(text))
+    following = F.instr(F.concat(F.lit("\n"), after), "\n## ")
+    rest = F.when(following > 0, F.substring(after, following, F.length(after))).otherwise(F.lit(""))
+    return F.when(at == 0, F.concat(F.regexp_replace(text, r"\n*$", ""), F.lit("\n\n"), section)).otherwise(F.concat(before, section, F.when(rest != "", F.concat(F.lit("\n"), rest)).otherwise(F.lit(""))))
+
+
+def with_fields(text: Column, fields: dict[str, Column]) -> Column:
+    """The note with these fields of its front matter set; a note without any gets one. Null values leave a field as it is."""
+    lines = [F.when(c.isNotNull(), F.concat(F.lit(f"{k}: "), c.cast("string"))) for k, c in fields.items()]
+    new = F.array_compact(F.array(*lines))
+    named = F.transform(new, lambda x: F.substring_index(x, ":", 1))
+    has = F.startswith(text, F.lit("---\n"))
+    end = F.locate("\n---", text, 4)
+    kept = F.filter(F.split(F.substring(text, F.lit(5), F.greatest(end - 5, F.lit(0))), "\n"), lambda x: (x != "") & ~F.array_contains(named, F.substring_index(x, ":", 1)))
+    head = F.array_join(F.concat(F.when(has & (end > 0), kept).otherwise(F.array().cast("array<string>")), new), "\n")
+    body = F.when(has & (end > 0), F.substring(text, end + 1, F.length(text))).otherwise(F.concat(F.lit("---\n"), text))
+    return F.concat(F.lit("---\n"), head, F.lit("\n"), body)
+
+
+def pipe_rows(df: DataFrame) -> DataFrame:
+    """The rows of a Markdown pipe table, as the one column value: what a report shows of a table; nulls are empty cells."""
+    cells = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[|\n]", " ") for c in df.columns]
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+
+
+def write_report(sections: dict[str, DataFrame], path: str) -> None:
+    """A report: for each section a folder with its rows as JSON, and one as a pipe table with its header."""
+    for title, df in sections.items():
+        name = title.lower().replace(" ", "-")
+        df.write.mode("overwrite").json(f"{path}/{name}/rows")
+        head = df.sparkSession.createDataFrame([(f"## {title}\n\n| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}",)], "value string")
+        head.coalesce(1).write.mode("overwrite").text(f"{path}/{name}/table")
+        pipe_rows(df).write.mode("append").text(f"{path}/{name}/table")
+
+
+def write_photos(cards: DataFrame, path: str) -> None:
+    """(name, photo) of the cards that carry a picture, as binary columns of a Parquet table."""
+    cards.where("photo IS NOT NULL").select("name", "photo").write.mode("overwrite").parquet(path)
+
+
+def merge_snapshot(old: DataFrame, new: DataFrame, key: str, added: list[str], first: list[str], last: list[str], sticky: list[str], latest: dict[str, str] | None = None, united: dict[str, int] | None = None) -> DataFrame:
+    """An upsert of counters as one aggregation: added sums, first minima, last maxima, sticky or-ed booleans by key.
+
+    latest: text columns that take the last non-empty value by the column named; united: array columns whose members are
+    put together, old ones first, each once, up to a number. Both tables have one row per key.
+    """
+    extra = [*(latest or {}), *dict.fromkeys((latest or {}).values()), *(united or {})]
+    columns = list(dict.fromkeys([key, *added, *first, *last, *sticky, *extra]))
+    both = old.select(*columns, F.lit(0).alias("_turn")).unionByName(new.select(*columns, F.lit(1).alias("_turn")))
+    none = F.array().cast("array<string>")
+    kept = [F.max_by(c, F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.struct(by, "_turn"))).alias(c) for c, by in (latest or {}).items()]
+    kept += [F.slice(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_turn", F.coalesce(c, none).alias("v")))), lambda x: x.v))), 1, most).alias(c) for c, most in (united or {}).items()]
+    aggs = kept +  [F.sum(c).alias(c) for c in added] + [F.min(c).alias(c) for c in first] + [F.max(c).alias(c) for c in last] + [F.bool_or(c).alias(c) for c in sticky]
     return both.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
