@@ -213,6 +213,16 @@ def sort_entries(people: DataFrame) -> DataFrame:
     return people.select("rec", "words", F.explode(F.concat(by_email, by_phone, named, placed)).alias("x")).select("x.key", "x.mark", "words", "rec")
 
 
+def _letter_sets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word its letters as bits (a slip changes two at most), its length, and a number for its first three letters."""
+    distinct = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    bits = np.array([sum({1 << (ord(c) % 62) for c in w}) for w in distinct], dtype=np.int64)
+    length = np.array([len(w) for w in distinct], dtype=np.int64)
+    start = pd.factorize(np.array([w[:3] for w in distinct], dtype=object))[0]
+    at = np.array([distinct[w] for w in words], dtype=np.int64)
+    return bits[at], length[at], start[at]
+
+
 def window_pairs(entries: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(a, b), a < b: records within a window of each other in the global order of keys, if mark or names are alike.
 
@@ -251,6 +261,10 @@ def window_pairs(entries: DataFrame, window: int = WINDOW, block: int = BLOCK) -
         f, s = coded[:n].copy(), coded[n:].copy()
         f[np.array([not x for x in first], dtype=bool)] = -1
         s[np.array([not x for x in second], dtype=bool)] = -2
+        # the letters of each word as a set of bits, its length and its beginning
+        masks, sizes, starts = _letter_sets(first + second)
+        near = lambda u, v: (np.bitwise_count(masks[u] ^ masks[v]) <= 4) | (sizes[u] <= 1) | (sizes[v] <= 1) | (starts[u] == starts[v])
+        at = np.arange(n)
         heads = pd.factorize(np.array([f"{x[:4]} {y[:4]}" for x, y in zip(first, second, strict=True)], dtype=object))[0]
         initials = pd.factorize(np.array([min(x[:1], y[:1]) + max(x[:1], y[:1]) for x, y in zip(first, second, strict=True)], dtype=object))[0]
         mark, rec = (pd.factorize(g[c])[0] for c in ("mark", "rec"))
@@ -260,7 +274,9 @@ def window_pairs(entries: DataFrame, window: int = WINDOW, block: int = BLOCK) -
         for k in range(1, min(window, n)):
             x, y = slice(k, None), slice(None, -k)
             same = mark[x] == mark[y]
-            shared = ((f[x] == f[y]) & (f[x] >= 0)) | ((s[x] == s[y]) & (s[x] >= 0)) | ((f[x] == s[y]) & (f[x] >= 0)) | ((s[x] == f[y]) & (s[x] >= 0)) | (heads[x] == heads[y])
+            i, j = at[x], at[y]
+            # one word in common, and the other two no further apart than two slips of the pen, an initial or a short form
+            shared = ((f[x] == f[y]) & (f[x] >= 0) & near(n + i, n + j)) | ((s[x] == s[y]) & (s[x] >= 0) & near(i, j)) | ((f[x] == s[y]) & (f[x] >= 0) & near(n + i, j)) | ((s[x] == f[y]) & (s[x] >= 0) & near(i, n + j)) | (heads[x] == heads[y])
             take = ((same & exact[x]) | (shared & ((initials[x] == initials[y]) | same))) & (rec[x] != rec[y]) & (pos[x] >= start)
             i = np.nonzero(take)[0]
             out.append(pd.DataFrame({"a": names[i + k], "b": names[i]}))
