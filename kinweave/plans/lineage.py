@@ -16,10 +16,16 @@ _PATHS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary folder where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session.
+
+    Where that is unset, a temporary folder serves a local master (tests); on a cluster it is an error, since every
+    executor would write to a disk of its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="kinweave-")
