@@ -16,6 +16,7 @@ from kinweave.llm.tags import mapped_elements
 from kinweave.operators.dates import message_moments
 from kinweave.operators.quotient_dedup import distinct_messages
 from kinweave.plans.tables import table
+from kinweave.queries.messages import DUPES_SQL, MOMENTS_SQL
 
 
 def p1_matches(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,6 +107,16 @@ SELECT group_id, max(value) FILTER (WHERE field = 'name') AS name, max(value) FI
 FROM won WHERE k = 1 GROUP BY group_id
 """
 
+P3_SQL = f"""
+WITH {MOMENTS_SQL}, {DUPES_SQL},
+x AS (
+  SELECT i.id, trim(i.thread_id, ' <>' || chr(9) || chr(10) || chr(13) || chr(160)) AS thread, m.utc_second AS moment, trim(coalesce(i.snippet, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(8203) || chr(12288)) <> '' AS said,
+    CASE WHEN lower(trim(i.direction)) IN ('sent', 'outgoing', 'outbound', 'out') THEN 'me' WHEN lower(trim(i.direction)) IN ('received', 'incoming', 'inbound', 'in') THEN 'contact' END AS speaker
+  FROM interactions i JOIN m ON m.origin = 'interactions' AND m.record_id = i.id WHERE i.id NOT IN (SELECT record_id FROM dupes WHERE origin = 'interactions')),
+kept AS (SELECT thread FROM x WHERE thread <> '' GROUP BY 1 HAVING count(*) = count(moment) AND count(*) = count(speaker) AND count(DISTINCT speaker) = 2 AND bool_or(said))
+SELECT first_value(id) OVER w AS conv_id, row_number() OVER w AS turn_no, id, speaker FROM x JOIN kept USING (thread) WINDOW w AS (PARTITION BY thread ORDER BY moment, id)
+"""
+
 P7_SQL = r"""
 WITH RECURSIVE clean AS (
   SELECT regexp_replace(trim(contact1), '^(\./)+', '') AS a, regexp_replace(trim(contact2), '^(\./)+', '') AS b
@@ -116,4 +127,4 @@ SELECT contact, min(other) AS group_key FROM reach GROUP BY contact
 """
 
 QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
-ORACLES = {"p2_found": P2_SQL, "p2_survivors": P2_SURVIVORS_SQL, "p7_found": P7_SQL}
+ORACLES = {"p3_found": P3_SQL, "p2_found": P2_SQL, "p2_survivors": P2_SURVIVORS_SQL, "p7_found": P7_SQL}
