@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators import ranking, resolve, text
+from kinweave.operators import registry as register
 from kinweave.plans.skew import heavy_or_none, lookup_join
 from kinweave.plans.tables import table
 from kinweave.queries.relations import AS_OF, _PEOPLE, _score_sql, _scores
@@ -80,6 +81,25 @@ def trip_contacts(spark, folder):
     return ranking.top_k_per_group(rows, ["status", "location"], [F.col("interaction_count").desc_nulls_last(), F.col("entry_id")], 5).select("status", "location", "entry_id")
 
 
+def _met(spark, folder) -> DataFrame:
+    """Normal tags of entries with their first entry and number of uses."""
+    tags = table(spark, folder, "contact_entries").select("entry_id", F.explode("tags").alias("t")).where("t IS NOT NULL")
+    return tags.groupBy(text.kebab(F.col("t")).alias("tag")).agg(F.min("entry_id").alias("first"), F.count(F.lit(1)).alias("uses"))
+
+
+@query()
+def registry_register(spark, folder):
+    names = table(spark, folder, "industry_registry").select(text.kebab(F.col("tag")).alias("tag"), F.transform("aliases", lambda x: text.kebab(x)).alias("aliases"), F.unix_date("first_seen").alias("place"))
+    return register.registered(_met(spark, folder), names)
+
+
+@query()
+def registry_update(spark, folder):
+    # the registry after all entries: uses of each registered tag, and which are new
+    r = registry_register(spark, folder)
+    return r.groupBy("canonical").agg(F.sum("uses").alias("uses"), F.bool_or(F.col("how") == "new").alias("is_new"), F.count_if(F.col("how") == "similar").alias("spellings"))
+
+
 # --- parties and members -------------------------------------------------------------------------------------------------
 
 _PARTIES = """

@@ -390,6 +390,17 @@ def staged_match(spark, folder):
     return resolve.staged_match(*_sides(spark, folder), "card_id", "resource_name", _STAGE_COLUMNS)
 
 
+@query(f"""
+WITH {_STAGES},
+m AS (SELECT card_id, min(k) AS k FROM (SELECT card_id, 0 AS k FROM le JOIN re USING (v) UNION ALL SELECT card_id, 1 FROM lp JOIN rp USING (v) UNION ALL SELECT card_id, 2 FROM ln JOIN rn USING (v)) GROUP BY 1)
+SELECT card_id, CASE WHEN trim(coalesce(name, '')) = '' THEN 'nameless' WHEN m.k <= 1 THEN 'known' WHEN m.k = 2 THEN 'review' ELSE 'new' END AS outcome FROM vcards LEFT JOIN m USING (card_id)""")
+def import_outcomes(spark, folder):
+    # every card of an import once: known by address or number, to be looked at, or new
+    found = resolve.staged_match(*_sides(spark, folder), "card_id", "resource_name", _STAGE_COLUMNS).select("card_id", "stage")
+    outcome = F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "nameless").when(F.col("stage").isin("email", "phone"), "known").when(F.col("stage").isNotNull(), "review").otherwise("new")
+    return table(spark, folder, "vcards").select("card_id", "name").join(found, "card_id", "left").select("card_id", outcome.alias("outcome"))
+
+
 _STAGE_COLUMNS = [("emails", "email", 1.0), ("phones", "phone", 0.95), ("firms", "name_organization", 0.85)]
 
 
