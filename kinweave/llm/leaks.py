@@ -30,8 +30,9 @@ WINDOW, STRIDE = 12, 4
 ITEM_STRIDE = 2
 RANK, OVERSAMPLE = 128, 16
 COSINE = 0.55
-#: A passage is searched for if so many of its words are known to some item: seven of eight hold in any leaked sentence.
-LEAST_KNOWN = 3
+#: A passage is searched for unless its known words weigh less than this part of the lightest passage of any item: one of
+#: words so common cannot be most of an item's sentence.
+LIGHT = 0.125
 #: Passages, or characters, of items in one shard, which is what an executor holds of them at once.
 SHARD_PASSAGES, SHARD_CHARS = 100_000, 20_000_000
 #: Matrices that one task of the tree adds up.
@@ -46,11 +47,18 @@ _HAN = re.compile(r"^[぀-ヿ㐀-鿿豈-﫿]$")
 _SENTENCE = re.compile(r"(?<=[.?!])[\"”»’)]*\s+|(?<=[。？！])|\n\s*\n")
 
 
+_MARKS = frozenset(chr(c) for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c)))
+
+
 def tokens(text: str) -> list[str]:
     """Words without case, accents, mark-up and punctuation; each Han or Kana sign is a word."""
-    t = unicodedata.normalize("NFKD", _HIDDEN.sub("", _TAG.sub("", html.unescape(text)))).casefold()
-    t = unicodedata.normalize("NFC", "".join(c for c in t if not unicodedata.combining(c)))
-    return _TOKEN.findall(t)
+    t = _TAG.sub("", html.unescape(text) if "&" in text else text)
+    if t.isascii():
+        return _TOKEN.findall(t.lower())
+    t = unicodedata.normalize("NFKD", _HIDDEN.sub("", t)).casefold()
+    for mark in _MARKS.intersection(t):
+        t = t.replace(mark, "")
+    return _TOKEN.findall(unicodedata.normalize("NFC", t))
 
 
 def _starts(n: int, stride: int) -> np.ndarray:
@@ -199,6 +207,17 @@ def latent_basis(coded: DataFrame, items: DataFrame, weights: np.ndarray, rank:
     return q @ u[:, ::-1][:, :rank]
 
 
+def _lightest(items: DataFrame, weights: np.ndarray) -> float:
+    """The least squared weight of a passage of any item."""
+    square = items.sparkSession.sparkContext.broadcast(np.append(weights**2, 0.0))
+
+    def least(batches):
+        for rows, _ in _chunks(batches, ITEM_STRIDE):
+            yield pd.DataFrame({"least": [float(square.value[rows].sum(axis=1).min())]})
+
+    return items.select("ids").mapInPandas(least, "least double").agg(F.min("least")).first()[0] or 0.0
+
+
 def _shards(items: DataFrame, basis: np.ndarray, weights: np.ndarray, most: int):
     """Broadcasts of (latent passages, item of each), of at most `most` passages; only one is on the driver at a time."""
     projection = _weighted(basis, weights)
@@ -222,14 +241,14 @@ def _shards(items: DataFrame, basis: np.ndarray, weights: np.ndarray, most: int)
         yield shard(held, of)
 
 
-def _candidates(coded: DataFrame, shards: list, weights: np.ndarray, basis: np.ndarray, cosine: float) -> DataFrame:
+def _candidates(coded: DataFrame, shards: list, weights: np.ndarray, basis: np.ndarray, cosine: float, least: float) -> DataFrame:
     """(doc_id, item_id): documents with a passage near one of the item's in the latent space. One sweep for all shards."""
-    shared = coded.sparkSession.sparkContext.broadcast(_weighted(basis, weights))
+    shared = coded.sparkSession.sparkContext.broadcast((_weighted(basis, weights), np.append(weights**2, 0.0)))
 
     def search(batches):
-        projection = shared.value
+        projection, square = shared.value
         for rows, of in _chunks(batches, STRIDE, SLAB):
-            known = (rows >= 0).sum(axis=1) >= LEAST_KNOWN
+            known = square[rows].sum(axis=1) >= least
             rows, of = rows[known], of[known]
             found: set[tuple[int, int]] = set()
             latent = _project(rows, projection)
@@ -255,11 +274,12 @@ class Confirm:
         self.words = tokens(text)
         self.han = sum(bool(_HAN.match(w)) for w in self.words) > len(self.words) / 2
         joined = "".join(self.words)
-        self.runs = {joined[i : i + 20] for i in range(len(joined) - 19)} if self.han else {tuple(self.words[i : i + 12]) for i in range(len(self.words) - 11)}
+        self.runs = [joined[i : i + 20] for i in range(len(joined) - 19)] if self.han else [f" {' '.join(self.words[i : i + 12])} " for i in range(len(self.words) - 11)]
         self.sentences = [s for s in (tokens(x) for x in _SENTENCE.split(text)) if s]
 
     def holds(self, text: "Text") -> bool:
-        if not self.runs.isdisjoint(text.signs if self.han else text.runs):
+        whole = text.signs if self.han else text.words
+        if any(run in whole for run in self.runs):
             return True
         for s in self.sentences:
             most = len(s) // 8
@@ -274,12 +294,10 @@ class Text:
 
     def __init__(self, text: str):
         words = tokens(text)
-        joined = "".join(words)
         codes = defaultdict(lambda: len(codes))
         self.coded = np.array([codes[w] for w in words], dtype=np.int32)
         self.codes = dict(codes)
-        self.runs = {tuple(words[i : i + 12]) for i in range(len(words) - 11)}
-        self.signs = {joined[i : i + 20] for i in range(len(joined) - 19)}
+        self.words, self.signs = f" {' '.join(words)} ", "".join(words)
 
 
 def _altered(sentence: list[str], codes: dict[str, int], text: np.ndarray) -> int:
@@ -350,7 +368,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, cosine: float = COSINE,
     weights = np.log((n + 1.0) / (counts + 1.0)) ** 2 + 1e-3
     basis = latent_basis(coded, targets, weights)
     shards = list(_shards(targets, basis, weights, shard_passages))
-    near = materialise(_candidates(coded, shards, weights, basis, cosine).distinct(), "candidates")
+    near = materialise(_candidates(coded, shards, weights, basis, cosine, LIGHT * _lightest(targets, weights)).distinct(), "candidates")
     suspects = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").join(near.select("doc_id").distinct(), "doc_id", "left_semi")
     out = None
     for rows in _text_shards(listed, shard_chars):
