@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.plans.lineage import materialise
 from kinweave.plans.skew import heavy_or_none, lookup_join
 
 # Texts that stand for "not known", in lower case.
@@ -56,7 +57,7 @@ def members(previews: DataFrame, entries: DataFrame) -> DataFrame:
     """
     named = previews.select("group_id", F.explode(F.array("keep", "merge_from")).alias("source_file")).where("group_id IS NOT NULL AND source_file IS NOT NULL").distinct()
     own = entries.select("source_file", "entry_id", "name", "organization", "role", "location", F.col("channels.email").alias("email"), F.col("channels.phone").alias("phone"), F.expr("try_cast(updated AS DATE)").alias("updated"), *(["space"] if "space" in entries.columns else [F.lit(None).cast("string").alias("space")]))
-    return named.join(own, "source_file")
+    return materialise(named.join(own, "source_file"), "members")
 
 
 def long_values(people: DataFrame) -> DataFrame:
