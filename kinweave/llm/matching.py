@@ -16,7 +16,6 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +45,9 @@ _EMAIL = re.compile(r"^([^@\s<>,;]+)@([^@\s<>,;]+\.[^@\s<>,;.]+)$")
 
 def fold(text: str) -> str:
     """Lower case without accents; letters that have no decomposition in their usual transcription."""
-    t = "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
+    if text.isascii():
+        return text.lower()
+    t = "".join([c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c)])
     return t.translate(str.maketrans({"đ": "d", "ł": "l", "ø": "o", "æ": "ae", "ß": "ss", "ı": "i"}))
 
 
@@ -148,10 +149,11 @@ def name_weight(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_names(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def with_confidence(both: DataFrame) -> DataFrame:
-    """(a, b, confidence) of pairs whose records' columns are the structs x and y, as _side gives them.
+def with_confidence(both: DataFrame, least: float = 0.0) -> DataFrame:
+    """(a, b, confidence) of the pairs, at least `least`, whose records' columns are the structs x and y, as _side gives them.
 
-    A weighted sum of the fields' similarities, within 0 and 1. Only names are compared in Python, and each two of them once.
+    A weighted sum of the fields' similarities, within 0 and 1. Only names are compared in Python, each two of them once, and
+    only where the other fields leave a chance to reach `least`.
     """
     own, phone = F.arrays_overlap("x.own", "y.own"), F.arrays_overlap("x.phones", "y.phones")
     alike = F.exists("x.firms", lambda f: F.exists("y.firms", lambda g: (f == g) | ((F.length(f) >= 5) & (F.length(g) >= 5) & (f.startswith(g) | g.startswith(f)))))
@@ -159,8 +161,10 @@ def with_confidence(both: DataFrame) -> DataFrame:
     domain = F.when(~own & F.arrays_overlap("x.domains", "y.domains"), WEIGHTS["same_domain"]).otherwise(0.0)
     rest = F.when(own, WEIGHTS["email"]).otherwise(0.0) + F.when(phone, WEIGHTS["phone"]).otherwise(0.0) + firm + domain
     rows = both.select("a", "b", rest.alias("rest"), F.col("x.name").alias("n"), F.col("y.name").alias("m"))
+    if least > 0:
+        rows = rows.where(F.col("rest") + WEIGHTS["full"] >= least - 1e-6)
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("rest") + name_weight("n", "m"))), 4)
-    return rows.select("a", "b", score.alias("confidence"))
+    return rows.select("a", "b", score.alias("confidence")).where(F.col("confidence") >= least)
 
 
 def records(contacts: DataFrame, google: DataFrame, vcards: DataFrame) -> DataFrame:
@@ -232,14 +236,10 @@ def window_pairs(entries: DataFrame, window: int = WINDOW, block: int = BLOCK) -
     spark = entries.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def number(batches):
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            yield batch.assign(part=part, at=np.arange(at, at + len(batch), dtype=np.int64))
-            at += len(batch)
-
-    ordered = entries.repartitionByRange(n, "key", "rec").sortWithinPartitions("key", "rec")
-    ordered = materialise(ordered.mapInPandas(number, "key string, mark string, words array<string>, rec string, part int, at long"), "ordered")
+    # a row's place: the number of its partition, and its own in it
+    ordered = entries.repartitionByRange(n, "key", "rec").sortWithinPartitions("key", "rec").select("mark", "words", "rec", F.monotonically_increasing_id().alias("row"))
+    ordered = ordered.select("mark", "words", "rec", F.shiftright("row", 33).cast("int").alias("part"), F.col("row").bitwiseAND((1 << 33) - 1).alias("at"))
+    ordered = materialise(ordered, "ordered")
     sizes = {r.part: r.n for r in ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, total = [], 0
     for part in sorted(sizes):
@@ -294,7 +294,7 @@ def _side(people: DataFrame, end: str, as_: str) -> DataFrame:
 def scored_pairs(pairs: DataFrame, people: DataFrame, least: float = 0.0) -> DataFrame:
     """(a, b, confidence) of the pairs that reach least."""
     both = pairs.join(_side(people, "a", "x"), "a").join(_side(people, "b", "y"), "b")
-    return with_confidence(both).where(F.col("confidence") >= least)
+    return with_confidence(both, least)
 
 
 def best_assignment(edges: list[tuple[str, str, float]]) -> list[tuple[str, str]]:
