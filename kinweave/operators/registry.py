@@ -23,17 +23,19 @@ def _less_one(texts: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.filter(texts, lambda t: t != ""), cut)))
 
 
-def near_tags(tags: DataFrame, tag: str) -> DataFrame:
-    """(a, b): every two different tags less than NEAR edits apart, both ways.
+def near_tags(tags: DataFrame, tag: str, near: int = NEAR) -> DataFrame:
+    """(a, b, edits): every two different tags less than `near` edits apart, both ways.
 
-    Two texts two edits apart have a text in common that comes of each by taking out two signs at most, so they meet in a
-    join by equality; the distance decides.
+    Two texts k edits apart have a text in common that comes of each by taking out k signs at most, so they meet in a join
+    by equality; the distance decides.
     """
-    one = tags.select(F.col(tag).alias("t")).distinct().withColumn("w", F.array("t"))
-    one = one.withColumn("x", _less_one(F.col("w")))
-    all_ = one.select("t", F.explode(F.array_distinct(F.concat("w", "x", _less_one(F.col("x"))))).alias("part"))
+    one, cut = tags.select(F.col(tag).alias("t")).where("t IS NOT NULL").distinct().withColumn("cut0", F.array("t")), ["cut0"]
+    for k in range(1, near):
+        one = one.withColumn(f"cut{k}", _less_one(F.col(f"cut{k - 1}")))
+        cut.append(f"cut{k}")
+    all_ = one.select("t", F.explode(F.array_distinct(F.concat(*cut))).alias("part"))
     pairs = all_.select(F.col("t").alias("a"), "part").join(all_.select(F.col("t").alias("b"), "part"), "part").where("a <> b").select("a", "b").distinct()
-    return pairs.where(F.levenshtein("a", "b") < NEAR)
+    return pairs.withColumn("edits", F.levenshtein("a", "b")).where(F.col("edits") < near)
 
 
 def registered(met: DataFrame, registry: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.operators import entities, ranking, resolve, scoring, text
+from kinweave.operators import registry as register
 from kinweave.operators.dates import message_moments
 from kinweave.plans.skew import heavy_or_none, lookup_join
 from kinweave.plans.tables import table
@@ -447,10 +448,7 @@ def validation_issues(spark, folder):
 
 @query("SELECT a.tag AS a, b.tag AS b, levenshtein(a.tag, b.tag)::INT AS d FROM industry_registry a JOIN industry_registry b ON a.tag < b.tag WHERE levenshtein(a.tag, b.tag) < 4")
 def registry_potential_merges(spark, folder):
-    # the registry is fixed and small; both sides are its distinct tags
-    tags = table(spark, folder, "industry_registry").select("tag").distinct()
-    d = F.levenshtein("a", "b")
-    return tags.select(F.col("tag").alias("a")).join(F.broadcast(tags.select(F.col("tag").alias("b"))), F.col("a") < F.col("b")).where(d < 4).select("a", "b", d.alias("d"))
+    return register.near_tags(table(spark, folder, "industry_registry"), "tag", 4).where("a < b").select("a", "b", F.col("edits").alias("d"))
 
 
 # --- text -------------------------------------------------------------------------------------------------------------
