@@ -13,21 +13,26 @@ def similar_names(df: DataFrame, key: str, kind: str, name: str, least: float =
 
     similarity is 1 - levenshtein / length of the longer, in lower case. Equal names are first made one (the smallest
     key stands for them, see exact_groups), so copies are never expanded into pairs. Candidates for different names share a
-    piece: a name within k edits of another has one of k + 1 pieces unchanged, at a place shifted by k at most, so joining
-    on pieces loses no pair; the length band and the bounded distance decide. Null names count as empty and match nothing.
+    piece: a name within k edits of another has one of k + 1 pieces unchanged. Of several such pieces one is found where at
+    most i edits lie before piece i and k - i after it, so the piece joins by its place too, shifted by i at most, and the
+    lengths bound the shift from the end. No pair is lost; the bounded distance decides. Null names count as empty and match nothing.
     """
     share = 1.0 - least
     n = df.select(F.lower(F.coalesce(F.col(kind), F.lit(""))).alias("kind"), F.lower(F.trim(F.coalesce(F.col(name), F.lit("")))).alias("name"), F.col(key).alias("key")).where("name <> ''")
     n = n.groupBy("kind", "name").agg(F.min("key").alias("key")).withColumn("len", F.length("name"))
     # edits that a pair with this name as its longer member may have
     n = n.withColumn("k", F.floor(F.col("len") * share + 1e-9).cast("int"))
-    pieces = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(F.floor(i * F.col("len") / (F.col("k") + 1)).cast("int").alias("at"), (F.floor((i + 1) * F.col("len") / (F.col("k") + 1)) - F.floor(i * F.col("len") / (F.col("k") + 1))).cast("int").alias("w")))
-    longer = n.where("len > 0").select("kind", "name", "key", "len", "k", F.explode(F.filter(pieces, lambda p: p.w > 0)).alias("p"))
-    longer = longer.select("kind", F.col("name").alias("a"), F.col("key").alias("ka"), F.col("len").alias("la"), F.col("k").alias("ka_edits"), F.col("p.w").alias("w"), F.col("p.at").alias("at"), F.expr("substring(name, p.at + 1, p.w)").alias("gram"))
+    cut = lambda i: F.floor(i * F.col("len") / (F.col("k") + 1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(i.alias("i"), cut(i).alias("at"), (cut(i + 1) - cut(i)).alias("w")))
+    longer = n.select("kind", F.col("name").alias("a"), F.col("key").alias("ka"), F.col("len").alias("la"), F.col("k").alias("edits"), F.explode(F.filter(pieces, lambda p: p.w > 0)).alias("p"))
+    longer = longer.select("*", F.expr("substring(a, p.at + 1, p.w)").alias("gram"), F.explode(F.sequence(-F.col("p.i"), F.col("p.i"))).alias("shift"))
+    longer = longer.select("kind", "a", "ka", "la", "edits", F.col("p.i").alias("i"), F.col("p.w").alias("w"), "gram", "shift", (F.col("p.at") + F.col("shift")).alias("pos")).where("pos >= 0")
+    # as many widths as names have lengths, and fewer
     widths = longer.select("w").distinct()
-    grams = n.crossJoin(F.broadcast(widths)).where("len >= w").select("kind", F.col("name").alias("b"), F.col("key").alias("kb"), F.col("len").alias("lb"), "w", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("len") - F.col("w") + 1), lambda i: F.substring(F.col("name"), i, F.col("w")))).alias("pos", "gram"))
-    pairs = longer.join(grams, ["kind", "w", "gram"]).where("(lb < la OR (lb = la AND a < b)) AND la - lb <= ka_edits AND abs(pos - at) <= ka_edits").select("a", "b", "ka", "kb", "la", "ka_edits").distinct()
-    close = pairs.withColumn("d", F.expr("levenshtein(a, b)")).where("d <= ka_edits")
+    grams = n.join(F.broadcast(widths), F.col("len") >= F.col("w")).select("kind", F.col("name").alias("b"), F.col("key").alias("kb"), F.col("len").alias("lb"), "w", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("len") - F.col("w") + 1), lambda i: F.substring(F.col("name"), i, F.col("w")))).alias("pos", "gram"))
+    near = "(lb < la OR (lb = la AND a < b)) AND la - lb <= edits AND abs(shift - (lb - la)) <= edits - i"
+    pairs = longer.join(grams, ["kind", "w", "gram", "pos"]).where(near).select("a", "b", "ka", "kb", "la", "edits").distinct()
+    close = pairs.withColumn("d", F.expr("levenshtein(a, b)")).where("d <= edits")
     return close.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.round(1 - F.col("d") / F.col("la"), 6).alias("similarity"))
 
 
