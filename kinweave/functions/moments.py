@@ -140,11 +140,23 @@ def zone_intervals(zone: str) -> tuple[tuple[int, int, int], ...]:
     return (*out, (since, last, off))
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def interval_table(spark, zones: list[str]) -> DataFrame:
     """One row per zone and local year: the intervals that a clock reading of that year can fall in, in order of time.
 
-    At most 599 zones times 329 years, each with a few intervals: the size bound of the broadcast.
+    At most 599 zones times 329 years, each with a few intervals: the size bound of the broadcast. The table of the zones
+    last asked for is kept, since all queries of a data folder ask for the same.
     """
+    asked = (spark.sparkContext.applicationId, *zones)
+    if asked not in _TABLES:
+        _TABLES.clear()
+        _TABLES[asked] = _interval_table(spark, zones)
+    return _TABLES[asked]
+
+
+def _interval_table(spark, zones: list[str]) -> DataFrame:
     rows = []
     for zone in zones:
         spans = zone_intervals(zone)

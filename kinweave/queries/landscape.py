@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import ranking, resolve, text
 from kinweave.operators import registry as register
+from kinweave.plans.lineage import materialise
 from kinweave.plans.skew import heavy_or_none, lookup_join
 from kinweave.plans.tables import table
 from kinweave.queries.relations import AS_OF, _PEOPLE, _score_sql, _scores
@@ -137,7 +138,7 @@ p AS (SELECT who, count(*) AS threads, sum(messages)::BIGINT AS messages, min(fi
 
 def _members(spark, folder) -> DataFrame:
     """(who, thread, messages, first_at, last_at): who but the owners of mailboxes wrote how often in each thread of two mails or more."""
-    mails = emails(spark, folder).where("thread IS NOT NULL").select("thread", F.col("from_email").alias("who"), "at_s")
+    mails = materialise(emails(spark, folder).where("thread IS NOT NULL").select("thread", F.col("from_email").alias("who"), "at_s"), "mails")
     g = mails.groupBy("who", "thread").agg(F.count(F.lit(1)).alias("messages"), F.min("at_s").alias("first_at"), F.max("at_s").alias("last_at"))
     kept = mails.groupBy("thread").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("thread")
     owners = table(spark, folder, "mailboxes").select(F.lower(F.trim("address")).alias("who")).where("who IS NOT NULL").distinct()
@@ -213,9 +214,11 @@ def meeting_scores(spark, folder):
 @query(f"WITH {EM_SQL}, c AS (SELECT lower(trim(email)) AS email, min(id) AS id FROM contacts WHERE email IS NOT NULL GROUP BY 1) SELECT e.email_id, c.id AS contact_id FROM em e LEFT JOIN c ON c.email = e.from_email")
 def mail_contacts(spark, folder):
     # a newsletter may send a third of all mails: its contact goes to them by broadcast
+    raw = table(spark, folder, "emails").select(F.lower(F.trim("from_email")).alias("email"))
+    heavy = heavy_or_none(raw, "email", raw.count())
     mails = emails(spark, folder).select("email_id", F.col("from_email").alias("email"))
     known = table(spark, folder, "contacts").where("email IS NOT NULL").groupBy(F.lower(F.trim("email")).alias("email")).agg(F.min("id").alias("contact_id"))
-    return lookup_join(mails, "email", known, heavy_or_none(mails, "email", mails.count())).select("email_id", "contact_id")
+    return lookup_join(mails, "email", known, heavy).select("email_id", "contact_id")
 
 
 @query(f"WITH {IM_SQL}, s AS (SELECT contact_id, count(*) AS n FROM im WHERE at_s BETWEEN epoch(DATE '{AS_OF}' - INTERVAL 365 DAY) AND epoch(DATE '{AS_OF}') AND contact_id IS NOT NULL GROUP BY 1) SELECT c.id, c.email, coalesce(s.n, 0) AS last_year FROM contacts c LEFT JOIN s ON s.contact_id = c.id")

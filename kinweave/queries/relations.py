@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinweave.operators import entities, ranking, resolve, scoring, text
 from kinweave.operators import registry as register
 from kinweave.operators.dates import message_moments
+from kinweave.plans.lineage import materialise
 from kinweave.plans.skew import heavy_or_none, lookup_join
 from kinweave.plans.tables import table
 from kinweave.queries.messages import MOMENTS_SQL
@@ -52,9 +53,11 @@ def _scores(spark: SparkSession, folder: str, as_of: str = SCORED_AT) -> DataFra
     # an interaction names its contact by name or by address; a contact is a name, with or without interactions up to as_of
     people = table(spark, folder, "contacts").select(F.lower(F.trim("name")).alias("contact"), F.lower(F.trim("email")).alias("who")).where("contact <> ''")
     named = people.where("who <> ''").groupBy("who").agg(F.min("contact").alias("named"))
-    rows = message_moments(table(spark, folder, "channel_interactions").select("mailbox_id", "date", F.lower(F.trim("contact")).alias("who"), F.lower(F.trim("interaction_type")).alias("kind")), table(spark, folder, "mailboxes"))
+    raw = table(spark, folder, "channel_interactions").select("mailbox_id", "date", F.lower(F.trim("contact")).alias("who"), F.lower(F.trim("interaction_type")).alias("kind"))
+    heavy = heavy_or_none(raw, "who", raw.count())
+    rows = message_moments(raw, table(spark, folder, "mailboxes"))
     rows = rows.where(F.col("utc_second").isNull() | (F.col("utc_second") <= F.unix_timestamp(F.lit(as_of).cast("timestamp"))))
-    rows = lookup_join(rows.withColumn("moment", F.timestamp_seconds("utc_second")), "who", named, heavy_or_none(rows, "who", rows.count()))
+    rows = lookup_join(rows.withColumn("moment", F.timestamp_seconds("utc_second")), "who", named, heavy)
     return scoring.relationship_scores(rows.withColumn("contact", F.coalesce("named", "who")), "contact", "moment", "kind", as_of, contacts=people.select("contact"))
 
 
@@ -245,7 +248,8 @@ p AS (SELECT DISTINCT thread, unnest(list_concat([from_email], to_emails, cc_ema
 n AS (SELECT thread, count(*) AS participants, array_to_string(list_sort(list(who))[1:5], ',') AS who FROM p WHERE who <> '' GROUP BY 1)
 SELECT t.*, coalesce(n.participants, 0) AS participants, n.who FROM t LEFT JOIN n USING (thread)""")
 def thread_rollup(spark, folder):
-    mails = emails(spark, folder).where("thread IS NOT NULL")
+    # read three times
+    mails = materialise(emails(spark, folder).where("thread IS NOT NULL").select("thread", "email_id", "at_s", "subject", "from_email", "to_emails", "cc_emails"), "mails")
     threads = mails.groupBy("thread").agg(F.count(F.lit(1)).alias("messages"), F.min("at_s").alias("first_at"), F.max("at_s").alias("last_at"), F.min_by("subject", F.when(F.col("subject").isNotNull() & F.col("at_s").isNotNull(), F.struct("at_s", "email_id"))).alias("subject")).where("messages >= 2")
     people = mails.select("thread", F.explode(F.concat(F.array("from_email"), "to_emails", "cc_emails")).alias("who")).where("who <> ''").distinct()
     # five names stand for a thread, so a mailing list's participants are counted but never gathered
