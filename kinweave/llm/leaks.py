@@ -2,12 +2,12 @@
 
 Texts are cut into overlapping passages of WINDOW words over the vocabulary of the evaluation items (other words can't
 contribute to a dot product with an item). Passages are weighted by tf-idf with the square of the idf, so that what is
-particular to an item outweighs its phrasing. A randomised SVD, computed by two passes over the passages of all documents
-and of the items, gives the latent space; passages of the corpus whose cosine with a passage of an item is high are
+particular to an item outweighs its phrasing. A randomised SVD, computed by two distributed passes over the passages of a
+bounded sample of documents and of all items, gives the latent space; passages of the corpus whose cosine with a passage of an item is high are
 candidates. A candidate document is confirmed by a long common run or by aligning the item's sentences.
 
-The corpus is read a constant number of times whatever the number of items: its words are coded once, counted once,
-multiplied twice and searched once; the texts of candidates are read again. Items are held in shards of a bounded number
+The corpus is read a constant number of times whatever the number of items: its words are coded once, counted once and
+searched once; the texts of candidates are read again. Items are held in shards of a bounded number
 of passages, so a book-length item is spread over several.
 """
 
@@ -29,6 +29,9 @@ WINDOW, STRIDE = 12, 4
 #: Distance of an item's passages. The nearest of them is out of line with a passage of a document by one word at most.
 ITEM_STRIDE = 2
 RANK, OVERSAMPLE = 128, 16
+#: The latent space is fitted on so many documents at most, chosen by their ids, and on all items; counts, weights and search
+#: cover all documents.
+FITTED_DOCUMENTS = 20_000
 COSINE = 0.55
 #: A passage is searched for unless its known words weigh less than this part of the lightest passage of any item: one of
 #: words so common cannot be most of an item's sentence.
@@ -278,9 +281,16 @@ class Confirm:
         self.sentences = [s for s in (tokens(x) for x in _SENTENCE.split(text)) if s]
 
     def holds(self, text: "Text") -> bool:
-        whole = text.signs if self.han else text.words
-        if any(run in whole for run in self.runs):
-            return True
+        if self.han:
+            if any(run in text.signs for run in self.runs):
+                return True
+        else:
+            # only where twelve words in a row occur in the text at all can they stand there in a row
+            streak = 0
+            for k, w in enumerate(self.words):
+                streak = streak + 1 if w in text.codes else 0
+                if streak >= 12 and self.runs[k - 11] in text.words:
+                    return True
         for s in self.sentences:
             most = len(s) // 8
             # a word that the text lacks is altered wherever the sentence stands
@@ -366,7 +376,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, cosine: float = COSINE,
     coded = materialise(_coded(documents, vocabulary), "coded")
     counts, n = _document_frequencies(coded, len(number))
     weights = np.log((n + 1.0) / (counts + 1.0)) ** 2 + 1e-3
-    basis = latent_basis(coded, targets, weights)
+    share = FITTED_DOCUMENTS / max(1, coded.count())
+    fitted = coded if share >= 1 else coded.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < int(share * 1_000_000_000))
+    basis = latent_basis(fitted, targets, weights)
     shards = list(_shards(targets, basis, weights, shard_passages))
     near = materialise(_candidates(coded, shards, weights, basis, cosine, LIGHT * _lightest(targets, weights)).distinct(), "candidates")
     suspects = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").join(near.select("doc_id").distinct(), "doc_id", "left_semi")
