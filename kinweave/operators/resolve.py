@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.plans.lineage import materialise
 from kinweave.plans.skew import heavy_or_none, lookup_join
 
 
@@ -95,25 +96,49 @@ def named_or_contained(left: DataFrame, key: str, name: str, right: DataFrame, o
     return lookup_join(own, "name", facts, heavy_or_none(own, "name", own.count())).where(F.col("how").isNotNull()).select(key, other, "how")
 
 
+#: Over how many tasks the values of one name's records are spread.
+SPREAD = 16
+
+
 def duplicate_pairs(df: DataFrame, key: str, kind: str, name: str, organization: str, channels: list[str], least: float = 0.7) -> DataFrame:
-    """(a, b, similarity, same_org, shared, class): all pairs of records of one kind whose names are similar, a < b.
+    """(a, b, similarity, same_org, shared, class), a < b: records of one kind whose names are similar, linked by representatives.
 
-    Records of equal names are pairs of similarity 1. likely: over 0.95, or one of the channels (columns) is filled and equal;
-    possible: over 0.85, or the organization is equal; else review. Nameless records match nothing.
+    Records of equal names are linked to the smallest key among them, which represents them (similarity 1); representatives
+    of similar names are linked to each other, where same_org and shared tell whether any two records of theirs have that in
+    common. likely: over 0.95, or one of the channels (columns) is filled and equal; possible: over 0.85, or the
+    organization is equal; else review. Nameless records match nothing. No link between different names is lost, and copies
+    are not expanded into all pairs.
     """
-    groups = exact_groups(df, key, kind, name)
-    near = similar_names(df, key, kind, name, least).select(F.col("a").alias("ca"), F.col("b").alias("cb"), "similarity")
-    near = near.unionByName(groups.select(F.col("class_key").alias("ca"), F.col("class_key").alias("cb"), F.lit(1.0).alias("similarity")).distinct())
-    facts = groups.join(df.select(F.col(key).alias("key"), F.col(organization).alias("org"), F.array(*channels).alias("ch")), "key")
-    side = lambda s: facts.select(F.col("class_key").alias(f"c{s}"), F.col("key").alias(f"k{s}"), F.col("org").alias(f"o{s}"), F.col("ch").alias(f"h{s}"))
-    j = near.join(side("a"), "ca").join(side("b"), "cb").where("ca <> cb OR ka < kb")
-    same = F.coalesce(F.col("oa") == F.col("ob"), F.lit(False))
-    shared = F.concat_ws(",", *[F.when((F.col("ha")[i] == F.col("hb")[i]) & (F.col("ha")[i] != ""), c.split(".")[-1]) for i, c in enumerate(channels)])
-    out = j.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity", same.alias("same_org"), shared.alias("shared"))
+    labels = {c: c.split(".")[-1] for c in channels}
+    groups = materialise(exact_groups(df, key, kind, name), "classes")
+    cells = F.array(F.struct(F.lit("org").alias("field"), F.col(organization).alias("value")), *[F.struct(F.lit(labels[c]).alias("field"), F.nullif(F.col(c), F.lit("")).alias("value")) for c in channels])
+    facts = groups.join(df.select(F.col(key).alias("key"), F.explode(cells).alias("c")), "key").select("class_key", "key", "c.field", "c.value").where("value IS NOT NULL")
+    facts = materialise(facts, "facts")
+    # of each representative to the other records of its name
+    own = facts.where("class_key = key").select("class_key", "field", F.col("value").alias("of_first"))
+    inner = groups.where("class_key <> key").select(F.col("class_key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
+    told = lookup_values(facts.where("class_key <> key"), own).groupBy(F.col("class_key").alias("a"), F.col("key").alias("b")).agg(F.collect_set("field").alias("fields"))
+    # of each representative to those of similar names: a value in common of any of their records
+    near = materialise(similar_names(df, key, kind, name, least), "near")
+    values = facts.select("class_key", "field", "value").distinct().withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SPREAD)).cast("int"))
+    spread = near.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
+    mine = spread.join(values.withColumnRenamed("class_key", "a"), ["a", "salt"])
+    both = mine.join(values.withColumnRenamed("class_key", "b"), ["b", "salt", "field", "value"]).groupBy("a", "b").agg(F.collect_set("field").alias("fields"))
+    links = inner.join(told, ["a", "b"], "left").unionByName(near.join(both, ["a", "b"], "left"))
+    has = lambda f: F.coalesce(F.array_contains("fields", f), F.lit(False))
+    shared = F.concat_ws(",", *[F.when(has(labels[c]), labels[c]) for c in channels])
+    out = links.select("a", "b", "similarity", has("org").alias("same_org"), shared.alias("shared"))
     sure = (F.col("similarity") > 0.95) | (F.col("shared") != "")
     return out.withColumn("class", F.when(sure, "likely").when((F.col("similarity") > 0.85) | F.col("same_org"), "possible").otherwise("review"))
 
 
+def lookup_values(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """rows(class_key, key, field, value) whose value is that of their class's first record."""
+    keyed = rows.withColumn("cell", F.concat_ws("\n", F.col("class_key").cast("string"), "field"))
+    facts = first.select(F.concat_ws("\n", F.col("class_key").cast("string"), "field").alias("cell"), "of_first")
+    return lookup_join(keyed, "cell", facts, heavy_or_none(keyed, "cell", keyed.count())).where("value = of_first")
+
+
 def _stages(left: DataFrame, right: DataFrame, key: str, other: str, stages: list[tuple[str, str, float]]) -> DataFrame:
     """(key, rank, place, other, stage, confidence): every left value that some right record holds, whose owner is the smallest other key.
 

@@ -23,21 +23,31 @@ def test_similar_entities_from_seven_tenths(spark, tmp_path):
 
 
 def test_duplicate_classes_equal_a_pair_loop(spark):
+    """Equal names are linked to the first of them, the first ones of similar names to each other; evidence is that of all records."""
     rows = [
         (1, "person", "Jane Doe", "Acme", None, None), (2, "person", "Jane Dow", "Beta", None, None), (3, "person", "jane doe", None, None, "x"),
         (4, "person", "Abcdefghij", "Acme", "q", None), (5, "person", "Abcdefgxyz", "Acme", None, ""), (6, "person", "Abcdefguvw", None, "q", ""),
         (7, None, "Abcdefghij", None, None, None), (8, None, "Abcdefghijk", "Z", None, None), (9, "person", None, "Acme", "q", None),
         (10, "person", "Abcdefghijabcdefghij", None, None, None), (11, "person", "Abcdefghijabcdefghix", None, None, None),
     ]
-    want = []
-    for i, x in enumerate(rows):
-        for y in rows[i + 1 :]:
-            if x[1] == y[1] and x[2] and y[2]:
-                s = 1 - edits(x[2].lower(), y[2].lower()) / max(len(x[2]), len(y[2]))
-                shared = ",".join(c for c, k in (("email", 4), ("telegram", 5)) if x[k] and x[k] == y[k])
-                same = x[3] is not None and x[3] == y[3]
-                if s >= 0.7:
-                    want.append((x[0], y[0], round(s, 6), same, shared, "likely" if s > 0.95 or shared else "possible" if s > 0.85 or same else "review"))
+    rows += [(12, "person", "JANE DOE ", "Beta", "q", None), (13, "person", "jane dow", None, None, "x")]
+    of = lambda r: (r[1] or "", (r[2] or "").strip().lower())
+    first: dict = {}
+    for r in rows:
+        first.setdefault(of(r), r[0])
+
+    def link(a, b, s, xs, ys):
+        equal = lambda k: any(x[k] and x[k] == y[k] for x in xs for y in ys)
+        shared, same = ",".join(c for c, k in (("email", 4), ("telegram", 5)) if equal(k)), equal(3)
+        return (a, b, round(s, 6), same, shared, "likely" if s > 0.95 or shared else "possible" if s > 0.85 or same else "review")
+
+    want = [link(first[of(r)], r[0], 1.0, [x for x in rows if x[0] == first[of(r)]], [r]) for r in rows if r[2] and first[of(r)] != r[0]]
+    for x in first:
+        for y in first:
+            s = 1 - edits(x[1], y[1]) / max(len(x[1]), len(y[1]), 1)
+            if x[0] == y[0] and x[1] and y[1] and first[x] < first[y] and s >= 0.7:
+                want.append(link(first[x], first[y], s, [r for r in rows if of(r) == x], [r for r in rows if of(r) == y]))
+    want.sort()
     df = spark.createDataFrame(rows, "id long, kind string, name string, org string, email string, telegram string")
     got = resolve.duplicate_pairs(df, "id", "kind", "name", "org", ["email", "telegram"])
     assert sorted(tuple(r) for r in got.collect()) == want and {r[5] for r in want} == {"likely", "possible", "review"}
