@@ -8,7 +8,7 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["messages", "relations", "timeline", "network", "landscape", "mailing", "reports"]
+MODULES = ["messages", "relations", "timeline", "network", "landscape", "mailing", "reports", "texts"]
 
 #: The queries that each command puts together.
 COMMANDS = {

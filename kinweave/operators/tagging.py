@@ -70,9 +70,9 @@ def is_internal(address: Column, own_domains: list[str]) -> Column:
     return F.coalesce(domain_of(F.lower(F.trim(address))).isin(own_domains), F.lit(False))
 
 
-def tagged(df: DataFrame, address: str, tags: str, overwrite: bool = False) -> DataFrame:
+def tagged(df: DataFrame, address: str, tags: str, overwrite: bool = False, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """df with tags merged into, or put in place of, the tags it has."""
-    new = tags_of(F.col(address))
+    new = tags_of(F.col(address), rules)
     return df.withColumn(tags, new if overwrite else F.array_sort(F.array_union(F.coalesce(tags, F.array().cast("array<string>")), F.coalesce(new, F.array().cast("array<string>")))))
 
 

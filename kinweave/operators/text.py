@@ -210,7 +210,7 @@ def body_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     bare = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?s)\A---.*?---", "")
     lines = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(bare, "\n")).alias("k", "line"))
-    return lines.where((F.trim("line") != "") & ~F.col("line").startswith("#")).select(key, (F.col("k") + 1).cast("long").alias("line_no"), "line")
+    return lines.where(F.col("line").rlike(r"[^\s\p{Z}]") & ~F.col("line").startswith("#")).select(key, (F.col("k") + 1).cast("long").alias("line_no"), "line")
 
 
 # Parts of a name by which a party is a company or else a project, in order of precedence.
