@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kinweave.plans.lineage import discard, materialise, new_path, remove
 from kinweave.plans.skew import lookup_join
@@ -166,7 +165,7 @@ def replay(lean: DataFrame, arrivals: DataFrame, timeout: int = TIMEOUT_SECONDS,
         for used in (source, staged, state):
             remove(spark, used)
         discard(times)
-    shape = T._parse_datatype_string("thread string, part int, parts int, turns array<struct<moment:bigint,id:bigint,speaker:string>>, broken bigint, mine bigint, said bigint")
+    shape = "thread string, part int, parts int, turns array<struct<moment:bigint,id:bigint,speaker:string>>, broken bigint, mine bigint, said bigint"
     return spark.read.schema(shape).parquet(out).where("thread IS NOT NULL"), known.parts > 1
 
 

@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from kinweave.llm.linkage import linked_groups
 from kinweave.llm.tags import edits
-from kinweave.plans.lineage import materialise
+from kinweave.operators.ranking import top_k_per_group
+from kinweave.plans.lineage import broadcast_if_small, discard, materialise
 from kinweave.plans.skew import heavy_or_none, lookup_join
 
 # Titles, roles of shared addresses, legal forms, and short forms of given names.
@@ -37,6 +38,9 @@ SHORT_FORMS = {
 }
 
 WINDOW, BLOCK = 10, 2_000
+#: A connected part of so many links at most is assigned exactly by one task; a larger one by an auction over all tasks,
+#: whose bids rise by so much at least: its total is less than the greatest by at most that for each pair.
+PART_LINKS, LEAST_RISE = 5_000, 0.01
 CONFIDENT, WEAK = 0.6, 0.35
 WEIGHTS = {"email": 0.6, "phone": 0.45, "full": 0.4, "initial": 0.2, "other_name": -0.7, "firm": 0.2, "other_firm": -0.2, "same_domain": -0.25}
 
@@ -335,11 +339,35 @@ def best_assignment(edges: list[tuple[str, str, float]]) -> list[tuple[str, str]
             q = before
 
 
-def assigned(edges: DataFrame) -> DataFrame:
+def auctioned(edges: DataFrame, rise: float = LEAST_RISE) -> DataFrame:
+    """(p, q): a one-to-one assignment of edges(p, q, confidence) by an auction, in rounds of joins and aggregations.
+
+    Every p without a q bids for the q that leaves it most, as much as would make the next best (or none) as good and `rise`
+    more; each q goes to the highest bid, and whoever held it bids again. It ends when no bid leaves its bidder anything.
+    """
+    spark = edges.sparkSession
+    held = spark.createDataFrame([], edges.select("q", "p", F.col("confidence").alias("price")).schema)
+    while True:
+        priced = edges.join(held.select("q", "price"), "q", "left").withColumn("price", F.coalesce("price", F.lit(0.0)))
+        free = priced.join(held.select("p"), "p", "left_anti").withColumn("net", F.round(F.col("confidence") - F.col("price"), 6)).where("net > 0")
+        two = top_k_per_group(free, ["p"], [F.desc("net"), F.col("q")], 2)
+        pick = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
+        bids = two.groupBy("p").agg(pick(1, "q").alias("q"), pick(1, "price").alias("price"), pick(1, "net").alias("net"), F.coalesce(pick(2, "net"), F.lit(0.0)).alias("next"))
+        bids = bids.select("q", F.struct((F.col("price") + F.col("net") - F.col("next") + rise).alias("price"), "p").alias("bid"))
+        won = materialise(bids.groupBy("q").agg(F.max("bid").alias("bid")).select("q", "bid.p", "bid.price"), "bids")
+        if not won.take(1):
+            discard(won)
+            return held.select("p", "q")
+        before, held = held, materialise(held.join(won.select("q"), "q", "left_anti").unionByName(won), "held")
+        discard(before)
+        discard(won)
+
+
+def assigned(edges: DataFrame, part_links: int = PART_LINKS) -> DataFrame:
     """(p, q): the one-to-one assignment of greatest total confidence over edges(p, q, confidence), distinct, p and q of two sides.
 
-    Parts of the graph that are not connected are assigned apart: pairs whose ends have no other edge at once, the
-    others by part, whose size is that of one contested name.
+    Parts of the graph that are not connected are assigned apart: pairs whose ends have no other edge at once, the others
+    exactly, part by part; parts of over part_links links (a name that very many records share) by auctioned.
     """
     edges = materialise(edges, "sides")
     degree = lambda end: edges.groupBy(end).agg(F.count(F.lit(1)).alias(f"n_{end}"))
@@ -349,12 +377,20 @@ def assigned(edges: DataFrame) -> DataFrame:
     if not contested.take(1):
         return alone
     part = linked_groups(contested.select(F.concat(F.lit("p "), "p").alias("u"), F.concat(F.lit("q "), "q").alias("v"), F.lit(1.0).alias("s")), "u", "v", "s", 0.0)
-    named = contested.join(part.select(F.expr("substring(contact, 3)").alias("p"), "group_key").where("contact LIKE 'p %'"), "p")
+    named = materialise(contested.join(part.select(F.expr("substring(contact, 3)").alias("p"), "group_key").where("contact LIKE 'p %'"), "p"), "parts")
+    # at most one part in part_links links is large
+    sizes = named.groupBy("group_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_links).select("group_key")
+    large = materialise(sizes, "large")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(best_assignment(list(zip(rows["p"], rows["q"], rows["confidence"], strict=True))), columns=["p", "q"])
 
-    return alone.unionByName(named.groupBy("group_key").applyInPandas(solve, "p string, q string"))
+    small = named.join(large, "group_key", "left_anti") if large.take(1) else named
+    out = alone.unionByName(small.groupBy("group_key").applyInPandas(solve, "p string, q string"))
+    if large.take(1):
+        rest = materialise(named.join(broadcast_if_small(large, 100_000), "group_key", "left_semi").select("p", "q", "confidence"), "contested")
+        out = out.unionByName(auctioned(rest))
+    return out
 
 
 def same_people(contacts: DataFrame, google: DataFrame, vcards: DataFrame, confident: float = CONFIDENT, weak: float = WEAK) -> DataFrame:

@@ -1,7 +1,6 @@
 import random
 
 from conftest import run_oracles
-from pyspark.sql import functions as F
 
 from kinweave.llm import linkage, matching, registry, survivors, tags
 
@@ -159,6 +158,21 @@ def test_assignment_has_the_greatest_total():
         assert abs(sum(weight[x] for x in got) - best) < 1e-9
 
 
+def test_large_parts_are_auctioned(spark):
+    """A name that many records share: the auction's total is within its rise of the greatest, part by part."""
+    rng = random.Random(9)
+    edges = sorted({(f"p{rng.randrange(14):02}", f"q{rng.randrange(12):02}"): rng.choice([0.35, 0.4, 0.4, 0.55]) for _ in range(60)}.items())
+    edges = [(p, q, w) for (p, q), w in edges] + [("alone", "one", 0.4), ("left", "x", 0.4), ("left", "y", 0.5), ("right", "x", 0.45)]
+    weight = {(p, q): w for p, q, w in edges}
+    best = sum(weight[x] for x in matching.best_assignment(edges))
+    df = spark.createDataFrame(edges, "p string, q string, confidence double")
+    for part_links in (10, 1, 5_000):
+        got = [tuple(r) for r in matching.assigned(df, part_links).collect()]
+        assert len({p for p, _ in got}) == len({q for _, q in got}) == len(got)
+        assert best - 0.01 * len(got) - 1e-9 <= sum(weight[x] for x in got) <= best + 1e-9
+    assert matching.assigned(df.where("false")).count() == 0
+
+
 def test_namesakes_of_two_firms_stay_two(spark):
     """A name alone joins a lone record to the better of two people, and never two people that both have a card."""
     c = [(1, "ann.lee@acme-1.test", "Ann Lee", "acme-1.test", "x"), (2, "ann.lee@beta-2.test", "Ann Lee", "beta-2.test", "x"), (3, "zed@free.example", "Zed Moor", "free.example", "x")]

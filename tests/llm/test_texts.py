@@ -3,7 +3,6 @@ import re
 from datetime import datetime, timedelta, timezone
 
 import pytest
-from pyspark.sql import functions as F
 
 from kinweave.llm import conversations as conv
 from kinweave.llm import leaks, packing
