@@ -1,6 +1,5 @@
 """Cases that were cut short once: each failed before its query did the whole job."""
 
-from pyspark.sql import functions as F
 
 from kinweave.operators import resolve
 
