@@ -19,7 +19,8 @@ def heavy_keys(rows: DataFrame, key: str, total: int, least: int = LEAST_HEAVY)
 def lookup_join(rows: DataFrame, key: str, facts: DataFrame, heavy: DataFrame | None) -> DataFrame:
     """rows left-joined to facts (unique key, same column name); the heavy keys' facts go by broadcast, the rest by shuffle.
 
-    heavy: the heavy keys of rows (at most MAX_HEAVY rows), or None where there are none.
+    heavy: the heavy keys of rows (at most MAX_HEAVY rows), or None where there are none. Rows without a key match nothing
+    and, where keys are heavy, are not shuffled either, since all of them would meet in one task.
     """
     if heavy is None:
         return rows.join(facts, key, "left")
@@ -27,8 +28,9 @@ def lookup_join(rows: DataFrame, key: str, facts: DataFrame, heavy: DataFrame |
     marked = rows.join(marks, key, "left")
     hot_facts = F.broadcast(facts.join(F.broadcast(heavy), key, "left_semi"))
     hot = marked.where("_heavy").drop("_heavy").join(hot_facts, key, "left")
-    cold = marked.where(F.col("_heavy").isNull()).drop("_heavy").join(facts, key, "left")
-    return hot.unionByName(cold)
+    cold = marked.where(F.col("_heavy").isNull() & F.col(key).isNotNull()).drop("_heavy").join(facts, key, "left")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema if f.name != key]
+    return hot.unionByName(cold).unionByName(rows.where(F.col(key).isNull()).select("*", *none))
 
 
 def heavy_or_none(rows: DataFrame, key: str, total: int, least: int = LEAST_HEAVY) -> DataFrame | None:

@@ -1,6 +1,6 @@
 import pytest
 
-from kinweave.plans import lineage
+from kinweave.plans import lineage, skew
 
 
 class FakeConf(dict):
@@ -22,3 +22,14 @@ def test_shared_folder():
     for master in ("spark://host:7077", "yarn", "k8s://host", "local-cluster[3,2,1024]"):
         with pytest.raises(RuntimeError):
             lineage.shared_dir(FakeSession(master))
+
+
+def test_joins_under_heavy_and_missing_keys(spark):
+    """Heavy keys and rows without one give what a plain left join gives, repeated rows included."""
+    rows = spark.createDataFrame([("a", i) for i in range(9)] + [(None, i) for i in range(7)] + [("b", 1), ("b", 1), ("z", 2)], "k string, n long")
+    facts = spark.createDataFrame([("a", 1.5, ["x"]), ("b", None, None), ("c", 2.0, [])], "k string, v double, w array<string>")
+    plain = sorted(rows.join(facts, "k", "left").collect(), key=str)
+    for least in (3, 6, 100):
+        heavy = skew.heavy_or_none(rows, "k", rows.count(), least)
+        assert (heavy is None) == (least == 100)
+        assert sorted(skew.lookup_join(rows, "k", facts, heavy).select("k", "n", "v", "w").collect(), key=str) == plain
