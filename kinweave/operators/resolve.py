@@ -9,6 +9,21 @@ from kinweave.plans.lineage import materialise
 from kinweave.plans.skew import heavy_or_none, lookup_join
 
 
+def letters(name: Column) -> Column:
+    """63 bits: in each of 21 classes of letters as many as the name has of them, 3 at most. An edit sets or clears one at most of each."""
+    at = lambda c: (F.ascii(c) % 21 * 3).cast("int")
+    field = lambda bits, c: F.call_function("shiftright", bits, at(c)).bitwiseAND(F.lit(7).cast("long"))
+    more = lambda bits, c: bits.bitwiseOR(F.call_function("shiftleft", (field(bits, c) * 2 + 1).bitwiseAND(F.lit(7).cast("long")), at(c)))
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, i, F.lit(1))), F.lit(0).cast("long"), more)
+
+
+def letter_pairs(name: Column) -> Column:
+    """64 bits: those that the name's neighbouring letters hash to. An edit takes away two at most and adds two at most."""
+    two = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(2)))
+    bit = lambda pair: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(pair), F.lit(64)).cast("int"))
+    return F.aggregate(two, F.lit(0).cast("long"), lambda bits, pair: bits.bitwiseOR(bit(pair)))
+
+
 def similar_names(df: DataFrame, key: str, kind: str, name: str, least: float = 0.7) -> DataFrame:
     """(a, b, similarity): keys of records of one kind whose names are similar, one row per pair of different names' keys.
 
@@ -16,24 +31,27 @@ def similar_names(df: DataFrame, key: str, kind: str, name: str, least: float =
     key stands for them, see exact_groups), so copies are never expanded into pairs. Candidates for different names share a
     piece: a name within k edits of another has one of k + 1 pieces unchanged. Of several such pieces one is found where at
     most i edits lie before piece i and k - i after it, so the piece joins by its place too, shifted by i at most, and the
-    lengths bound the shift from the end. No pair is lost; the bounded distance decides. Null names count as empty and match nothing.
+    lengths bound the shift from the end. Of these, the join itself drops pairs whose letters or pairs of letters differ by
+    more than the edits can change, and the bounded distance decides before a pair found by several pieces is made one. No
+    pair is lost. Null names count as empty and match nothing.
     """
     share = 1.0 - least
     n = df.select(F.lower(F.coalesce(F.col(kind), F.lit(""))).alias("kind"), F.lower(F.trim(F.coalesce(F.col(name), F.lit("")))).alias("name"), F.col(key).alias("key")).where("name <> ''")
-    n = n.groupBy("kind", "name").agg(F.min("key").alias("key")).withColumn("len", F.length("name"))
+    n = n.groupBy("kind", "name").agg(F.min("key").alias("key")).select("*", F.length("name").alias("len"), letters(F.col("name")).alias("one"), letter_pairs(F.col("name")).alias("two"))
     # edits that a pair with this name as its longer member may have
     n = n.withColumn("k", F.floor(F.col("len") * share + 1e-9).cast("int"))
     cut = lambda i: F.floor(i * F.col("len") / (F.col("k") + 1)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(i.alias("i"), cut(i).alias("at"), (cut(i + 1) - cut(i)).alias("w")))
-    longer = n.select("kind", F.col("name").alias("a"), F.col("key").alias("ka"), F.col("len").alias("la"), F.col("k").alias("edits"), F.explode(F.filter(pieces, lambda p: p.w > 0)).alias("p"))
+    longer = n.select("kind", F.col("name").alias("a"), F.col("key").alias("ka"), F.col("len").alias("la"), F.col("k").alias("edits"), F.col("one").alias("one_a"), F.col("two").alias("two_a"), F.explode(F.filter(pieces, lambda p: p.w > 0)).alias("p"))
     longer = longer.select("*", F.expr("substring(a, p.at + 1, p.w)").alias("gram"), F.explode(F.sequence(-F.col("p.i"), F.col("p.i"))).alias("shift"))
-    longer = longer.select("kind", "a", "ka", "la", "edits", F.col("p.i").alias("i"), F.col("p.w").alias("w"), "gram", "shift", (F.col("p.at") + F.col("shift")).alias("pos")).where("pos >= 0")
+    longer = longer.select("kind", "a", "ka", "la", "edits", "one_a", "two_a", F.col("p.i").alias("i"), F.col("p.w").alias("w"), "gram", "shift", (F.col("p.at") + F.col("shift")).alias("pos")).where("pos >= 0")
     # as many widths as names have lengths, and fewer
     widths = longer.select("w").distinct()
-    grams = n.join(F.broadcast(widths), F.col("len") >= F.col("w")).select("kind", F.col("name").alias("b"), F.col("key").alias("kb"), F.col("len").alias("lb"), "w", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("len") - F.col("w") + 1), lambda i: F.substring(F.col("name"), i, F.col("w")))).alias("pos", "gram"))
+    grams = n.join(F.broadcast(widths), F.col("len") >= F.col("w")).select("kind", F.col("name").alias("b"), F.col("key").alias("kb"), F.col("len").alias("lb"), F.col("one").alias("one_b"), F.col("two").alias("two_b"), "w", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("len") - F.col("w") + 1), lambda i: F.substring(F.col("name"), i, F.col("w")))).alias("pos", "gram"))
     near = "(lb < la OR (lb = la AND a < b)) AND la - lb <= edits AND abs(shift - (lb - la)) <= edits - i"
-    pairs = longer.join(grams, ["kind", "w", "gram", "pos"]).where(near).select("a", "b", "ka", "kb", "la", "edits").distinct()
-    close = pairs.withColumn("d", F.expr("levenshtein(a, b)")).where("d <= edits")
+    alike = " AND ".join(f"bit_count({own} & ~{other}) <= {most}" for own, other, most in (("one_a", "one_b", "edits"), ("one_b", "one_a", "edits"), ("two_a", "two_b", "2 * edits"), ("two_b", "two_a", "2 * edits")))
+    pairs = longer.join(grams, ["kind", "w", "gram", "pos"]).where(f"{near} AND {alike}")
+    close = pairs.select("a", "b", "ka", "kb", "la", F.expr("levenshtein(a, b, edits)").alias("d")).where("d >= 0").select("ka", "kb", "la", "d").distinct()
     return close.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.round(1 - F.col("d") / F.col("la"), 6).alias("similarity"))
 
 

@@ -115,3 +115,26 @@ def test_all_numbers_of_a_card(spark, tmp_path):
     rows = [(1, [("", "+1 2"), ("", "(3) 4")]), (2, []), (3, None), (4, [("", "none")])]
     spark.createDataFrame(rows, "card_id long, phones array<struct<type string, value string>>").write.parquet(f"{tmp_path}/vcards.parquet")
     assert sorted(tuple(r) for r in QUERIES["phone_normalise"](spark, str(tmp_path)).collect()) == [(1, 1, "12"), (1, 2, "34"), (4, 1, None)]
+
+
+def test_similar_names_lose_no_pair_to_the_bits_of_letters(spark):
+    """Against a loop over all pairs: repeated letters, letters of two UTF-16 units, short names; and every pair tested by distance comes out of the join once."""
+    import random
+
+    rng = random.Random(5)
+    names = ["😀😁ab", "😀😂ab", "aaaaaaaaaa", "aaaaaaabbb", "aaaaaaaaaabbb", "é-é-é-é-é-", "é-é-é-è-è-", "ab", "abc", "abd", "abcd", "abce", "😁😁😁😁😁😁😁😁😁😁", "😁😁😁😁😁😁😁abc"]
+    names += ["".join(rng.choice("abc ") for _ in range(rng.randint(3, 14))).strip() or "x" for _ in range(150)]
+    names = sorted(set(names))
+    want = set()
+    for i, x in enumerate(names):
+        for j in range(i):
+            k, longest = edits(x, names[j]), max(len(x), len(names[j]))
+            if k <= int(longest * 0.3 + 1e-9):
+                want.add((j, i, round(1 - k / longest, 6)))
+    df = spark.createDataFrame([(i, "p", x) for i, x in enumerate(names)], "id long, kind string, name string")
+    out = resolve.similar_names(df, "id", "kind", "name", 0.7)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+    # candidates were made one by a shuffle of all of them before any was tested: now the bits are part of the join
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in next(line for line in plan.splitlines() if "Join Inner" in line and "gram" in line)
