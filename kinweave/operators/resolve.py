@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from kinweave.operators import local_names
 from kinweave.plans.lineage import materialise
 from kinweave.plans.skew import heavy_or_none, lookup_join
 
@@ -24,25 +27,93 @@ def letter_pairs(name: Column) -> Column:
     return F.aggregate(two, F.lit(0).cast("long"), lambda bits, pair: bits.bitwiseOR(bit(pair)))
 
 
+#: Pairs of names of one kind beyond which all are tried in tasks that hold the names; below, and for names that differ by less than WIDE of their letters, a join on pieces finds the candidates.
+MANY, WIDE = 1_000_000, 0.25
+#: Names of a kind that one task takes at once, and the most it may hold of each of two blocks; how many blocks a kind is cut into where BLOCK would give more.
+BLOCK, MOST, BLOCKS = 4096, 65_536, 8
+
+
 def similar_names(df: DataFrame, key: str, kind: str, name: str, least: float = 0.7) -> DataFrame:
     """(a, b, similarity): keys of records of one kind whose names are similar, one row per pair of different names' keys.
 
     similarity is 1 - levenshtein / length of the longer, in lower case. Equal names are first made one (the smallest
-    key stands for them, see exact_groups), so copies are never expanded into pairs. Candidates for different names share a
-    piece: a name within k edits of another has one of k + 1 pieces unchanged. Of several such pieces one is found where at
-    most i edits lie before piece i and k - i after it, so the piece joins by its place too, shifted by i at most, and the
-    lengths bound the shift from the end. Of these, the join itself drops pairs whose letters or pairs of letters differ by
-    more than the edits can change, and the bounded distance decides before a pair found by several pieces is made one. No
-    pair is lost. Null names count as empty and match nothing.
+    key stands for them, see exact_groups), so copies are never expanded into pairs. Null names count as empty and match
+    nothing. Both ways to find the pairs are exact.
     """
     share = 1.0 - least
     n = df.select(F.lower(F.coalesce(F.col(kind), F.lit(""))).alias("kind"), F.lower(F.trim(F.coalesce(F.col(name), F.lit("")))).alias("name"), F.col(key).alias("key")).where("name <> ''")
-    n = n.groupBy("kind", "name").agg(F.min("key").alias("key")).select("*", F.length("name").alias("len"), letters(F.col("name")).alias("one"), letter_pairs(F.col("name")).alias("two"))
+    n = n.groupBy("kind", "name").agg(F.min("key").alias("key")).withColumn("len", F.length("name"))
+    close = None
+    if share > WIDE:
+        # pieces are three letters long or four, and so many names share them that trying all pairs is less work
+        n = materialise(n, "names")
+        sizes = n.groupBy("kind").agg(F.count_if(F.col("len") <= local_names.LONGEST).alias("n"), F.max("len").alias("longest"))
+        all_of = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"), F.max("longest").alias("longest"), F.sum(F.when(F.col("n") <= BLOCK, F.col("n"))).alias("few")).first()
+        if (all_of.pairs or 0) > MANY:
+            close = _close_in_blocks(n.where(F.col("len") <= local_names.LONGEST), share, sizes.where(F.col("n") > BLOCK).select("kind", "n").collect(), all_of.few or 0)
+            if all_of.longest > local_names.LONGEST:
+                close = close.unionByName(_close_by_pieces(n, share, local_names.LONGEST))
+    if close is None:
+        close = _close_by_pieces(n, share)
+    pairs = close.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "la", "d").distinct()
+    return pairs.select("a", "b", F.round(1 - F.col("d") / F.col("la"), 6).alias("similarity"))
+
+
+def _close_in_blocks(n: DataFrame, share: float, large: list[Row], few: int) -> DataFrame:
+    """(ka, kb, la, d): the pairs of names of one kind within the edits of the longer (of la letters), d edits apart.
+
+    n(kind, name, key). A kind of large (kind, n) is cut into blocks by its names' hash, and a task tries the pairs of two
+    blocks or of one; the other kinds, few names in all, are tried whole, several in a task.
+    """
+    marks, tasks = [], 0
+    for kind, count in large:
+        blocks = max(-(-count // MOST), min(BLOCKS, -(-count // BLOCK)))
+        marks.append((kind, blocks, tasks))
+        tasks += blocks * (blocks + 1) // 2
+    bins = max(1, -(-few // BLOCK))
+    of = F.broadcast(n.sparkSession.createDataFrame(marks, "kind string, blocks int, first int"))
+    rows = n.join(of, "kind", "left").withColumn("block", F.pmod(F.xxhash64("name"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    task = F.when(F.col("blocks").isNull(), tasks + F.pmod(F.xxhash64("kind"), F.lit(bins))).otherwise(F.col("first") + F.floor(high * (high + 1) / 2) + low).cast("int")
+    # side: 0 for both sides of a block with itself, else 1 and 2
+    rows = rows.select(task.alias("task"), F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"), "kind", "name", "key")
+
+    def run(batches):
+        if not (batches := [b for b in batches if b.num_rows]):
+            return
+        held = pa.Table.from_batches(batches)
+        names, keys = held["name"].to_pylist(), held["key"].combine_chunks()
+        kinds = held["kind"].combine_chunks().dictionary_encode().indices.to_numpy()
+        side, alphabet = held["side"].to_numpy(), local_names.Alphabet(names)
+        group = np.stack([held["task"].to_numpy(), kinds])
+        order = np.lexsort(group)
+        cuts = np.flatnonzero((np.diff(group[:, order], axis=1) != 0).any(axis=0)) + 1
+        for own in np.split(order, cuts):
+            part = [local_names.by_length(names, own[side[own] == s], alphabet) for s in range(3)]
+            for x, y, same in ((part[0], part[0], True), (part[1], part[2], False)):
+                for i, j, d, longest in local_names.similar(x, y, share, same):
+                    columns = [keys.take(pa.array(i)), keys.take(pa.array(j)), pa.array(np.full(len(i), longest, np.int32)), pa.array(d.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["ka", "kb", "la", "d"])
+
+    spread = rows.repartitionById(tasks + bins, F.col("task"))
+    return spread.mapInArrow(run, f"ka {n.schema['key'].dataType.simpleString()}, kb {n.schema['key'].dataType.simpleString()}, la int, d int")
+
+
+def _close_by_pieces(n: DataFrame, share: float, over: int = 0) -> DataFrame:
+    """As _close_in_blocks, of n(kind, name, key, len), the pairs whose longer name has more than `over` letters; a pair found by several pieces comes several times.
+
+    Candidates share a piece: a name within k edits of another has one of k + 1 pieces unchanged. Of several such pieces one
+    is found where at most i edits lie before piece i and k - i after it, so the piece joins by its place too, shifted by i
+    at most, and the lengths bound the shift from the end. Of these, the join itself drops pairs whose letters or pairs of
+    letters differ by more than the edits can change, and the bounded distance decides. No pair is lost.
+    """
+    n = n.where(F.col("len") >= int(over * (1 - share))).select("*", letters(F.col("name")).alias("one"), letter_pairs(F.col("name")).alias("two"))
     # edits that a pair with this name as its longer member may have
     n = n.withColumn("k", F.floor(F.col("len") * share + 1e-9).cast("int"))
     cut = lambda i: F.floor(i * F.col("len") / (F.col("k") + 1)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(i.alias("i"), cut(i).alias("at"), (cut(i + 1) - cut(i)).alias("w")))
-    longer = n.select("kind", F.col("name").alias("a"), F.col("key").alias("ka"), F.col("len").alias("la"), F.col("k").alias("edits"), F.col("one").alias("one_a"), F.col("two").alias("two_a"), F.explode(F.filter(pieces, lambda p: p.w > 0)).alias("p"))
+    longer = n.where(F.col("len") > over).select("kind", F.col("name").alias("a"), F.col("key").alias("ka"), F.col("len").alias("la"), F.col("k").alias("edits"), F.col("one").alias("one_a"), F.col("two").alias("two_a"), F.explode(F.filter(pieces, lambda p: p.w > 0)).alias("p"))
     longer = longer.select("*", F.expr("substring(a, p.at + 1, p.w)").alias("gram"), F.explode(F.sequence(-F.col("p.i"), F.col("p.i"))).alias("shift"))
     longer = longer.select("kind", "a", "ka", "la", "edits", "one_a", "two_a", F.col("p.i").alias("i"), F.col("p.w").alias("w"), "gram", "shift", (F.col("p.at") + F.col("shift")).alias("pos")).where("pos >= 0")
     # as many widths as names have lengths, and fewer
@@ -51,8 +122,7 @@ def similar_names(df: DataFrame, key: str, kind: str, name: str, least: float =
     near = "(lb < la OR (lb = la AND a < b)) AND la - lb <= edits AND abs(shift - (lb - la)) <= edits - i"
     alike = " AND ".join(f"bit_count({own} & ~{other}) <= {most}" for own, other, most in (("one_a", "one_b", "edits"), ("one_b", "one_a", "edits"), ("two_a", "two_b", "2 * edits"), ("two_b", "two_a", "2 * edits")))
     pairs = longer.join(grams, ["kind", "w", "gram", "pos"]).where(f"{near} AND {alike}")
-    close = pairs.select("a", "b", "ka", "kb", "la", F.expr("levenshtein(a, b, edits)").alias("d")).where("d >= 0").select("ka", "kb", "la", "d").distinct()
-    return close.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.round(1 - F.col("d") / F.col("la"), 6).alias("similarity"))
+    return pairs.select("a", "b", "ka", "kb", "la", F.expr("levenshtein(a, b, edits)").alias("d")).where("d >= 0").select("ka", "kb", "la", "d")
 
 
 def exact_groups(df: DataFrame, key: str, kind: str, name: str) -> DataFrame:

@@ -138,3 +138,29 @@ def test_similar_names_lose_no_pair_to_the_bits_of_letters(spark):
     # candidates were made one by a shuffle of all of them before any was tested: now the bits are part of the join
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_count" in next(line for line in plan.splitlines() if "Join Inner" in line and "gram" in line)
+
+
+def test_many_similar_names_are_tried_without_a_join(spark, monkeypatch):
+    """Against a loop over all pairs: kinds in blocks and whole, names of up to 64 letters and beyond; candidates of many names were rows of a join, whose number ran out of time."""
+    import random
+
+    rng = random.Random(6)
+    base = ["john smith", "jane doe", "é-é-é-è-è-", "😀😁ab", "".join(rng.choice("abcdefgh ") for _ in range(66)).strip()]
+    names = {"".join("" if rng.random() < 0.05 else rng.choice("abcx ") if rng.random() < 0.1 else c for c in rng.choice(base) + rng.choice(["", "x", "yz"])).strip() for _ in range(130)} - {""}
+    assert min(map(len, names)) < 6 and any(len(x) == 64 for x in names) and max(map(len, names)) > 64
+    rows = [(kind, x) for k, kind in enumerate(["person", None, "firm", "event"]) for x in sorted(names)[:: k * k + 1]]
+    want = set()
+    for i, (kind, x) in enumerate(rows):
+        for j in range(i):
+            longest = max(len(x), len(rows[j][1]))
+            if kind == rows[j][0] and (d := edits(x, rows[j][1])) <= int(longest * 0.3 + 1e-9):
+                want.add((j, i, round(1 - d / longest, 6)))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)] + [(len(rows), "firm", "FIRM"), (len(rows) + 1, "firm", None)], "id long, kind string, name string")
+    monkeypatch.setattr(resolve, "MANY", 100)
+    monkeypatch.setattr(resolve, "BLOCK", 20)
+    out = resolve.similar_names(df, "id", "kind", "name", 0.7)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+    few = resolve.similar_names(df.where("length(name) <= 64"), "id", "kind", "name", 0.7)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "gram" not in plan and {tuple(r) for r in few.collect()} == {w for w in want if max(len(rows[k][1]) for k in w[:2]) <= 64}
